@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import sha, table
+from cairn.llm.common import cut, sha, table
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,26 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.lines import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, min_docs=3, min_chars=20).select("doc_id", "n_lines", "n_dropped", sha("text").alias("kept_sha256"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    proposed = cut(pii.propose(docs).select("doc_id", "__base", "__candidates"), "candidates")
+    got = pii.select(proposed, pii.fit(proposed))
+    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
+    return got.select(
+        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+        sha(pii.spans_text(F.col("__base"))).alias("base_sha256"), pii.spans_text(F.col("__spans")).alias("spans"),
+    )
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.media import featurize, store_payload
 
@@ -51,5 +71,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op7_chat": op7_chat, "op10_media": op10_media}
+QUERIES = {"op1_pack": op1_pack, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
