@@ -16,6 +16,21 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.imatch import edited_fingerprints
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = edited_fingerprints(docs, low=1 / 1000, high=1 / 20)
+    return got.select("doc_id", "n_chars", sha("edited").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.substring import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, window=35).select("doc_id", "n_words", "n_removed", sha("text").alias("kept_sha256"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.chat import format_chats
 
@@ -71,5 +86,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media}
+QUERIES = {"op1_pack": op1_pack, "op3_imatch": op3_imatch, "op5_substring": op5_substring, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
