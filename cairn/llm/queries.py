@@ -24,6 +24,12 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_chars", sha("edited").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, percent=75)
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.substring import remove_repeats
 
@@ -86,5 +92,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op3_imatch": op3_imatch, "op5_substring": op5_substring, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media}
+QUERIES = {"op1_pack": op1_pack, "op3_imatch": op3_imatch, "op4_neardup": op4_neardup, "op5_substring": op5_substring, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
