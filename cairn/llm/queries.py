@@ -16,6 +16,15 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    heads = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = cut(quality.classify(docs, heads).drop("text"), "scored")
+    return quality.combine(scored, quality.posteriors(scored), heads)
+
+
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.imatch import edited_fingerprints
 
@@ -92,5 +101,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op3_imatch": op3_imatch, "op4_neardup": op4_neardup, "op5_substring": op5_substring, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media}
+QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_imatch": op3_imatch, "op4_neardup": op4_neardup, "op5_substring": op5_substring, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
