@@ -46,6 +46,19 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, window=35).select("doc_id", "n_words", "n_removed", sha("text").alias("kept_sha256"))
 
 
+def op6_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cairn.llm.segment import segmentations
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2)
+    return got.select(
+        "doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_probability", "perturbed", "log_inclusion",
+        sha("decoded").alias("decoded_sha256"), "exact",
+    )
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.chat import format_chats
 
@@ -101,5 +114,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_imatch": op3_imatch, "op4_neardup": op4_neardup, "op5_substring": op5_substring, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media}
+QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_imatch": op3_imatch, "op4_neardup": op4_neardup, "op5_substring": op5_substring, "op6_segment": op6_segment, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {}
