@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import chunks, column, mix64, texts_of
 
 _UNIT = re.compile(r" +[^ ]*")
+#: Steps of the edges' running probabilities: a node's number plus such a step is exact, so a walk doesn't depend on which number a node got.
+_GRAIN = 2.0**28
 
 
 def _uniform(x: np.ndarray, seed: int) -> np.ndarray:
@@ -88,7 +90,7 @@ class Lattice:
             total, node, norm = 0.0, root + i, after[i]
             for w, j, x in edges[i]:
                 total += math.exp(w - norm)
-                until.append(node + total)
+                until.append(node + round(total * _GRAIN) / _GRAIN)
                 logs.append(w - norm)
                 to.append(root + j)
                 ids.append(x)
@@ -125,7 +127,7 @@ class Lattice:
         step = 0
         while len(alive):
             v = node[alive]
-            e = np.searchsorted(self.until, v + _uniform(salt[alive] + np.uint64(step), 51), "left")
+            e = np.searchsorted(self.until, v + (np.floor(_uniform(salt[alive] + np.uint64(step), 51) * _GRAIN) + 0.5) / _GRAIN, "left")
             e = np.minimum(np.maximum(e, self.first[v]), self.first[v + 1] - 1)
             taken.append((alive, e))
             count[alive] += 1
