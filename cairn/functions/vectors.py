@@ -97,7 +97,7 @@ def similar_pairs(rows: DataFrame, threshold: float, block: int = 1024) -> DataF
     dealt = dealt.select("id", "profile", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     kind = dict(rows.dtypes)["id"]
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         m, ids, own = matrix(table.column("embedding").combine_chunks()), table.column("id").to_numpy(), table.column("own").to_numpy()
         s = np.round(m @ m.T, 6)
         i, j = key[1].as_py(), key[2].as_py()

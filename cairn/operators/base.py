@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written as a table in the folder all executors share (spark.checkpoint.dir, or an own one where it is unset, as in
+    tests) and read again: a loop's lineage ends there."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="cairn-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def active(as_of: Column, prefix: str = "") -> Column:
     e = F.col(f"{prefix}expires_at")
     return e.isNull() | (e > as_of)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.base import top
+from cairn.operators.base import cut, top
 
 #: How strong the evidence of an entity type is.
 SYNTACTIC = ("entity", "file", "error", "quantity")
@@ -71,6 +71,7 @@ def spread_activation(seeds: DataFrame, memory_entities: DataFrame, entities: Da
         parent = F.when(F.col("target") != F.col("best.entity_id"), F.col("a")).otherwise(F.col("b"))
         front = around.select("query_id", "profile", F.col("target").alias("entity_id"), (parent * F.col("factor")).alias("activation")).filter(F.col("activation") > min_activation)
         front = front.groupBy("query_id", "profile", "entity_id").agg(F.least(F.max("activation"), F.lit(1.0)).alias("activation"))
+        front = cut(front)
         every = every.unionByName(front)
     strongest = every.groupBy("query_id", "profile", "entity_id").agg(F.max("activation").alias("activation"))
     memories = strongest.join(member, ["profile", "entity_id"]).groupBy("query_id", F.col("memory_id").alias("id")).agg(F.round(F.max("activation"), 6).alias("activation"))

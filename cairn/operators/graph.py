@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.base import active, both_ways, top
+from cairn.operators.base import active, both_ways, cut, top
 
 
 def _first(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -25,6 +25,7 @@ def related_memories(starts: DataFrame, edges: DataFrame, mem: DataFrame, as_of:
     for d in range(1, depth + 1):
         found = front.join(step, "id").select("start", F.col("other").alias("id"), "strength").groupBy("start", "id").agg(F.max("strength").alias("strength"))
         found = found.join(live, "id", "left_semi").join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", F.lit(d).alias("depth"), "strength")
+        found = cut(found) if depth > 1 else found
         seen, front = seen.unionByName(found), found.select("start", "id")
     return top(seen.filter(F.col("depth") > 0), ["start"], [F.asc("depth"), F.desc("strength"), F.asc("id")], k)
 
@@ -56,6 +57,7 @@ def walk_graph(starts: DataFrame, edges: DataFrame, depth: int = 2, direction: s
         found = front.join(step, "id").select("start", F.col("other").alias("id"), F.col("id").alias("connected_from"), "direction_used", "strength")
         found = _first(found, ["start", "id"], [F.desc("strength"), F.asc("connected_from"), F.desc("direction_used")]).join(seen.select("start", "id"), ["start", "id"], "left_anti")
         found = found.select("start", "id", F.lit(d).alias("depth"), "connected_from", "direction_used", "strength")
+        found = cut(found) if depth > 1 else found
         seen, front = seen.unionByName(found), found.select("start", "id")
     return top(seen.filter(F.col("depth") > 0), ["start"], [F.asc("depth"), F.desc("strength"), F.asc("id")], k)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.base import cut
+
 
 def store_triples(triples: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Arrivals as a history: each valid triple opens an edge; the next one of its key closes it. triples: id, subject,
@@ -74,6 +76,9 @@ def trace_provenance(starts: DataFrame, edges: DataFrame, depth: int = 10) -> Da
     seen = front.select("start", "edge_id", F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
         front = front.join(parents, "edge_id").select("start", F.col("source_edge_id").alias("edge_id")).distinct().join(there, "edge_id", "left_semi").join(seen.select("start", "edge_id"), ["start", "edge_id"], "left_anti")
+        front = cut(front)
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front.select("start", "edge_id", F.lit(d).alias("depth")))
     return seen
 
@@ -90,9 +95,13 @@ def find_derivatives(sources: DataFrame, edges: DataFrame, depth: int = 10) -> D
     first = sources.filter(F.col("edge_id").isNotNull()).select("start", F.col("edge_id").alias("source_edge_id")).join(links, "source_edge_id").select("start", "edge_id")
     first = first.unionByName(sources.filter(F.col("memory_id").isNotNull()).select("start", F.col("memory_id").alias("source_memory_id")).join(links, "source_memory_id").select("start", "edge_id")).distinct()
     children = links.filter(F.col("source_edge_id").isNotNull()).select("source_edge_id", F.col("edge_id").alias("child")).distinct()
+    first = cut(first)
     front, seen = first, first.select("start", "edge_id", F.lit(1).alias("depth"))
     for d in range(2, depth + 1):
         front = front.join(children, front["edge_id"] == children["source_edge_id"]).select("start", F.col("child").alias("edge_id")).distinct().join(seen.select("start", "edge_id"), ["start", "edge_id"], "left_anti")
+        front = cut(front)
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front.select("start", "edge_id", F.lit(d).alias("depth")))
     return seen
 

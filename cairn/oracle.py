@@ -71,4 +71,7 @@ def sql(names: str, body: str, **values) -> str:
     for n in names.split():
         need(n)
     body = body.strip()
-    return "WITH RECURSIVE " + ",\n".join(done.values()) + (",\n" + body[5:] if body.startswith("WITH ") else "\n" + body)
+    own = body[5:] if body.startswith("WITH ") else body
+    if not done:
+        return f"WITH RECURSIVE {own}" if own is not body else body
+    return "WITH RECURSIVE " + ",\n".join(done.values()) + (",\n" if own is not body else "\n") + own

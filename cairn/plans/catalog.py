@@ -264,7 +264,7 @@ def apply_ttl(s, d):
     return M.apply_ttl(mem(s, d), X.profile_settings(s)).select("id", secs("expires_at").alias("expires_at"))
 
 
-ACCESS = "acc AS (SELECT event_id // 3 AS call_id, (event_id * 7) % nd.n AS id, date_trunc('second', ts) AS at FROM events, nd)"
+ACCESS = "acc AS (SELECT event_id // 3 AS call_id, (event_id * 7) % nd.n AS id, date_trunc('second', ts) AS seen FROM events, nd)"
 
 
 def accesses(s, d):
@@ -272,7 +272,7 @@ def accesses(s, d):
     return X.read(s, d, "events").select(F.floor(F.col("event_id") / 3).alias("call_id"), (F.col("event_id") * 7 % n).alias("id"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("at"))
 
 
-@query(f"WITH {ACCESS}, c AS (SELECT id, count(DISTINCT call_id) AS calls, max(at) AS last_at FROM acc GROUP BY id) SELECT m.id, access_count + coalesce(calls, 0) AS access_count, CAST(epoch(greatest(last_accessed_at, last_at)) AS BIGINT) AS last_accessed_at FROM mem m LEFT JOIN c USING (id)", "mem nd")
+@query(f"WITH {ACCESS}, c AS (SELECT id, count(DISTINCT call_id) AS calls, max(seen) AS last_at FROM acc GROUP BY id) SELECT m.id, access_count + coalesce(calls, 0) AS access_count, CAST(epoch(greatest(last_accessed_at, last_at)) AS BIGINT) AS last_accessed_at FROM mem m LEFT JOIN c USING (id)", "mem nd")
 def record_access(s, d):
     return M.record_access(mem(s, d), accesses(s, d)).select("id", "access_count", secs("last_accessed_at").alias("last_accessed_at"))
 
@@ -300,8 +300,8 @@ def vector_topk(s, d):
     return S.vector_topk(X.queries(s, d), mem(s, d, True), X.as_of(), 10).select("query_id", "id", "similarity", "rank")
 
 
-KEYWORD = r"""tok AS (SELECT id, profile, list_filter(string_split_regex(lower(content), '[^\p{{L}}\p{{N}}_]+'), x -> len(x) > 0) AS words FROM active),
-    qt AS (SELECT query_id, profile, unnest(t) AS term, len(t) AS n_terms FROM (SELECT query_id, profile, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+'), x -> len(x) > 0)) AS t FROM q)),
+KEYWORD = r"""tok AS (SELECT id, profile, list_filter(string_split_regex(lower(content), '[^\p{{L}}\p{{N}}_]+'), lambda x: len(x) > 0) AS words FROM active),
+    qt AS (SELECT query_id, profile, unnest(t) AS term, len(t) AS n_terms FROM (SELECT query_id, profile, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: len(x) > 0)) AS t FROM q)),
     tf AS (SELECT id, profile, n_words, w AS term, count(*) AS tf FROM (SELECT id, profile, len(words) AS n_words, unnest(words) AS w FROM tok) WHERE w IN (SELECT term FROM qt) GROUP BY ALL),
     km AS (SELECT query_id, id, n_words, sum(tf)::DOUBLE / n_words AS r FROM qt JOIN tf USING (profile, term) GROUP BY query_id, id, n_words, n_terms HAVING count(*) = n_terms),
     kr AS (SELECT query_id, id, round(r / (r + 1), 6) AS keyword_rank FROM km),
@@ -324,7 +324,7 @@ def graph_boost(s, d):
 
 def boosted(importance: bool) -> str:
     return f"""* {'importance' if importance else '1.0::DOUBLE'} * (1 + 0.1::DOUBLE * ln(access_count + 1)) * confidence * (1 + 0.2::DOUBLE * coalesce(graph_boost, 0))
-      * (1 + len(list_filter(q.tags, x -> list_contains(m.tags, x)))::DOUBLE / len(q.tags) * 0.4::DOUBLE)"""
+      * (1 + len(list_filter(q.tags, lambda x: list_contains(m.tags, x)))::DOUBLE / len(q.tags) * 0.4::DOUBLE)"""
 
 
 HYBRID = f"""{keyword_sql(30)},
@@ -395,10 +395,10 @@ def related_memories(s, d):
     h0 AS (SELECT query_id, id, similarity AS relevance, 0 AS depth FROM vtop),
     h1 AS (SELECT query_id, y AS id, max(relevance * strength) AS relevance, 1 AS depth FROM h0 JOIN e ON x = h0.id WHERE y IN (SELECT id FROM active) GROUP BY query_id, y),
     h2 AS (SELECT query_id, y AS id, max(relevance * strength) AS relevance, 2 AS depth FROM h1 JOIN e ON x = h1.id WHERE y IN (SELECT id FROM active) GROUP BY query_id, y)
-    SELECT query_id, id, round(relevance, 6) AS relevance, depth FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY relevance DESC, depth) AS n FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)) WHERE n = 1""", "vtop rel active", k=5)
+    SELECT query_id, id, round(relevance, 9) AS relevance, depth FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY relevance DESC, depth) AS n FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)) WHERE n = 1""", "vtop rel active", k=5)
 def explore_graph(s, d):
     seeds = S.vector_topk(X.queries(s, d), mem(s, d, True), X.as_of(), 5).select("query_id", "id", F.col("similarity").alias("relevance"))
-    return G.explore_graph(seeds, X.relationships(s, d), mem(s, d), X.as_of(), 2).select("query_id", "id", r6("relevance").alias("relevance"), "depth")
+    return G.explore_graph(seeds, X.relationships(s, d), mem(s, d), X.as_of(), 2).select("query_id", "id", F.round("relevance", 9).alias("relevance"), "depth")
 
 
 @query("""WITH st AS (SELECT DISTINCT id AS start FROM mem WHERE id % 7 = 0),
@@ -540,8 +540,8 @@ def link_entities(s, d):
 VOCABULARY = ["OWNED_BY", "PART_OF", "DEPENDS_ON"]
 
 
-@query("""WITH a AS (SELECT o_orderkey AS id, 'customer:' || o_custkey AS subject, 'PART_OF' AS predicate, 'nation:' || (o_custkey % 25) AS object, o_orderdate AS at FROM orders)
-    SELECT id, subject, object, CAST(epoch(at) AS BIGINT) AS valid_from, CAST(epoch(lead(at) OVER w) AS BIGINT) AS valid_to, lead(id) OVER w AS superseded_by FROM a WINDOW w AS (PARTITION BY subject, predicate, object ORDER BY at, id)""", "")
+@query("""WITH a AS (SELECT o_orderkey AS id, 'customer:' || o_custkey AS subject, 'PART_OF' AS predicate, 'nation:' || (o_custkey % 25) AS object, o_orderdate AS seen FROM orders)
+    SELECT id, subject, object, CAST(epoch(seen) AS BIGINT) AS valid_from, CAST(epoch(lead(seen) OVER w) AS BIGINT) AS valid_to, lead(id) OVER w AS superseded_by FROM a WINDOW w AS (PARTITION BY subject, predicate, object ORDER BY seen, id)""", "")
 def store_triples(s, d):
     return history(s, d).select("id", "subject", "object", secs("valid_from").alias("valid_from"), secs("valid_to").alias("valid_to"), "superseded_by")
 
@@ -554,8 +554,8 @@ def history(s, d):
     return T.store_triples(o, VOCABULARY)
 
 
-@query("""WITH a AS (SELECT o_orderkey AS id, o_custkey, o_orderdate AS at, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS till FROM orders)
-    SELECT id, 'customer:' || o_custkey AS subject FROM a WHERE at <= TIMESTAMP '1998-06-01' AND (till IS NULL OR TIMESTAMP '1998-06-01' < till)""", "")
+@query("""WITH a AS (SELECT o_orderkey AS id, o_custkey, o_orderdate AS seen, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS till FROM orders)
+    SELECT id, 'customer:' || o_custkey AS subject FROM a WHERE seen <= TIMESTAMP '1998-06-01' AND (till IS NULL OR TIMESTAMP '1998-06-01' < till)""", "")
 def edges_as_of(s, d):
     return T.edges_as_of(history(s, d), F.lit("1998-06-01").cast("timestamp")).select("id", "subject")
 
