@@ -4,9 +4,12 @@ A document has two collections of eight minhashes. A table's key is one minhash
 64 tables; two sets of similarity 0.75 share no key with probability 2 * 0.25**8 = 0.00003. Sixteen more minhashes
 refine keys that very many sets share, and all 32 estimate a pair's similarity before it is verified.
 
-Equal sets are one class from the start. Within a key, each class is paired with the smallest one only. Links found
-so join classes to components; after that, keys that still hold several components are looked at again, and only
-pairs across components that may be similar are verified, so a group of n copies costs about n pairs and not n*n.
+Equal sets are one class from the start. Within a key, each class is paired with one centre only, the class that meets
+most others over all its keys: of a text and its edited copies, the text. Links found so join classes to
+components; after that, keys that still hold several components are looked at again, and pairs across components that
+may be similar are verified. An exact bound rules out most of those. Let x and y have been compared with the same
+centre c, and let r(x) be the shingles of x outside c that another set compared with c has too. Then x and y share at
+most |x & c| + r(x) shingles, and the same for y. So n edited copies of a text cost about n pairs and not n*n.
 """
 
 from __future__ import annotations
@@ -101,8 +104,9 @@ def tensored(df: DataFrame, first: int = 0) -> DataFrame:
     return df.mapInArrow(run, df.select(F.lit(0).cast("long").alias("key"), *names).schema)
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """Of pairs (x, y), those whose full sets have 100 * intersection >= percent * union.
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = 5, percent: int = 75, rest: bool = False) -> DataFrame:
+    """x, y, both (shingles in common), ok (100 * both >= percent * union) of the pairs (x, y) that aren't ruled out; with
+    `rest` also the shingles of y outside x.
 
     Sizes and estimates rule most others out; the texts are read again only for documents that a fixed-size bitmap lets
     through, and their sets are joined to both sides of the pairs.
@@ -135,27 +139,52 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = 5, pe
 
     def confirm(batches):
         for whole in batches:
-            good = []
+            both, ok, out = [], [], []
             for a, b in zip(column(whole, "sx"), column(whole, "sy")):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield whole.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
+                common = np.intersect1d(a, b, assume_unique=True)
+                both.append(len(common))
+                ok.append(100 * len(common) >= percent * (len(a) + len(b) - len(common)))
+                if rest:
+                    out.append(np.setdiff1d(b, common, assume_unique=True).view(np.int64))
+            cols = [column(whole, "x"), column(whole, "y"), pa.array(both, pa.int64()), pa.array(ok, pa.bool_())]
+            if rest:
+                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))))
+            yield pa.RecordBatch.from_arrays(cols, ["x", "y", "both", "ok", "rest"][: len(cols)])
 
-    return joined.mapInArrow(confirm, "x long, y long").distinct()
+    return joined.mapInArrow(confirm, "x long, y long, both long, ok boolean" + ", rest array<long>" * rest)
 
 
-def _across(rows: DataFrame, best_only: bool) -> DataFrame:
-    """x, y: plausible pairs of different components in each key. rows: key, id, n, label, marks; a key has few enough rows."""
+def _bounds(tested: DataFrame) -> DataFrame:
+    """id, centre, bound: the centre with which a class has most in common, and the most it can have in common with any
+    other class compared with that centre. Only centres that some class isn't linked with matter."""
+    open_ = tested.filter(~F.col("ok")).select("x").distinct()
+    rows = tested.join(open_, "x", "left_semi")
+    parts = rows.select("x", "y", F.explode("rest").alias("s"))
+    again = parts.groupBy("x", "s").agg(F.count("*").alias("n")).filter(F.col("n") >= 2).select("x", "s")
+    more = parts.join(again, ["x", "s"]).groupBy("x", "y").agg(F.count("*").alias("r"))
+    bound = rows.join(more, ["x", "y"], "left").select("y", "both", "x", (F.col("both") + F.coalesce("r", F.lit(0))).alias("bound"))
+    best = bound.groupBy("y").agg(F.max(F.struct("both", "x", "bound")).alias("b"))
+    return best.select(F.col("y").alias("id"), F.col("b.x").alias("centre"), F.col("b.bound").alias("bound"))
 
-    def pairs(key, ids, n, label, marks):
+
+ROW = ("key", "id", "n", "label", "centre", "bound", "marks")
+
+
+def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
+    """x, y: plausible pairs of different components in each key. rows: ROW; a key has few enough rows."""
+
+    def pairs(key, ids, n, label, centre, bound, marks):
         low, out = (marks & np.uint32(255)).astype(np.uint8), []
         at, d = np.arange(len(key) - 1), 1
         while len(at):
             at = at[at + d < len(key)]
             at = at[key[at] == key[at + d]]
             a, b = at, at + d
-            ok = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= 75 * np.maximum(n[a], n[b]))
+            ok = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            a, b = a[ok], b[ok]
+            ok = (centre[a] != centre[b]) | ((100 + percent) * np.minimum(bound[a], bound[b]) >= percent * (n[a] + n[b]))
             a, b = a[ok], b[ok]
             same = (low[a] == low[b]).sum(1)
             ok = same >= AGREE
@@ -176,7 +205,7 @@ def _across(rows: DataFrame, best_only: bool) -> DataFrame:
     def run(batches):
         rest = None
         for b in batches:
-            now = [column(b, c).to_numpy() for c in ("key", "id", "n", "label")] + [_matrix(column(b, "marks"))]
+            now = [column(b, c).to_numpy() for c in ROW[:-1]] + [_matrix(column(b, "marks"))]
             rest = now if rest is None else [np.concatenate(p) for p in zip(rest, now)]
             if not len(rest[0]):
                 continue
@@ -199,22 +228,22 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return kept.filter(F.col("least") != F.col("most")).drop("least", "most")
 
 
-def _across_all(shared: DataFrame, classes: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame:
+def _across_all(shared: DataFrame, classes: DataFrame, labels: DataFrame, bounds: DataFrame, best_only: bool, percent: int) -> DataFrame:
     rows = shared.join(labels.withColumnRenamed("label", "found"), "id", "left").select("key", "id", F.coalesce("found", "id").alias("label"))
-    rows = cut(_mixed(rows).join(classes.select("id", "n", "marks"), "id"), "mixed")
-    names = ["key", "id", "n", "label", "marks"]
-    small = rows.filter(F.col("size") <= BLOCK).select(*names)
+    facts = classes.select("id", "n", "marks").join(bounds, "id", "left").select("id", "n", F.coalesce("centre", "id").alias("centre"), F.coalesce("bound", "n").alias("bound"), "marks")
+    rows = cut(_mixed(rows).join(facts, "id"), "mixed")
+    small = rows.filter(F.col("size") <= BLOCK).select(*ROW)
     large = rows.filter(F.col("size") > BLOCK)
     if not large.isEmpty():
         # Very common keys are refined by the other sixteen minhashes; what is still too large goes block by block.
-        finer = tensored(large.select(*names), 2 * SIDE).distinct()
+        finer = tensored(large.select(*ROW), 2 * SIDE).distinct()
         finer = cut(_mixed(finer).join(classes.select("id", "marks"), "id"), "finer")
-        small = small.unionByName(finer.filter(F.col("size") <= BLOCK).select(*names))
+        small = small.unionByName(finer.filter(F.col("size") <= BLOCK).select(*ROW))
         rest = finer.filter(F.col("size") > BLOCK).withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / BLOCK))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK))))
         rest = rest.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-        small = small.unionByName(rest.select(*names))
-    return _across(small, best_only)
+        small = small.unionByName(rest.select(*ROW))
+    return _across(small, best_only, percent)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,20 +263,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
 
     w = Window.partitionBy("key")
     keyed = tensored(classes.select("id", "marks"))
-    shared = cut(keyed.withColumn("least", F.min("id").over(w)).withColumn("most", F.max("id").over(w)).filter(F.col("least") != F.col("most")).select("key", "id", "least"), "keys")
-    star = cut(shared.filter(F.col("id") != F.col("least")).select(F.col("least").alias("x"), F.col("id").alias("y")).distinct(), "pairs")
-    links = cut(verify(star, classes, rows, k, percent), "links")
+    shared = cut(keyed.withColumn("size", F.count("*").over(w)).filter(F.col("size") > 1), "keys")
+    met = shared.groupBy("id").agg(F.sum(F.col("size") - 1).alias("met"))
+    centred = shared.join(met, "id").select("key", "id", F.max(F.struct("met", (-F.col("id")).alias("minus"))).over(w).alias("c")).select("key", "id", (-F.col("c.minus")).alias("x"))
+    star = cut(centred.filter(F.col("id") != F.col("x")).select("x", F.col("id").alias("y")).distinct(), "pairs")
+    verified = cut(verify(star, classes, rows, k, percent, rest=True), "verified")
+    links = verified.filter("ok").select("x", "y")
     labels = components(links)
-    tested = star
+    bounds = cut(_bounds(verified), "bounds")
+    tested = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     for best_only in (True, False):
-        pairs = cut(_across_all(shared, classes, labels, best_only).join(tested, ["x", "y"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        more = cut(verify(pairs, classes, rows, k, percent), "links")
-        tested = tested.unionByName(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+        pairs = cut(_across_all(shared, classes, labels, bounds, best_only, percent).join(tested, ["x", "y"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            more = cut(verify(pairs, classes, rows, k, percent).filter("ok").select("x", "y"), "links")
+            tested = tested.unionByName(pairs)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = components(links)
 
     of = equal.join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("component"))
     of = cut(of, "membership")
