@@ -17,14 +17,15 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """The columns a stage needs, beside all columns as one, so that no name clashes."""
-    return docs.select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"))
+    """The columns a stage needs, beside all others as one, so that no name clashes."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
+    return docs.select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"), F.struct(*others).alias("__others"))
 
 
-def _unpacked(rows: DataFrame, names: list[str]) -> DataFrame:
+def _unpacked(rows: DataFrame, like: DataFrame) -> DataFrame:
     """The documents again, with the text that rows has now."""
     new = {"text": F.col("text"), "n_chars": F.length(F.coalesce("text", F.lit("")))}
-    return rows.select(*[new[c].cast(rows.schema["__all"].dataType[c].dataType).alias(c) if c in new else F.col("__all")[c].alias(c) for c in names])
+    return rows.select(*[(new[c].cast(like.schema[c].dataType) if c in new else F.col("__others")[c]).alias(c) for c in like.columns])
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +34,12 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     heads = quality.fit(rows, table(spark, sf_dir, "labels"))
     scored = cut(quality.classify(rows, heads), "scored")
     kept = quality.combine(scored, quality.posteriors(scored), heads).filter("keep")
-    return _unpacked(kept, docs.columns)
+    return _unpacked(kept, docs)
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 characters or more that three or more documents have stay in the one of largest id only."""
-    return _unpacked(lines.dedup_lines(_packed(docs).drop("host", "path")), docs.columns)
+    return _unpacked(lines.dedup_lines(_packed(docs).drop("host", "path")), docs)
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kind."""
     proposed = cut(pii.propose(_packed(docs).drop("host", "path")), "proposed")
     spans = pii.select(proposed, pii.fit(proposed))
-    return _unpacked(spans.withColumn("text", pii.redacted(F.col("text"), F.col("__spans"))), docs.columns)
+    return _unpacked(spans.withColumn("text", pii.redacted(F.col("text"), F.col("__spans"))), docs)
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
