@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,7 +172,7 @@ def memory_date(metadata: Column, text: Column, created_at: Column) -> Column:
 # What marks a question's kind.
 ORDERING = r"(?i)what is the order of|from earliest to latest|from latest to earliest|in (?:chronological|reverse) order|list the order|list in order|walk me through the order|in (?:what|which) order|the sequence (?:of|in which)"
 MULTI_HOP = r"(?i)how many (?:months?|weeks?|days?|years?) (?:between|since|before|after|passed)|which (?:happened|came|occurred|event|trip|device|gift|project) .{0,20}first|what (?:is|was) the order|how long (?:between|since|before|after|had passed|did it take)|which .{0,30} (?:earlier|later|before|after)|how (?:old|long) was I when"
-CROSS_REFERENCE = r"(?i)across (?:all |my |our )?(?:sessions?|conversations?|requests?)"
+CROSS_REFERENCE = r"(?i)across (?:(?:all|my|our) ){0,2}(?:sessions?|conversations?|requests?)"
 SUMMARY = r"(?i)comprehensive summary|summari[sz]e (?:all|everything)|overview of"
 ANCHORS = (
     r"(?i)between\s+(.+?)\s+and\s+(.+?)(?:\s*[?.!]|$)", r"(?i)(?:first|earlier|later),?\s+(.+?)\s+or\s+(?:the\s+)?(.+?)(?:\s*[?.!]|$)",
@@ -251,8 +252,6 @@ def gist(text: str) -> str:
 
 
 def compress_gist():
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else gist(t))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,8 +110,6 @@ def similar_pairs(rows: DataFrame, threshold: float, block: int = 1024) -> DataF
 
 def register(spark: SparkSession) -> None:
     """cosine_similarity for SQL users, as a vectorised function."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def cosine_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x, y):

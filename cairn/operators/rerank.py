@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +68,6 @@ def strided_select(results: DataFrame, limit: int) -> DataFrame:
 def mmr_rerank(results: DataFrame, limit: int = 10, weight: float = 0.5) -> DataFrame:
     """Maximal marginal relevance: greedy by weight x relevance / max - (1 - weight) x the largest Jaccard similarity of
     words to those taken. results: query_id, id, relevance, content; a query's results are few (its limit)."""
-    import pandas as pd
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["relevance", "id"], ascending=[False, True], ignore_index=True)
         words = [set((c or "").lower().split()) for c in pdf["content"]]
@@ -132,8 +131,6 @@ def supersede(results: DataFrame, edges: DataFrame, mem: DataFrame) -> DataFrame
 
 def blend_rerank(results: DataFrame, scorer, alpha: float = 0.55, k: int = 10) -> DataFrame:
     """(1 - alpha) x relevance + alpha x cross score, the first k. scorer: (Series of queries, Series of contents) -> Series. results: query_id, id, relevance, query, content."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def cross(queries: pd.Series, contents: pd.Series) -> pd.Series:
         return scorer(queries, contents)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +69,6 @@ def cover_density(lists: list[list[int]], weight: float = 0.1) -> float:
 
 
 def _cover_density():
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(lists: pd.Series) -> pd.Series:
         return lists.map(lambda x: cover_density([list(one) for one in x]))

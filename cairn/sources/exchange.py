@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +60,6 @@ def read_dump(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
 def write_topic_pages(summaries: DataFrame) -> DataFrame:
     """profile, slug, text: a page for each summary, with other topic keys of the profile that its body names put in [[ ]]
     outside code. Only keys that occur in the body are joined to it. summaries: profile, topic_key, content, source_count."""
-    import pandas as pd
-
     keys = summaries.select("profile", F.col("topic_key").alias("other"))
     words = summaries.select("profile", "topic_key", F.explode(F.array_distinct(F.split("content", r"[^\p{L}\p{N}:_-]+"))).alias("other"))
     named = words.join(keys, ["profile", "other"]).filter(F.col("other") != F.col("topic_key")).groupBy("profile", "topic_key").agg(F.sort_array(F.collect_set("other")).alias("others"))
