@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,8 +130,6 @@ def fingerprints(docs: DataFrame, low: float = 1 / 1000, high: float = 1 / 20, i
 
 
 def _fingerprint_of(words: np.ndarray):
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.fillna("").map(lambda t: fingerprint(t, words))
