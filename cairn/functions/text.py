@@ -125,7 +125,8 @@ def extract_recurrence(text: Column) -> Column:
     """Sorted weekdays, 0 for Sunday, of a text with an every word; without one, those of German adverbs; else null."""
     low = F.lower(text)
     named = lambda names: F.filter(F.array(*[F.when(like(low, rf"\b{n}\b"), F.lit(i)) for i, n in enumerate(names)]), lambda d: d.isNotNull())
-    days = F.when(has_word(text, EVERY_WORDS), named(DAY_NAMES)).otherwise(named(GERMAN_ADVERBS))
+    adverbs = named(GERMAN_ADVERBS)
+    days = F.when(has_word(text, EVERY_WORDS), F.array_sort(F.array_distinct(F.concat(named(DAY_NAMES), adverbs)))).otherwise(adverbs)
     return F.when(F.size(days) > 0, days)
 
 
