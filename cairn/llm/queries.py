@@ -115,4 +115,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_imatch": op3_imatch, "op4_neardup": op4_neardup, "op5_substring": op5_substring, "op6_segment": op6_segment, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+        t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM s),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM t WHERE n > 1),
+        x AS (SELECT w.doc_id, word, w2.p, gone.p IS NOT NULL AS out FROM w LEFT JOIN (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w) w2 USING (doc_id) LEFT JOIN gone ON gone.doc_id = w2.doc_id AND gone.p = w2.p)
+        SELECT doc_id, count(word) AS n_words, count(*) FILTER (WHERE out) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT out), '')) AS kept_sha256 FROM x GROUP BY doc_id""",
+    "op8_lines": """
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        h AS (SELECT key, max(doc_id) AS m FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        x AS (SELECT k.*, m IS NOT NULL AND doc_id <> m AS out FROM k LEFT JOIN h USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE out) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT out), '')) AS kept_sha256 FROM x GROUP BY doc_id""",
+}
