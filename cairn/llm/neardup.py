@@ -84,8 +84,9 @@ def _matrix(marks: pa.Array) -> np.ndarray:
 
 
 def tensored(df: DataFrame, first: int = 0) -> DataFrame:
-    """df's columns but marks, with a key for each pair of a minhash from first.. and one from first+8..; an own key column refines."""
-    names = [c for c in df.columns if c not in ("marks", "key")]
+    """df's columns but marks, with a key for each pair of a minhash from first.. and one from first+8.., and its table's
+    number; an own key and table column refines."""
+    names = [c for c in df.columns if c not in ("marks", "key", "table")]
     refine = "key" in df.columns
 
     def run(batches):
@@ -99,9 +100,12 @@ def tensored(df: DataFrame, first: int = 0) -> DataFrame:
                 if refine:
                     keys = mix64(keys ^ column(b, "key").to_numpy().view(np.uint64)[:, None], 46)
                 at = pa.array(np.repeat(np.arange(len(m)), SIDE * SIDE))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(column(b, c).take(at) for c in names)], ["key", *names])
+                own = np.tile(np.arange(SIDE * SIDE), (len(m), 1))
+                if refine:
+                    own = own + SIDE * SIDE * (1 + column(b, "table").to_numpy()[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(own.reshape(-1).astype(np.int32)), *(column(b, c).take(at) for c in names)], ["key", "table", *names])
 
-    return df.mapInArrow(run, df.select(F.lit(0).cast("long").alias("key"), *names).schema)
+    return df.mapInArrow(run, df.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("table"), *names).schema)
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = 5, percent: int = 75, rest: bool = False) -> DataFrame:
@@ -169,13 +173,18 @@ def _bounds(tested: DataFrame) -> DataFrame:
     return best.select(F.col("y").alias("id"), F.col("b.x").alias("centre"), F.col("b.bound").alias("bound"))
 
 
-ROW = ("key", "id", "n", "label", "centre", "bound", "marks")
+ROW = ("key", "table", "id", "n", "label", "centre", "bound", "marks")
 
 
 def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
     """x, y: plausible pairs of different components in each key. rows: ROW; a key has few enough rows."""
 
-    def pairs(key, ids, n, label, centre, bound, marks):
+    def first_shared(x, y):
+        """The number of the first table of two collections that two rows share; only there is their pair made."""
+        same = x == y
+        return same[:, :SIDE].argmax(1) * SIDE + same[:, SIDE:].argmax(1)
+
+    def pairs(key, table, ids, n, label, centre, bound, marks):
         low, out = (marks & np.uint32(255)).astype(np.uint8), []
         at, d = np.arange(len(key) - 1), 1
         while len(at):
@@ -186,6 +195,10 @@ def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
             a, b = a[ok], b[ok]
             ok = (centre[a] != centre[b]) | ((100 + percent) * np.minimum(bound[a], bound[b]) >= percent * (n[a] + n[b]))
             a, b = a[ok], b[ok]
+            base, deep = table[a] < SIDE * SIDE, table[a] - SIDE * SIDE
+            first, second = first_shared(marks[a][:, : 2 * SIDE], marks[b][:, : 2 * SIDE]), first_shared(marks[a][:, 2 * SIDE :], marks[b][:, 2 * SIDE :])
+            ok = np.where(base, table[a] == first, (deep // SIDE**2 == first) & (deep % SIDE**2 == second))
+            a, b = a[ok], b[ok]
             same = (low[a] == low[b]).sum(1)
             ok = same >= AGREE
             if ok.any():
@@ -229,7 +242,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _across_all(shared: DataFrame, classes: DataFrame, labels: DataFrame, bounds: DataFrame, best_only: bool, percent: int) -> DataFrame:
-    rows = shared.join(labels.withColumnRenamed("label", "found"), "id", "left").select("key", "id", F.coalesce("found", "id").alias("label"))
+    rows = shared.join(labels.withColumnRenamed("label", "found"), "id", "left").select("key", "table", "id", F.coalesce("found", "id").alias("label"))
     facts = classes.select("id", "n", "marks").join(bounds, "id", "left").select("id", "n", F.coalesce("centre", "id").alias("centre"), F.coalesce("bound", "n").alias("bound"), "marks")
     rows = cut(_mixed(rows).join(facts, "id"), "mixed")
     small = rows.filter(F.col("size") <= BLOCK).select(*ROW)
