@@ -7,9 +7,10 @@ refine keys that very many sets share, and all 32 estimate a pair's similarity b
 Equal sets are one class from the start. Within a key, each class is paired with one centre only, the class that meets
 most others over all its keys: of a text and its edited copies, the text. Links found so join classes to
 components; after that, keys that still hold several components are looked at again, and pairs across components that
-may be similar are verified. An exact bound rules out most of those. Let x and y have been compared with the same
-centre c, and let r(x) be the shingles of x outside c that another set compared with c has too. Then x and y share at
-most |x & c| + r(x) shingles, and the same for y. So n edited copies of a text cost about n pairs and not n*n.
+may be similar are verified. An exact bound rules out most of those: classes compared with the same centre have known
+differences from it, and the symmetric difference of two of them is at least the sum of those less twice what they
+can have in common, counted over DIFFERENCES buckets of hashes. So n edited copies of a text cost about n pairs and
+not n*n.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from cairn.llm.components import components
 HASHES, SIDE = 32, 8
 #: Agreeing minhashes of 32 from which a pair is verified; a pair of similarity 0.75 has fewer with probability 0.000003.
 AGREE = 12
+#: Buckets in which a class's difference from its centre is counted.
+DIFFERENCES = 256
 #: Sets in a key that are compared in one block.
 BLOCK = 2048
 
@@ -108,9 +111,9 @@ def tensored(df: DataFrame, first: int = 0) -> DataFrame:
     return df.mapInArrow(run, df.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("table"), *names).schema)
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = 5, percent: int = 75, rest: bool = False) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = 5, percent: int = 75, differences: bool = False) -> DataFrame:
     """x, y, both (shingles in common), ok (100 * both >= percent * union) of the pairs (x, y) that aren't ruled out; with
-    `rest` also the shingles of y outside x.
+    `differences` also the size of the symmetric difference and its counts by bucket (all 255 where one is too large).
 
     Sizes and estimates rule most others out; the texts are read again only for documents that a fixed-size bitmap lets
     through, and their sets are joined to both sides of the pairs.
@@ -143,37 +146,32 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = 5, pe
 
     def confirm(batches):
         for whole in batches:
-            both, ok, out = [], [], []
+            both, ok, size, counts = [], [], [], []
             for a, b in zip(column(whole, "sx"), column(whole, "sy")):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 common = np.intersect1d(a, b, assume_unique=True)
                 both.append(len(common))
                 ok.append(100 * len(common) >= percent * (len(a) + len(b) - len(common)))
-                if rest:
-                    out.append(np.setdiff1d(b, common, assume_unique=True).view(np.int64))
+                if differences:
+                    d = np.setxor1d(a, b, assume_unique=True)
+                    n = np.bincount((d % np.uint64(DIFFERENCES)).astype(np.int64), minlength=DIFFERENCES)
+                    size.append(len(d))
+                    counts.append((n if n.max() < 255 else np.full(DIFFERENCES, 255)).astype(np.uint8).tobytes())
             cols = [column(whole, "x"), column(whole, "y"), pa.array(both, pa.int64()), pa.array(ok, pa.bool_())]
-            if rest:
-                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))))
-            yield pa.RecordBatch.from_arrays(cols, ["x", "y", "both", "ok", "rest"][: len(cols)])
+            if differences:
+                cols += [pa.array(size, pa.int64()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["x", "y", "both", "ok", "size", "counts"][: len(cols)])
 
-    return joined.mapInArrow(confirm, "x long, y long, both long, ok boolean" + ", rest array<long>" * rest)
+    return joined.mapInArrow(confirm, "x long, y long, both long, ok boolean" + ", size long, counts binary" * differences)
 
 
-def _bounds(tested: DataFrame) -> DataFrame:
-    """id, centre, bound: the centre with which a class has most in common, and the most it can have in common with any
-    other class compared with that centre. Only centres that some class isn't linked with matter."""
-    open_ = tested.filter(~F.col("ok")).select("x").distinct()
-    rows = tested.join(open_, "x", "left_semi")
-    parts = rows.select("x", "y", F.explode("rest").alias("s"))
-    again = parts.groupBy("x", "s").agg(F.count("*").alias("n")).filter(F.col("n") >= 2).select("x", "s")
-    more = parts.join(again, ["x", "s"]).groupBy("x", "y").agg(F.count("*").alias("r"))
-    bound = rows.join(more, ["x", "y"], "left").select("y", "both", "x", (F.col("both") + F.coalesce("r", F.lit(0))).alias("bound"))
-    best = bound.groupBy("y").agg(F.max(F.struct("both", "x", "bound")).alias("b"))
-    return best.select(F.col("y").alias("id"), F.col("b.x").alias("centre"), F.col("b.bound").alias("bound"))
+def _differences(tested: DataFrame) -> DataFrame:
+    """id, centre, apart, counts: the centre with which a class has most in common, and its difference from it."""
+    best = tested.groupBy("y").agg(F.max(F.struct("both", "x", "size", "counts")).alias("b"))
+    return best.select(F.col("y").alias("id"), F.col("b.x").alias("centre"), F.col("b.size").alias("apart"), F.col("b.counts").alias("counts"))
 
 
-ROW = ("key", "table", "id", "n", "label", "centre", "bound", "marks")
+ROW = ("key", "table", "id", "n", "label", "centre", "apart", "counts", "marks")
 
 
 def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
@@ -184,7 +182,7 @@ def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
         same = x == y
         return same[:, :SIDE].argmax(1) * SIDE + same[:, SIDE:].argmax(1)
 
-    def pairs(key, table, ids, n, label, centre, bound, marks):
+    def pairs(key, table, ids, n, label, centre, apart, counts, marks):
         low, out = (marks & np.uint32(255)).astype(np.uint8), []
         at, d = np.arange(len(key) - 1), 1
         while len(at):
@@ -193,14 +191,15 @@ def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
             a, b = at, at + d
             ok = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
             a, b = a[ok], b[ok]
-            ok = (centre[a] != centre[b]) | ((100 + percent) * np.minimum(bound[a], bound[b]) >= percent * (n[a] + n[b]))
-            a, b = a[ok], b[ok]
             base, deep = table[a] < SIDE * SIDE, table[a] - SIDE * SIDE
             first, second = first_shared(marks[a][:, : 2 * SIDE], marks[b][:, : 2 * SIDE]), first_shared(marks[a][:, 2 * SIDE :], marks[b][:, 2 * SIDE :])
             ok = np.where(base, table[a] == first, (deep // SIDE**2 == first) & (deep % SIDE**2 == second))
             a, b = a[ok], b[ok]
             same = (low[a] == low[b]).sum(1)
             ok = same >= AGREE
+            a, b, same = a[ok], b[ok], same[ok]
+            most = np.minimum(counts[a], counts[b]).sum(1, dtype=np.int64)
+            ok = (centre[a] != centre[b]) | ((100 + percent) * (apart[a] + apart[b] - 2 * most) <= (100 - percent) * (n[a] + n[b]))
             if ok.any():
                 out.append(np.stack([a[ok], b[ok], same[ok]]))
             d += 1
@@ -218,7 +217,7 @@ def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
     def run(batches):
         rest = None
         for b in batches:
-            now = [column(b, c).to_numpy() for c in ROW[:-1]] + [_matrix(column(b, "marks"))]
+            now = [column(b, c).to_numpy() for c in ROW[:-2]] + [np.frombuffer(b"".join(column(b, "counts").to_pylist()), np.uint8).reshape(-1, DIFFERENCES), _matrix(column(b, "marks"))]
             rest = now if rest is None else [np.concatenate(p) for p in zip(rest, now)]
             if not len(rest[0]):
                 continue
@@ -241,9 +240,10 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return kept.filter(F.col("least") != F.col("most")).drop("least", "most")
 
 
-def _across_all(shared: DataFrame, classes: DataFrame, labels: DataFrame, bounds: DataFrame, best_only: bool, percent: int) -> DataFrame:
+def _across_all(shared: DataFrame, classes: DataFrame, labels: DataFrame, differences: DataFrame, best_only: bool, percent: int) -> DataFrame:
     rows = shared.join(labels.withColumnRenamed("label", "found"), "id", "left").select("key", "table", "id", F.coalesce("found", "id").alias("label"))
-    facts = classes.select("id", "n", "marks").join(bounds, "id", "left").select("id", "n", F.coalesce("centre", "id").alias("centre"), F.coalesce("bound", "n").alias("bound"), "marks")
+    none = F.lit(bytes(DIFFERENCES))  # of a class that is compared with none: it differs from itself by nothing
+    facts = classes.select("id", "n", "marks").join(differences, "id", "left").select("id", "n", F.coalesce("centre", "id").alias("centre"), F.coalesce("apart", F.lit(0)).alias("apart"), F.coalesce("counts", none).alias("counts"), "marks")
     rows = cut(_mixed(rows).join(facts, "id"), "mixed")
     small = rows.filter(F.col("size") <= BLOCK).select(*ROW)
     large = rows.filter(F.col("size") > BLOCK)
@@ -280,13 +280,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     met = shared.groupBy("id").agg(F.sum(F.col("size") - 1).alias("met"))
     centred = shared.join(met, "id").select("key", "id", F.max(F.struct("met", (-F.col("id")).alias("minus"))).over(w).alias("c")).select("key", "id", (-F.col("c.minus")).alias("x"))
     star = cut(centred.filter(F.col("id") != F.col("x")).select("x", F.col("id").alias("y")).distinct(), "pairs")
-    verified = cut(verify(star, classes, rows, k, percent, rest=True), "verified")
+    verified = cut(verify(star, classes, rows, k, percent, differences=True), "verified")
     links = verified.filter("ok").select("x", "y")
     labels = components(links)
-    bounds = cut(_bounds(verified), "bounds")
+    differences = cut(_differences(verified), "differences")
     tested = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     for best_only in (True, False):
-        pairs = cut(_across_all(shared, classes, labels, bounds, best_only, percent).join(tested, ["x", "y"], "left_anti"), "pairs")
+        pairs = cut(_across_all(shared, classes, labels, differences, best_only, percent).join(tested, ["x", "y"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             more = cut(verify(pairs, classes, rows, k, percent).filter("ok").select("x", "y"), "links")
             tested = tested.unionByName(pairs)
