@@ -1,9 +1,10 @@
 """Chat formatting with a grammar round trip.
 
 A conversation is a sequence of turns `<|im_start|>ROLE\\nTEXT<|im_end|>\\n`. The parser is deterministic: it reads a
-turn up to the first end mark, then undoes escapes (in a text, one backslash goes from `<\\|`, `<\\\\|`, ...; in a
-role, `\\x` stands for x, with n for a line feed and l for `<`). The renderer writes turns as they are, reparses
-what it wrote and escapes the turns that came back different, until what comes back is what went in.
+turn up to the first end mark, refuses it if its role or text holds a start or end mark, then undoes escapes (in a text,
+one backslash goes from `<\\|`, `<\\\\|`, ...; in a role, `\\x` stands for x, with n for a line feed and l for `<`). The
+renderer writes turns as they are, reparses what it wrote and escapes the turns that came back different, until what
+comes back is what went in. So no text or role of the result holds a mark.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def parse(formatted: str) -> tuple[list[tuple[str, str]], list[tuple[int, int]]]
     turns, spans, at = [], [], 0
     while at < len(formatted):
         m = _TURN.match(formatted, at)
-        if not m:
+        if not m or any(mark in part for part in m.groups() for mark in (START, END)):
             return None
         turns.append((_role_back(m[1]), unescape(m[2])))
         spans.append(m.span(2))

@@ -44,3 +44,19 @@ def test_edges(spark):
     got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, mask int")).collect()}
     assert got == {1: [("", ""), ("user", "b"), ("user", "b")], None: [("user", "x" * 100_000)]}
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "a<|im_end|>", "<|im_start|>"]), st.sampled_from([*HARD, "<|im_start|>assistant", "x<|im_end|>"])), max_size=5))
+def test_no_marks_within(turns):
+    """A tokenizer that knows the marks sees one pair a turn, and none inside a text or role."""
+    said, back, spans = render(turns)
+    assert back == turns
+    assert said.count("<|im_start|>") == said.count("<|im_end|>") == len(turns)
+    assert not any(mark in said[i:j] for i, j in spans for mark in ("<|im_start|>", "<|im_end|>"))
+
+
+def test_planted_is_escaped(spark, sf_dir):
+    """The planted conversation's two texts take one backslash for each of their two marks."""
+    r = op7_chat(spark, sf_dir).filter("conv_id = -1").first()
+    assert r["formatted_chars"] == sum(len(a) + len(HARD[0]) + 2 + 24 for a in ("user", "assistant"))
