@@ -3,6 +3,7 @@ import random
 import pytest
 
 from cairn.llm import neardup
+from cairn.llm.common import cut
 from cairn.llm.components import components
 from cairn.llm.neardup import near_duplicates
 from cairn.llm.queries import op4_neardup
@@ -56,3 +57,15 @@ def test_edges(spark):
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(200, 100), (100, 300)]
     assert dict(components(spark.createDataFrame(chain, "x long, y long")).collect()) == {**dict.fromkeys(range(51), 0), 100: 100, 200: 100, 300: 100}
+
+
+@pytest.mark.parametrize("order", ["down", "random"])
+def test_long_chains(spark, monkeypatch, order):
+    """Chains of several hundred settle in few rounds, in orders that let label 0 move one id a round without hooking."""
+    n = 400
+    ids = [0, *range(n, 0, -1)] if order == "down" else random.Random(5).sample(range(n + 1), n + 1)
+    written = []
+    monkeypatch.setattr("cairn.llm.components.cut", lambda df, name: written.append(name) or cut(df, name))
+    got = components(spark.createDataFrame(list(zip(ids, ids[1:])), "x long, y long"))
+    assert dict(got.collect()) == dict.fromkeys(range(n + 1), 0)
+    assert written.count("labels") <= 16
