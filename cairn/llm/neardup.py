@@ -111,6 +111,12 @@ def tensored(df: DataFrame, first: int = 0) -> DataFrame:
     return df.mapInArrow(run, df.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("table"), *names).schema)
 
 
+def _counts(different: np.ndarray) -> bytes:
+    """How many of the hashes fall into each bucket, a byte each; all 255 where one bucket has 255 or more."""
+    n = np.bincount((different % np.uint64(DIFFERENCES)).astype(np.int64), minlength=DIFFERENCES)
+    return (n if n.max() < 255 else np.full(DIFFERENCES, 255)).astype(np.uint8).tobytes()
+
+
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = 5, percent: int = 75, differences: bool = False) -> DataFrame:
     """x, y, both (shingles in common), ok (100 * both >= percent * union) of the pairs (x, y) that aren't ruled out; with
     `differences` also the size of the symmetric difference and its counts by bucket (all 255 where one is too large).
@@ -154,9 +160,8 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = 5, pe
                 ok.append(100 * len(common) >= percent * (len(a) + len(b) - len(common)))
                 if differences:
                     d = np.setxor1d(a, b, assume_unique=True)
-                    n = np.bincount((d % np.uint64(DIFFERENCES)).astype(np.int64), minlength=DIFFERENCES)
                     size.append(len(d))
-                    counts.append((n if n.max() < 255 else np.full(DIFFERENCES, 255)).astype(np.uint8).tobytes())
+                    counts.append(_counts(d))
             cols = [column(whole, "x"), column(whole, "y"), pa.array(both, pa.int64()), pa.array(ok, pa.bool_())]
             if differences:
                 cols += [pa.array(size, pa.int64()), pa.array(counts, pa.binary())]
@@ -198,7 +203,9 @@ def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
             same = (low[a] == low[b]).sum(1)
             ok = same >= AGREE
             a, b, same = a[ok], b[ok], same[ok]
-            most = np.minimum(counts[a], counts[b]).sum(1, dtype=np.int64)
+            # Where both sides' counts are too large for a byte they bound nothing; the smaller difference still does.
+            full = (counts[a] == 255).any(1) & (counts[b] == 255).any(1)
+            most = np.where(full, np.minimum(apart[a], apart[b]), np.minimum(counts[a], counts[b]).sum(1, dtype=np.int64))
             ok = (centre[a] != centre[b]) | ((100 + percent) * (apart[a] + apart[b] - 2 * most) <= (100 - percent) * (n[a] + n[b]))
             if ok.any():
                 out.append(np.stack([a[ok], b[ok], same[ok]]))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from cairn.llm import neardup
@@ -69,3 +70,25 @@ def test_long_chains(spark, monkeypatch, order):
     got = components(spark.createDataFrame(list(zip(ids, ids[1:])), "x long, y long"))
     assert dict(got.collect()) == dict.fromkeys(range(n + 1), 0)
     assert written.count("labels") <= 16
+
+
+def test_very_large_differences(spark):
+    """Two near sets whose differences from their centre fill the byte counts are a pair; two that differ too much aren't."""
+    rng = np.random.default_rng(6)
+    fresh = lambda n: np.unique(rng.integers(0, 2**64, n, np.uint64))
+    centre, added = fresh(150_000), fresh(45_000)
+    one = np.union1d(centre[:105_000], added)
+    two = np.union1d(one[rng.random(len(one)) > 0.02], fresh(3000))
+    three = np.union1d(centre[:20_000], added[:40_000])
+    rows = []
+    for i, s in enumerate((one, two, three), 1):
+        d = np.setxor1d(s, centre)
+        counts = neardup._counts(d)
+        assert set(counts) == {255}
+        rows.append([i, len(s), len(d), counts, neardup.minhashes(s)])
+    assert 100 * len(np.intersect1d(one, two)) >= 75 * len(np.union1d(one, two))
+    same = rows[0][4] == rows[1][4]
+    table = int(same[:8].argmax() * 8 + same[8:16].argmax())
+    data = [(7, table, i, n, i, 0, apart, counts, marks.tobytes()) for i, n, apart, counts, marks in rows]
+    df = spark.createDataFrame(data, "key long, table int, id long, n long, label long, centre long, apart long, counts binary, marks binary")
+    assert [tuple(r) for r in neardup._across(df, False, 75).collect()] == [(1, 2)]
