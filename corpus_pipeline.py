@@ -42,11 +42,23 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _unpacked(lines.dedup_lines(_packed(docs).drop("host", "path")), docs)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a long of each row's own, __row: doc_id where no row lacks or repeats it. Else rows are numbered in order of
+    doc_id (null last) and of the text's hash, equals in the order they are read."""
+    if docs.groupBy("doc_id").count().filter(F.col("doc_id").isNull() | (F.col("count") > 1)).isEmpty():
+        return docs.withColumn("__row", F.col("doc_id").cast("long"))
+    read = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__at", F.monotonically_increasing_id())
+    read = cut(read, "read")  # the order of equals stays as it is
+    ordered = read.orderBy(F.col("doc_id").asc_nulls_last(), "__hash", "__at").drop("__hash", "__at")
+    return cut(ordered.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of smallest id; rows without an id stay."""
-    judged = cut(neardup.near_duplicates(docs.select("doc_id", "text")), "judged")
-    gone = judged.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Exactly one row of each group of near duplicates stays, that of smallest id; each row is judged by its own text."""
+    rows = _numbered(docs)
+    judged = cut(neardup.near_duplicates(rows.select("__row", "text"), id_col="__row"), "judged")
+    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,15 @@ def test_odd_tables(spark, tmp_path):
         spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{n}/documents.parquet")
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{n}/labels.parquet")
         assert corpus_pipeline.run(spark, f"{tmp_path}/{n}").count() == len(data)
+
+
+def test_near_repeated_and_null_ids(spark, tmp_path):
+    """Each row is judged by its own text, and one row of a group stays, whatever ids its rows have."""
+    a = " ".join(f"a{i}" for i in range(60))
+    edited, b, c = a + " more", " ".join(f"b{i}" for i in range(30)), " ".join(f"c{i}" for i in range(30))
+    rows = [(1, a, 1), (1, a, 1), (5, edited, 2), (5, b, 3), (None, a, 4), (None, c, 5), (None, c, 6), (None, None, 7), (None, "", 8), (9, b, 9)]
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string, n_chars int"))
+    got = corpus_pipeline.stage_near(spark, docs, "")
+    assert got.schema == docs.schema
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+    assert kept == sorted([(1, a), (5, b), (0, c), (0, ""), (0, "")])
