@@ -64,6 +64,38 @@ def mask_secrets(s, d):
     return texts(s, d).select("id", F.contains("content", F.lit("secret@")).cast("int").alias("had"), F.when(F.col("id") % 12 == 11, F.substring(masked, 1, 61)).otherwise(F.substring(masked, 1, 12)).alias("head"))
 
 
+def whole_texts(s, d):
+    """The sentence, then the whole document; the queries above see its first 200 characters only, as their SQL does."""
+    return X.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("doc_id") % 12 + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("content"))
+
+
+@query()
+def importance_and_polarity_whole(s, d):
+    c = F.col("content")
+    return whole_texts(s, d).select("id", r6(T.compute_importance(c, F.array().cast("array<string>"))).alias("importance"), T.negation_polarity(c).alias("polarity"))
+
+
+@query()
+def extract_dates_whole(s, d):
+    return whole_texts(s, d).select("id", F.array_join(T.extract_dates(F.col("content"), X.as_of().cast("date")), ",").alias("dates"))
+
+
+@query()
+def occurrence_and_recurrence_whole(s, d):
+    c = F.col("content")
+    return whole_texts(s, d).select("id", F.date_format(T.occurrence_day(c), "yyyy-MM-dd").alias("day"), F.array_join(F.transform(T.extract_recurrence(c), lambda x: x.cast("string")), ",").alias("recurrence"))
+
+
+@query()
+def extract_entities_whole(s, d):
+    return whole_texts(s, d).select("id", F.array_join(T.extract_entities(F.col("content")), ",").alias("entities"))
+
+
+@query()
+def mask_secrets_whole(s, d):
+    return whole_texts(s, d).select("id", T.mask_secrets(F.col("content")).alias("masked"))
+
+
 @query("""WITH a AS (SELECT conv_id, turn, role, text, lag(role) OVER w AS before, lag(text) OVER w AS prompt FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
     SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_index, length(prompt) AS prompt_chars, length(text) AS content_chars FROM a WHERE role = 'assistant' AND before = 'user' AND length(trim(text)) >= 50 AND length(trim(prompt)) > 0""")
 def conversation_turn_pairs(s, d):
