@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,23 +14,28 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows in an Arrow batch: texts may be long, and a Python worker holds a batch several times over.
-ARROW_ROWS = "1000"
-
-
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+#: Rows of a batch that a Python function takes up at a time: texts may be long, and a worker holds them several times over.
+SLICE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches, rows: int = SLICE):
+    """Arrow batches in pieces of at most `rows` rows, without copying."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets an own one; on
+    a cluster that is an error, as executors don't see each other's local folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="cairn-")
@@ -37,15 +43,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+_OPEN: list[list[str]] = []  # the tables of each open scratch
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that cut() writes meanwhile when it ends; those of keep() stay."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cut(df: DataFrame, name: str = "cut", level: int = 1) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
-    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if len(_OPEN) >= level:
+        _OPEN[-level].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+    """cut() of what outlives the innermost scratch: it belongs to the one around that, or to the caller."""
+    return cut(df, name, 2)
+
+
 def sha(col: Column | str) -> Column:
     """Lowercase hex SHA-256 of a string's UTF-8."""
     return F.sha2(F.encode(col, "UTF-8"), 256)
@@ -108,11 +135,18 @@ def chunks(texts: list[str], most: int = 1_000_000):
         yield begin, len(texts)
 
 
-# A filter of fixed size: a bitmap of 2**bits bits. False positives only cost work, as an exact join follows.
+# A filter of bounded size: false positives only cost work, as an exact join follows.
+
+#: Bits of the largest bitmap, 8 MB.
+MOST_BITS = 26
+
 
-def bitmap(df: DataFrame, hash_col: str, bits: int = 26) -> np.ndarray:
-    """The bitmap of a column of 64-bit hashes, made by grouped bit_or. At most 2**bits/8 bytes (8 MB) reach the
-    driver whatever the input's size; a full bitmap lets all rows pass, which is slower but still right."""
+def bitmap(df: DataFrame, hash_col: str, bits: int | None = None) -> np.ndarray:
+    """The bitmap of a column of 64-bit hashes, made by grouped bit_or, of 2**bits bits: by default the least power that is
+    over 16 bits a row, so that one in sixteen others passes at most, within 2**16 and 2**MOST_BITS. At most 8 MB reach
+    the driver whatever the input's size; a fuller bitmap lets more rows pass, which is slower but still right."""
+    if bits is None:
+        bits = min(MOST_BITS, max(16, (16 * df.count()).bit_length()))
     at = F.expr(f"({hash_col} & {2**bits - 1})")
     words = (
         df.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({hash_col} & 63 as int))").alias("b"))

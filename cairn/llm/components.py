@@ -29,3 +29,13 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
         if new.filter(F.col("was") != F.col("label")).isEmpty():
             return labels
+
+
+def rejoined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, label) after the links (x, y) between labels; a label that labels doesn't have is an id of its own."""
+    if links.isEmpty():
+        return labels
+    moved = components(links)
+    to = moved.select(F.col("id").alias("label"), F.col("label").alias("to"))
+    old = labels.join(to, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return cut(old.unionByName(moved.join(labels, "id", "left_anti")), "labels")

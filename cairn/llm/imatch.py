@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, mix64, texts_of
+from cairn.llm.common import column, mix64, slices, texts_of
 
 SUBSETS = 48
 TERMS = 0.7
@@ -40,7 +40,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", most: int = 40
             return pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts)).view(np.int64)), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
         counts: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for text in texts_of(b, "text"):
                 counts.update(set(_terms(text)))
                 if len(counts) > most:
@@ -156,7 +156,7 @@ def edited_fingerprints(docs: DataFrame, low: float = 1 / 1000, high: float = 1
                 kept[text] = fingerprint(text, words.value)
             return kept[text]
 
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for d, text, after in zip(column(b, "doc_id").to_pylist(), texts_of(b, "text"), texts_of(b, "next_text")):
                 cut = len(text) // 4

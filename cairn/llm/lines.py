@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, cut, mix64, texts_of
+from cairn.llm.common import column, cut, mix64, slices, texts_of
 
 SLOTS = 4
 #: Filters up to this size in all are sent to every executor; beyond it, lines go to the exact join unfiltered.
@@ -102,7 +102,7 @@ def postings(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_
     def run(batches):
         import xxhash
 
-        for b in batches:
+        for b in slices(batches):
             owner, digests = [], []
             for i, text in enumerate(texts_of(b, "text")):
                 got = {xxhash.xxh3_128_digest(k) for line in set(text.encode().split(b"\n")) if (k := line_key(line, min_chars)) is not None}
@@ -226,7 +226,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_docs: int =
     def run(batches):
         import xxhash
 
-        for b in batches:
+        for b in slices(batches):
             text, lines, dropped = [], [], []
             for t, keys in zip(texts_of(b, "__text"), column(b, "__keys").to_pylist()):
                 parts = t.encode().split(b"\n")

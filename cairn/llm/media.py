@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column
+from cairn.llm.common import column, slices
 
 _HEAD = re.compile(rb"(P[1-6])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:(?:\s|#[^\n]*\n)+(\d+))?\s")
 
@@ -134,7 +134,7 @@ def _mapped(df: DataFrame, new: dict[str, str], one, needs: list[str]) -> DataFr
     kinds = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ins = [column(b, f"__in_{c}").to_pylist() for c in needs]
             got = [one(dict(zip(needs, x))) for x in zip(*ins)]
             yield pa.RecordBatch.from_arrays(

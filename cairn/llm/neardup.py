@@ -4,32 +4,37 @@ A document has two collections of eight minhashes. A table's key is one minhash
 64 tables; two sets of similarity 0.75 share no key with probability 2 * 0.25**8 = 0.00003. Sixteen more minhashes
 refine keys that very many sets share, and all 32 estimate a pair's similarity before it is verified.
 
-Equal sets are one class from the start. Within a key, each class is paired with one centre only, the class that meets
-most others over all its keys: of a text and its edited copies, the text. Links found so join classes to
-components; after that, keys that still hold several components are looked at again, and pairs across components that
-may be similar are verified. An exact bound rules out most of those: classes compared with the same centre have known
-differences from it, and the symmetric difference of two of them is at least the sum of those less twice what they
-can have in common, counted over DIFFERENCES buckets of hashes. So n edited copies of a text cost about n pairs and
-not n*n.
+Equal sets are one class from the start. Three steps then find the links between classes that share a key:
+
+1. Stars. Within a key each class is paired with one centre only, the class that meets most others over all its keys: of
+   a text and its edited copies, the text. Pairs are verified on full sets, and the links join classes to components.
+2. Around a centre. A class keeps its exact difference from its main centre, the tested one that meets most classes. The
+   symmetric difference of two classes of one centre is that of their differences, so such pairs are judged exactly
+   without their sets: in blocks, each class once, and only those not linked with the centre against the others. A block
+   gives one link for each two components that it joins.
+3. Between centres. Keys that still hold several components of several centres give pairs of different centres, first
+   the best for two components, then all others; these are verified on full sets.
+
+So n edited copies of a text cost about n rows and not n*n.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WordHashes, bitmap, chunks, column, cut, in_bitmap, mix64, texts_of
-from cairn.llm.components import components
+from cairn.llm.common import WordHashes, bitmap, chunks, column, cut, in_bitmap, keep, mix64, scratch, slices, texts_of
+from cairn.llm.components import components, rejoined
 
 HASHES, SIDE = 32, 8
 #: Agreeing minhashes of 32 from which a pair is verified; a pair of similarity 0.75 has fewer with probability 0.000003.
 AGREE = 12
-#: Buckets in which a class's difference from its centre is counted.
-DIFFERENCES = 256
-#: Sets in a key that are compared in one block.
+#: Sets in a key, or differences around a centre, that are compared in one block.
 BLOCK = 2048
+#: Bytes of differences in such a block.
+BLOCK_BYTES = 32 * 2**20
 
 
 def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
@@ -54,16 +59,13 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def sets(batches, k: int, wanted=None):
-    """(batch, index, shingle set) of each text; only of those in the boolean array that wanted(batch) gives."""
+def sets(batches, k: int):
+    """(batch, index of the first, shingle sets of some texts in a row), through all texts."""
     hashes = WordHashes()
-    for b in batches:
+    for b in slices(batches):
         texts = texts_of(b, "text")
-        keep = np.ones(len(texts), bool) if wanted is None else wanted(b)
-        if not keep.all():
-            texts = [t if k else "" for t, k in zip(texts, keep)]
         for i, j in chunks(texts):
-            yield b, i, [shingle_set(hashes.of(t.encode().lower().split()), k) if keep[i + o] else None for o, t in enumerate(texts[i:j])]
+            yield b, i, [shingle_set(hashes.of(t.encode().lower().split()), k) for t in texts[i:j]]
 
 
 def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -86,115 +88,210 @@ def _matrix(marks: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(marks.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def tensored(df: DataFrame, first: int = 0) -> DataFrame:
+def tensored(df: DataFrame, first: int = 0, keep_bits=None) -> DataFrame:
     """df's columns but marks, with a key for each pair of a minhash from first.. and one from first+8.., and its table's
-    number; an own key and table column refines."""
+    number; an own key and table column refines. keep_bits: the broadcast bitmap of the only keys that are wanted."""
     names = [c for c in df.columns if c not in ("marks", "key", "table")]
     refine = "key" in df.columns
 
     def run(batches):
         pairs = np.arange(SIDE * SIDE, dtype=np.uint64)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                b = whole.slice(lo, 2000)
-                m = _matrix(column(b, "marks")).astype(np.uint64)
-                one, two = m[:, first : first + SIDE], m[:, first + SIDE : first + 2 * SIDE]
-                keys = mix64((one[:, :, None] << np.uint64(32) | two[:, None, :]).reshape(len(m), -1) ^ mix64(pairs, 44)[None, :], 45 + first)
-                if refine:
-                    keys = mix64(keys ^ column(b, "key").to_numpy().view(np.uint64)[:, None], 46)
-                at = pa.array(np.repeat(np.arange(len(m)), SIDE * SIDE))
-                own = np.tile(np.arange(SIDE * SIDE), (len(m), 1))
-                if refine:
-                    own = own + SIDE * SIDE * (1 + column(b, "table").to_numpy()[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(own.reshape(-1).astype(np.int32)), *(column(b, c).take(at) for c in names)], ["key", "table", *names])
+        for b in slices(batches, 2000):
+            m = _matrix(column(b, "marks")).astype(np.uint64)
+            one, two = m[:, first : first + SIDE], m[:, first + SIDE : first + 2 * SIDE]
+            keys = mix64((one[:, :, None] << np.uint64(32) | two[:, None, :]).reshape(len(m), -1) ^ mix64(pairs, 44)[None, :], 45 + first)
+            if refine:
+                keys = mix64(keys ^ column(b, "key").to_numpy().view(np.uint64)[:, None], 46)
+            own = np.tile(np.arange(SIDE * SIDE), (len(m), 1))
+            if refine:
+                own = own + SIDE * SIDE * (1 + column(b, "table").to_numpy()[:, None])
+            at, keys, own = np.repeat(np.arange(len(m)), SIDE * SIDE), keys.reshape(-1), own.reshape(-1)
+            if keep_bits is not None:
+                some = np.flatnonzero(in_bitmap(keep_bits.value, keys))
+                at, keys, own = at[some], keys[some], own[some]
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own.astype(np.int32)), *(column(b, c).take(at) for c in names)], ["key", "table", *names])
 
     return df.mapInArrow(run, df.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("table"), *names).schema)
 
 
-def _counts(different: np.ndarray) -> bytes:
-    """How many of the hashes fall into each bucket, a byte each; all 255 where one bucket has 255 or more."""
-    n = np.bincount((different % np.uint64(DIFFERENCES)).astype(np.int64), minlength=DIFFERENCES)
-    return (n if n.max() < 255 else np.full(DIFFERENCES, 255)).astype(np.uint8).tobytes()
+def _likely(pairs: DataFrame, sharing: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y, and other columns) whose sizes and minhashes don't rule them out, with both sets' digests dx and dy."""
+    names = [c for c in pairs.columns if c not in ("x", "y")]
+    side = lambda c: sharing.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("d1").alias(f"d{c}"), F.col("marks").alias(f"m{c}"))
+    near = pairs.join(side("x"), "x").join(side("y"), "y").filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+
+    def plausible(batches):
+        for b in batches:
+            same = (_matrix(column(b, "mx")) == _matrix(column(b, "my"))).sum(1)
+            yield b.select(["x", "dx", "y", "dy", *names]).filter(pa.array(same >= AGREE))
+
+    near = near.select("x", "dx", "mx", "y", "dy", "my", *names)
+    return near.mapInArrow(plausible, near.drop("mx", "my").schema)
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = 5, percent: int = 75, differences: bool = False) -> DataFrame:
-    """x, y, both (shingles in common), ok (100 * both >= percent * union) of the pairs (x, y) that aren't ruled out; with
-    `differences` also the size of the symmetric difference and its counts by bucket (all 255 where one is too large).
+def verify(likely: DataFrame, docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """x, y, ok (100 * intersection >= percent * union), ny and difference of the pairs (x, dx, y, dy, best): y's size and, of
+    `best` pairs, the sorted hashes of the symmetric difference.
 
-    Sizes and estimates rule most others out; the texts are read again only for documents that a fixed-size bitmap lets
-    through, and their sets are joined to both sides of the pairs.
+    The texts are read again only for documents that a bitmap of each side lets through, and their sets are joined to
+    both sides of the pairs.
     """
-    spark = pairs.sparkSession
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("d1").alias(f"d{c}"), F.col("marks").alias(f"m{c}"))
-    likely = pairs.join(side("x"), "x").join(side("y"), "y").filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    spark = likely.sparkSession
+    xs, ys = (spark.sparkContext.broadcast(bitmap(likely.select(F.xxhash64(c).alias("h")).distinct(), "h")) for c in ("x", "y"))
 
-    def plausible(batches):
+    def wanted(batches):
         for b in batches:
-            same = (_matrix(column(b, "mx")) == _matrix(column(b, "my"))).sum(1)
-            yield b.select(["x", "dx", "y", "dy"]).filter(pa.array(same >= AGREE))
-
-    likely = cut(likely.select("x", "dx", "mx", "y", "dy", "my").mapInArrow(plausible, "x long, dx long, y long, dy long"), "likely")
-    ends = likely.select(F.xxhash64("x").alias("h")).union(likely.select(F.xxhash64("y").alias("h")))
-    bits = spark.sparkContext.broadcast(bitmap(ends, "h", 23))
+            h = column(b, "h").to_numpy()
+            yield b.filter(pa.array(in_bitmap(xs.value, h) | in_bitmap(ys.value, h)))
 
     def run(batches):
         import xxhash
 
-        for b, i, found in sets(batches, k, lambda b: in_bitmap(bits.value, column(b, "h").to_numpy())):
-            at = [o for o, s in enumerate(found) if s is not None]
-            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(found[o].tobytes()) for o in at), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id").take(pa.array([i + o for o in at], pa.int64())), pa.array(digest[:, 0]), pa.array([found[o].tobytes() for o in at], pa.binary())], ["id", "d", "shingles"])
+        for b, i, found in sets(wanted(batches), k):
+            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in found), np.int64).reshape(-1, 2)
+            h = column(b, "h").slice(i, len(found)).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [column(b, "doc_id").slice(i, len(found)), pa.array(digest[:, 0]), pa.array(in_bitmap(xs.value, h)), pa.array(in_bitmap(ys.value, h)), pa.array([s.tobytes() for s in found], pa.binary())],
+                ["id", "d", "as_x", "as_y", "shingles"],
+            )
 
-    full = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "id long, d long, shingles binary")
-    full = cut(full, "sets")
-    of = lambda c: full.select(F.col("id").alias(c), F.col("d").alias(f"d{c}"), F.col("shingles").alias(f"s{c}"))
-    joined = likely.join(of("x"), ["x", "dx"]).join(of("y"), ["y", "dy"]).select("x", "y", "sx", "sy")
+    full = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    full = cut(full.mapInArrow(run, "id long, d long, as_x boolean, as_y boolean, shingles binary"), "sets")
+    of = lambda c: full.filter(f"as_{c}").select(F.col("id").alias(c), F.col("d").alias(f"d{c}"), F.col("shingles").alias(f"s{c}"))
+    joined = likely.join(of("x"), ["x", "dx"]).join(of("y"), ["y", "dy"]).select("x", "y", "best", "sx", "sy")
 
     def confirm(batches):
         for whole in batches:
-            both, ok, size, counts = [], [], [], []
-            for a, b in zip(column(whole, "sx"), column(whole, "sy")):
+            ok, size, apart = [], [], []
+            for a, b, best in zip(column(whole, "sx"), column(whole, "sy"), column(whole, "best").to_pylist()):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                common = np.intersect1d(a, b, assume_unique=True)
-                both.append(len(common))
-                ok.append(100 * len(common) >= percent * (len(a) + len(b) - len(common)))
-                if differences:
-                    d = np.setxor1d(a, b, assume_unique=True)
-                    size.append(len(d))
-                    counts.append(_counts(d))
-            cols = [column(whole, "x"), column(whole, "y"), pa.array(both, pa.int64()), pa.array(ok, pa.bool_())]
-            if differences:
-                cols += [pa.array(size, pa.int64()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["x", "y", "both", "ok", "size", "counts"][: len(cols)])
+                d = np.setxor1d(a, b, assume_unique=True)
+                ok.append((100 - percent) * (len(a) + len(b)) >= (100 + percent) * len(d))  # the same as 100 * both >= percent * union
+                size.append(len(b))
+                apart.append(d.tobytes() if best else None)
+            yield pa.RecordBatch.from_arrays([column(whole, "x"), column(whole, "y"), pa.array(ok, pa.bool_()), pa.array(size, pa.int64()), pa.array(apart, pa.binary())], ["x", "y", "ok", "ny", "difference"])
 
-    return joined.mapInArrow(confirm, "x long, y long, both long, ok boolean" + ", size long, counts binary" * differences)
+    return joined.mapInArrow(confirm, "x long, y long, ok boolean, ny long, difference binary")
 
 
-def _differences(tested: DataFrame) -> DataFrame:
-    """id, centre, apart, counts: the centre with which a class has most in common, and its difference from it."""
-    best = tested.groupBy("y").agg(F.max(F.struct("both", "x", "size", "counts")).alias("b"))
-    return best.select(F.col("y").alias("id"), F.col("b.x").alias("centre"), F.col("b.size").alias("apart"), F.col("b.counts").alias("counts"))
+def _groups(batches, keys: list[str]):
+    """Tables of the rows that agree in `keys`, from batches sorted by them."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        if not t.num_rows:
+            continue
+        cols = [t.column(c).to_numpy() for c in keys]
+        edge = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        starts = np.concatenate([[0], edge])
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            yield t.slice(lo, hi - lo)
+        rest = t.slice(starts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+class Forest:
+    """Labels that are joined one by one; `links` are the joins that made two components one."""
+
+    def __init__(self):
+        self.up, self.links = {}, []
+
+    def root(self, label: int) -> int:
+        while (up := self.up.get(label, label)) != label:
+            self.up[label] = self.up.get(up, up)
+            label = up
+        return label
+
+    def join(self, a: int, b: int) -> None:
+        one, two = self.root(a), self.root(b)
+        if one != two:
+            self.up[max(one, two)] = min(one, two)
+            self.links.append((a, b))
+
+
+def judged_around(n: list[np.ndarray], label: list[np.ndarray], difference: list[list[np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between labels: every set of the first side against every one of the second, all around one centre.
+
+    A side is (sizes, labels, sorted differences from the centre). Common hashes are counted for all of the second side at
+    once, by its inverted list.
+    """
+    forest, others = Forest(), len(n[1])
+    flat = np.concatenate(difference[1]) if others else np.zeros(0, np.uint64)
+    size = np.array([len(d) for d in difference[1]], np.int64)
+    order = np.argsort(flat, kind="stable")
+    owner, flat = np.repeat(np.arange(others), size)[order], flat[order]
+    for i, own in enumerate(difference[0]):
+        if (label[1] == label[0][i]).all():
+            continue
+        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        count = hi - lo
+        at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        both = np.bincount(owner[at], minlength=others)
+        near = (100 - percent) * (n[0][i] + n[1]) >= (100 + percent) * (len(own) + size - 2 * both)
+        for other in np.unique(label[1][near & (label[1] != label[0][i])]).tolist():
+            forest.join(int(label[0][i]), other)
+    return forest.links
+
+
+def around_centres(apart: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """x, y: labels that are linked through two classes of one centre. apart: id, centre, n, difference.
+
+    The classes in the centre's own component are linked with each other already. The others, the rest, meet each other and
+    these, in blocks that rows are dealt to by hash, so that no task gets more than two of them.
+    """
+    label = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    slim = apart.select("id", "centre", F.octet_length("difference").alias("bytes"))
+    slim = slim.join(label("id"), "id", "left").join(label("centre"), "centre", "left")
+    slim = slim.select("id", "centre", "bytes", F.coalesce("id_label", "id").alias("label"), F.coalesce("centre_label", "centre").alias("main"))
+    slim = cut(slim.withColumn("rest", F.col("label") != F.col("main")), "slim")
+    blocks = lambda c: F.greatest(F.ceil(F.count(F.when(c, 1)) / F.lit(BLOCK)), F.ceil(F.sum(F.when(c, F.col("bytes"))) / F.lit(BLOCK_BYTES)), F.lit(0))
+    sizes = slim.groupBy("centre").agg(blocks(F.col("rest")).cast("int").alias("rests"), blocks(~F.col("rest")).cast("int").alias("mains"))
+    sizes = cut(sizes.filter("rests > 0"), "sizes")  # cut, so that the join can split a centre of very many classes
+    place = F.when(F.col("rest"), F.pmod(F.xxhash64("id"), F.col("rests"))).otherwise(F.col("rests") + F.pmod(F.xxhash64("id"), F.greatest("mains", F.lit(1)))).cast("int")
+    dealt = slim.join(sizes, "centre").withColumn("place", place)
+    # Blocks are numbered, those of the rest first; a block of the rest meets itself and all later ones.
+    with_all = F.sequence(F.lit(0), F.col("rests") + F.col("mains") - 1)
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("rest"), with_all).otherwise(F.sequence(F.lit(0), F.col("rests") - 1))))
+    dealt = dealt.select("id", "centre", "label", "place", F.least("place", "other").alias("one"), F.greatest("place", "other").alias("two"))
+    rows = dealt.join(apart.select("id", "n", "difference"), "id")
+
+    def run(batches):
+        for t in _groups(batches, ["centre", "one", "two"]):
+            place, label, n = (t.column(c).to_numpy() for c in ("place", "label", "n"))
+            apart = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("difference")]
+            one, two = t.column("one")[0].as_py(), t.column("two")[0].as_py()
+            sides = [np.flatnonzero(place == p) for p in (one, two)]
+            found = judged_around([n[s] for s in sides], [label[s] for s in sides], [[apart[i] for i in s] for s in sides], percent)
+            if found:
+                x, y = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
+    keys = ["centre", "one", "two"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x long, y long").distinct()
 
-ROW = ("key", "table", "id", "n", "label", "centre", "apart", "counts", "marks")
+
+ROW = ("key", "table", "id", "n", "label", "centre", "marks")
 
 
 def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
-    """x, y: plausible pairs of different components in each key. rows: ROW; a key has few enough rows."""
+    """x, y: plausible pairs of different components and different centres in each key. rows: ROW; a key has few enough rows."""
 
     def first_shared(x, y):
         """The number of the first table of two collections that two rows share; only there is their pair made."""
         same = x == y
         return same[:, :SIDE].argmax(1) * SIDE + same[:, SIDE:].argmax(1)
 
-    def pairs(key, table, ids, n, label, centre, apart, counts, marks):
+    def pairs(key, table, ids, n, label, centre, marks):
         low, out = (marks & np.uint32(255)).astype(np.uint8), []
         at, d = np.arange(len(key) - 1), 1
         while len(at):
             at = at[at + d < len(key)]
             at = at[key[at] == key[at + d]]
             a, b = at, at + d
-            ok = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            ok = (label[a] != label[b]) & (centre[a] != centre[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
             a, b = a[ok], b[ok]
             base, deep = table[a] < SIDE * SIDE, table[a] - SIDE * SIDE
             first, second = first_shared(marks[a][:, : 2 * SIDE], marks[b][:, : 2 * SIDE]), first_shared(marks[a][:, 2 * SIDE :], marks[b][:, 2 * SIDE :])
@@ -202,11 +299,6 @@ def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
             a, b = a[ok], b[ok]
             same = (low[a] == low[b]).sum(1)
             ok = same >= AGREE
-            a, b, same = a[ok], b[ok], same[ok]
-            # Where both sides' counts are too large for a byte they bound nothing; the smaller difference still does.
-            full = (counts[a] == 255).any(1) & (counts[b] == 255).any(1)
-            most = np.where(full, np.minimum(apart[a], apart[b]), np.minimum(counts[a], counts[b]).sum(1, dtype=np.int64))
-            ok = (centre[a] != centre[b]) | ((100 + percent) * (apart[a] + apart[b] - 2 * most) <= (100 - percent) * (n[a] + n[b]))
             if ok.any():
                 out.append(np.stack([a[ok], b[ok], same[ok]]))
             d += 1
@@ -224,7 +316,7 @@ def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
     def run(batches):
         rest = None
         for b in batches:
-            now = [column(b, c).to_numpy() for c in ROW[:-2]] + [np.frombuffer(b"".join(column(b, "counts").to_pylist()), np.uint8).reshape(-1, DIFFERENCES), _matrix(column(b, "marks"))]
+            now = [column(b, c).to_numpy() for c in ROW[:-1]] + [_matrix(column(b, "marks"))]
             rest = now if rest is None else [np.concatenate(p) for p in zip(rest, now)]
             if not len(rest[0]):
                 continue
@@ -241,68 +333,93 @@ def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of keys that hold several components, with the number of rows in `size`."""
-    w = Window.partitionBy("key")
-    kept = rows.withColumn("least", F.min("label").over(w)).withColumn("most", F.max("label").over(w)).withColumn("size", F.count("*").over(w))
-    return kept.filter(F.col("least") != F.col("most")).drop("least", "most")
-
-
-def _across_all(shared: DataFrame, classes: DataFrame, labels: DataFrame, differences: DataFrame, best_only: bool, percent: int) -> DataFrame:
-    rows = shared.join(labels.withColumnRenamed("label", "found"), "id", "left").select("key", "table", "id", F.coalesce("found", "id").alias("label"))
-    none = F.lit(bytes(DIFFERENCES))  # of a class that is compared with none: it differs from itself by nothing
-    facts = classes.select("id", "n", "marks").join(differences, "id", "left").select("id", "n", F.coalesce("centre", "id").alias("centre"), F.coalesce("apart", F.lit(0)).alias("apart"), F.coalesce("counts", none).alias("counts"), "marks")
-    rows = cut(_mixed(rows).join(facts, "id"), "mixed")
+    """Rows of keys that hold several components and several centres, with the number of the key's rows in `size`. Keys are
+    counted first and joined back, so that a key that very many rows have is split."""
+    differ = lambda c: F.min(c) < F.max(c)
+    keys = rows.groupBy("key").agg(F.count("*").alias("size"), differ("label").alias("labels"), differ("centre").alias("centres"))
+    return rows.join(cut(keys.filter("labels and centres").select("key", "size"), "mixed"), "key")
+
+
+def _between_centres(sharing: DataFrame, labels: DataFrame, centres: DataFrame, best_only: bool, percent: int) -> DataFrame:
+    facts = sharing.select("id", "tables").join(labels, "id", "left").join(centres, "id", "left")
+    facts = cut(facts.select("id", F.coalesce("label", "id").alias("label"), F.coalesce("centre", "id").alias("centre"), "tables"), "facts")
+    marked = sharing.select("id", "n", "marks")
+    rows = _mixed(facts.select("id", "label", "centre", F.explode("tables").alias("t")).select("t.key", "t.table", "id", "label", "centre"))
+    rows = cut(rows.join(marked, "id"), "rows")
     small = rows.filter(F.col("size") <= BLOCK).select(*ROW)
     large = rows.filter(F.col("size") > BLOCK)
     if not large.isEmpty():
         # Very common keys are refined by the other sixteen minhashes; what is still too large goes block by block.
         finer = tensored(large.select(*ROW), 2 * SIDE).distinct()
-        finer = cut(_mixed(finer).join(classes.select("id", "marks"), "id"), "finer")
+        finer = cut(_mixed(finer).join(marked.select("id", "marks"), "id"), "finer")
         small = small.unionByName(finer.filter(F.col("size") <= BLOCK).select(*ROW))
-        rest = finer.filter(F.col("size") > BLOCK).withColumn("block", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / BLOCK))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK))))
+        rest = finer.filter(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rest = rest.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
         small = small.unionByName(rest.select(*ROW))
     return _across(small, best_only, percent)
 
 
+def sharing_classes(classes: DataFrame) -> DataFrame:
+    """id, d1, n, marks, met, tables (at most 64 of key, table, size): the classes that share a key, and how often.
+
+    Keys are counted first; the keys of two classes or more pass a bitmap and are joined with their counts, so that a key
+    that very many classes have is split.
+    """
+    marked = classes.select("id", "marks")
+    counts = cut(tensored(marked).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "counts")
+    bits = classes.sparkSession.sparkContext.broadcast(bitmap(counts, "key"))
+    shared = tensored(marked, keep_bits=bits).join(counts, "key")
+    mine = shared.groupBy("id").agg(F.sum(F.col("size") - 1).alias("met"), F.collect_list(F.struct("key", "table", "size")).alias("tables"))
+    return classes.select("id", "d1", "n", "marks").join(mine, "id")
+
+
+def stars(sharing: DataFrame) -> DataFrame:
+    """x, y, met: each class y with the centre x of each of its keys, and how many classes the centre meets."""
+    rows = sharing.select("id", "met", F.explode("tables.key").alias("key"))
+    most: Column = F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("c")
+    centres = cut(rows.groupBy("key").agg(most).select("key", (-F.col("c.minus")).alias("x"), F.col("c.met").alias("met")), "centres")
+    return rows.select("key", F.col("id").alias("y")).join(centres, "key").filter(F.col("x") != F.col("y")).select("x", "y", "met").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs.
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs, as a table in the shared folder.
 
     Words are separated by ASCII white space, with A-Z in lower case. Sets are linked if 100 * intersection >=
     percent * union; a text without words is linked with nothing. component_id is the smallest doc_id reachable.
     Rows that repeat an id are judged each by its own text. A null id can't stand for others: its row gets the component of
     its equals, or null, and is kept only if none of them has an id.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = cut(sketches(rows, k), "sketches")
-    full = sketched.filter(F.col("n") > 0)
-    equal = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
-    member = full.join(equal, ["d1", "d2"])
-    classes = cut(member.filter(F.col("doc_id") == F.col("id")).select("id", "n", "d1", "d2", "marks").dropDuplicates(["id", "d1"]), "representatives")
-
-    w = Window.partitionBy("key")
-    keyed = tensored(classes.select("id", "marks"))
-    shared = cut(keyed.withColumn("size", F.count("*").over(w)).filter(F.col("size") > 1), "keys")
-    met = shared.groupBy("id").agg(F.sum(F.col("size") - 1).alias("met"))
-    centred = shared.join(met, "id").select("key", "id", F.max(F.struct("met", (-F.col("id")).alias("minus"))).over(w).alias("c")).select("key", "id", (-F.col("c.minus")).alias("x"))
-    star = cut(centred.filter(F.col("id") != F.col("x")).select("x", F.col("id").alias("y")).distinct(), "pairs")
-    verified = cut(verify(star, classes, rows, k, percent, differences=True), "verified")
-    links = verified.filter("ok").select("x", "y")
-    labels = components(links)
-    differences = cut(_differences(verified), "differences")
-    tested = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    for best_only in (True, False):
-        pairs = cut(_across_all(shared, classes, labels, differences, best_only, percent).join(tested, ["x", "y"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            more = cut(verify(pairs, classes, rows, k, percent).filter("ok").select("x", "y"), "links")
-            tested = tested.unionByName(pairs)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(links)
-
-    of = equal.join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("component"))
-    of = cut(of, "membership")
-    linked = full.select("doc_id", "n", "d1", "d2").join(of, ["d1", "d2"]).select("doc_id", "n", "component")
-    alone = sketched.filter(F.col("n") == 0).select("doc_id", "n", F.col("doc_id").alias("component"))
-    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+    with scratch(docs.sparkSession):
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        sketched = cut(sketches(rows, k), "sketches")
+        full = sketched.filter(F.col("n") > 0)
+        classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("marks").alias("marks"))
+        classes = cut(classes, "classes")
+        sharing = cut(sharing_classes(classes.filter(F.col("id").isNotNull())), "sharing")
+        with scratch(docs.sparkSession):
+            likely = _likely(stars(sharing), sharing, percent)
+            first = F.row_number().over(Window.partitionBy("y").orderBy(F.desc("met"), "x", "dx", "dy")) == 1  # of at most 64 rows for each set
+            likely = cut(likely.withColumn("best", first), "likely")
+            verified = keep(verify(likely.select("x", "dx", "y", "dy", "best"), rows, k, percent), "verified")
+            tested = keep(likely.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "tested")
+        labels = components(verified.filter("ok").select("x", "y"))
+        best = verified.filter(F.col("difference").isNotNull()).select(F.col("y").alias("id"), F.col("x").alias("centre"), F.col("ny").alias("n"), "difference")
+        labels = rejoined(labels, cut(around_centres(best, labels, percent), "around"))
+        for best_only in (True, False):
+            pairs = _between_centres(sharing, labels, best.select("id", "centre"), best_only, percent).join(tested, ["x", "y"], "left_anti")
+            pairs = cut(pairs, "pairs")
+            if not pairs.isEmpty():
+                tested = tested.unionByName(pairs)
+                likely = cut(_likely(pairs, sharing, percent).withColumn("best", F.lit(False)), "likely")
+                more = verify(likely, rows, k, percent).filter("ok").select("x", "y")
+                named = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))  # noqa: E731, B023
+                more = more.join(named("x"), "x", "left").join(named("y"), "y", "left").select(F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y"))
+                labels = rejoined(labels, cut(more.filter("x <> y").distinct(), "links"))
+
+        of = classes.join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("component"))
+        of = cut(of, "membership")
+        linked = full.select("doc_id", "n", "d1", "d2").join(of, ["d1", "d2"]).select("doc_id", "n", "component")
+        alone = sketched.filter(F.col("n") == 0).select("doc_id", "n", F.col("doc_id").alias("component"))
+        out = linked.unionByName(alone)
+        return keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept")), "near")

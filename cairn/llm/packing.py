@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, cut, texts_of
+from cairn.llm.common import column, cut, slices, texts_of
 from cairn.llm.tokens import encoder
 
 
@@ -31,7 +31,7 @@ def tokenize(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: in
 
     def pieces(batches):
         code = encoder(tokenizer, end_id)
-        for b in batches:
+        for b in slices(batches):
             owner, piece, start, length, ids = [], [], [], [], []
             for i, got in enumerate(code.encode(texts_of(b, "text"))):
                 n = len(got) // 4

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, cut, texts_of
+from cairn.llm.common import column, cut, slices, texts_of
 
 HEADS = ("low", "toxic")
 SHAPE = ("log_words", "distinct", "top_share", "upper", "symbols", "digits", "mean_length", "marks", "repeat_line", "short_lines")
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon_size:
 
     def count(batches):
         counts, seen = [Counter() for _ in range(4)], Counter()
-        for b in batches:
+        for b in slices(batches):
             for text, low, toxic in zip(texts_of(b, "text"), column(b, "low").to_pylist(), column(b, "toxic").to_pylist()):
                 terms = _terms(_words(text))
                 for k, label in enumerate((low, toxic)):
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon_size:
             lexicons[name] = {(r["n"], r["w"]): r["weight"] for r in best.select("n", "w", "weight").collect()}  # at most lexicon_size rows
 
     def describe(batches):
-        for b in batches:
+        for b in slices(batches):
             both = [(w := _words(t)) and shape(t, w) + [e for name in HEADS for e in evidence(w, lexicons.get(name, {}))] or [0.0] * (len(SHAPE) + 3 * len(HEADS)) for t in texts_of(b, "text")]
             yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "low"), column(b, "toxic"), pa.array(both, pa.list_(pa.float64()))], ["id", "low", "toxic", "x"])
 
@@ -150,7 +150,7 @@ def classify(docs: DataFrame, heads: dict[str, Head], text_col: str = "text") ->
     sent = docs.sparkSession.sparkContext.broadcast(heads)  # lexicon_size terms a head
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             words = [(t, _words(t)) for t in texts_of(b, "__text")]
             shapes, out = [shape(t, w) for t, w in words], []
             for name in HEADS:

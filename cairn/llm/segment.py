@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import chunks, column, mix64, texts_of
+from cairn.llm.common import chunks, column, mix64, slices, texts_of
 
 _UNIT = re.compile(r" +[^ ]*")
 #: Steps of the edges' running probabilities: a node's number plus such a step is exact, so a walk doesn't depend on which number a node got.
@@ -258,7 +258,7 @@ def segmentations(docs: DataFrame, model_file: str, k: int = 2, sharpness: float
 
     def run(batches):
         lattice = lattice_of(model_file, sharpness)
-        for b in batches:
+        for b in slices(batches):
             texts, keys = texts_of(b, "text"), column(b, "key").to_numpy().view(np.uint64)
             for i, j in chunks(texts, 400_000):
                 got = []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WordHashes, bitmap, chunks, column, cut, in_bitmap, mix64, texts_of
+from cairn.llm.common import bitmap, chunks, column, cut, in_bitmap, mix64, slices, texts_of, WordHashes
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 2**64)
@@ -85,7 +85,7 @@ class Runs:
 def _runs(batches, window: int, seed: int):
     """(batch, the text that each owner number is, runs), for pieces of each batch."""
     hashes = WordHashes()
-    for b in batches:
+    for b in slices(batches):
         texts = texts_of(b, "text")
         for i, j in chunks(texts):
             yield b, i, Runs([hashes.of(t.encode().split()) for t in texts[i:j]], window, seed)
@@ -145,7 +145,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 12, id_col: st
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             runs = column(b, "runs")
             offsets = runs.offsets.to_numpy()
             start, count = (runs.values.field(k).to_numpy() for k in ("start", "count"))

@@ -5,7 +5,7 @@ import pytest
 
 from cairn.llm import neardup
 from cairn.llm.common import cut
-from cairn.llm.components import components
+from cairn.llm.components import components, rejoined
 from cairn.llm.neardup import near_duplicates
 from cairn.llm.queries import op4_neardup
 from tests.llm import brute
@@ -72,23 +72,44 @@ def test_long_chains(spark, monkeypatch, order):
     assert written.count("labels") <= 16
 
 
-def test_very_large_differences(spark):
-    """Two near sets whose differences from their centre fill the byte counts are a pair; two that differ too much aren't."""
+@pytest.mark.parametrize("size", [(2048, 2**25), (3, 2**25), (2048, 200)])
+def test_around_one_centre(spark, monkeypatch, size):
+    """Classes of one centre are judged by their differences as by their sets, also where they fall into several blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", size[0])
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", size[1])
     rng = np.random.default_rng(6)
     fresh = lambda n: np.unique(rng.integers(0, 2**64, n, np.uint64))
-    centre, added = fresh(150_000), fresh(45_000)
-    one = np.union1d(centre[:105_000], added)
-    two = np.union1d(one[rng.random(len(one)) > 0.02], fresh(3000))
-    three = np.union1d(centre[:20_000], added[:40_000])
-    rows = []
-    for i, s in enumerate((one, two, three), 1):
-        d = np.setxor1d(s, centre)
-        counts = neardup._counts(d)
-        assert set(counts) == {255}
-        rows.append([i, len(s), len(d), counts, neardup.minhashes(s)])
-    assert 100 * len(np.intersect1d(one, two)) >= 75 * len(np.union1d(one, two))
-    same = rows[0][4] == rows[1][4]
-    table = int(same[:8].argmax() * 8 + same[8:16].argmax())
-    data = [(7, table, i, n, i, 0, apart, counts, marks.tobytes()) for i, n, apart, counts, marks in rows]
-    df = spark.createDataFrame(data, "key long, table int, id long, n long, label long, centre long, apart long, counts binary, marks binary")
-    assert [tuple(r) for r in neardup._across(df, False, 75).collect()] == [(1, 2)]
+    rows, sets, label = [], {}, {}
+    for centre in (0, 100):
+        core = fresh(100)
+        for i in range(centre + 1, centre + 25):
+            s = core[rng.random(len(core)) > rng.choice([0.05, 0.2, 0.4])]
+            base = next((sets[j] for j in range(i - 1, centre, -1) if rng.random() < 0.3), s)
+            sets[i] = np.union1d(base[rng.random(len(base)) > 0.05], fresh(int(rng.integers(0, 20))))
+            label[i] = centre if rng.random() < 0.4 else i
+            rows.append((i, centre, len(sets[i]), np.setxor1d(sets[i], core).tobytes()))
+    labels = spark.createDataFrame(list(label.items()), "id long, label long")
+    links = neardup.around_centres(spark.createDataFrame(rows, "id long, centre long, n long, difference binary"), labels, 75)
+    got = dict(rejoined(labels, links).collect())
+    forest = neardup.Forest()
+    for i in sets:
+        for j in sets:
+            if i // 100 == j // 100 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j])):
+                forest.join(label[i], label[j])
+    assert len(set(got.values())) > 2
+    assert {i: got[i] for i in sets} == {i: forest.root(label[i]) for i in sets}
+
+
+def test_large_group(spark, monkeypatch):
+    """Hundreds of edited copies, many of them near the threshold: the links are whole, and their number grows as the group."""
+    rng, made = random.Random(8), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    docs = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.choice([2, 8, 9, 10, 11, 12])):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(5000)}"
+        docs.append((i, " ".join(w)))
+    monkeypatch.setattr(neardup, "_likely", lambda *a, f=neardup._likely: made.append(a[0].count()) or f(*a))
+    assert result(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute.near(docs)
+    assert sum(made) <= 300 * 6
