@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import lines, neardup, packing, pii, quality
-from cairn.llm.common import cut, table
+from cairn.llm.common import cut, keep, scratch, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,7 +56,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exactly one row of each group of near duplicates stays, that of smallest id; each row is judged by its own text."""
     rows = _numbered(docs)
-    judged = cut(neardup.near_duplicates(rows.select("__row", "text"), id_col="__row"), "judged")
+    judged = neardup.near_duplicates(rows.select("__row", "text"), id_col="__row")
     gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__row"))
     return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -82,7 +82,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    with scratch(spark):
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES:
+            with scratch(spark):  # what a stage writes on its way goes when its result is there
+                docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        return keep(docs, "pipeline")
