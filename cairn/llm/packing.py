@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, cut, slices, texts_of
+from cairn.llm.common import column, cut, slices
 from cairn.llm.tokens import encoder
 
 
@@ -33,7 +33,7 @@ def tokenize(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: in
         code = encoder(tokenizer, end_id)
         for b in slices(batches):
             owner, piece, start, length, ids = [], [], [], [], []
-            for i, got in enumerate(code.encode(texts_of(b, "text"))):
+            for i, got in enumerate(code.encode(column(b, "text"))):
                 n = len(got) // 4
                 for k in range(0, n, max_tokens):
                     m = min(max_tokens, n - k)
