@@ -12,10 +12,10 @@ Equal sets are one class from the start. Three steps then find the links between
    symmetric difference of two classes of one centre is that of their differences, so such pairs are judged exactly
    without their sets: in blocks, each class once, and only those not linked with the centre against the others. A block
    gives one link for each two components that it joins.
-3. Between centres. Keys that still hold several components of several centres give pairs of different centres, first
-   the best for two components, then all others; these are verified on full sets.
+3. Between centres. Keys that still hold several components of several centres give the plausible pairs of different
+   centres and components; these are verified on full sets.
 
-So n edited copies of a text cost about n rows and not n*n.
+So of n edited copies of a text, those near enough to the text to share it as a centre cost about n rows and not n*n.
 """
 
 from __future__ import annotations
@@ -276,7 +276,7 @@ def around_centres(apart: DataFrame, labels: DataFrame, percent: int) -> DataFra
 ROW = ("key", "table", "id", "n", "label", "centre", "marks")
 
 
-def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
+def _across(rows: DataFrame, percent: int) -> DataFrame:
     """x, y: plausible pairs of different components and different centres in each key. rows: ROW; a key has few enough rows."""
 
     def first_shared(x, y):
@@ -285,7 +285,7 @@ def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
         return same[:, :SIDE].argmax(1) * SIDE + same[:, SIDE:].argmax(1)
 
     def pairs(key, table, ids, n, label, centre, marks):
-        low, out = (marks & np.uint32(255)).astype(np.uint8), []
+        out = []
         at, d = np.arange(len(key) - 1), 1
         while len(at):
             at = at[at + d < len(key)]
@@ -297,20 +297,13 @@ def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
             first, second = first_shared(marks[a][:, : 2 * SIDE], marks[b][:, : 2 * SIDE]), first_shared(marks[a][:, 2 * SIDE :], marks[b][:, 2 * SIDE :])
             ok = np.where(base, table[a] == first, (deep // SIDE**2 == first) & (deep % SIDE**2 == second))
             a, b = a[ok], b[ok]
-            same = (low[a] == low[b]).sum(1)
-            ok = same >= AGREE
+            ok = (marks[a] == marks[b]).sum(1) >= AGREE
             if ok.any():
-                out.append(np.stack([a[ok], b[ok], same[ok]]))
+                out.append(np.stack([a[ok], b[ok]]))
             d += 1
         if not out:
             return np.zeros((0, 2), np.int64)
-        a, b, same = np.concatenate(out, axis=1)
-        if best_only:
-            one, two = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-            order = np.lexsort((-same, two, one, key[a]))
-            a, b, one, two = a[order], b[order], one[order], two[order]
-            new = np.concatenate([[True], (np.diff(key[a]) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)])
-            a, b = a[new], b[new]
+        a, b = np.concatenate(out, axis=1)
         return np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1), axis=0)
 
     def run(batches):
@@ -333,31 +326,32 @@ def _across(rows: DataFrame, best_only: bool, percent: int) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of keys that hold several components and several centres, with the number of the key's rows in `size`. Keys are
-    counted first and joined back, so that a key that very many rows have is split."""
+    """key, size (the number of rows) of the keys that hold several components and several centres."""
     differ = lambda c: F.min(c) < F.max(c)
     keys = rows.groupBy("key").agg(F.count("*").alias("size"), differ("label").alias("labels"), differ("centre").alias("centres"))
-    return rows.join(cut(keys.filter("labels and centres").select("key", "size"), "mixed"), "key")
+    return cut(keys.filter("labels and centres").select("key", "size"), "mixed")  # cut, so that the join can split a key of very many rows
 
 
-def _between_centres(sharing: DataFrame, labels: DataFrame, centres: DataFrame, best_only: bool, percent: int) -> DataFrame:
+def _between_centres(sharing: DataFrame, labels: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """x, y: the plausible pairs of different components and different centres that share a key."""
     facts = sharing.select("id", "tables").join(labels, "id", "left").join(centres, "id", "left")
     facts = cut(facts.select("id", F.coalesce("label", "id").alias("label"), F.coalesce("centre", "id").alias("centre"), "tables"), "facts")
-    marked = sharing.select("id", "n", "marks")
-    rows = _mixed(facts.select("id", "label", "centre", F.explode("tables").alias("t")).select("t.key", "t.table", "id", "label", "centre"))
-    rows = cut(rows.join(marked, "id"), "rows")
-    small = rows.filter(F.col("size") <= BLOCK).select(*ROW)
-    large = rows.filter(F.col("size") > BLOCK)
+    rows = facts.select("id", "label", "centre", F.explode("tables").alias("t")).select("t.key", "t.table", "id", "label", "centre")
+    # Each class's mixed keys are gathered (at most 64), so that its minhashes are joined once.
+    mixed = rows.join(_mixed(rows), "key").groupBy("id", "label", "centre").agg(F.collect_list(F.struct("key", "table", "size")).alias("t"))
+    mixed = cut(mixed.join(sharing.select("id", "n", "marks"), "id"), "rows")
+    rows = mixed.withColumn("t", F.explode("t")).select("t.key", "t.table", "id", "n", "label", "centre", "marks", "t.size")
+    small, large = rows.filter(F.col("size") <= BLOCK).select(*ROW), rows.filter(F.col("size") > BLOCK)
     if not large.isEmpty():
         # Very common keys are refined by the other sixteen minhashes; what is still too large goes block by block.
-        finer = tensored(large.select(*ROW), 2 * SIDE).distinct()
-        finer = cut(_mixed(finer).join(marked.select("id", "marks"), "id"), "finer")
+        finer = tensored(large.withColumn("copy", F.col("marks")).select(*ROW, "copy"), 2 * SIDE).distinct()
+        finer = cut(finer.join(_mixed(finer), "key").withColumnRenamed("copy", "marks"), "finer")
         small = small.unionByName(finer.filter(F.col("size") <= BLOCK).select(*ROW))
         rest = finer.filter(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rest = rest.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
         small = small.unionByName(rest.select(*ROW))
-    return _across(small, best_only, percent)
+    return _across(small, percent)
 
 
 def sharing_classes(classes: DataFrame) -> DataFrame:
@@ -406,16 +400,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
         labels = components(verified.filter("ok").select("x", "y"))
         best = verified.filter(F.col("difference").isNotNull()).select(F.col("y").alias("id"), F.col("x").alias("centre"), F.col("ny").alias("n"), "difference")
         labels = rejoined(labels, cut(around_centres(best, labels, percent), "around"))
-        for best_only in (True, False):
-            pairs = _between_centres(sharing, labels, best.select("id", "centre"), best_only, percent).join(tested, ["x", "y"], "left_anti")
-            pairs = cut(pairs, "pairs")
-            if not pairs.isEmpty():
-                tested = tested.unionByName(pairs)
-                likely = cut(_likely(pairs, sharing, percent).withColumn("best", F.lit(False)), "likely")
-                more = verify(likely, rows, k, percent).filter("ok").select("x", "y")
-                named = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))  # noqa: E731, B023
-                more = more.join(named("x"), "x", "left").join(named("y"), "y", "left").select(F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y"))
-                labels = rejoined(labels, cut(more.filter("x <> y").distinct(), "links"))
+        pairs = _between_centres(sharing, labels, best.select("id", "centre"), percent).join(tested, ["x", "y"], "left_anti")
+        likely = cut(_likely(pairs, sharing, percent).withColumn("best", F.lit(False)), "likely")
+        if not likely.isEmpty():
+            more = verify(likely, rows, k, percent).filter("ok").select("x", "y")
+            named = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+            more = more.join(named("x"), "x", "left").join(named("y"), "y", "left").select(F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y"))
+            labels = rejoined(labels, cut(more.filter("x <> y").distinct(), "links"))
 
         of = classes.join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("component"))
         of = cut(of, "membership")
