@@ -78,6 +78,11 @@ def sha(col: Column | str) -> Column:
     return F.sha2(F.encode(col, "UTF-8"), 256)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row, of all its columns but those that hold maps, which Spark doesn't hash."""
+    return F.xxhash64(F.lit(0), *[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """A string column as Python strings; null is the empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

@@ -1,11 +1,14 @@
 """Personal data by candidate gradient boosting, with DataFrame functions only.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers, each leftmost and non-overlapping, and keep
-what passes its check. High-recall generators propose further, overlapping spans. Every candidate has a few small
-whole-number features of its format and context. Boosted trees learn, from all candidates of the corpus, to tell
-those that agree with a checked base span from those that don't, without seeing the checks themselves; a threshold
-calibrated on held-out candidates selects what is added. As the features are small numbers, the corpus is one grouped
-count (at most FEATURE_ROWS rows), from which the trees are fitted on the driver; they score as SQL expressions.
+what passes its check. High-recall generators propose further, overlapping spans of five kinds: addresses with a spelt-out
+at or dot, dotted numbers, long and short numbers with loose separators, and long tokens (secrets). Every candidate has a
+few small whole-number features of its format and context, and a weak label from a check that these features don't see: a
+known top-level domain, four numbers up to 255, Luhn's sum, a plus or a word such as "call" before a number, letters and
+digits mixed as at random. Boosted trees, a model for each kind, so learn which formats and contexts the checks confirm;
+a threshold for each kind is calibrated on held-out candidates, and what scores over it is selected, whether its own check
+passes or not. As the features are small numbers, the corpus is one grouped count (at most FEATURE_ROWS rows), from which
+the trees are fitted on the driver; they score as SQL expressions.
 """
 
 from __future__ import annotations
@@ -17,18 +20,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import row_hash
+
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds of spans; base patterns find the first four.
+ALL_KINDS = (*KINDS, "secret")
 # Possessive forms of the base patterns: they match the same and take linear time. The look-behinds only skip starts
 # within a run whose own start has just failed; \G allows the start right after a match.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# Generators of candidates: digits with loose separators, dotted numbers, addresses with a spelt-out at or dot.
-NUMBERS = r"(?<![0-9])\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
-DOTTED = r"(?<![0-9.])[0-9]++(?:\.[0-9]++){3,}+"
+# Generators of candidates: addresses with a spelt-out at or dot, dotted numbers, digits with loose separators, long tokens with a digit.
 MAILLIKE = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?+(?:@|\(at\)|\[at\])\x20?+[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++"
-FEATURES = {"gen": 3, "digits": 6, "seps": 4, "plus": 2, "style": 5, "words": 5, "head": 4}
+DOTTED = r"(?<![0-9.])[0-9]++(?:\.[0-9]++){3,}+"
+CARDLIKE = r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){11,}+"
+PHONELIKE = r"(?<![0-9])(?:\+|\()?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
+SECRETLIKE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{16,}+"
+GENERATORS = (MAILLIKE, DOTTED, CARDLIKE, PHONELIKE, SECRETLIKE)
+#: Common top-level domains.
+DOMAINS = "com|org|net|edu|gov|info|biz|io|co|de|fr|es|it|uk|eu|ch|at|nl|us|ca|mx|br|ar|jp|cn|in|au"
+#: Words before a candidate that speak for each kind.
+WORDS = ("mail|contact|write|reach", r"\bip\b|host|server|addr", "card|visa|pay|credit", "phone|tel|call|mobil|fax", "token|key|secret|passw|pwd|auth|credential")
+FEATURES = {"kind": 5, "digits": 6, "seps": 4, "style": 5, "words": 6, "head": 4, "spelt": 2, "quoted": 3, "letters": 3, "size": 4}
 FEATURE_ROWS = math.prod(FEATURES.values()) * 4
 SPAN = "array<struct<start:int,stop:int,value:string>>"
 
@@ -73,32 +87,53 @@ def _base(text: Column) -> Column:
 
 
 def _proposals(text: Column, base: Column) -> Column:
-    """Candidates with features and the label `agrees`: a base span overlaps it."""
+    """Candidates with features, the weak label, and `known`: a base span overlaps it."""
     number = F.regexp_like(text, F.lit("[0-9]"))
     at = F.contains(text, F.lit("@")) | F.regexp_like(text, F.lit(r"[\(\[]at[\)\]]"))
     band = lambda x, *edges: reduce(lambda a, e: a + (x >= e).cast("int"), edges, F.lit(0))
-
-    def features(s: Column, gen: int) -> Column:
+    fits = lambda value, pattern: F.regexp_like(value, F.lit(pattern)).cast("int")
+
+    def label(value: Column, before: Column, kind: int) -> Column:
+        digits = F.length(_digits(value))
+        if kind == 0:
+            return fits(value, rf"(?i)(?:\.|\(dot\)|\[dot\])\x20?(?:{DOMAINS})$")
+        if kind == 1:
+            part = "(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+            return fits(value, rf"^{part}(?:\.{part}){{3}}$")
+        if kind == 2:
+            return (digits.between(12, 19) & _luhn(_digits(value))).cast("int")
+        if kind == 3:
+            return (digits.between(9, 15) & (value.startswith("+") | F.regexp_like(before, F.lit(WORDS[3])))).cast("int")
+        turns = F.size(F.regexp_extract_all(value, F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"), F.lit(0)))
+        return ((5 * turns >= F.length(value)) & (20 * digits >= 3 * F.length(value))).cast("int")
+
+    def features(s: Column, kind: int) -> Column:
         value = s["value"]
-        seps = F.regexp_replace(value, "[A-Za-z0-9+]", "")
+        seps = F.regexp_replace(value, r"[A-Za-z0-9+]", "")
         before = F.lower(F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24))))
-        words = ("phone|tel|call|mobil|fax", "card|visa|pay|credit", "mail|contact|write", r"\bip\b|host|server|addr")
         style = F.when(F.length(seps) == 0, 0).when(F.regexp_like(seps, F.lit("^-+$")), 1).when(F.regexp_like(seps, F.lit("^ +$")), 2).when(F.regexp_like(seps, F.lit(r"^\.+$")), 3).otherwise(4)
-        return F.struct(
-            s["start"], s["stop"], F.lit(gen).alias("gen"), band(F.length(_digits(value)), 7, 9, 12, 16, 20).alias("digits"), band(F.length(seps), 1, 3, 5).alias("seps"),
-            value.startswith("+").cast("int").alias("plus"), style.alias("style"),
-            reduce(lambda w, k: w.when(F.regexp_like(before, F.lit(words[k])), k + 1), range(1, 4), F.when(F.regexp_like(before, F.lit(words[0])), 1)).otherwise(0).alias("words"),
-            band(F.length(F.regexp_extract(value, r"^\+?([0-9]+)", 1)), 1, 3, 5).alias("head"),
-            F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])).cast("int").alias("agrees"),
-        )
+        words = F.lit(0) if kind == 3 else reduce(lambda w, k: w.when(F.regexp_like(before, F.lit(WORDS[k])), k + 1), range(4), F.when(F.regexp_like(before, F.lit(WORDS[4])), 5)).otherwise(0)
+        parts = {
+            "kind": F.lit(kind), "digits": band(F.length(_digits(value)), 7, 9, 12, 16, 20), "seps": band(F.length(seps), 1, 3, 6), "style": style, "words": words,
+            "head": band(F.length(F.regexp_extract(value, r"^(?:\+[0-9]{1,3}\x20?)?\(?([0-9]+)", 1)), 1, 3, 5), "spelt": fits(value, r"[\(\[](?:at|dot)[\)\]]"),
+            "quoted": F.when(F.regexp_like(before, F.lit(r"[\"'`]$")), 1).when(F.regexp_like(before, F.lit(r"[=:]\s?$")), 2).otherwise(0),
+            "letters": F.when(F.regexp_like(value, F.lit("[g-zG-Z]")), 2).when(F.regexp_like(value, F.lit("[a-fA-F]")), 1).otherwise(0), "size": band(F.length(value), 20, 32, 48),
+        }
+        known = F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+        return F.struct(s["start"], s["stop"], *[parts[f].cast("int").alias(f) for f in FEATURES], label(value, before, kind).alias("label"), known.alias("known"))
 
-    generators = ((NUMBERS, number), (DOTTED, number & F.contains(text, F.lit("."))), (MAILLIKE, at))
-    described = lambda gen: lambda s: features(s, gen)
-    return F.concat(*[F.transform(_matches(text, p, may), described(gen)) for gen, (p, may) in enumerate(generators)])
+    may = (at, number & F.contains(text, F.lit(".")), number, number, number)
+    described = lambda kind: lambda s: features(s, kind)
+    return F.concat(*[F.transform(_matches(text, p, may[kind]), described(kind)) for kind, p in enumerate(GENERATORS)])
 
 
 def propose(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __base and __candidates added: one projection over each text."""
+    """docs with __base and __candidates added: one projection over each text.
+
+    A null or empty text has none; rows that repeat an id or a text are judged each for itself, alike. Columns of docs called
+    __base, __candidates, __good or __spans are replaced.
+    """
+    docs = docs.drop("__base", "__candidates", "__good", "__spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.withColumn("__base", _base(text)).withColumn("__candidates", _proposals(text, F.col("__base")))
 
@@ -117,20 +152,24 @@ class Boosted:
         return reduce(lambda a, t: a + F.when(c[t[0]] < t[1], leaf(*t[2][0])).otherwise(leaf(*t[2][1])), self.trees, F.lit(self.start))
 
 
-def fit(proposed: DataFrame, rounds: int = 30, rate: float = 0.3, precision: float = 0.98) -> Boosted:
-    """Boosted trees over all candidates of `proposed`; every second document, by hash, is held out for the threshold.
+def fit(proposed: DataFrame, rounds: int = 30, rate: float = 0.3, precision: float = 0.9) -> dict[str, Boosted]:
+    """A model for each kind, over all candidates of `proposed`; every second document, by hash, is held out for the threshold.
 
-    Without candidates, or with candidates all of one sort, nothing is ever added.
+    Of a kind without candidates, or whose checks confirm none, nothing is ever added.
     """
     counts = (
-        proposed.select((F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in proposed.columns]), F.lit(2)) == 0).alias("held"), F.explode("__candidates").alias("c"))
-        .groupBy("held", *[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.agrees").alias("agrees")).count().collect()  # at most FEATURE_ROWS rows
+        proposed.select((F.pmod(row_hash(proposed), F.lit(2)) == 0).alias("held"), F.explode("__candidates").alias("c"))
+        .groupBy("held", *[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.label").alias("label")).count().collect()  # at most FEATURE_ROWS rows
     )
-    return boost([(r["held"], tuple(r[f] for f in FEATURES), r["agrees"], r["count"]) for r in counts], rounds, rate, precision)
+    return {
+        name: boost([(r["held"], tuple(r[f] for f in FEATURES), r["label"], r["count"]) for r in counts if r["kind"] == kind], rounds, rate, precision)
+        for kind, name in enumerate(ALL_KINDS)
+    }
 
 
-def boost(rows: list[tuple], rounds: int = 30, rate: float = 0.3, precision: float = 0.98) -> Boosted:
-    """rows: (held out, feature values, label, count)."""
+def boost(rows: list[tuple], rounds: int = 30, rate: float = 0.3, precision: float = 0.9, least: int = 5) -> Boosted:
+    """rows: (held out, feature values, label, count). The threshold is the lowest score from which on the checks confirm at
+    least `precision` of the held-out candidates, and of those at that very score, `least` of them at least."""
     import numpy as np
 
     names, tops = list(FEATURES), list(FEATURES.values())
@@ -141,9 +180,9 @@ def boost(rows: list[tuple], rounds: int = 30, rate: float = 0.3, precision: flo
     y, w = np.array([r[2] for r in rows], float), np.array([r[3] for r in rows], float)
     train = ~held
     positive, total = (w * y)[train].sum(), w[train].sum()
-    if not 0 < positive < total:
+    if not positive:
         return Boosted()
-    model = Boosted(math.log(positive / (total - positive)))
+    model = Boosted(math.log((positive + 0.5) / (total - positive + 0.5)))
     score = np.full(len(y), model.start)
 
     def best(mask, g, h):
@@ -164,32 +203,44 @@ def boost(rows: list[tuple], rounds: int = 30, rate: float = 0.3, precision: flo
         model.trees.append((names[f], cut, [(names[s[1]], s[2], float(s[3]), float(s[4])) for s in sides]))
         for s, m in zip(sides, (x[:, f] < cut, x[:, f] >= cut)):
             score += m * np.where(x[:, s[1]] < s[2], s[3], s[4])
-    # The lowest score from which on at least `precision` of the held-out candidates agree.
-    order = np.argsort(-score[held], kind="stable")
-    s, hit, n = score[held][order], np.cumsum((w * y)[held][order]), np.cumsum(w[held][order])
-    ends = np.flatnonzero(np.append(np.diff(s) != 0, True)) if len(s) else np.array([], int)
-    good = [i for i in ends if hit[i] / n[i] >= precision]
-    if good:
-        model.threshold = float(s[good[-1]]) - 1e-9
+    for x in sorted(set(score[held].tolist()), reverse=True):
+        over, own = held & (score >= x), held & (score == x)
+        rate_of = lambda m: (w * y)[m].sum() / w[m].sum()
+        if rate_of(over) < precision or rate_of(own) < precision:
+            break
+        if w[over].sum() >= least:
+            model.threshold = x - 1e-9
     return model
 
 
-def select(proposed: DataFrame, model: Boosted) -> DataFrame:
-    """Adds __spans: the base spans and the candidates over the threshold that no base span overlaps, as kind `other`."""
-    chosen = F.filter("__candidates", lambda c: (c["agrees"] == 0) & (model.score(c) >= model.threshold)) if math.isfinite(model.threshold) else F.filter("__candidates", lambda c: F.lit(False))
-    extra = F.array_distinct(F.transform(chosen, lambda c: F.struct(c["start"], F.lit(len(KINDS)).alias("kind"), c["stop"])))
-    return proposed.withColumn("__spans", F.array_sort(F.concat("__base", extra)))
+def select(proposed: DataFrame, models: dict[str, Boosted]) -> DataFrame:
+    """Adds __spans: the base spans, and the candidates over their kind's threshold that no base span overlaps; of candidates
+    that overlap each other, those of the largest score, and of equals the first and longest. Columns __base and __candidates are propose()'s."""
+    usable = {kind: models[name] for kind, name in enumerate(ALL_KINDS) if name in models and math.isfinite(models[name].threshold)}
+
+    def scored(c: Column) -> Column:
+        over = reduce(lambda w, k: w.when(c["kind"] == k, usable[k].score(c) - usable[k].threshold), usable, F.when(F.lit(False), 0.0))
+        return F.struct(over.alias("over"), (-c["start"]).alias("first"), c["stop"].alias("stop"), (-c["kind"]).alias("rank"))
+
+    if not usable:
+        return proposed.withColumn("__spans", F.col("__base"))
+    good = F.filter(F.transform(F.filter("__candidates", lambda c: ~c["known"]), scored), lambda c: c["over"] >= 0)
+    better = lambda c, d: (d > c) & (-d["first"] < c["stop"]) & (-c["first"] < d["stop"])
+    rows = proposed.withColumn("__good", good)
+    kept = F.filter("__good", lambda c: ~F.exists("__good", lambda d: better(c, d)))
+    extra = F.array_distinct(F.transform(kept, lambda c: F.struct((-c["first"]).alias("start"), (-c["rank"]).alias("kind"), c["stop"].alias("stop"))))
+    return rows.withColumn("__spans", F.array_sort(F.concat("__base", extra))).drop("__good")
 
 
 def spans_text(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
-    names = F.array(*[F.lit(k) for k in (*KINDS, "other")])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with spans, merged where they overlap, replaced by the first one's kind in brackets."""
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "other")])
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
     state = F.struct(F.lit("").alias("said"), F.lit(0).alias("at"))
     out = F.aggregate(
         spans, state,
