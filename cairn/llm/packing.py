@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, cut, slices
+from cairn.llm.common import column, cut, row_hash, slices
 from cairn.llm.tokens import encoder
 
 
@@ -80,9 +80,25 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds
     return [(basis[:, j].astype(int), int(np.floor(now[j] + 1e-6))) for j in np.argsort(-now) if now[j] >= 1]
 
 
-def plan(histogram: dict[int, int], capacity: int = 2048, groups: int = 40, small: int | None = None) -> list[tuple[int, int, int, int, int]]:
-    """Intervals (length, first rank, count, first sequence, offset) that place every item of the histogram."""
-    small = capacity // 8 if small is None else small
+def plan(histogram: dict[int, int], capacity: int = 2048, groups: int = 40) -> list[tuple[int, int, int, int, int]]:
+    """Intervals (length, first rank, count, first sequence, offset) that place every item of the histogram.
+
+    Lengths over an eighth, a quarter or half of the capacity count as long; of the three plans, that of fewest sequences is
+    taken, the first of equals. With half, long items are alone, and the whole is best-fit decreasing.
+    """
+    least = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    best, fewest = [], -1
+    for small in (capacity // 8, capacity // 4, capacity // 2):
+        found = _plan(histogram, capacity, groups, small)
+        used = max((first + n for _, _, n, first, _ in found), default=0)
+        if fewest < 0 or used < fewest:
+            best, fewest = found, used
+        if fewest == least:
+            break
+    return best
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, small: int) -> list[tuple[int, int, int, int, int]]:
     left = {n: c for n, c in histogram.items() if c}
     rank = dict.fromkeys(left, 0)
     out: list[tuple[int, int, int, int, int]] = []
@@ -165,12 +181,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 40, length_col:
 
     Lengths run from 1 to capacity. Rows of one length are numbered in blocks of about 50,000, counted first, so that
     a length that a third of all rows share is spread over many tasks. Equal rows get different places. An empty
-    table gives an empty table.
+    table gives an empty table. Columns called sequence_id or offset are replaced.
     """
-    spark, names = pieces.sparkSession, pieces.columns
-    rows = pieces.select(F.col(length_col).cast("long").alias("__length"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = pieces.select(F.col(length_col).cast("long").alias("__length"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), row_hash(pieces).alias("__hash"))
     n = pieces.count()
-    rows = rows.withColumn("__block", F.pmod(F.xxhash64("__row"), F.lit(max(1, -(-n // 50_000)))))
+    rows = rows.withColumn("__block", F.pmod("__hash", F.lit(max(1, -(-n // 50_000)))))
     blocks = rows.groupBy("__length", "__block").agg(F.count("*").alias("__n"))
     histogram = {r[0]: r[1] for r in blocks.groupBy("__length").agg(F.sum("__n")).collect()}  # at most `capacity` rows
     table = sorted(plan(histogram, capacity, groups))
@@ -178,7 +194,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 40, length_col:
     keys = steps[:, 0] * 2**44 + steps[:, 1]
     order = Window.partitionBy("__length").orderBy("__block")
     starts = blocks.withColumn("__from", F.sum("__n").over(order) - F.col("__n")).drop("__n")
-    within = Window.partitionBy("__length", "__block").orderBy(F.xxhash64("__row", F.lit(1)))
+    within = Window.partitionBy("__length", "__block").orderBy(F.xxhash64("__hash"))
     ranked = (
         rows.withColumn("__at", F.row_number().over(within) - 1)
         .join(starts, ["__length", "__block"])

@@ -45,6 +45,24 @@ def test_plan(seed):
     assert least <= check_plan(histogram, 2048) <= least * 1.1 + 2
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_against_best_fit_decreasing(seed):
+    """Never more sequences than best-fit decreasing makes; some fewer where lengths are all long."""
+    rng = random.Random(seed)
+    histogram = {}
+    for _ in range(800):
+        n = rng.choice([rng.randrange(500, 1024), rng.randrange(300, 720), rng.randrange(1, 2049)]) if seed else rng.randrange(400, 700)
+        histogram[n] = histogram.get(n, 0) + 1
+    rooms = []
+    for n in sorted((n for n, c in histogram.items() for _ in range(c)), reverse=True):
+        at = min((i for i, r in enumerate(rooms) if r >= n), key=rooms.__getitem__, default=None)
+        if at is None:
+            rooms.append(2048 - n)
+        else:
+            rooms[at] -= n
+    assert check_plan(histogram, 2048) <= len(rooms)
+
+
 def test_plan_odd():
     assert check_plan({}, 10) == 0
     assert check_plan({10: 5, 1: 3}, 10) == 6
@@ -95,3 +113,6 @@ def test_edges(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
     odd = spark.createDataFrame([(3, 7), (4, 7)], "length int, offset2 int")
     assert pack(odd, 10).columns == ["length", "offset2", "sequence_id", "offset"]
+    clash = spark.sql("SELECT 3 length, 'x' sequence_id, 'y' `offset`, map('k', 1) m UNION ALL SELECT 3, 'x', 'y', map('k', 2)")
+    got = pack(clash, 10)
+    assert got.columns == ["length", "m", "sequence_id", "offset"] and sorted(r["offset"] for r in got.collect()) == [0, 3]
