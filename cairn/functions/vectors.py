@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,92 +32,86 @@ def matrix(col: pa.Array) -> np.ndarray:
     return m / np.where(norm > 0, norm, 1)
 
 
-def topk(queries: DataFrame, mem: DataFrame, k: int, minimum: float | None = None, block: int = 4096) -> DataFrame:
-    """query_id, id, similarity: for each query at least its k most similar rows of its group (profile), before the final ranking.
+#: Queries and memories in a block. Up to BLOCK queries in all are broadcast; more are dealt to tasks with the memories.
+BLOCK, ROWS = 4096, 16384
 
-    Queries go out in blocks of at most `block` vectors, each a broadcast of fixed size; every task multiplies its rows
-    with the block, keeps k rows a query, and only those are shuffled. Null vectors match nothing.
-    """
-    spark = queries.sparkSession
-    q = queries.filter(F.col("embedding").isNotNull()).select("query_id", "profile", "embedding")
-    rows = mem.filter(F.col("embedding").isNotNull()).select("id", "profile", "embedding")
-    n, out = q.count(), None
-    parts = max(1, -(-n // block))
-    for part in range(parts):
-        own = q if parts == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        table = own.toArrow()
-        ids, profiles = table.column("query_id").to_pylist(), np.array(table.column("profile").to_pylist(), object)
-        sent = spark.sparkContext.broadcast((ids, profiles, matrix(table.column("embedding").combine_chunks())))
-        found = rows.mapInArrow(_nearest(sent, k, minimum), f"query_id {dict(q.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, similarity double")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _nearest(sent, k: int, minimum: float | None):
-    def run(batches):
-        ids, profiles, q = sent.value
-        best: dict = {}
-        for b in batches:
-            m, own, group = matrix(b.column("embedding")), np.array(b.column("id").to_pylist()), np.array(b.column("profile").to_pylist(), object)
-            for p in set(profiles):
-                mine, rows = np.flatnonzero(profiles == p), np.flatnonzero(group == p)
-                if not len(mine) or not len(rows):
-                    continue
-                s = np.round(q[mine] @ m[rows].T, 6)
-                for i, at in enumerate(mine.tolist()):
-                    here, who = s[i], own[rows]
-                    if at in best:
-                        here, who = np.concatenate([best[at][0], here]), np.concatenate([best[at][1], who])
-                    if minimum is not None:
-                        keep = here > minimum
-                        here, who = here[keep], who[keep]
-                    if len(here) > k:
-                        order = np.lexsort((who, -here))[:k]
-                        here, who = here[order], who[order]
-                    best[at] = here, who
-        rows = [(ids[at], w, float(x)) for at, (here, who) in best.items() for x, w in zip(here.tolist(), who.tolist())]
-        cols = list(zip(*rows)) if rows else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.infer_type(ids) if ids else pa.int64()), pa.array(cols[1], pa.int64() if not rows or isinstance(rows[0][1], int) else pa.string()), pa.array(cols[2], pa.float64())], ["query_id", "id", "similarity"])
-
-    return run
-
-
-def similar_pairs(rows: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """x, y, similarity: pairs x < y of one profile with similarity over the threshold. rows: id, profile, embedding.
-
-    A profile's rows are dealt into blocks of about `block`; each pair of blocks meets in one task, so a profile with a
-    third of all rows is spread like any other. The product is exact; what leaves a task are only pairs over the threshold.
-    """
-    live = rows.filter(F.col("embedding").isNotNull()).select("id", "profile", "embedding")
-    sizes = {r[0]: -(-r[1] // block) for r in live.groupBy("profile").count().collect()}  # a row for each profile
-    table = F.create_map(*[F.lit(x) for p, n in sizes.items() if p is not None for x in (p, n)]) if any(p is not None for p in sizes) else F.lit(None).cast("map<string,int>")
-    dealt = live.withColumn("blocks", F.coalesce(F.element_at(table, F.col("profile")), F.lit(1)).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("id", "profile", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    kind = dict(rows.dtypes)["id"]
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        m, ids, own = matrix(table.column("embedding").combine_chunks()), table.column("id").to_numpy(), table.column("own").to_numpy()
-        s = np.round(m @ m.T, 6)
-        i, j = key[1].as_py(), key[2].as_py()
-        a, b = np.nonzero((s > threshold) & (ids[:, None] < ids[None, :]) & ((own[:, None] != own[None, :]) if i != j else True))
-        return pa.table({"x": ids[a], "y": ids[b], "similarity": s[a, b]})
+def topk(queries: DataFrame, mem: DataFrame, k: int, minimum: float | None = None, weight: str | None = None) -> DataFrame:
+    """query_id, id, similarity (and score, similarity times mem's column `weight`, where that is given): for each query at least
+    its k best rows of its group (profile) with similarity over the minimum, before the final ranking.
 
-    return dealt.groupBy("profile", "i", "j").applyInArrow(run, f"x {kind}, y {kind}, similarity double")
+    Up to BLOCK queries go to every task as a broadcast. More never pass through the driver: both sides of a profile are dealt
+    into blocks by hash, and each pair of blocks meets in one task. Either way a task keeps k rows a query, by score and id,
+    and only those are shuffled. Null vectors match nothing.
+    """
+    q = queries.filter(F.col("embedding").isNotNull()).select("query_id", "profile", "embedding")
+    rows = mem.filter(F.col("embedding").isNotNull()).select("id", "profile", "embedding", (F.col(weight) if weight else F.lit(1.0)).alias("weight"))
+    out = f"query_id {dict(q.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, similarity double, score double"
+    few = q.limit(BLOCK + 1).toArrow()  # at most BLOCK + 1 rows
+    if few.num_rows <= BLOCK:
+        sent = q.sparkSession.sparkContext.broadcast(few)
+        found = rows.mapInArrow(lambda batches: _nearest(sent.value, batches, k, minimum), out)
+    else:
+        count = lambda df, name, size: df.groupBy("profile").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+        blocks = count(q, "q_blocks", BLOCK).join(count(rows, "m_blocks", ROWS), "profile")
+        own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+        others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = q.join(blocks, "profile").withColumn("i", own("query_id", "q_blocks")).withColumn("j", others("m_blocks"))
+        right = rows.join(blocks, "profile").withColumn("j", own("id", "m_blocks")).withColumn("i", others("q_blocks"))
+        keys = ["profile", "i", "j"]
+        left = left.select(*[F.col(c).alias(c) for c in (*keys, "query_id", "embedding")])  # columns of its own, also where both sides are one table
+        right = right.select(*keys, "id", "embedding", "weight")
+
+        def meet(own: pa.Table, others: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(_nearest(own, others.to_batches(), k, minimum))
+
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, out)
+    return found if weight else found.drop("score")
+
+
+def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of each query's k best rows, by score and then id."""
+    order = np.lexsort((ids, -score, query))
+    sorted_query = query[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_query[1:] != sorted_query[:-1]])) if len(order) else np.zeros(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return order[rank < k]
+
+
+def _nearest(queries: pa.Table, batches, k: int, minimum: float | None):
+    """One batch: the k best rows of `batches` for each query of its profile."""
+    q, wanted = matrix(queries.column("embedding").combine_chunks()), np.array(queries.column("profile").to_pylist(), object)
+    kind = pa.null()
+    kept: list[np.ndarray] | None = None
+    for b in batches:
+        kind = b.schema.field("id").type
+        m, ids, group = matrix(b.column("embedding")), np.array(b.column("id").to_pylist()), np.array(b.column("profile").to_pylist(), object)
+        weight = b.column("weight").to_numpy(zero_copy_only=False).astype(float)
+        for p in set(wanted.tolist()) & set(group.tolist()) - {None}:
+            mine, rows = np.flatnonzero(wanted == p), np.flatnonzero(group == p)
+            for lo in range(0, len(rows), 4096):  # a product of bounded size
+                part = rows[lo : lo + 4096]
+                s = np.round(q[mine] @ m[part].T, 6)
+                score = s * weight[part]
+                over = np.ones(s.shape, bool) if minimum is None else s > minimum
+                if len(part) > k:
+                    ranked = np.where(over, score, -np.inf)
+                    over &= score >= np.partition(ranked, len(part) - k, axis=1)[:, len(part) - k, None]
+                at, col = np.nonzero(over)
+                new = [mine[at], score[at, col], ids[part[col]], s[at, col]]
+                new = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
+                best = _best(new[0], new[1], new[2], k)
+                kept = [x[best] for x in new]
+    if kept is None:
+        kept = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0)]
+    yield pa.RecordBatch.from_arrays(
+        [queries.column("query_id").combine_chunks().take(pa.array(kept[0])), pa.array(kept[2]).cast(kind) if kind != pa.null() else pa.array([], pa.int64()), pa.array(kept[3]), pa.array(kept[1])],
+        ["query_id", "id", "similarity", "score"],
+    )
 
 
 def register(spark: SparkSession) -> None:
-    """cosine_similarity for SQL users, as a vectorised function."""
-    @F.pandas_udf("double")
-    def cosine_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            if x is None or y is None:
-                return None
-            x, y = np.asarray(x, float), np.asarray(y, float)
-            n = np.linalg.norm(x) * np.linalg.norm(y)
-            return float(x @ y / n) if n else None
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
-
-    spark.udf.register("cosine_similarity", cosine_similarity)
+    """cosine_similarity for SQL users, written with built-in functions; null for a null or zero vector."""
+    sums = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> p * q), 0D, (a, b) -> a + b)"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION cosine_similarity(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE
+        RETURN {sums('a', 'b')} / nullif(sqrt({sums('a', 'a')} * {sums('b', 'b')}), 0D)""")

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written as a table in the folder all executors share (spark.checkpoint.dir, or an own one where it is unset, as in
-    tests) and read again: a loop's lineage ends there."""
+    """df written as a table in the folder all executors share and read again: a loop's lineage ends there. The folder is
+    spark.checkpoint.dir; where it is unset, a local session gets an own one, and on a cluster that is an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.vectors import similar_pairs, topk
+from cairn.functions.vectors import topk
 from cairn.operators.base import active, top
 
 
@@ -21,13 +21,9 @@ def _edges(pairs: DataFrame) -> DataFrame:
 
 
 def link_unlinked(mem: DataFrame, edges: DataFrame, as_of: Column, threshold: float = 0.85, max_links: int = 5) -> DataFrame:
-    """The same for every active memory with a vector and no outgoing automatic edge: a blocked self-join, so the table may be large."""
-    live = mem.filter(active(as_of) & F.col("embedding").isNotNull())
+    """The same for every active memory with a vector and no outgoing automatic edge."""
     done = edges.filter(F.col("created_by") == "auto").select(F.col("source_id").alias("id"))
-    pairs = similar_pairs(live, threshold)
-    ways = pairs.select(F.col("x").alias("source_id"), F.col("y").alias("target_id"), F.col("similarity").alias("strength")).unionByName(pairs.select(F.col("y").alias("source_id"), F.col("x").alias("target_id"), F.col("similarity").alias("strength")))
-    todo = ways.join(done.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
-    return _edges(top(todo, ["source_id"], [F.desc("strength"), F.asc("target_id")], max_links))
+    return auto_link(mem.filter(active(as_of)).join(done, "id", "left_anti"), mem, as_of, threshold, max_links)
 
 
 def keep_known(edges: DataFrame, new: DataFrame) -> DataFrame:

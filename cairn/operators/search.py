@@ -83,14 +83,12 @@ def graph_boost(edges: DataFrame) -> DataFrame:
 
 def match_memories(queries: DataFrame, mem: DataFrame, edges: DataFrame, as_of: Column, threshold: float = 0.7, k: int = 10) -> DataFrame:
     """Similar memories by similarity x softplus(base-level activation) x confidence x graph boost. All over the threshold compete."""
-    live = mem.filter(active(as_of))
-    found = topk(explode_profiles(queries), live, 2**31 - 1, threshold)
-    facts = live.select("id", "access_count", "confidence", F.coalesce("last_accessed_at", "created_at").alias("since"))
-    joined = found.join(facts, "id").join(graph_boost(edges), "id", "left")
     n = F.col("access_count") + 1
-    level = F.log(n) - 0.5 * F.log(F.greatest(age_days(F.col("since"), as_of), F.lit(0.01)) / n)
-    relevance = F.col("similarity") * F.log1p(F.exp(level)) * F.col("confidence") * (1 + 0.2 * F.coalesce("graph_boost", F.lit(0.0)))
-    return top(joined.select("query_id", "id", "similarity", F.round(relevance, 6).alias("relevance")), ["query_id"], [F.desc("relevance"), F.asc("id")], k)
+    level = F.log(n) - 0.5 * F.log(F.greatest(age_days(F.coalesce("last_accessed_at", "created_at"), as_of), F.lit(0.01)) / n)
+    live = mem.filter(active(as_of)).join(graph_boost(edges), "id", "left")
+    live = live.withColumn("weight", F.log1p(F.exp(level)) * F.col("confidence") * (1 + 0.2 * F.coalesce("graph_boost", F.lit(0.0))))
+    found = topk(explode_profiles(queries), live, k, threshold, "weight").select("query_id", "id", "similarity", F.round("score", 6).alias("relevance"))
+    return top(found, ["query_id"], [F.desc("relevance"), F.asc("id")], k)
 
 
 def entity_overlap(query_tags: Column, tags: Column) -> Column:

@@ -104,15 +104,36 @@ def test_queries(spark):
     assert [r[0] for r in df.select(T.reformulate_query(q)).collect()] == ["red car Anna garage", "abc"]
 
 
-def test_pairs_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [4096, 8])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_topk_equals_brute_force(spark, monkeypatch, block, kind):
+    """Queries sent around, or both sides dealt into pairs of blocks; with ties, a minimum and a weight."""
     import numpy as np
 
-    x = np.random.default_rng(3).normal(size=(120, 6))
-    df = spark.createDataFrame([(i, "p" if i % 3 else "q", v.tolist()) for i, v in enumerate(x)], "id long, profile string, embedding array<float>")
+    monkeypatch.setattr(V, "BLOCK", block)
+    monkeypatch.setattr(V, "ROWS", 16)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 6))
+    x[60:70] = x[50]
+    of = (lambda i: i) if kind == "long" else str
+    rows = [(of(i), ("p", "q", None)[min(i % 3, 1 + (i == 2))], v.tolist(), 1.0 + i % 4) for i, v in enumerate(x)]
+    mem = spark.createDataFrame([*rows, (of(500), "p", None, 1.0)], f"id {kind}, profile string, embedding array<float>, w double")
     u = x.astype(np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if (i % 3 > 0) == (j % 3 > 0) and round(float(u[i] @ u[j]), 6) > 0.5}
-    assert {(r[0], r[1]) for r in V.similar_pairs(df, 0.5, block=16).collect()} == want
+    for weight in (None, "w"):
+        found = V.topk(mem.select(F.col("id").alias("query_id"), "profile", "embedding"), mem, 4, 0.2, weight)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r["query_id"], []).append((-round(r["similarity"] * (r["score"] / r["similarity"] if weight else 1), 6), r["id"]))
+        for i in range(120):
+            all_ = sorted((-round(s * (rows[j][3] if weight else 1), 6), of(j)) for j in range(120) if rows[i][1] is not None and rows[j][1] == rows[i][1] and (s := round(float(u[i] @ u[j]), 6)) > 0.2)
+            assert sorted(got.get(of(i), []))[:4] == all_[:4]
+
+
+def test_cosine_in_sql(spark):
+    V.register(spark)
+    got = spark.sql("SELECT cosine_similarity(array(1.0, 0.0), array(1.0, 1.0)) a, cosine_similarity(array(0.0), array(1.0)) b, cosine_similarity(NULL, array(1.0)) c").first()
+    assert round(got["a"], 6) == 0.707107 and got["b"] is None and got["c"] is None
 
 
 def test_walks(spark):
