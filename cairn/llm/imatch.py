@@ -102,37 +102,56 @@ def likeness(a: str, b: str) -> float:
     return sum(p == q for p, q in seen) / len(seen) if seen else 0.0
 
 
+#: Ranges of ids whose borders are read from the ids' distribution.
+RANGES = 4096
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 512) -> DataFrame:
     """doc_id, text, next_text: the text of the next document by ascending id, of the first one after the last.
 
-    Ids are whole numbers. They fall into ranges of about per_bucket documents; within one, the next row is a
-    window's lead; for the last row of a range it is the first row of the next range that has any. Only the ids of
-    the ranges, one for per_bucket documents, are ordered in one place. Null ids come first; rows that repeat an id
-    follow each other by text; a null text is empty.
+    Ids are whole numbers. Quantiles of the ids cut them into at most RANGES ranges of about equally many documents, and
+    each range is cut into buckets of equal width, for about per_bucket documents; so a far-off id widens no bucket but
+    its own range's. Within a bucket, the next row is a window's lead; for its last row it is the first row of the next bucket
+    of the range, or of the next range. Null ids come first; rows that repeat an id follow each other by text; a null text
+    is empty.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    n, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    width = max(1, math.ceil(((high or 0) - (low or 0) + 1) / max(1, n) * per_bucket))
-    rows = rows.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
-    ordered = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    ids = rows.select("bucket").distinct()
-    following = ids.select("bucket", F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(Window.partitionBy())).alias("after"))
-    firsts = rows.groupBy("bucket").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "text"))["text"].alias("first_text"))
-    borders = following.join(firsts.withColumnRenamed("bucket", "after"), "after").select("bucket", "first_text")
-    led = rows.select("bucket", "doc_id", "text", F.lead("text").over(ordered).alias("lead"))
-    return led.join(borders, "bucket").select("doc_id", "text", F.coalesce("lead", "first_text").alias("next_text"))
+    n = rows.count()
+    parts = max(1, min(RANGES, -(-n // per_bucket)))
+    edges = rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    cuts = np.unique(np.array(edges, np.float64)).astype(np.int64)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(1 + np.searchsorted(cuts, ids.to_numpy(), "right"), dtype="int32")
+
+    range_of = F.when(F.col("doc_id").isNull(), 0).otherwise(place(F.coalesce("doc_id", F.lit(0))))
+    placed = rows.withColumn("range", range_of)
+    spans = {r["range"]: r for r in rows.select("doc_id").withColumn("range", range_of).groupBy("range").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()}  # at most RANGES + 1 rows
+    if not spans:
+        return rows.withColumn("next_text", F.col("text"))
+    facts = [(k, r["low"] or 0, max(1, math.ceil(((r["high"] or 0) - (r["low"] or 0) + 1) / r["n"] * per_bucket)), min((x for x in spans if x > k), default=min(spans))) for k, r in spans.items()]
+    ranges = docs.sparkSession.createDataFrame(facts, "range int, low long, width long, after_range int")
+    placed = placed.join(F.broadcast(ranges), "range").withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - F.col("low")) / F.col("width")), F.lit(0)).cast("long"))
+    ordered = Window.partitionBy("range", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    firsts = placed.groupBy("range", "after_range", "bucket").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "text"))["text"].alias("first"))
+    within = firsts.withColumn("following", F.lead("first").over(Window.partitionBy("range").orderBy("bucket")))
+    starts = firsts.groupBy(F.col("range").alias("after_range")).agg(F.min(F.struct("bucket", "first"))["first"].alias("of_next"))
+    borders = within.join(starts, "after_range").select("range", "bucket", F.coalesce("following", "of_next").alias("first_text"))
+    led = placed.select("range", "bucket", "doc_id", "text", F.lead("text").over(ordered).alias("lead"))
+    return led.join(borders, ["range", "bucket"]).select("doc_id", "text", F.coalesce("lead", "first_text").alias("next_text"))
 
 
 def fingerprints(docs: DataFrame, low: float = 1 / 1000, high: float = 1 / 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint of every text. A null text is empty; equal texts have equal fingerprints."""
-    words = lexicon(docs, low, high, text_col)
+    words = docs.sparkSession.sparkContext.broadcast(lexicon(docs, low, high, text_col))
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("fingerprint", _fingerprint_of(words)("text")).drop("text")
 
 
-def _fingerprint_of(words: np.ndarray):
+def _fingerprint_of(words):
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda t: fingerprint(t, words))
+        return texts.fillna("").map(lambda t: fingerprint(t, words.value))
 
     return run
 

@@ -2,10 +2,12 @@
 
 State is three tables. `postings` has a row for each document and distinct line key; `refs` counts the documents of
 each key and keeps the largest id; `filters` has one cuckoo filter for each shard of the keys that at least
-`min_docs` documents hold. Inserting documents adds postings, deleting them takes their postings away; the counts
-follow, and the filters change only by the keys whose count crossed the limit. A filter answers most lines ("this
-key is in fewer documents") without the exact table; what passes is joined with it, so false positives cost work
-only, and a filter that overflows lets everything pass.
+`min_docs` documents hold. A change writes what it touches and no more: inserting documents writes their postings and the
+new counts of their keys, deleting them the new counts of theirs (and looks for the largest id only of keys that lost
+it), and of the filters only the shards of keys whose count crossed the limit. Older rows are passed over when the tables
+are read; compact() writes the state anew. A filter answers most lines ("this key is in fewer documents") without the
+exact table; what passes is joined with it, so false positives cost work only, and a filter that overflows lets
+everything pass.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import functions as F
 from cairn.llm.common import column, cut, mix64, slices, texts_of
 
 SLOTS = 4
-#: Filters up to this size in all are sent to every executor; beyond it, lines go to the exact join unfiltered.
+#: Filters up to this size in all are sent to every task; larger ones meet their shard's postings in a shuffle.
 MOST_FILTER_BYTES = 32 * 2**20
 KEYS_PER_SHARD = 20_000
+#: Postings that are probed in one group of such a shuffle.
+GROUP = 200_000
 
 
 class CuckooFilter:
@@ -144,23 +148,35 @@ def change_filters(filters: DataFrame | None, add: DataFrame, remove: DataFrame
 
 
 def may_repeat(posted: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """Those postings whose key the filters hold; all of them if the filters are too large to send around."""
+    """Those postings whose key the filters hold. A shard's postings are split into groups of about GROUP, however many
+    documents hold one of its lines."""
     size = filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-    if size > MOST_FILTER_BYTES:
-        return posted
-    have = {r["shard"]: bytes(r["filter"]) for r in filters.collect()}  # at most MOST_FILTER_BYTES
+    if size <= MOST_FILTER_BYTES:
+        have = {r["shard"]: bytes(r["filter"]) for r in filters.collect()}  # at most MOST_FILTER_BYTES
 
-    def run(batches):
-        loaded = {k: CuckooFilter.load(v) for k, v in have.items()}
-        for b in batches:
-            high = column(b, "high").to_numpy()
-            shard, keep = np.mod(high, shards), np.zeros(len(high), bool)
-            for k, f in loaded.items():
-                at = np.flatnonzero(shard == k)
-                keep[at] = f.holds(high[at])
-            yield b.filter(pa.array(keep))
+        def run(batches):
+            loaded = {k: CuckooFilter.load(v) for k, v in have.items()}
+            for b in batches:
+                high = column(b, "high").to_numpy()
+                shard, keep = np.mod(high, shards), np.zeros(len(high), bool)
+                for k, f in loaded.items():
+                    at = np.flatnonzero(shard == k)
+                    keep[at] = f.holds(high[at])
+                yield b.filter(pa.array(keep))
+
+        return posted.mapInArrow(run, posted.schema)
+    dealt = _sharded(posted, shards)
+    groups = cut(dealt.groupBy("shard").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")), "groups")
+    dealt = dealt.join(groups, "shard").withColumn("group", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("groups")).cast("int")).drop("groups")
+    sent = filters.join(groups, "shard").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("shard", "group", "filter")
+
+    names = posted.columns
+
+    def probe(rows: pa.Table, own: pa.Table) -> pa.Table:
+        keep = CuckooFilter.load(own.column("filter")[0].as_py()).holds(rows.column("high").to_numpy()) if own.num_rows else np.zeros(rows.num_rows, bool)
+        return rows.filter(pa.array(keep)).select(names)
 
-    return posted.mapInArrow(run, posted.schema)
+    return dealt.groupBy("shard", "group").cogroup(sent.groupBy("shard", "group")).applyInArrow(probe, posted.schema)
 
 
 @dataclass
@@ -177,28 +193,51 @@ class LineIndex:
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> LineIndex:
         posted = cut(postings(docs, min_chars), "postings")
-        refs = cut(references(posted).filter(F.col("n_docs") >= 2), "refs")  # a key that one document holds needs no row: its postings say so
-        shards = 1 + refs.filter(F.col("n_docs") >= min_docs).count() // KEYS_PER_SHARD
-        filters = cut(change_filters(None, refs.filter(F.col("n_docs") >= min_docs), None, shards), "filters")
-        return cls(posted, refs, filters, shards, min_docs, min_chars)
-
-    def _changed(self, posted: DataFrame) -> LineIndex:
-        posted = cut(posted, "postings")
-        refs = cut(references(posted).filter(F.col("n_docs") >= 2), "refs")
-        often = lambda t: t.filter(F.col("n_docs") >= self.min_docs).select("high", "low")
-        add, remove = often(refs).join(often(self.refs), ["high", "low"], "left_anti"), often(self.refs).join(often(refs), ["high", "low"], "left_anti")
-        filters = cut(change_filters(self.filters, add, remove, self.shards), "filters")
+        refs = cut(references(posted), "refs")
+        often = refs.filter(F.col("n_docs") >= min_docs)
+        shards = 1 + often.count() // KEYS_PER_SHARD
+        return cls(posted, refs, cut(change_filters(None, often, None, shards), "filters"), shards, min_docs, min_chars)
+
+    def _changed(self, posted: DataFrame, touched: DataFrame) -> LineIndex:
+        """touched: high, low, was, n_docs (0 for a key that no document holds any more), last_doc; a small written table."""
+        kept = self.refs.join(touched.select("high", "low"), ["high", "low"], "left_anti")
+        refs = kept.unionByName(touched.filter(F.col("n_docs") > 0).select("high", "low", "n_docs", "last_doc"))
+        now, before = F.col("n_docs") >= self.min_docs, F.col("was") >= self.min_docs
+        add, remove = touched.filter(now & ~before), touched.filter(~now & before)
+        shards = _sharded(add.select("high").unionByName(remove.select("high")), self.shards).select("shard").distinct()
+        own = cut(change_filters(self.filters.join(shards, "shard", "left_semi"), add, remove, self.shards), "filters")
+        filters = self.filters.join(own.select("shard"), "shard", "left_anti").unionByName(own)
         return LineIndex(posted, refs, filters, self.shards, self.min_docs, self.min_chars)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        return self._changed(self.postings.unionByName(postings(docs, self.min_chars)))
+        """With more documents, whose ids aren't in it yet; documents that repeat a text or an id count each."""
+        new = cut(postings(docs, self.min_chars), "postings")
+        more = references(new).withColumnsRenamed({"n_docs": "more", "last_doc": "latest"})
+        touched = more.join(self.refs, ["high", "low"], "left").select(
+            "high", "low", F.coalesce("n_docs", F.lit(0)).alias("was"), (F.coalesce("n_docs", F.lit(0)) + F.col("more")).alias("n_docs"), F.greatest("last_doc", "latest").alias("last_doc")
+        )
+        return self._changed(self.postings.unionByName(new), cut(touched, "touched"))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents whose doc_id is in doc_ids; a null id deletes nothing."""
-        return self._changed(self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"))
+        ids = cut(doc_ids.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct(), "deleted")
+        left = self.postings.join(ids, "doc_id", "left_anti").select(*self.postings.columns)
+        less = references(self.postings.join(ids, "doc_id", "left_semi")).withColumnsRenamed({"n_docs": "less", "last_doc": "latest"})
+        met = cut(less.join(self.refs, ["high", "low"]), "met")
+        lost = met.filter((F.col("n_docs") > F.col("less")) & (F.col("latest") == F.col("last_doc"))).select("high", "low")
+        found = left.join(lost, ["high", "low"], "left_semi").groupBy("high", "low").agg(F.max("doc_id").alias("found"), F.lit(1).alias("again"))
+        touched = met.join(found, ["high", "low"], "left").select(
+            "high", "low", F.col("n_docs").alias("was"), (F.col("n_docs") - F.col("less")).alias("n_docs"), F.when(F.col("again") == 1, F.col("found")).otherwise(F.col("last_doc")).alias("last_doc")
+        )
+        return self._changed(left, cut(touched, "touched"))
+
+    def compact(self) -> LineIndex:
+        """The same state, written anew, after many changes."""
+        return LineIndex(cut(self.postings, "postings"), cut(self.refs, "refs"), cut(self.filters, "filters"), self.shards, self.min_docs, self.min_chars)
 
     def drops(self) -> DataFrame:
-        """doc_id, text_hash, keys: the hashes of the keys whose lines a document loses."""
+        """doc_id, text_hash, keys: the hashes of the keys whose lines a document loses. The exact counts are a written table,
+        so that the join can split a line that very many documents hold."""
         exact = self.refs.filter(F.col("n_docs") >= self.min_docs)
         return (
             may_repeat(self.postings, self.filters, self.shards)

@@ -104,16 +104,24 @@ def difference_hash(image: np.ndarray, side: int = 8) -> str:
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
+def peak(data: bytes) -> int:
+    """The value of white: what a Netpbm header says, else 255."""
+    m = _HEAD.match(data)
+    return int(m[4]) if m and m[1] not in (b"P1", b"P4") else 255
+
+
 def store_payload(df: DataFrame, payload_col: str = "payload", width: int = 64, form: str = "pgm") -> DataFrame:
-    """Adds media: each payload (bytes, a positive multiple of width) as an 8-bit grey image of that width."""
+    """Adds media: each payload (bytes, a positive multiple of width) as an 8-bit grey image of that width. A null payload
+    gives a null medium; equal payloads give equal media; a column called media is replaced."""
     write = {"pgm": write_pgm, "bmp": write_bmp}[form]
-    return _mapped(df, {"media": "binary"}, lambda row: (write(np.frombuffer(row[payload_col], np.uint8).reshape(-1, width)),), [payload_col])
+    return _mapped(df, {"media": "binary"}, lambda row: (None if row[payload_col] is None else write(np.frombuffer(row[payload_col], np.uint8).reshape(-1, width)),), [payload_col])
 
 
 def featurize(df: DataFrame, media_col: str = "media", tile: int = 16) -> DataFrame:
     """Adds height, width, payload (the decoded samples' bytes), tile (NPY of the area-resized image) and dhash.
 
-    A null or unreadable medium has nulls in all of them.
+    A null or unreadable medium has nulls in all of them. Tiles have 8 bits: samples are scaled so that the medium's white is
+    255. Columns of those names are replaced.
     """
 
     def one(row):
@@ -121,7 +129,7 @@ def featurize(df: DataFrame, media_col: str = "media", tile: int = 16) -> DataFr
             image = decode(row[media_col])
         except (ValueError, TypeError, struct.error, IndexError, AttributeError):
             return None, None, None, None, None
-        small = np.round(resize(image, tile, tile)).astype(np.uint8)
+        small = np.round(np.round(resize(image, tile, tile) * (255 / peak(row[media_col])), 6)).astype(np.uint8)  # a half is a half, however it was summed
         return image.shape[0], image.shape[1], image.tobytes(), npy(small), difference_hash(image)
 
     return _mapped(df, {"height": "long", "width": "long", "payload": "binary", "tile": "binary", "dhash": "string"}, one, [media_col])

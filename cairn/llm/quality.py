@@ -180,7 +180,8 @@ def _moments(row, most: float = 1e4) -> float:
 
 
 def posteriors(scored: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
-    """host, path, and for each head the host's and the path's posterior mean and the corpus's: a grouped table.
+    """host, path, and for each head the host's and the path's posterior mean and the corpus's: a grouped table. Other columns of
+    scored don't matter; repeated rows count each; an empty table gives an empty one.
 
     Sums are made before the shuffle, so a host with a third of all rows costs a row a task. Null hosts and paths are
     groups of their own.
@@ -206,7 +207,13 @@ MOST_GROUPS = 50_000
 
 
 def combine(scored: DataFrame, groups: DataFrame, heads: dict[str, Head], host: str = "host", path: str = "path", weight: float = 1.0) -> DataFrame:
-    """scored with host_*, path_*, final_* probabilities and keep: false where a final probability is over its head's limit."""
+    """scored with host_*, path_*, final_* probabilities and keep: false where a final probability is over its head's limit.
+
+    Null hosts and paths find their own group; rows that repeat an id are judged each for itself. Columns of scored called
+    like those that are added are replaced, unless they are the host or the path.
+    """
+    made = [f"{part}_{h}" for part in ("host", "path", "all", "final") for h in HEADS]
+    scored = scored.drop(*[c for c in (*made, "keep") if c not in (host, path)])
     groups = cut(groups.withColumnsRenamed({host: "__h", path: "__p"}), "posteriors")
     side = F.broadcast(groups) if groups.count() <= MOST_GROUPS else groups
     out = scored.join(side, F.col(host).eqNullSafe(F.col("__h")) & F.col(path).eqNullSafe(F.col("__p")), "left").drop("__h", "__p")

@@ -103,10 +103,10 @@ def anchors(docs: DataFrame, window: int, seed: int) -> DataFrame:
     return grouped.filter(F.col("n") >= 2).select("anchor", (F.col("least") == F.col("most")).alias("alike"))
 
 
-def repeats(docs: DataFrame, window: int = 35, seed: int = 12, bits: int = 26) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 35, seed: int = 12, bits: int | None = None) -> DataFrame:
     """doc_id, text_hash, runs (array of start, count): windows whose words also start elsewhere. docs: doc_id, text_hash, text.
 
-    A document is a row; rows that repeat one are copies of it. Anchors that repeat pass through two bitmaps of fixed
+    A document is a row; rows that repeat one are copies of it. Anchors that repeat pass through two bitmaps of bounded
     size, whose false positives find no partner in the exact count that follows.
     """
     spark = docs.sparkSession
@@ -129,6 +129,7 @@ def repeats(docs: DataFrame, window: int = 35, seed: int = 12, bits: int = 26) -
     kind = dict(docs.dtypes)["doc_id"]
     units = cut(docs.mapInArrow(run, f"anchor long, unit long, doc_id {kind}, text_hash long, start int, count int"), "units")
     twice = units.groupBy("anchor", "unit").agg(F.count("*").alias("n")).filter(F.col("n") >= 2).drop("n")
+    twice = cut(twice, "twice")  # so that the join can split a unit that very many documents hold
     return units.join(twice, ["anchor", "unit"]).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
 
 

@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from cairn.llm import lines
 from cairn.llm.lines import CuckooFilter, LineIndex, dedup_lines
 from cairn.llm.queries import op8_lines
 from tests.llm import brute
@@ -21,7 +23,11 @@ HARD = [
 ]
 
 
-def test_brute(spark):
+@pytest.mark.parametrize("sent", [2**25, 0])
+def test_brute(spark, monkeypatch, sent):
+    """Also with filters that meet their postings in a shuffle, in small groups."""
+    monkeypatch.setattr(lines, "MOST_FILTER_BYTES", sent)
+    monkeypatch.setattr(lines, "GROUP", 2)
     assert result(dedup_lines(frame(spark, HARD))) == brute.lines(HARD)
 
 
@@ -42,6 +48,24 @@ def test_reversible(spark):
     assert sum(h.sum() for h in held) <= was + 1
 
 
+def test_changes_write_what_they_touch(spark, monkeypatch):
+    """A small change to a large state writes few rows, and any series of changes gives the state of building anew."""
+    docs = [(i, f"the common line of all of them\nline number {i // 4} of some\nown line number {i}") for i in range(400)]
+    state = LineIndex.build(frame(spark, docs))
+    written = []
+    cut = lines.cut
+    monkeypatch.setattr(lines, "cut", lambda df, name: written.append((name, (out := cut(df, name)).count())) or out)
+    state = state.insert(frame(spark, [(400, "line number 3 of some\na new line that is long"), (401, "line number 3 of some")]))
+    state = state.delete(spark.createDataFrame([(12,), (401,), (399,), (None,)], "doc_id long"))
+    assert sum(n for _, n in written) < 60
+    left = [(i, t) for i, t in [*docs, (400, "line number 3 of some\na new line that is long")] if i not in (12, 399)]
+    fresh, now = LineIndex.build(frame(spark, left)), state.compact()
+    for one in (state, now):
+        assert sorted(map(tuple, one.refs.collect())) == sorted(map(tuple, fresh.refs.collect()))
+        assert sorted(map(tuple, one.postings.collect())) == sorted(map(tuple, fresh.postings.collect()))
+    assert result(dedup_lines(frame(spark, left), state)) == brute.lines(left)
+
+
 def test_cuckoo():
     keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 20_000)
     f = CuckooFilter.sized(len(keys))

@@ -37,6 +37,21 @@ def test_resize():
     assert np.isclose(M.resize(np.ones((1, 64)), 16, 16), 1).all()
 
 
+def plain_means(x, height, width):
+    """Each target pixel's mean by weights of the rows and columns that it covers, without an integral image."""
+    def weights(n, m):
+        lo, hi = np.arange(m)[:, None] * n / m, (np.arange(m)[:, None] + 1) * n / m
+        return np.clip(np.minimum(hi, np.arange(n) + 1) - np.maximum(lo, np.arange(n)), 0, None) / (n / m)
+
+    return weights(x.shape[0], height) @ x.astype(float) @ weights(x.shape[1], width).T
+
+
+def plain_hash(x):
+    small = np.round(plain_means(x, 8, 9), 6)
+    bits = "".join(str(int(small[i, j + 1] > small[i, j])) for i in range(8) for j in range(8))
+    return f"{int(bits, 2):016x}"
+
+
 def test_query(spark, sf_dir):
     docs = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     for r in op10_media(spark, sf_dir).collect():
@@ -45,6 +60,8 @@ def test_query(spark, sf_dir):
         head = b"P5\n64 %d\n255\n" % (len(payload) // 64)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-64:])
+        x = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        assert r["feature"] == f"{plain_hash(x)}:{hashlib.sha256(M.npy(np.round(np.round(plain_means(x, 16, 16), 6)).astype(np.uint8))).hexdigest()}"
         assert (r["media_bytes"], r["media_sha256"]) == (len(head) + len(payload), hashlib.sha256(head + payload).hexdigest())
 
 
@@ -55,3 +72,9 @@ def test_edges(spark):
     assert got[1]["height"] == 8 and np.load(io.BytesIO(got[1]["tile"])).shape == (16, 16)
     assert all(got[i]["payload"] is None and got[i]["dhash"] is None for i in (2, 3, 4, 5))
     assert M.featurize(df.limit(0)).count() == 0
+    stored = M.store_payload(spark.createDataFrame([(1, bytearray(64), "x"), (2, None, "y"), (3, bytearray(64), "z")], "id int, payload binary, media string")).collect()
+    assert stored[1]["media"] is None and stored[0]["media"] == stored[2]["media"]
+    deep = b"P5 2 2 65535\n" + np.array([[0, 65535], [65535, 300]], ">u2").tobytes()
+    low = b"P2 2 1 100\n 100 50"
+    wide = {r["id"]: np.load(io.BytesIO(r["tile"])) for r in M.featurize(spark.createDataFrame([(1, deep), (2, low)], "id int, media binary"), tile=2).collect()}
+    assert wide[1].tolist() == [[0, 255], [255, 1]] and wide[2].tolist() == [[255, 128]] * 2

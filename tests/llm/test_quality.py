@@ -1,3 +1,8 @@
+import math
+import random
+from collections import defaultdict
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from cairn.llm import quality
@@ -32,6 +37,44 @@ def test_shrinkage(spark):
     assert overall < got["c", "x"]["host_low"] < 0.9
 
 
+def plain_posteriors(rows):
+    """The posterior means in plain Python: moments of the groups give each prior's strength."""
+    def strength(groups):  # (n, mean, prior)
+        n = sum(g[0] for g in groups)
+        within = sum(g[0] * g[2] * (1 - g[2]) for g in groups) / n
+        extra = (sum(g[0] * (g[1] - g[2]) ** 2 for g in groups) - len(groups) * within) / n
+        return min(1e4, max(1.0, within / extra)) if len(groups) > 1 and extra > 0 and within > 0 else 1e4
+
+    by = defaultdict(list)
+    for host, path, p in rows:
+        by[host, path].append(p)
+    overall = (sum(p for *_, p in rows) + 0.5) / (len(rows) + 1)
+    hosts = {h: [p for (x, _), ps in by.items() if x == h for p in ps] for h, _ in by}
+    k = strength([(len(ps), sum(ps) / len(ps), overall) for ps in hosts.values()])
+    host = {h: (sum(ps) + k * overall) / (len(ps) + k) for h, ps in hosts.items()}
+    k = strength([(len(ps), sum(ps) / len(ps), host[h]) for (h, _), ps in by.items()])
+    return {(h, q): (host[h], (sum(ps) + k * host[h]) / (len(ps) + k), overall) for (h, q), ps in by.items()}
+
+
+def test_posteriors_and_decisions(spark):
+    """Posteriors, final odds and decisions against the plain version, with null groups, repeated rows and clashing columns."""
+    rng = random.Random(4)
+    rows = [(h, q, round(min(1.0, max(0.0, rng.gauss(m, 0.2))), 3)) for h, q, m, n in (("a", "x", 0.2, 40), ("a", None, 0.6, 7), (None, "x", 0.8, 12), ("b", "y", 0.4, 30), ("c", "x", 0.1, 1)) for _ in range(n)]
+    rows += rows[:3]
+    scored = spark.createDataFrame([(h, q, p, 0.0, "old", 7.0, True) for h, q, p in rows], "host string, path string, p_low double, p_toxic double, host_low string, all_low double, keep boolean")
+    want, groups = plain_posteriors(rows), quality.posteriors(scored)
+    got = {(r["host"], r["path"]): (r["host_low"], r["path_low"], r["all_low"]) for r in groups.collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for g in want for a, b in zip(got[g], want[g]))
+    heads = {"low": quality.Head({}, [], np.zeros(1), 0.6)}
+    out = quality.combine(scored, groups, heads).collect()
+    assert len(out) == len(rows) and len(set(out[0].asDict())) == len(out[0])
+    logit = lambda p: math.log(p / (1 - p))
+    for r in out:
+        _, path, overall = want[r["host"], r["path"]]
+        final = 1 / (1 + math.exp(-(logit(min(1 - 1e-6, max(1e-6, r["p_low"]))) + logit(path) - logit(overall))))
+        assert abs(r["final_low"] - final) < 1e-9 and r["keep"] == (final <= 0.6)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, None, "p", 0.5), (2, "", "h", None, 0.5), (2, "word " * 20_000, "h", None, 0.5)], "doc_id long, text string, host string, path string, p_low double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
