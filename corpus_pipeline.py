@@ -15,6 +15,9 @@ from cairn.llm.common import cut, keep, scratch, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+#: Row numbers of documents to drop up to this number, 8 MB, are sent to every task; more are joined in a shuffle.
+MOST_SENT = 1_000_000
+
 
 def _packed(docs: DataFrame) -> DataFrame:
     """The columns a stage needs, beside all others as one, so that no name clashes."""
@@ -29,7 +32,11 @@ def _unpacked(rows: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier finds of low quality or toxic go. Host: source; path: language within it."""
+    """Documents that the classifier finds of low quality or toxic go. Host: source; path: language within it.
+
+    A row without text has no evidence against it; rows without an id or that repeat one are judged each by its text; an empty
+    table stays empty.
+    """
     rows = _packed(docs)
     heads = quality.fit(rows, table(spark, sf_dir, "labels"))
     scored = cut(quality.classify(rows, heads), "scored")
@@ -38,7 +45,11 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 20 characters or more that three or more documents have stay in the one of largest id only."""
+    """Lines of 20 characters or more that three or more documents have stay in the one of largest id only.
+
+    A row is a document: rows that repeat an id count each, and a null id is smaller than any. A null text stays one empty
+    line; an empty table stays empty.
+    """
     return _unpacked(lines.dedup_lines(_packed(docs).drop("host", "path")), docs)
 
 
@@ -57,19 +68,21 @@ def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exactly one row of each group of near duplicates stays, that of smallest id; each row is judged by its own text."""
     rows = _numbered(docs)
     judged = neardup.near_duplicates(rows.select("__row", "text"), id_col="__row")
-    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__row"))
+    gone = cut(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__row")), "gone")
+    gone = F.broadcast(gone) if gone.count() <= MOST_SENT else gone
     return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind."""
+    """Spans of personal data are replaced by their kind. A null text stays null; ids don't matter; an empty table stays empty."""
     proposed = cut(pii.propose(_packed(docs).drop("host", "path")), "proposed")
     spans = pii.select(proposed, pii.fit(proposed))
     return _unpacked(spans.withColumn("text", pii.redacted(F.col("text"), F.col("__spans"))), docs)
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences of as many."""
+    """Pieces of at most 2048 tokens and their places in sequences of as many. A null text is the end mark alone; rows that
+    repeat an id or have none are packed each; an empty table gives an empty one."""
     return packing.pack_documents(docs.select("doc_id", "text"), TOKENIZER)
 
 
