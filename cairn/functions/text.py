@@ -37,11 +37,16 @@ FILLER = (
 ENTITY_TYPES = ("entity", "file", "error", "event", "activity", "emotion", "preference", "relationship", "quantity", "location", "person")
 # Patterns of secrets, dates and names.
 MASK = "***MASKED***"
-SECRET_ASSIGNED = (
-    r"(?i)((?:api[_-]?key|secret[_-]?key|access[_-]?key|access[_-]?token|auth[_-]?token|password|passwd|bearer|token|sk[_-]live|sk[_-]proj|pk[_-]live|sk[_-]test|pk[_-]test"
-    r"|ghp_|gho_|github_pat_|glpat-|xoxb-|xoxp-|whsec_|AKIA[A-Z0-9]{16}|eyJ[A-Za-z0-9_-]{20,})[=:\s]+\s*['\"]?)[A-Za-z0-9_\-./+=]{8,}['\"]?"
+SECRET_NAMES = (
+    r"api[_-]?key", r"secret[_-]?key", r"access[_-]?key", r"access[_-]?token", r"auth[_-]?token", "password", "passwd", "bearer", "token",
+    "sk[_-]live", "sk[_-]proj", "pk[_-]live", "sk[_-]test", "pk[_-]test", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "whsec_", "sb_secret_",
+    "SG\\.[A-Za-z0-9_-]{20}", "npm_[A-Za-z0-9]{20}", "pypi-[A-Za-z0-9]{20}", "pa-[A-Za-z0-9_-]{20}", "npg_[A-Za-z0-9]{10}", "AKIA[A-Z0-9]{16}", "eyJ[A-Za-z0-9_-]{20,}",
+)
+SECRET_TOKENS = (
+    "ghp_[A-Za-z0-9]{36}", "gho_[A-Za-z0-9]{36}", "github_pat_[A-Za-z0-9_]{20,}", "glpat-[A-Za-z0-9\\-]{20,}", "AKIA[A-Z0-9]{16}", "SG\\.[A-Za-z0-9_\\-]{20,}", "xox[bpars]-[A-Za-z0-9\\-]{10,}",
+    "sk-ant-[A-Za-z0-9\\-]{20,}", "sk-proj-[A-Za-z0-9\\-]{20,}", "sk-[A-Za-z0-9]{40,}", "npm_[A-Za-z0-9]{36}", "pypi-[A-Za-z0-9]{20,}", "whsec_[A-Za-z0-9]{20,}",
+    "\\d{8,12}:[A-Za-z0-9_-]{35}", "[A-Za-z0-9]{24}\\.[A-Za-z0-9_-]{6}\\.[A-Za-z0-9_-]{27}",
 )
-SECRET_BARE = r"(?:ghp_[A-Za-z0-9]{36}|gho_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9\-]{20,}|AKIA[A-Z0-9]{16}|SG\.[A-Za-z0-9_\-]{20,}|xox[bpars]-[A-Za-z0-9\-]{10,}|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9]{20,}|whsec_[A-Za-z0-9]{20,})"
 SECRET_URL = r"://([^:]+):([^@]{3,})@"
 SECRET_ENV = r"(?i)((?:api_key|secret_key|access_key|access_token|auth_token|password|passwd|bearer|private_key|database_url|connection_string|dsn|redis_url|valkey_url|mongodb_uri|encryption_key|signing_key|webhook_secret)\s*[=:]\s*['\"]?)[^\s'\"]+['\"]?"
 ISO_DATE = r"\b(\d{4}[-/]\d{1,2}[-/]\d{1,2})\b"
@@ -66,10 +71,13 @@ def has_word(text: Column, words) -> Column:
     return like(F.lower(text), any_of(words))
 
 
-def mask_secrets(text: Column) -> Column:
-    """Values of keys, bare tokens, credentials in URLs and values of well-known variables, in this order."""
-    out = F.regexp_replace(text, SECRET_ASSIGNED, "$1" + MASK.replace("*", r"\*"))
-    out = F.regexp_replace(out, SECRET_BARE, MASK)
+def mask_secrets(text: Column, own: tuple[str, ...] = ()) -> Column:
+    """Values of keys, bare tokens, credentials in URLs and values of well-known variables, in this order. own: further
+    beginnings of keys, as patterns; a token that starts so goes with the 20 characters or more after it."""
+    either = lambda *patterns: "(?:" + "|".join(patterns) + ")"
+    assigned = r"(?i)(" + either(*SECRET_NAMES, *own) + r"[=:\s]+\s*['\"]?)[A-Za-z0-9_\-./+=]{8,}['\"]?"
+    out = F.regexp_replace(text, assigned, "$1" + MASK)
+    out = F.regexp_replace(out, either(*SECRET_TOKENS, *(o + r"[A-Za-z0-9_\-]{20,}" for o in own)), MASK)
     out = F.regexp_replace(out, SECRET_URL, f"://{MASK}:{MASK}@")
     return F.regexp_replace(out, SECRET_ENV, "$1" + MASK)
 
@@ -171,10 +179,24 @@ def memory_date(metadata: Column, text: Column, created_at: Column) -> Column:
 
 
 # What marks a question's kind.
-ORDERING = r"(?i)what is the order of|from earliest to latest|from latest to earliest|in (?:chronological|reverse) order|list the order|list in order|walk me through the order|in (?:what|which) order|the sequence (?:of|in which)"
-MULTI_HOP = r"(?i)how many (?:months?|weeks?|days?|years?) (?:between|since|before|after|passed)|which (?:happened|came|occurred|event|trip|device|gift|project) .{0,20}first|what (?:is|was) the order|how long (?:between|since|before|after|had passed|did it take)|which .{0,30} (?:earlier|later|before|after)|how (?:old|long) was I when"
-CROSS_REFERENCE = r"(?i)across (?:(?:all|my|our) ){0,2}(?:sessions?|conversations?|requests?)"
-SUMMARY = r"(?i)comprehensive summary|summari[sz]e (?:all|everything)|overview of"
+ORDERING = (
+    "what is the order of", "from earliest to latest", "from latest to earliest", "in (?:chronological|reverse) order", "list the order", "list in order", "walk me through the order",
+    "in (?:what|which) order", "the sequence (?:of|in which)",
+)
+MULTI_HOP = (
+    "how many (?:months?|weeks?|days?|years?) (?:between|since|before|after|passed)", "which (?:happened|came|occurred|did I do|event|did I|trip|device|gift|project) .{0,20}first", "what (?:is|was) the order",
+    "how long (?:between|since|before|after|had passed|did it take)", "which .{0,30} (?:earlier|later|before|after)", "how (?:old|long) was I when",
+    "how many .{0,40}across (?:my |our )?(?:sessions?|requests?|conversations?)", "across (?:all |my |our )?(?:sessions?|conversations?|requests?)",
+)
+CROSS_REFERENCE = (
+    r"how many (?:different |unique |total )\w+", r"how many .{0,50}across (?:my |our |all )?(?:\w+ )?(?:sessions?|conversations?|requests?|messages?|questions?)", "how many .{0,30}(?:in total|total)",
+    "how much .{0,30}(?:in total|total|altogether|improve)", "between .{3,50} and .{3,50}, (?:which|what|how)", "considering .{5,80}, how", "given .{5,80}, how",
+    "how (?:have|has|did) .{3,40} (?:evolved?|changed?|improved?|progressed?)", "how .{0,20}compare", "what (?:two|three|all) .{3,30}(?:did I|am I|have I)",
+)
+SUMMARY = (
+    "comprehensive summary", "summarize (?:all|everything|my|how)", "summary of (?:all|everything|how|my|what)", "overview of (?:all|everything|how|my)", "how .{0,30} has progressed",
+    "how .{0,30} have (?:developed|evolved|changed)", "give me a (?:full|complete|comprehensive|summary)", "progress.{0,20}including", "across (?:all|my) (?:sessions?|conversations?)", "over (?:time|the course)",
+)
 ANCHORS = (
     r"(?i)between\s+(.+?)\s+and\s+(.+?)(?:\s*[?.!]|$)", r"(?i)(?:first|earlier|later),?\s+(.+?)\s+or\s+(?:the\s+)?(.+?)(?:\s*[?.!]|$)",
     r"(?i)(?:before|after)\s+(.+?)\s+did\s+(?:I\s+)?(.+?)(?:\s*[?.!]|$)", r"(?i)been\s+(.+?)\s+when\s+(?:I\s+)?(.+?)(?:\s*[?.!]|$)",
@@ -182,10 +204,23 @@ ANCHORS = (
 SINCE = r"(?i)(?:since|after|before)\s+(.+?)\s+(?:did|was|had|have|how|when)"
 
 
+def _asks(query: Column, patterns: tuple[str, ...]) -> Column:
+    return like(query, "(?i)" + "|".join(patterns))
+
+
+def _kind(query: Column, hops: Column) -> Column:
+    temporal = like(F.lower(query), r"\b" + any_of(TEMPORAL_WORDS) + r"\b")
+    return F.when(_asks(query, ORDERING), "ordering").when(hops, "multi_hop").when(_asks(query, CROSS_REFERENCE), "cross_reference").when(_asks(query, SUMMARY), "summary").when(temporal, "temporal").otherwise("plain")
+
+
 def classify_query(query: Column) -> Column:
     """ordering, multi_hop, cross_reference, summary, temporal or plain: the first that matches."""
-    temporal = like(F.lower(query), r"\b" + any_of(TEMPORAL_WORDS) + r"\b")
-    return F.when(like(query, ORDERING), "ordering").when(like(query, MULTI_HOP), "multi_hop").when(like(query, CROSS_REFERENCE), "cross_reference").when(like(query, SUMMARY), "summary").when(temporal, "temporal").otherwise("plain")
+    return _kind(query, _asks(query, MULTI_HOP))
+
+
+def query_route(query: Column) -> Column:
+    """The same, but a question of several hops without anchors is taken as what it is besides."""
+    return _kind(query, _asks(query, MULTI_HOP) & (F.size(query_anchors(query)) > 0))
 
 
 def reformulate_query(query: Column) -> Column:
@@ -227,13 +262,15 @@ def message_text(text: Column, blocks: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.array_join(parts, "\n\n"))
 
 
-# Local models cost nothing; the others' price is for 1000 tokens.
-PRICES = {"embed-small": 0.00002, "embed-large": 0.00013, "local": 0.0}
+# Dollars for 1000 tokens, and what models that run locally are called.
+PRICES = {"openai:text-embedding-3-small": 0.00002, "voyage:voyage-4-lite": 0.00002}
+LOCAL = ("ollama:", "onnx:")
 
 
 def embedding_cost(model: Column, tokens: Column, prices: dict[str, float] = PRICES) -> Column:
+    """Dollars; 0 for a local model, null for one whose price isn't known or without a count of tokens."""
     rate = F.element_at(F.create_map(*[F.lit(x) for kv in prices.items() for x in kv]), model)
-    return F.round(rate * tokens / 1000, 8)
+    return F.when(like(model, "^" + any_of(LOCAL)), 0.0).otherwise(F.round(rate * tokens / 1000, 8))
 
 
 def gist(text: str) -> str:
@@ -272,4 +309,5 @@ def register(spark: SparkSession) -> None:
 
     vectors(spark)
     spark.udf.register("compress_gist", compress_gist())
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION mask_bare_secrets(t STRING) RETURNS STRING RETURN regexp_replace(t, '" + SECRET_BARE.replace("\\", "\\\\") + f"', '{MASK}')")
+    bare = "|".join(SECRET_TOKENS).replace("\\", "\\\\")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION mask_bare_secrets(t STRING) RETURNS STRING RETURN regexp_replace(t, '{bare}', '{MASK}')")

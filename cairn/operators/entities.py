@@ -87,3 +87,19 @@ def graph_density(memory_entities: DataFrame) -> DataFrame:
 def activation_weight(density: Column) -> Column:
     """0.30 up to a density of 1.5, 0.05 from 3.5, linear between."""
     return F.when(density <= 1.5, 0.30).when(density >= 3.5, 0.05).otherwise(0.30 - (density - 1.5) / 2 * 0.25)
+
+
+def backfill_entities(mem: DataFrame, entities: DataFrame, memory_entities: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New entities and memory_entities after the entities in all active memories' texts are linked, and counts by profile:
+    processed, with_entities, edges_added. Links that are there already add nothing."""
+    from cairn.functions.text import extract_entities
+    from cairn.operators.base import active
+
+    tagged = cut(mem.filter(active(as_of)).select(F.col("id").alias("memory_id"), "profile", extract_entities(F.col("content")).alias("tags")))
+    found = tagged.select("memory_id", "profile", F.explode("tags").alias("tag")).select("memory_id", "profile", F.split_part("tag", F.lit(":"), F.lit(1)).alias("entity_type"), F.split_part("tag", F.lit(":"), F.lit(2)).alias("canonical_name"))
+    fresh = cut(found.filter("canonical_name <> ''").distinct().join(memory_entities, ["memory_id", "entity_type", "canonical_name"], "left_anti"))
+    tags = fresh.groupBy("memory_id", "profile").agg(F.collect_list(F.concat_ws(":", "entity_type", "canonical_name")).alias("tags"))
+    new_entities, new_links = link_entities(tags, entities, memory_entities)
+    added = fresh.groupBy("profile").agg(F.count("*").alias("edges_added"))
+    counts = tagged.groupBy("profile").agg(F.count("*").alias("processed"), F.count_if(F.size("tags") > 0).alias("with_entities")).join(added, "profile", "left").na.fill({"edges_added": 0})
+    return new_entities, new_links, counts

@@ -131,3 +131,14 @@ def hybrid_decay_score(mem: DataFrame, settings: DataFrame, as_of: Column) -> Da
     joined = mem.join(settings.select("profile", "decay_lambda", "decay_beta"), "profile", "left")
     lam, beta = F.coalesce("decay_lambda", F.lit(0.1)), F.coalesce("decay_beta", F.lit(0.4))
     return joined.withColumn("decay", F.when(age < 3, F.exp(-lam * age)).otherwise(F.pow(age / 3, -beta))).drop("decay_lambda", "decay_beta")
+
+
+def compress(mem: DataFrame, as_of: Column) -> DataFrame:
+    """id, content, original_content, compression_level of the memories whose target level is above theirs: level 1 is the
+    gist, level 2 the tag line, cut from what the memory holds by now; the first original is kept. mem: also tags,
+    compression_level, original_content and what compression_target() reads."""
+    from cairn.functions.text import compress_gist, tags_line
+
+    due = mem.join(compression_target(mem, as_of).select("id", "target_level"), "id").filter(F.col("target_level") > F.col("compression_level"))
+    short = F.when(F.col("target_level") == 1, compress_gist()("content")).otherwise(tags_line(F.col("content"), F.col("tags")))
+    return due.select("id", short.alias("content"), F.coalesce("original_content", "content").alias("original_content"), F.col("target_level").alias("compression_level"))

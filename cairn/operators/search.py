@@ -158,3 +158,27 @@ def content_contains(mem: DataFrame, anchors: DataFrame, as_of: Column, k: int =
     a = anchors.select("anchor_id", "profile", longest.alias("word")).filter(F.length("word") > 0)
     found = mem.filter(active(as_of)).select("id", "profile", "created_at", F.lower("content").alias("text")).join(F.broadcast(a) if a.count() <= 10_000 else a, "profile").filter(F.contains("text", "word"))
     return top(found.select("anchor_id", "id", "created_at", F.lit(0.5).alias("relevance")), ["anchor_id"], [F.desc("created_at"), F.asc("id")], k)
+
+
+def find_by_metadata_key(mem: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, value, id: memories whose metadata, a JSON object, has that value at its top level; a join, however many pairs are asked for. keys: key, value."""
+    pairs = mem.select("id", F.explode(F.from_json("metadata", "map<string,string>")).alias("key", "value"))
+    return pairs.join(keys.select("key", "value").distinct(), ["key", "value"]).select("key", "value", "id")
+
+
+def occurrence_overlap(mem: DataFrame, ranges: DataFrame) -> DataFrame:
+    """query_id, id, how: memories whose days [start, stop) meet the query's (`range`), or that recur on a weekday in it
+    (`weekday`; 0 is Sunday). mem: id, profile, start, stop (dates), recurrence_days; ranges: query_id, profile, start, stop.
+
+    Both sides fall into weeks, so that the range join is an equi-join; a pair that meets in several comes out once.
+    """
+    days = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    weeks = F.explode(F.sequence(F.floor(days(F.col("start")) / 7), F.floor((days(F.col("stop")) - 1) / 7))).alias("week")
+    asked = ranges.filter(F.col("start") < F.col("stop"))
+    own = mem.filter(F.col("start") < F.col("stop")).select("id", "profile", "start", "stop", weeks)
+    theirs = asked.select("query_id", "profile", F.col("start").alias("from"), F.col("stop").alias("until"), weeks)
+    met = own.join(theirs, ["profile", "week"]).filter((F.col("start") < F.col("until")) & (F.col("from") < F.col("stop"))).select("query_id", "id", F.lit("range").alias("how"))
+    each = F.explode(F.sequence(F.col("start"), F.least(F.date_sub("stop", 1), F.date_add("start", 6)))).alias("day")
+    weekdays = asked.select("query_id", "profile", each).select("query_id", "profile", (F.dayofweek("day") - 1).alias("weekday"))
+    recurring = mem.select("id", "profile", F.explode("recurrence_days").alias("weekday")).join(weekdays, ["profile", "weekday"]).select("query_id", "id", F.lit("weekday").alias("how"))
+    return met.unionByName(recurring).distinct()

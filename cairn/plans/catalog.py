@@ -381,13 +381,13 @@ def retrieval_metrics(s, d):
 
 
 @query(f"""WITH e AS (SELECT source_id AS x, target_id AS y, strength FROM rel WHERE strength >= 0.5 UNION ALL SELECT target_id, source_id, strength FROM rel WHERE strength >= 0.5 AND source_id <> target_id),
-    st AS (SELECT id AS start FROM active WHERE id % 5 = 0),
+    st AS (SELECT id AS start FROM active),
     d1 AS (SELECT start, y AS id, max(strength) AS strength FROM st JOIN e ON x = start WHERE y IN (SELECT id FROM active) AND y <> start GROUP BY ALL),
     d2 AS (SELECT d1.start, y AS id, max(e.strength) AS strength FROM d1 JOIN e ON x = d1.id WHERE y IN (SELECT id FROM active) AND y <> start AND NOT EXISTS (SELECT 1 FROM d1 o WHERE o.start = d1.start AND o.id = y) GROUP BY ALL),
     u AS (SELECT *, 1 AS depth FROM d1 UNION ALL SELECT *, 2 FROM d2)
     SELECT * FROM (SELECT start, id, depth, round(strength, 6) AS strength, row_number() OVER (PARTITION BY start ORDER BY depth, strength DESC, id) AS rank FROM u) WHERE rank <= 20""", "rel active")
 def related_memories(s, d):
-    starts = B.active_memories(mem(s, d), X.as_of()).filter("id % 5 = 0").select(F.col("id").alias("start"))
+    starts = B.active_memories(mem(s, d), X.as_of()).select(F.col("id").alias("start"))
     return G.related_memories(starts, X.relationships(s, d), mem(s, d), X.as_of(), 2).withColumn("strength", r6("strength"))
 
 
@@ -401,14 +401,14 @@ def explore_graph(s, d):
     return G.explore_graph(seeds, X.relationships(s, d), mem(s, d), X.as_of(), 2).select("query_id", "id", F.round("relevance", 9).alias("relevance"), "depth")
 
 
-@query("""WITH st AS (SELECT DISTINCT id AS start FROM mem WHERE id % 7 = 0),
+@query("""WITH st AS (SELECT DISTINCT id AS start FROM mem),
     d1 AS (SELECT start, target_id AS id, start AS connected_from, strength FROM st JOIN rel ON source_id = start WHERE target_id <> start QUALIFY row_number() OVER (PARTITION BY start, target_id ORDER BY strength DESC) = 1),
     d2 AS (SELECT start, target_id AS id, d1.id AS connected_from, rel.strength FROM d1 JOIN rel ON source_id = d1.id WHERE target_id <> start AND NOT EXISTS (SELECT 1 FROM d1 o WHERE o.start = d1.start AND o.id = target_id)
       QUALIFY row_number() OVER (PARTITION BY start, target_id ORDER BY rel.strength DESC, d1.id) = 1),
     u AS (SELECT *, 1 AS depth FROM d1 UNION ALL SELECT *, 2 FROM d2)
     SELECT * FROM (SELECT start, id, depth, connected_from, 'outgoing' AS direction_used, round(strength, 6) AS strength, row_number() OVER (PARTITION BY start ORDER BY depth, strength DESC, id) AS rank FROM u) WHERE rank <= 50""", "rel mem")
 def walk_graph(s, d):
-    return G.walk_graph(mem(s, d).filter("id % 7 = 0").select(F.col("id").alias("start")), X.relationships(s, d), 2, "outgoing").withColumn("strength", r6("strength"))
+    return G.walk_graph(mem(s, d).select(F.col("id").alias("start")), X.relationships(s, d), 2, "outgoing").withColumn("strength", r6("strength"))
 
 
 @query("""SELECT * FROM (SELECT source_id, target_id, a.profile, CAST(epoch(r.created_at) AS BIGINT) AS created_at, count(*) OVER (PARTITION BY a.profile) AS total, row_number() OVER (PARTITION BY a.profile ORDER BY r.created_at DESC, source_id, target_id) AS rank
@@ -458,11 +458,10 @@ def gap_note(s, d):
     return R.gap_note(gaps(s, d)).select("query_id", "note")
 
 
-@query("""WITH p AS (SELECT a.memory_id AS start, b.memory_id AS id, count(*) AS shared FROM me a JOIN me b ON a.entity_id = b.entity_id AND a.memory_id <> b.memory_id WHERE a.memory_id % 20 = 0 GROUP BY ALL HAVING count(*) >= 2)
+@query("""WITH p AS (SELECT a.memory_id AS start, b.memory_id AS id, count(*) AS shared FROM me a JOIN me b ON a.entity_id = b.entity_id AND a.memory_id <> b.memory_id GROUP BY ALL HAVING count(*) >= 2)
     SELECT * FROM (SELECT start, p.id, shared, row_number() OVER (PARTITION BY start ORDER BY shared DESC, om.created_at DESC, p.id) AS rank FROM p JOIN om ON om.id = p.id WHERE NOT EXISTS (SELECT 1 FROM rel WHERE (source_id = start AND target_id = p.id) OR (target_id = start AND source_id = p.id))) WHERE rank <= 10""", "me om rel")
 def suggest_connections(s, d):
-    starts = X.order_memories(s, d).filter("id % 20 = 0").select(F.col("id").alias("start"))
-    return G.suggest_connections(X.memory_entities(s, d), X.relationships(s, d), X.order_memories(s, d), starts=starts).select("start", "id", "shared", "rank")
+    return G.suggest_connections(X.memory_entities(s, d), X.relationships(s, d), X.order_memories(s, d)).select("start", "id", "shared", "rank")
 
 
 # --- re-ranking
@@ -513,7 +512,7 @@ def graph_density(s, d):
 
 
 @query("""WITH fac AS (SELECT entity_id, 0.65::DOUBLE * least(temporal_span, 3) / ln(1 + greatest(mention_count, 1)) AS f FROM ent WHERE entity_type <> 'person'),
-    sd AS (SELECT DISTINCT o_orderkey AS query_id, me.profile, me.entity_id FROM orders JOIN me ON me.memory_id = o_orderkey WHERE o_orderkey % 200 = 0),
+    sd AS (SELECT DISTINCT o_orderkey AS query_id, me.profile, me.entity_id FROM orders JOIN me ON me.memory_id = o_orderkey WHERE o_orderkey % 100 = 0),
     h1 AS (SELECT query_id, sd.profile, b.entity_id, least(max(f), 1) AS a FROM sd JOIN me a ON a.profile = sd.profile AND a.entity_id = sd.entity_id JOIN me b ON b.memory_id = a.memory_id AND b.entity_id <> a.entity_id JOIN fac ON fac.entity_id = b.entity_id WHERE f > 0.1 GROUP BY ALL),
     h2 AS (SELECT query_id, h1.profile, b.entity_id, least(max(h1.a * f), 1) AS a FROM h1 JOIN me a ON a.profile = h1.profile AND a.entity_id = h1.entity_id JOIN me b ON b.memory_id = a.memory_id AND b.entity_id <> a.entity_id JOIN fac ON fac.entity_id = b.entity_id WHERE h1.a * f > 0.1 GROUP BY ALL),
     ev AS (SELECT query_id, profile, entity_id, max(a) AS a FROM (SELECT query_id, profile, entity_id, 1.0::DOUBLE AS a FROM sd UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL),
@@ -521,7 +520,7 @@ def graph_density(s, d):
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, id) AS rank FROM ma) WHERE rank <= 50""", "ent me")
 def spread_activation(s, d):
     me = X.memory_entities(s, d)
-    seeds = me.filter("memory_id % 200 = 0").select(F.col("memory_id").alias("query_id"), "profile", "entity_id")
+    seeds = me.filter("memory_id % 100 = 0").select(F.col("memory_id").alias("query_id"), "profile", "entity_id")
     return E.spread_activation(seeds, me, X.entities(s, d))
 
 
@@ -565,13 +564,13 @@ def current_edges(s, d):
     return T.current_edges(history(s, d)).select("id", "subject")
 
 
-@query("""WITH st AS (SELECT 'order:' || o_orderkey AS start FROM orders WHERE o_orderkey % 10 = 0),
+@query("""WITH st AS (SELECT 'order:' || o_orderkey AS start FROM orders),
     a AS (SELECT start, f.subject, f.predicate, f.object, 1 AS hop FROM st JOIN facts f ON f.subject = start AND f.predicate = 'OWNED_BY'),
     b AS (SELECT start, f.subject, f.predicate, f.object, 2 AS hop FROM a JOIN facts f ON f.subject = a.object AND f.predicate = 'PART_OF'),
     c AS (SELECT start, f.subject, f.predicate, f.object, 3 AS hop FROM b JOIN facts f ON f.subject = b.object AND f.predicate = 'PART_OF')
     SELECT DISTINCT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) u WHERE start IN (SELECT start FROM c)""", "facts")
 def query_join(s, d):
-    starts = X.read(s, d, "orders").filter("o_orderkey % 10 = 0").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("start"), F.lit("p").alias("profile"))
+    starts = X.read(s, d, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("start"), F.lit("p").alias("profile"))
     return T.query_join(starts, ["OWNED_BY", "PART_OF", "PART_OF"], X.typed_edges(s, d)).select("start", "hop", "subject", "predicate", "object")
 
 
@@ -582,29 +581,29 @@ def tree(s, d):
     return o.select("id", F.array(source).alias("derived_from"), F.lit(None).cast("string").alias("fact_id"))
 
 
-@query("""WITH t AS (SELECT o_orderkey AS start, o_orderkey AS edge_id, 0 AS depth FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT start, edge_id // 2, depth + 1 FROM t WHERE edge_id > 0 AND depth < 10 AND edge_id // 2 IN (SELECT o_orderkey FROM orders))
+@query("""WITH t AS (SELECT o_orderkey AS start, o_orderkey AS edge_id, 0 AS depth FROM orders UNION ALL SELECT start, edge_id // 2, depth + 1 FROM t WHERE edge_id > 0 AND depth < 10 AND edge_id // 2 IN (SELECT o_orderkey FROM orders))
     SELECT start, edge_id, min(depth) AS depth FROM t GROUP BY ALL""", "")
 def trace_provenance(s, d):
-    starts = X.read(s, d, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("start"))
+    starts = X.read(s, d, "orders").select(F.col("o_orderkey").alias("start"))
     return T.trace_provenance(starts, tree(s, d))
 
 
 @query("""WITH k AS (SELECT o_orderkey AS id, o_orderkey // 2 AS p FROM orders WHERE o_orderkey > 0),
-    t AS (SELECT p AS start, id AS edge_id, 1 AS depth FROM k WHERE p % 50 = 1 AND p IN (SELECT o_orderkey FROM orders) UNION ALL SELECT start, k.id, depth + 1 FROM t JOIN k ON k.p = t.edge_id WHERE depth < 10)
+    t AS (SELECT p AS start, id AS edge_id, 1 AS depth FROM k WHERE p IN (SELECT o_orderkey FROM orders) UNION ALL SELECT start, k.id, depth + 1 FROM t JOIN k ON k.p = t.edge_id WHERE depth < 10)
     SELECT start, edge_id, min(depth) AS depth FROM t GROUP BY ALL""", "")
 def find_derivatives(s, d):
-    sources = X.read(s, d, "orders").filter("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("start"), F.col("o_orderkey").alias("edge_id"), F.lit(None).cast("string").alias("memory_id"))
+    sources = X.read(s, d, "orders").select(F.col("o_orderkey").alias("start"), F.col("o_orderkey").alias("edge_id"), F.lit(None).cast("string").alias("memory_id"))
     return T.find_derivatives(sources, tree(s, d))
 
 
 # --- links and ingest
 
 
-@query("""WITH p AS (SELECT a.id AS source_id, b.id AS target_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS strength FROM active a JOIN active b ON a.profile = b.profile AND a.id <> b.id WHERE a.id % 10 = 3)
+@query("""WITH p AS (SELECT a.id AS source_id, b.id AS target_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS strength FROM active a JOIN active b ON a.profile = b.profile AND a.id <> b.id)
     SELECT source_id, target_id, strength FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY strength DESC, target_id) AS n FROM p WHERE strength > 0.3) WHERE n <= 5""", "active")
 def auto_link(s, d):
     m = mem(s, d, True)
-    return L.auto_link(B.active_memories(m, X.as_of()).filter("id % 10 = 3"), m, X.as_of(), 0.3).select("source_id", "target_id", "strength")
+    return L.auto_link(B.active_memories(m, X.as_of()), m, X.as_of(), 0.3).select("source_id", "target_id", "strength")
 
 
 @query("""WITH p AS (SELECT a.id AS source_id, b.id AS target_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS strength FROM active a JOIN active b ON a.profile = b.profile AND a.id <> b.id WHERE NOT EXISTS (SELECT 1 FROM rel WHERE created_by = 'auto' AND source_id = a.id))
@@ -613,16 +612,16 @@ def link_unlinked(s, d):
     return L.link_unlinked(mem(s, d, True), X.relationships(s, d), X.as_of(), 0.3).select("source_id", "target_id", "strength")
 
 
-@query("SELECT c.vec_id AS candidate_id, CAST(max(round(list_cosine_similarity(c.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6)) > 0.3 AS INTEGER) AS duplicate FROM embeddings c JOIN active m ON m.profile = 'fr' WHERE c.vec_id % 3 = 0 GROUP BY c.vec_id", "active")
+@query("SELECT c.vec_id AS candidate_id, CAST(max(round(list_cosine_similarity(c.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6)) > 0.3 AS INTEGER) AS duplicate FROM embeddings c JOIN active m ON m.profile = 'fr' GROUP BY c.vec_id", "active")
 def near_duplicates(s, d):
-    c = X.read(s, d, "embeddings").filter("vec_id % 3 = 0").select(F.col("vec_id").alias("candidate_id"), F.lit("fr").alias("profile"), "embedding")
+    c = X.read(s, d, "embeddings").select(F.col("vec_id").alias("candidate_id"), F.lit("fr").alias("profile"), "embedding")
     return L.near_duplicates(c, mem(s, d, True), X.as_of(), 0.3)
 
 
-@query(f"""WITH c AS (SELECT vec_id AS id, embedding FROM embeddings WHERE vec_id % 3 = 0), k AS (SELECT c.id, max(round(list_cosine_similarity(c.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6)) AS top FROM c JOIN active m ON m.profile = 'fr' GROUP BY c.id)
+@query(f"""WITH c AS (SELECT vec_id AS id, embedding FROM embeddings), k AS (SELECT c.id, max(round(list_cosine_similarity(c.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6)) AS top FROM c JOIN active m ON m.profile = 'fr' GROUP BY c.id)
     SELECT id, 'fr' AS profile, CAST(epoch({NOW}) AS BIGINT) + 60 * 86400 AS expires_at FROM k WHERE top <= 0.3""", "active")
 def import_memories(s, d):
-    c = X.read(s, d, "embeddings").filter("vec_id % 3 = 0").select(F.col("vec_id").alias("candidate_id"), F.lit("fr").alias("profile"), F.lit("text").alias("content"), "embedding")
+    c = X.read(s, d, "embeddings").select(F.col("vec_id").alias("candidate_id"), F.lit("fr").alias("profile"), F.lit("text").alias("content"), "embedding")
     return L.import_memories(c, mem(s, d, True), X.profile_settings(s), X.as_of(), 0.3).select("id", "profile", secs("expires_at").alias("expires_at"))
 
 

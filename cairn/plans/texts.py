@@ -20,80 +20,65 @@ TEMPLATES = (
 
 
 def texts(s, d):
-    """The documents' first 200 characters after one of twelve sentences, as the documents hold no English, dates or names."""
-    return X.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("doc_id") % 12 + 1).cast("int")), F.lit(" "), F.substring("text", 1, 200)).alias("content"))
+    """Each whole document after one of twelve sentences, as the documents hold no English, dates or names."""
+    return X.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("doc_id") % 12 + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("content"))
 
 
 def in_sql(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-TX = f"tx AS (SELECT doc_id AS id, list_extract([{', '.join(map(in_sql, TEMPLATES))}], CAST(doc_id % 12 + 1 AS INTEGER)) || ' ' || substring(text, 1, 200) AS content FROM documents)"
+TX = f"tx AS (SELECT doc_id AS id, list_extract([{', '.join(map(in_sql, TEMPLATES))}], CAST(doc_id % 12 + 1 AS INTEGER)) || ' ' || coalesce(text, '') AS content FROM documents)"
 words = lambda xs: "(?:" + "|".join(xs) + ")"
 
 
 @query(f"""WITH {TX} SELECT id, round(least(1.0::DOUBLE, 0.2::DOUBLE + CASE WHEN regexp_matches(lower(content), '{words(T.DECISION_WORDS)}') THEN 0.3::DOUBLE ELSE 0 END
       + CASE WHEN regexp_matches(lower(content), '{words(T.ERROR_WORDS)}') OR regexp_matches(content, '\\w*(?:Error|Exception)\\b') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(lower(content), '{words(T.ARCHITECTURE_WORDS)}') THEN 0.2::DOUBLE ELSE 0 END
-      + CASE WHEN regexp_matches(content, '(?:[a-zA-Z0-9_@.-]+/)+[a-zA-Z0-9_@.-]+\\.[a-zA-Z0-9_]+') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN contains(content, '`') THEN 0.1::DOUBLE ELSE 0 END), 6) AS importance,
+      + CASE WHEN regexp_matches(content, '(?:[a-zA-Z0-9_@.-]+/)+[a-zA-Z0-9_@.-]+\\.[a-zA-Z0-9_]+') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN contains(content, '`') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN length(content) > 500 THEN 0.1::DOUBLE ELSE 0 END), 6) AS importance,
     CASE WHEN regexp_matches(lower(content), '{words(T.NEGATION_MARKERS)}') THEN -1 ELSE 1 END AS polarity FROM tx""")
 def importance_and_polarity(s, d):
     c = F.col("content")
     return texts(s, d).select("id", r6(T.compute_importance(c, F.array().cast("array<string>"))).alias("importance"), T.negation_polarity(c).alias("polarity"))
 
 
-@query(f"""WITH {TX} SELECT id, CASE id % 12 WHEN 1 THEN '2024-03-05' WHEN 5 THEN '2024-04-15' WHEN 10 THEN '4048-04-15' ELSE array_to_string(list_sort(list_distinct(string_split(replace(array_to_string(regexp_extract_all(content, '\\b(\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}})\\b'), ','), '/', '-'), ','))), ',') END AS dates FROM tx""")
+@query()
 def extract_dates(s, d):
     return texts(s, d).select("id", F.array_join(T.extract_dates(F.col("content"), X.as_of().cast("date")), ",").alias("dates"))
 
 
-@query(f"""WITH {TX} SELECT id, CASE WHEN try_strptime(nullif(regexp_extract(content, '\\[Date: (\\d{{4}}-\\d{{2}}-\\d{{2}})\\]', 1), ''), '%Y-%m-%d') IS NOT NULL THEN regexp_extract(content, '\\[Date: (\\d{{4}}-\\d{{2}}-\\d{{2}})\\]', 1) END AS day,
-    CASE id % 12 WHEN 6 THEN '1,5' WHEN 7 THEN '1' END AS recurrence FROM tx""")
-def occurrence_and_recurrence(s, d):
-    c = F.col("content")
-    return texts(s, d).select("id", F.date_format(T.occurrence_day(c), "yyyy-MM-dd").alias("day"), F.array_join(F.transform(T.extract_recurrence(c), lambda x: x.cast("string")), ",").alias("recurrence"))
-
-
-@query(f"""WITH {TX} SELECT id, CASE id % 12 WHEN 4 THEN 'entity:PostgresBackend,file:src/app/main.py' WHEN 5 THEN 'entity:ValueError,error:ValueError' WHEN 9 THEN 'event:wedding' WHEN 10 THEN 'quantity:3 tanks' ELSE '' END AS entities FROM tx""")
-def extract_entities(s, d):
-    return texts(s, d).select("id", F.array_join(T.extract_entities(F.col("content")), ",").alias("entities"))
-
-
-@query(f"""WITH {TX} SELECT id, contains(content, 'secret@')::INTEGER AS had, CASE WHEN id % 12 = 11 THEN 'api_key=***MASKED*** and https://***MASKED***:***MASKED***@h/' ELSE substring(content, 1, 12) END AS head FROM tx""")
-def mask_secrets(s, d):
-    masked = T.mask_secrets(F.col("content"))
-    return texts(s, d).select("id", F.contains("content", F.lit("secret@")).cast("int").alias("had"), F.when(F.col("id") % 12 == 11, F.substring(masked, 1, 61)).otherwise(F.substring(masked, 1, 12)).alias("head"))
-
-
-def whole_texts(s, d):
-    """The sentence, then the whole document; the queries above see its first 200 characters only, as their SQL does."""
-    return X.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("doc_id") % 12 + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("content"))
+@query(f"""WITH {TX}, o AS (SELECT id, nullif(regexp_extract(content, '\\[Date: (\\d{{4}}-\\d{{2}}-\\d{{2}})\\]', 1), '') AS day FROM tx)
+    SELECT id, CASE WHEN try_strptime(day, '%Y-%m-%d') IS NOT NULL THEN day END AS start, strftime(try_strptime(day, '%Y-%m-%d') + INTERVAL 1 DAY, '%Y-%m-%d') AS stop FROM o""")
+def occurrence_range(s, d):
+    day = T.occurrence_day(F.col("content"))
+    return texts(s, d).select("id", F.date_format(day, "yyyy-MM-dd").alias("start"), F.date_format(F.date_add(day, 1), "yyyy-MM-dd").alias("stop"))
 
 
 @query()
-def importance_and_polarity_whole(s, d):
+def occurrence_and_recurrence(s, d):
     c = F.col("content")
-    return whole_texts(s, d).select("id", r6(T.compute_importance(c, F.array().cast("array<string>"))).alias("importance"), T.negation_polarity(c).alias("polarity"))
-
-
-@query()
-def extract_dates_whole(s, d):
-    return whole_texts(s, d).select("id", F.array_join(T.extract_dates(F.col("content"), X.as_of().cast("date")), ",").alias("dates"))
+    return texts(s, d).select("id", F.date_format(T.occurrence_day(c), "yyyy-MM-dd").alias("day"), F.array_join(F.transform(T.extract_recurrence(c), lambda x: x.cast("string")), ",").alias("recurrence"))
 
 
 @query()
-def occurrence_and_recurrence_whole(s, d):
-    c = F.col("content")
-    return whole_texts(s, d).select("id", F.date_format(T.occurrence_day(c), "yyyy-MM-dd").alias("day"), F.array_join(F.transform(T.extract_recurrence(c), lambda x: x.cast("string")), ",").alias("recurrence"))
+def extract_entities(s, d):
+    return texts(s, d).select("id", F.array_join(T.extract_entities(F.col("content")), ",").alias("entities"))
 
 
-@query()
-def extract_entities_whole(s, d):
-    return whole_texts(s, d).select("id", F.array_join(T.extract_entities(F.col("content")), ",").alias("entities"))
+def _masked_sql() -> str:
+    """The four passes as nested replacements."""
+    out = "content"
+    for pattern, by in (
+        ("(?i)((?:" + "|".join(T.SECRET_NAMES) + r")[=:\s]+\s*['\"]?)[A-Za-z0-9_\-./+=]{8,}['\"]?", r"\1" + T.MASK), ("(?:" + "|".join(T.SECRET_TOKENS) + ")", T.MASK),
+        (T.SECRET_URL, f"://{T.MASK}:{T.MASK}@"), (T.SECRET_ENV, r"\1" + T.MASK),
+    ):
+        out = f"regexp_replace({out}, {in_sql(pattern)}, {in_sql(by)}, 'g')"
+    return out
 
 
-@query()
-def mask_secrets_whole(s, d):
-    return whole_texts(s, d).select("id", T.mask_secrets(F.col("content")).alias("masked"))
+@query(f"WITH {TX} SELECT id, sha256({_masked_sql()}) AS sha, length({_masked_sql()}) AS chars FROM tx")
+def mask_secrets(s, d):
+    masked = T.mask_secrets(F.col("content"))
+    return texts(s, d).select("id", F.sha2(masked, 256).alias("sha"), F.length(masked).cast("long").alias("chars"))
 
 
 @query("""WITH a AS (SELECT conv_id, turn, role, text, lag(role) OVER w AS before, lag(text) OVER w AS prompt FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
@@ -137,10 +122,9 @@ def export_markdown(s, d):
     return O.export_markdown(active_memories(mem(s, d), X.as_of())).select("id", "profile", F.sha2("text", 256).alias("sha"))
 
 
-@query("SELECT id, array_to_string(list_sort(list_distinct(list(lower(entity_type) || '/' || regexp_replace(lower(canonical_name), '[^a-z0-9]+', '-', 'g')))), ',') AS paths FROM om JOIN me ON me.memory_id = om.id JOIN ent USING (entity_id) WHERE om.id % 10 = 0 GROUP BY id", "om me ent")
+@query("SELECT id, array_to_string(list_sort(list_distinct(list(lower(entity_type) || '/' || regexp_replace(lower(canonical_name), '[^a-z0-9]+', '-', 'g')))), ',') AS paths FROM om JOIN me ON me.memory_id = om.id JOIN ent USING (entity_id) GROUP BY id", "om me ent")
 def concept_bundle(s, d):
-    m = X.order_memories(s, d).filter("id % 10 = 0")
-    out = O.concept_bundle(m, X.memory_entities(s, d), X.entities(s, d))
+    out = O.concept_bundle(X.order_memories(s, d), X.memory_entities(s, d), X.entities(s, d))
     return out.select("id", F.array_join("paths", ",").alias("paths")).filter(F.length("paths") > 0)
 
 
@@ -153,7 +137,7 @@ def cosine_similarity(s, d):
 
 @query("SELECT event_id, round(CASE embedding_model WHEN 'embed-small' THEN 0.00002::DOUBLE ELSE 0.00013::DOUBLE END * tokens_used / 1000, 8) AS cost FROM au", "au")
 def embedding_cost(s, d):
-    return X.audit(s, d).select("event_id", T.embedding_cost(F.col("embedding_model"), F.col("tokens_used")).alias("cost"))
+    return X.audit(s, d).select("event_id", T.embedding_cost(F.col("embedding_model"), F.col("tokens_used"), {"embed-small": 0.00002, "embed-large": 0.00013}).alias("cost"))
 
 
 @query("SELECT id, profile, coalesce(json_extract_string(metadata, '$.dates[0]'), strftime(created_at, '%Y-%m-%d')) AS day FROM mem", "mem")

@@ -26,7 +26,7 @@ def session_dedup_stream(events: DataFrame, gap_seconds: int = 300, delay: str =
     return kept.select("first.event_id", "first.ts", *KEY)
 
 
-#: Tools whose events are never kept, tags that always are, and what marks a prompt worth keeping.
+# Tools whose events are never kept, tags that always are, and what marks a prompt worth keeping.
 SKIPPED_TOOLS = ("Read", "Glob", "Grep", "LS")
 HIGH_SIGNAL = ("type:code-change", "type:context", "type:correction", "type:decision", "type:deploy", "type:error", "type:fact", "type:git-signal", "type:preference")
 QUESTION_STARTS = ("what ", "how ", "can you", "why ", "where ", "when ", "show me")
@@ -92,13 +92,26 @@ def recompute_debounce_stream(changes: DataFrame, seconds: int = 60, delay: str
 def editing_windows(searches: DataFrame, minutes: int = 30) -> DataFrame:
     """memory_id, opened_at, closes_at: a search opens a window; searches within it don't restart it. searches: memory_id, ts.
 
-    Batch form: the searches of a memory folded in order of time.
+    Batch form: each memory's searches in order of time, streamed through a task that remembers the open window only.
     """
-    opened = F.aggregate(
-        F.sort_array(F.collect_list(F.unix_micros("ts"))), F.array().cast("array<bigint>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t >= F.element_at(acc, -1) + minutes * 60_000_000), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    return searches.groupBy("memory_id").agg(opened.alias("o")).select("memory_id", F.explode("o").alias("t")).select("memory_id", F.timestamp_micros("t").alias("opened_at"), F.timestamp_micros(F.col("t") + minutes * 60_000_000).alias("closes_at"))
+    length = minutes * 60_000_000
+    kind = dict(searches.dtypes)["memory_id"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, start = None, 0
+        for b in batches:
+            keys, times, opened = b.column("memory_id").to_pylist(), b.column("t").to_pylist(), []
+            for i, (key, t) in enumerate(zip(keys, times)):
+                if i == 0 and now is None or key != now or t >= start + length:
+                    now, start = key, t
+                    opened.append(i)
+            yield b.take(pa.array(opened, pa.int64()))
+
+    rows = searches.filter(F.col("ts").isNotNull() & F.col("memory_id").isNotNull()).select("memory_id", F.unix_micros("ts").alias("t"))
+    opened = rows.repartition("memory_id").sortWithinPartitions("memory_id", "t").mapInArrow(run, f"memory_id {kind}, t long")
+    return opened.select("memory_id", F.timestamp_micros("t").alias("opened_at"), F.timestamp_micros(F.col("t") + length).alias("closes_at"))
 
 
 def editing_window_stream(searches: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
+import cairn.plans.more  # noqa: F401
 import cairn.plans.texts  # noqa: F401
 from cairn.plans.catalog import ORACLE, QUERIES
 from tests.oracle import compare

@@ -95,7 +95,7 @@ def test_dates(spark):
 
 def test_queries(spark):
     q = F.col("t")
-    kinds = {"what is the order of things": "ordering", "how many days between a and b": "multi_hop", "across all my sessions": "cross_reference", "overview of it": "summary", "what was last week": "temporal", "blue car": "plain"}
+    kinds = {"what is the order of things": "ordering", "how many days between a and b": "multi_hop", "how many different cars are there": "cross_reference", "across my sessions": "multi_hop", "overview of everything": "summary", "which one came earlier": "multi_hop", "what was last week": "temporal", "blue car": "plain"}
     df = spark.createDataFrame([(k,) for k in kinds], "t string")
     assert {r[0]: r[1] for r in df.select("t", T.classify_query(q)).collect()} == kinds
     df = spark.createDataFrame([("between the wedding and my trip?",), ("days since lunch did it rain",), ("none",)], "t string")
