@@ -34,6 +34,8 @@ FILLER = (
     "should", "what", "when", "where", "who", "why", "how", "which", "whose", "whom", "tell", "show", "give", "please", "mention", "only", "exactly", "just", "also", "really", "actually",
     "remember", "recall", "think", "know", "said", "talked", "discussed", "brought", "items",
 )
+NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "a": 1, "an": 1}
+MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 ENTITY_TYPES = ("entity", "file", "error", "event", "activity", "emotion", "preference", "relationship", "quantity", "location", "person")
 # Patterns of secrets, dates and names.
 MASK = "***MASKED***"
@@ -103,7 +105,7 @@ def extract_dates(text: Column, ref_date: Column) -> Column:
     return F.when(F.size(absolute) > 0, absolute).otherwise(F.array_sort(F.array_distinct(F.filter(F.transform(_found(F.lower(text), RELATIVE), lambda p: F.date_format(relative_date(p, ref_date), "yyyy-MM-dd")), lambda d: d.isNotNull()))))
 
 
-RELATIVE = r"\b(yesterday|today|tomorrow|\d+\s+(?:day|week|month|year)s?\s+ago|in\s+\d+\s+(?:day|week|month|year)s?|(?:last|next)\s+(?:sunday|monday|tuesday|wednesday|thursday|friday|saturday|week|month|year))\b"
+RELATIVE = r"\b(yesterday|today|tomorrow|\d{1,3}\s+(?:day|week|month|year)s?\s+ago|in\s+\d{1,3}\s+(?:day|week|month|year)s?|(?:last|next)\s+(?:sunday|monday|tuesday|wednesday|thursday|friday|saturday|week|month|year))\b"
 
 
 def relative_date(phrase: Column, ref: Column) -> Column:
@@ -244,10 +246,38 @@ def direction(query: Column) -> Column:
     return F.when(F.arrays_overlap(words, F.array(*map(F.lit, AFTER_WORDS))), "future").when(F.arrays_overlap(words, F.array(*map(F.lit, BEFORE_WORDS))), "past").otherwise("near")
 
 
+def _point(phrase: Column, ref: Column) -> Column:
+    """The day that an ISO date or a relative phrase at the start of the text names."""
+    iso = F.regexp_extract(phrase, r"^(\d{4}-\d{1,2}-\d{1,2})", 1)
+    return F.coalesce(F.try_to_date(F.nullif(iso, F.lit("")), "yyyy-M-d"), relative_date(F.get(_found(phrase, "^" + RELATIVE), F.lit(0)), ref))
+
+
 def resolve_time_range(query: Column, ref_date: Column) -> Column:
-    """struct(start, stop), days: from the first relative phrase, three days before to four after; null without one."""
-    day = relative_date(F.get(_found(F.lower(query), RELATIVE), F.lit(0)), ref_date)
-    return F.when(day.isNotNull(), F.struct(F.date_add(day, -3).alias("start"), F.date_add(day, 4).alias("stop")))
+    """struct(start, stop), days, by the first that fits: `between X and Y` or `from X to Y`, with ISO dates or relative phrases;
+    a relative phrase, three days before to four after; weeks, months or years ago in words (a window around it, or that year);
+    a month's name (last, next, or the latest such month). Null without one."""
+    low = F.lower(query)
+    span = lambda start, stop: F.struct(start.alias("start"), stop.alias("stop"))
+    ends = [(F.regexp_extract(low, p, 1), F.regexp_extract(low, p, 2)) for p in (r"between\s+(.+?)\s+and\s+(.+?)(?:\s*[?.!]|$)", r"from\s+(.+?)\s+to\s+(.+?)(?:\s*[?.!]|$)")]
+    given = [F.when(_point(x, ref_date).isNotNull() & _point(y, ref_date).isNotNull(), span(_point(x, ref_date), _point(y, ref_date))) for x, y in ends]
+    ago = r"\b(\d{1,3}|" + "|".join(NUMBER_WORDS) + r")\s+(week|month|year)s?\s+ago"
+    said = F.regexp_extract(low, ago, 1)
+    n = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv]), said), F.when(like(said, r"^\d+$"), said.cast("int")))
+    unit, back = F.regexp_extract(low, ago, 2), lambda days: F.date_sub(ref_date, days)
+    year = F.year(ref_date) - n
+    window = (
+        F.when(unit == "week", span(back(n * 7 + 3), F.when(n > 1, back((n - 1) * 7)).otherwise(ref_date)))
+        .when(unit == "month", span(back(n * 30 + 15), F.when(n > 1, back((n - 1) * 30 - 15)).otherwise(ref_date)))
+        .when(unit == "year", span(F.make_date(year, F.lit(1), F.lit(1)), F.make_date(year, F.lit(12), F.lit(31))))
+    )
+    day = relative_date(F.get(_found(low, RELATIVE), F.lit(0)), ref_date)
+    around = F.when(day.isNotNull(), span(F.date_add(day, -3), F.date_add(day, 4)))
+    month = F.lit(None).cast("int")
+    for i, name in reversed(list(enumerate(MONTH_NAMES, 1))):
+        month = F.when(F.contains(low, F.lit(name)), i).otherwise(month)
+    its_year = F.year(ref_date) + F.when(like(low, "last|previous"), -1).when(F.contains(low, F.lit("next")), 1).when(month > F.month(ref_date), -1).otherwise(0)
+    first = F.make_date(its_year, month, F.lit(1))
+    return F.coalesce(*given, around, F.when(n.isNotNull(), window), F.when(month.isNotNull(), span(first, F.last_day(first))))
 
 
 def source_fingerprint(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.base import cut, top
@@ -64,11 +64,13 @@ def spread_activation(seeds: DataFrame, memory_entities: DataFrame, entities: Da
     front = seeds.select("query_id", "profile", "entity_id", F.lit(1.0).alias("activation")).distinct()
     every = front
     for _ in range(depth):
-        reached = front.join(member, ["profile", "entity_id"]).groupBy("query_id", "profile", "memory_id").agg(F.max(F.struct("activation", "entity_id")).alias("best"), F.max("activation").alias("a"))
         # The best parent of a target in a memory is another entity than the target; a memory's best and second best suffice.
-        second = front.join(member, ["profile", "entity_id"]).join(reached, ["query_id", "profile", "memory_id"]).filter(F.col("entity_id") != F.col("best.entity_id")).groupBy("query_id", "profile", "memory_id").agg(F.max("activation").alias("b"))
-        around = reached.join(second, ["query_id", "profile", "memory_id"], "left").join(targets, "memory_id")
-        parent = F.when(F.col("target") != F.col("best.entity_id"), F.col("a")).otherwise(F.col("b"))
+        w = Window.partitionBy("query_id", "profile", "memory_id").orderBy(F.desc("activation"), F.desc("entity_id"))
+        two = front.join(member, ["profile", "entity_id"]).withColumn("n", F.row_number().over(w)).filter("n <= 2")
+        first, second = F.col("n") == 1, F.col("n") == 2
+        reached = two.groupBy("query_id", "profile", "memory_id").agg(F.max(F.when(first, F.col("entity_id"))).alias("best"), F.max(F.when(first, F.col("activation"))).alias("a"), F.max(F.when(second, F.col("activation"))).alias("b"))
+        around = reached.join(targets, "memory_id")
+        parent = F.when(F.col("target") != F.col("best"), F.col("a")).otherwise(F.col("b"))
         front = around.select("query_id", "profile", F.col("target").alias("entity_id"), (parent * F.col("factor")).alias("activation")).filter(F.col("activation") > min_activation)
         front = front.groupBy("query_id", "profile", "entity_id").agg(F.least(F.max("activation"), F.lit(1.0)).alias("activation"))
         front = cut(front)

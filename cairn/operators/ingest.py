@@ -49,6 +49,23 @@ def map_github(raw: DataFrame) -> DataFrame:
     return rows.filter(F.length("content") > 0)
 
 
+def map_comments(raw: DataFrame, text_col: str = "body") -> DataFrame:
+    """key, content, tags, issue of comments with an id and a text. raw: id, the text, issue."""
+    rows = raw.filter(F.col("id").isNotNull() & (F.length(F.col(text_col)) > 0))
+    return rows.select(F.concat(F.lit("comment:"), F.col("id").cast("string")).alias("key"), F.col(text_col).alias("content"), F.array().cast("array<string>").alias("tags"), "issue")
+
+
+def map_beads(raw: DataFrame) -> DataFrame:
+    """key, content, tags, metadata of issues with an id and some text: title and description, labels that aren't empty.
+    raw: id, title, description, labels (array of strings), status, priority, issue_type, assignee."""
+    content = F.trim(F.concat_ws("\n\n", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
+    tags = F.filter(F.coalesce("labels", F.array().cast("array<string>")), lambda x: F.length(x) > 0)
+    rows = raw.filter(F.col("id").isNotNull()).select(
+        F.concat(F.lit("issue:"), F.col("id").cast("string")).alias("key"), F.regexp_replace(content, r"^\s+|\s+$", "").alias("content"), tags.alias("tags"), F.to_json(F.struct("status", "priority", "issue_type", "assignee")).alias("metadata")
+    )
+    return rows.filter(F.length("content") > 0)
+
+
 def map_linear(raw: DataFrame) -> DataFrame:
     """`# title`, description, and `## Comments` by user. raw: identifier, title, description, labels and comments with nodes."""
     comments = F.transform("comments.nodes", lambda c: F.concat(F.lit("**"), c["user"]["name"], F.lit("**: "), c["body"]))

@@ -33,8 +33,10 @@ def keyword_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int = 10,
 
     r is, for `frequency`, the terms' occurrences over the text's length; for `cover`, the cover density (Clarke,
     Cormack and Tudhope) over the length. Only postings of the queries' terms leave a task; terms are matched before
-    positions are looked at, so that common terms cost a count.
+    positions are looked at, so that common terms cost a count. `web` and `stemmed` take the text as a web query (web_topk).
     """
+    if method in ("web", "stemmed"):
+        return web_topk(queries, mem, as_of, k, method == "stemmed")
     q = explode_profiles(queries).select("query_id", "profile", F.array_distinct(tokens(F.col("text"))).alias("terms")).filter(F.size("terms") > 0)
     wanted = q.select("query_id", "profile", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     words = mem.filter(active(as_of)).select("id", "profile", tokens(F.col("content")).alias("words")).withColumn("n_words", F.size("words"))
@@ -76,6 +78,64 @@ def _cover_density():
     return run
 
 
+def stem(word: Column) -> Column:
+    """A small suffix stripper for English: plurals, -ing and -ed after three letters or more."""
+    plural = F.regexp_replace(F.regexp_replace(word, r"(?<=\p{L}{2})ies$", "y"), r"(?<=\p{L}{2}(?:ss|x|ch|sh))es$|(?<=\p{L}{2}[^su])s$", "")
+    return F.regexp_replace(plural, r"(?<=\p{L}{3})(?:ing|ed)$", "")
+
+
+def web_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int = 10, stemmed: bool = False) -> DataFrame:
+    """query_id, id, keyword_rank, rank for web-style queries: words and "phrases" that must all be there, -words and
+    -"phrases" that must not, `or` between alternatives.
+
+    r is the cover density of an alternative's words and phrases, summed over those that match, over the text's length; the
+    rank is r / (r + 1). An alternative that only excludes matches nothing. Words that a mark joins are a phrase. Postings of the
+    queries' terms only leave a task; a query's terms and their places in one text meet in one row.
+    """
+    cut_up = (lambda c: F.transform(tokens(c), stem)) if stemmed else tokens
+    parts = explode_profiles(queries).select("query_id", "profile", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r'-?"[^"]*"|\S+'), F.lit(0))).alias("atom", "part"))
+    w = Window.partitionBy("query_id", "profile")
+    group = F.sum((F.col("part") == "or").cast("int")).over(w.orderBy("atom").rowsBetween(Window.unboundedPreceding, 0))
+    atoms = parts.withColumn("group", group).filter("part <> 'or'").select("query_id", "profile", "group", "atom", F.col("part").startswith("-").alias("no"), cut_up(F.col("part")).alias("words")).filter(F.size("words") > 0)
+    need = F.count_if(~F.col("no")).over(Window.partitionBy("query_id", "profile", "group"))
+    wanted = atoms.withColumn("need", need).filter("need > 0").select("query_id", "profile", "group", "atom", "no", "need", F.size("words").alias("n"), F.posexplode("words").alias("place", "term"))
+    words = mem.filter(active(as_of)).select("id", "profile", cut_up(F.col("content")).alias("words")).withColumn("n_words", F.size("words"))
+    postings = words.select("id", "profile", "n_words", F.posexplode("words").alias("position", "term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    postings = postings.groupBy("profile", "term", "id", "n_words").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    met = wanted.join(postings, ["profile", "term"]).groupBy("query_id", "id", "n_words").agg(F.collect_list(F.struct("group", "atom", "no", "need", "n", "place", "positions")).alias("met"))
+
+    @F.pandas_udf("double")
+    def ranked(rows: pd.Series) -> pd.Series:
+        return rows.map(web_rank)
+
+    scored = met.withColumn("r", ranked("met") / F.col("n_words")).filter("r > 0")
+    out = scored.select("query_id", "id", F.round(F.col("r") / (F.col("r") + 1), 6).alias("keyword_rank"))
+    return top(out, ["query_id"], [F.desc("keyword_rank"), F.asc("id")], k)
+
+
+def web_rank(met) -> float:
+    """The summed cover density of the alternatives that a text matches. met: a term's places in the query and in the text."""
+    groups: dict = {}
+    for m in met:
+        atom = groups.setdefault(m["group"], (m["need"], {}))[1].setdefault(m["atom"], (m["no"], m["n"], {}))
+        atom[2][m["place"]] = m["positions"]
+    total = 0.0
+    for need, atoms in groups.values():
+        starts, excluded = [], False
+        for no, n, places in atoms.values():
+            if len(places) < n:
+                continue
+            at = set(places[0])
+            for i in range(1, n):
+                at &= {p - i for p in places[i]}
+            excluded |= bool(no and at)
+            if at and not no:
+                starts.append(sorted(at))
+        if len(starts) == need and not excluded:
+            total += cover_density(starts)
+    return total
+
+
 def graph_boost(edges: DataFrame) -> DataFrame:
     """id, graph_boost: the sum of strengths of a memory's edges at either end; a self-edge counts once."""
     return both_ways(edges.select("source_id", "target_id", "strength")).groupBy("id").agg(F.sum("strength").alias("graph_boost"))

@@ -142,6 +142,23 @@ def occurrence_overlap(s, d):
     return S.occurrence_overlap(m, r)
 
 
+@query()
+def keyword_web(s, d):
+    """Two of a question's words or its first as a phrase with the second, without the third."""
+    w = F.split("text", " ")
+    text = F.concat(w[0], F.lit(' or "'), w[0], F.lit(" "), w[1], F.lit('" or '), w[1], F.lit(" -"), w[2])
+    return S.keyword_topk(X.queries(s, d).withColumn("text", text), mem(s, d), X.as_of(), 10, "stemmed")
+
+
+@query("""WITH t AS (SELECT item_id AS id, item_id % 30 + 1 AS n FROM benchmark)
+    SELECT id, strftime(DATE '2024-04-15' - CAST(n * 7 + 3 AS INTEGER), '%Y-%m-%d') AS start, strftime(DATE '2024-04-15' - CAST(n * 7 - 4 AS INTEGER), '%Y-%m-%d') AS stop FROM t""")
+def resolve_time_range(s, d):
+    n = F.col("item_id") % 30 + 1
+    rows = X.read(s, d, "benchmark").select(F.col("item_id").alias("id"), F.concat(F.lit("what was it "), n.cast("string"), F.lit(" weeks ago?")).alias("text"))
+    span = T.resolve_time_range(F.col("text"), X.as_of().cast("date"))
+    return rows.select("id", *[F.date_format(span[c], "yyyy-MM-dd").alias(c) for c in ("start", "stop")])
+
+
 def questions(s, d):
     """The queries' texts as questions of every kind."""
     forms = ("what is the order of %s", "how many days between %s and memory", "how many different %s are there", "overview of everything about %s", "what was %s last week", "tell me about %s")

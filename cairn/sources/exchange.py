@@ -52,6 +52,25 @@ def read_notes(spark: SparkSession, root: str, most_bytes: int = 1_000_000) -> D
     return out.filter(F.length("content") > 0)
 
 
+def read_memory_files(spark: SparkSession, root: str, source: str = "agent-memory", project: str | None = None) -> DataFrame:
+    """path, content, tags, source, metadata of an agent's memory files: *.md with front matter, but for the index MEMORY.md.
+    Tags are source, type (`unknown` without one) and project: the given one, else the last part of the folder's name after a dash.
+    Files without front matter or without a body are left out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
+    text = F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n")
+    name = F.regexp_extract("path", r"([^/]+)\.md$", 1)
+    rows = files.filter(F.regexp_extract("path", r"([^/]+)$", 1) != "MEMORY.md").select("path", text.alias("text"), name.alias("name")).filter(F.regexp_like("text", F.lit(r"(?s)\A---\n.*?\n---\n")))
+    front = F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---\n", 1)
+    field = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(front, rf"(?m)^{k}:[ \t]*(.*)$", 1), "^['\"]|['\"]$", "")), F.lit(""))
+    kind = F.coalesce(field("type"), F.lit("unknown"))
+    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    owner = F.lit(project) if project else F.nullif(F.regexp_extract(folder, r"-([^-]+)$", 1), F.lit(""))
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"(?s)\A---\n.*?\n---\n", ""), r"\A\n+", ""), r"\s+\z", "")
+    tags = F.filter(F.array(F.lit(f"source:{source}"), F.concat(F.lit("type:"), kind), F.concat(F.lit("project:"), owner)), lambda t: t.isNotNull())
+    metadata = F.to_json(F.struct(F.coalesce(field("name"), F.col("name")).alias("name"), F.coalesce(field("description"), F.lit("")).alias("description"), kind.alias("type"), F.col("path").alias("source_file"), field("originSessionId").alias("origin_session_id")))
+    return rows.select("path", body.alias("content"), tags.alias("tags"), F.lit(source).alias("source"), metadata.alias("metadata")).filter(F.length("content") > 0)
+
+
 def read_dump(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
     """A tracker's or chat's JSON dump, one object a line or one document a file; the mappers of operators.ingest take it on."""
     return spark.read.schema(schema).json(path, multiLine=multi_line)

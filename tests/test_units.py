@@ -184,3 +184,69 @@ def test_mappers(spark):
     assert [r["key"] for r in I.map_slack(raw).collect()] == ["c:1.5"]
     issues = spark.createDataFrame([(1, "T", "B", [("bug",)], None), (2, "", "", [], None), (3, "P", "", [], "url")], "id int, title string, body string, labels array<struct<name:string>>, pull_request string")
     assert [tuple(r) for r in I.map_github(issues).collect()] == [("issue:1", "T\n\nB", ["bug"])]
+
+
+def test_web_queries(spark):
+    """Words, phrases, exclusions and alternatives against a plain reading of each text."""
+    import re
+
+    texts = ["the red car drove", "car red", "red cars and a blue boat", "blue boat", "a red boat", "boats driving red-car", ""]
+    queries = ["red car", '"red car"', "red -boat", "red or boat", '-"red car" red', '"blue boat" or car -drove', "-red", "red-car", "none red"]
+    mem = spark.createDataFrame([(i, "p", t, None) for i, t in enumerate(texts)], "id int, profile string, content string, expires_at timestamp")
+    asked = spark.createDataFrame([(i, "p", t) for i, t in enumerate(queries)], "query_id int, profile string, text string")
+    got = {}
+    for r in S.keyword_topk(asked, mem, now(), 10, "web").collect():
+        got.setdefault(r["query_id"], {})[r["id"]] = r["keyword_rank"]
+    split = lambda t: re.findall(r"\w+", t.lower())
+    for q, text in enumerate(queries):
+        want = {}
+        for i, t in enumerate(texts):
+            words, total = split(t), 0.0
+            for side in re.split(r"\s+or\s+", text):
+                starts, bad, only = [], False, True
+                for part in re.findall(r'-?"[^"]*"|\S+', side):
+                    atom = split(part)
+                    at = [p for p in range(len(words)) if words[p : p + len(atom)] == atom]
+                    if part.startswith("-"):
+                        bad |= bool(at)
+                    else:
+                        only = False
+                        starts.append(at)
+                if not only and not bad and all(starts):
+                    total += S.cover_density(starts)
+            if total:
+                r = total / len(words)
+                want[i] = round(r / (r + 1), 6)
+        assert got.get(q, {}) == want, text
+    stemmed = {(r["query_id"], r["id"]) for r in S.keyword_topk(asked, mem, now(), 10, "stemmed").collect()}
+    assert {(0, 2), (0, 5), (3, 5)} <= stemmed
+
+
+def test_time_ranges(spark):
+    d = lambda *x: dt.date(*x)
+    want = {
+        "what was between 2024-01-05 and yesterday?": (d(2024, 1, 5), d(2024, 4, 14)), "from 2023-1-2 to 2023-02-03": (d(2023, 1, 2), d(2023, 2, 3)), "two months ago": (d(2024, 2, 0 + 1), d(2024, 3, 31)),
+        "a week ago": (d(2024, 4, 5), d(2024, 4, 15)), "3 years ago": (d(2021, 4, 12), d(2021, 4, 19)), "three years ago": (d(2021, 1, 1), d(2021, 12, 31)), "what did I do yesterday": (d(2024, 4, 11), d(2024, 4, 18)), "in June": (d(2023, 6, 1), d(2023, 6, 30)),
+        "last February": (d(2023, 2, 1), d(2023, 2, 28)), "in February": (d(2024, 2, 1), d(2024, 2, 29)), "bought 3 in 2024 years": None, "nothing": None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    got = {r[0]: r[1] and tuple(r[1]) for r in df.select("t", T.resolve_time_range(F.col("t"), F.lit("2024-04-15").cast("date"))).collect()}
+    want["two months ago"] = (d(2024, 4, 15) - dt.timedelta(75), d(2024, 4, 15) - dt.timedelta(15))
+    assert got == want
+
+
+def test_memory_files_and_trackers(spark, tmp_path):
+    (tmp_path / "home-x-proj").mkdir()
+    root = tmp_path / "home-x-proj"
+    (root / "a.md").write_text("---\nname: One\ntype: user\noriginSessionId: 'q'\n---\n\nBody line\n\n")
+    (root / "b.md").write_text("---\ndescription: d\n---\nOther")
+    (root / "MEMORY.md").write_text("---\nname: index\n---\nList")
+    (root / "c.md").write_text("no front matter")
+    (root / "d.md").write_text("---\nname: x\n---\n\n")
+    got = sorted((r["content"], r["tags"]) for r in O.read_memory_files(spark, str(tmp_path)).collect())
+    assert got == [("Body line", ["source:agent-memory", "type:user", "project:proj"]), ("Other", ["source:agent-memory", "type:unknown", "project:proj"])]
+    assert O.read_memory_files(spark, str(tmp_path), project="p").first()["tags"][-1] == "project:p"
+    beads = spark.createDataFrame([("b-1", "T", None, ["x", "", None], "open", 1, "bug", None), (None, "T", "", None, None, None, None, None), ("b-2", "", " ", None, None, None, None, None)], "id string, title string, description string, labels array<string>, status string, priority int, issue_type string, assignee string")
+    assert [(r["key"], r["content"], r["tags"]) for r in I.map_beads(beads).collect()] == [("issue:b-1", "T", ["x"])]
+    comments = spark.createDataFrame([(1, "hi", 7), (None, "x", 7), (2, "", 7)], "id int, body string, issue int")
+    assert [(r["key"], r["content"], r["issue"]) for r in I.map_comments(comments).collect()] == [("comment:1", "hi", 7)]
