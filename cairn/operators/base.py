@@ -55,3 +55,32 @@ def both_ways(edges: DataFrame) -> DataFrame:
     rest = [c for c in edges.columns if c not in ("source_id", "target_id")]
     ends = F.array_distinct(F.array(F.struct(F.col("source_id").alias("id"), F.col("target_id").alias("other")), F.struct(F.col("target_id").alias("id"), F.col("source_id").alias("other"))))
     return edges.select(F.explode(ends).alias("e"), *rest).select("e.id", "e.other", *rest)
+
+
+def folded(rows: DataFrame, by: list[str], order: list[str], out: str, start, step, end) -> DataFrame:
+    """One row for each group: by's columns and what end(state) gives, with a state that start(row) makes and step(state, row)
+    changes, over the group's rows in order. Groups are sorted and streamed, so that a group of any size takes the memory of
+    its state. rows: dicts of the columns."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names, now, state = [x.split()[0] for x in out.split(", ")], None, None
+        for b in batches:
+            done = []
+            for row in b.to_pylist():
+                key = tuple(row[c] for c in by)
+                if key != now or state is None:
+                    if state is not None:
+                        done.append((*now, *end(state)))
+                    now, state = key, start(row)
+                state = step(state, row)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, d)) for d in done], kinds) if done else pa.RecordBatch.from_pylist([], kinds)
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (*now, *end(state))))], kinds)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(out))
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, out)

@@ -35,11 +35,12 @@ def explore_graph(seeds: DataFrame, edges: DataFrame, mem: DataFrame, as_of: Col
     path to each memory. One row is kept for a node and depth, which is exact as strengths are at most 1. seeds: query_id, id, relevance."""
     step = both_ways(edges.filter(F.col("strength") >= min_strength).select("source_id", "target_id", "strength"))
     live = mem.filter(active(as_of)).select("id")
-    front = seeds.select("query_id", "id", "relevance", F.lit(0).alias("depth"))
+    front = cut(seeds.select("query_id", "id", "relevance", F.lit(0).alias("depth")))
     every = front
     for d in range(1, depth + 1):
         front = front.join(step, "id").select("query_id", F.col("other").alias("id"), (F.col("relevance") * F.col("strength")).alias("relevance")).groupBy("query_id", "id").agg(F.max("relevance").alias("relevance"))
         front = front.join(live, "id", "left_semi").select("query_id", "id", "relevance", F.lit(d).alias("depth"))
+        front = cut(front) if d < depth else front
         every = every.unionByName(front)
     return _first(every, ["query_id", "id"], [F.desc("relevance"), F.asc("depth")])
 
@@ -94,7 +95,7 @@ def out_of_result_contradictions(results: DataFrame, edges: DataFrame) -> DataFr
 def suggest_connections(memory_entities: DataFrame, edges: DataFrame, mem: DataFrame, as_of: Column | None = None, starts: DataFrame | None = None, min_shared: int = 2, k: int = 10) -> DataFrame:
     """start, id, shared: active memories that share min_shared entities with the start and no edge; the first k by shared
     count, then newest. A pair of an entity's memories is made only for starts; pairs are counted in part before they are shuffled."""
-    links = memory_entities.select("memory_id", "entity_id").distinct()
+    links = cut(memory_entities.select("memory_id", "entity_id").distinct())  # cut, so that the join can split an entity of very many memories
     left = links.withColumnRenamed("memory_id", "start")
     if starts is not None:
         left = left.join(starts.select("start"), "start", "left_semi")

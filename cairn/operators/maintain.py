@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.base import active, age_days
+from cairn.operators.base import active, age_days, folded
 
 
 def hebbian_decay(mem: DataFrame, as_of: Column) -> DataFrame:
@@ -76,16 +76,29 @@ def record_access(mem: DataFrame, accesses: DataFrame) -> DataFrame:
 
 def update_confidence(mem: DataFrame, signals: DataFrame) -> DataFrame:
     """Confidence folded over a memory's signals in order of time: Bayes' rule, then 0.95 of it plus 0.025. signals: id, at, seq, signal."""
-    folded = signals.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "signal"))).alias("signals"))
-    step = lambda c, s: 0.95 * (c * s["signal"] / (c * s["signal"] + (1 - c) * (1 - s["signal"]))) + 0.025
-    return mem.join(folded, "id", "left").withColumn("confidence", F.aggregate(F.coalesce("signals", F.array()), F.col("confidence"), step)).drop("signals")
+    kind = dict(mem.dtypes)["id"]
+    rows = signals.filter(F.col("signal").isNotNull()).select("id", "at", "seq", F.col("signal").cast("double").alias("signal")).join(mem.select("id", F.col("confidence").cast("double").alias("was")).filter("was IS NOT NULL"), "id")
+
+    def step(c, row):
+        s = row["signal"]
+        return 0.95 * (c * s / (c * s + (1 - c) * (1 - s))) + 0.025
+
+    new = folded(rows, ["id"], ["at", "seq"], f"id {kind}, now double", lambda row: row["was"], step, lambda c: (c,))
+    return mem.join(new, "id", "left").withColumn("confidence", F.coalesce("now", "confidence")).drop("now")
 
 
 def topic_sources(mem: DataFrame, as_of: Column) -> DataFrame:
     """profile, topic_key, source_count, source_cursor, source_hash over each tag's active memories, ids in text order."""
     tagged = mem.filter(active(as_of)).select("profile", F.explode(F.array_distinct("tags")).alias("topic_key"), F.col("id").cast("string").alias("id"))
-    ids = tagged.groupBy("profile", "topic_key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    return ids.select("profile", "topic_key", F.size("ids").cast("long").alias("source_count"), F.element_at("ids", -1).alias("source_cursor"), F.sha2(F.array_join("ids", "\n"), 256).alias("source_hash"))
+    import hashlib
+
+    def step(state, row):
+        n, last, digest = state
+        digest.update((b"\n" if n else b"") + row["id"].encode())
+        return n + 1, row["id"], digest
+
+    out = "profile string, topic_key string, source_count long, source_cursor string, source_hash string"
+    return folded(tagged.distinct(), ["profile", "topic_key"], ["id"], out, lambda row: (0, None, hashlib.sha256()), step, lambda state: (state[0], state[1], state[2].hexdigest()))
 
 
 def topics_to_recompute(sources: DataFrame, summaries: DataFrame, max_sources: int = 100, force: bool = False) -> DataFrame:

@@ -50,7 +50,7 @@ def query_join(starts: DataFrame, path: list[str], edges: DataFrame, direction:
     seen, hops = front, []
     for hop, predicate in enumerate(path, 1):
         step = edges.filter(F.col("predicate") == predicate).select(F.col(near).alias("node"), "profile", F.col(far).alias("next"), "subject", "predicate", "object")
-        met = front.join(step, ["node", "profile"])
+        met = cut(front.join(step, ["node", "profile"]))
         hops.append(met.select("start", "profile", F.lit(hop).alias("hop"), "subject", "predicate", "object"))
         front = met.select("start", "profile", F.col("next").alias("node")).distinct()
         if hop < len(path):
