@@ -127,8 +127,31 @@ def apply_graph_bundle(concepts: DataFrame, concept_edges: DataFrame, entities:
     concepts: path, canonical_name, entity_type; concept_edges: path, predicate, target_path. Concepts that aren't
     entities yet count as created; so both ends exist if both are concepts.
     """
+    return _judged(concepts, concept_edges, edges, vocabulary).select("path", "predicate", "target_path", "fate")
+
+
+def _judged(concepts: DataFrame, concept_edges: DataFrame, edges: DataFrame, vocabulary: list[str]) -> DataFrame:
     known = concepts.select(F.col("path"), F.concat_ws(":", "entity_type", "canonical_name").alias("name"))
     ends = concept_edges.join(known.select("path", F.col("name").alias("subject")), "path", "left").join(known.select(F.col("path").alias("target_path"), F.col("name").alias("object")), "target_path", "left")
     have = edges.filter(F.col("valid_to").isNull()).select("subject", "predicate", "object", F.lit(1).alias("have")).distinct()
     fate = F.when(~F.col("predicate").isin(vocabulary), "unknown_predicate").when(F.col("object").isNull(), "missing_object").when(F.col("subject") == F.col("object"), "self").when(F.col("have") == 1, "already_present").otherwise("written")
-    return ends.join(have, ["subject", "predicate", "object"], "left").select("path", "predicate", "target_path", fate.alias("fate"))
+    return ends.join(have, ["subject", "predicate", "object"], "left").withColumn("fate", fate)
+
+
+def graph_bundle_changes(concepts: DataFrame, concept_edges: DataFrame, entities: DataFrame, edges: DataFrame, aliases: DataFrame, vocabulary: list[str]) -> dict[str, DataFrame]:
+    """What a bundle would change: `entities` (canonical_name, entity_type) to create, `aliases` (alias, profile,
+    canonical_name, entity_type) that are free, `edges` (subject, predicate, object) to write, and `counts` (what, n).
+
+    Concepts are matched by name and type. An alias that two concepts want goes to the one of smallest name. Nothing is written
+    here: a dry run looks at the counts, another appends the tables. concepts: path, canonical_name, entity_type, profile,
+    aliases (array); aliases: alias, profile.
+    """
+    named = concepts.select("canonical_name", "entity_type").distinct()
+    created = named.join(entities.select("canonical_name", "entity_type"), ["canonical_name", "entity_type"], "left_anti")
+    wanted = concepts.select("profile", "canonical_name", "entity_type", F.explode("aliases").alias("alias")).filter(F.length("alias") > 0)
+    free = wanted.join(aliases.select("alias", "profile"), ["alias", "profile"], "left_anti").groupBy("alias", "profile").agg(F.min(F.struct("canonical_name", "entity_type")).alias("of"))
+    free = free.select("alias", "profile", "of.canonical_name", "of.entity_type")
+    judged = cut(_judged(concepts, concept_edges, edges, vocabulary))
+    total = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    counts = judged.groupBy(F.col("fate").alias("what")).agg(F.count("*").alias("n")).unionByName(total(created, "created")).unionByName(total(named.join(entities, ["canonical_name", "entity_type"], "left_semi"), "matched")).unionByName(total(free, "aliases"))
+    return {"entities": created, "aliases": free, "edges": judged.filter("fate = 'written'").select("subject", "predicate", "object").distinct(), "counts": counts}

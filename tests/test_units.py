@@ -250,3 +250,16 @@ def test_memory_files_and_trackers(spark, tmp_path):
     assert [(r["key"], r["content"], r["tags"]) for r in I.map_beads(beads).collect()] == [("issue:b-1", "T", ["x"])]
     comments = spark.createDataFrame([(1, "hi", 7), (None, "x", 7), (2, "", 7)], "id int, body string, issue int")
     assert [(r["key"], r["content"], r["issue"]) for r in I.map_comments(comments).collect()] == [("comment:1", "hi", 7)]
+
+
+def test_graph_bundle(spark):
+    concepts = spark.createDataFrame([("a", "A", "file", "p", ["x", "y"]), ("b", "B", "file", "p", ["x", ""]), ("c", "C", "file", "p", None)], "path string, canonical_name string, entity_type string, profile string, aliases array<string>")
+    wanted = spark.createDataFrame([("a", "PART_OF", "b"), ("a", "PART_OF", "b"), ("a", "LIKES", "b"), ("a", "PART_OF", "zz"), ("a", "PART_OF", "a"), ("b", "PART_OF", "c")], "path string, predicate string, target_path string")
+    entities = spark.createDataFrame([("A", "file"), ("B", "error")], "canonical_name string, entity_type string")
+    edges = spark.createDataFrame([("file:B", "PART_OF", "file:C", None)], "subject string, predicate string, object string, valid_to timestamp")
+    aliases = spark.createDataFrame([("y", "p"), ("x", "q")], "alias string, profile string")
+    got = E.graph_bundle_changes(concepts, wanted, entities, edges, aliases, ["PART_OF"])
+    assert sorted(map(tuple, got["entities"].collect())) == [("B", "file"), ("C", "file")]
+    assert [tuple(r) for r in got["aliases"].collect()] == [("x", "p", "A", "file")]
+    assert [tuple(r) for r in got["edges"].collect()] == [("file:A", "PART_OF", "file:B")]
+    assert dict(map(tuple, got["counts"].collect())) == {"written": 2, "unknown_predicate": 1, "missing_object": 1, "self": 1, "already_present": 1, "created": 2, "matched": 1, "aliases": 1}
