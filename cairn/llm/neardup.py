@@ -273,25 +273,26 @@ def around_centres(apart: DataFrame, labels: DataFrame, percent: int) -> DataFra
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x long, y long").distinct()
 
 
-ROW = ("key", "table", "id", "n", "label", "centre", "marks")
+ROW = ("key", "table", "id", "n", "label", "centre", "place", "marks")
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """x, y: plausible pairs of different components and different centres in each key. rows: ROW; a key has few enough rows."""
+    """x, y: plausible pairs of different components and different centres in each key. rows: ROW; a key has few enough rows.
+    place: of two blocks that meet, the row's own, as only pairs across are made there; else -1."""
 
     def first_shared(x, y):
         """The number of the first table of two collections that two rows share; only there is their pair made."""
         same = x == y
         return same[:, :SIDE].argmax(1) * SIDE + same[:, SIDE:].argmax(1)
 
-    def pairs(key, table, ids, n, label, centre, marks):
+    def pairs(key, table, ids, n, label, centre, place, marks):
         out = []
         at, d = np.arange(len(key) - 1), 1
         while len(at):
             at = at[at + d < len(key)]
             at = at[key[at] == key[at + d]]
             a, b = at, at + d
-            ok = (label[a] != label[b]) & (centre[a] != centre[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            ok = (label[a] != label[b]) & (centre[a] != centre[b]) & ((place[a] < 0) | (place[a] != place[b])) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
             a, b = a[ok], b[ok]
             base, deep = table[a] < SIDE * SIDE, table[a] - SIDE * SIDE
             first, second = first_shared(marks[a][:, : 2 * SIDE], marks[b][:, : 2 * SIDE]), first_shared(marks[a][:, 2 * SIDE :], marks[b][:, 2 * SIDE :])
@@ -340,7 +341,7 @@ def _between_centres(sharing: DataFrame, labels: DataFrame, centres: DataFrame,
     # Each class's mixed keys are gathered (at most 64), so that its minhashes are joined once.
     mixed = rows.join(_mixed(rows), "key").groupBy("id", "label", "centre").agg(F.collect_list(F.struct("key", "table", "size")).alias("t"))
     mixed = cut(mixed.join(sharing.select("id", "n", "marks"), "id"), "rows")
-    rows = mixed.withColumn("t", F.explode("t")).select("t.key", "t.table", "id", "n", "label", "centre", "marks", "t.size")
+    rows = mixed.withColumn("t", F.explode("t")).select("t.key", "t.table", "id", "n", "label", "centre", F.lit(-1).cast("long").alias("place"), "marks", "t.size")
     small, large = rows.filter(F.col("size") <= BLOCK).select(*ROW), rows.filter(F.col("size") > BLOCK)
     if not large.isEmpty():
         # Very common keys are refined by the other sixteen minhashes; what is still too large goes block by block.
@@ -349,7 +350,7 @@ def _between_centres(sharing: DataFrame, labels: DataFrame, centres: DataFrame,
         small = small.unionByName(finer.filter(F.col("size") <= BLOCK).select(*ROW))
         rest = finer.filter(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rest = rest.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+        rest = rest.withColumn("key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).withColumn("place", F.when(F.col("block") != F.col("other"), F.col("block")).otherwise(-1))
         small = small.unionByName(rest.select(*ROW))
     return _across(small, percent)
 
