@@ -144,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon_size:
 
 
 def classify(docs: DataFrame, heads: dict[str, Head], text_col: str = "text") -> DataFrame:
-    """docs with p_low and p_toxic: the document classifier's probabilities; 0 for a head that isn't there or a text without words."""
+    """docs with p_low and p_toxic: the document classifier's probabilities; 0 for a head that isn't there or a text without words.
+    Repeated rows get equal ones; ids don't matter; columns of those names are replaced."""
     names = [c for c in docs.columns if c not in ("p_low", "p_toxic")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(text_col).alias("__text"))
     sent = docs.sparkSession.sparkContext.broadcast(heads)  # lexicon_size terms a head

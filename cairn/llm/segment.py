@@ -343,6 +343,7 @@ def segmentations(docs: DataFrame, model_file: str, k: int = 2, sharpness: float
     log_inclusion is the log-probability that a segmentation is above the (k+1)-th perturbed value, log(1 - exp(-exp(log p
     - that value))); the probability's inverse weighs it. The row's key is its doc_id and text, so repeated rows have equal samples. A
     null or empty text is one blank, whose only segmentation comes back. decoded is read back from ids; exact: it is the text.
+    Null ids stay null, other columns don't matter, and an empty table gives an empty one.
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col, F.lit(seed)).alias("key"))
