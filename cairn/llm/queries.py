@@ -114,7 +114,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_imatch": op3_imatch, "op4_neardup": op4_neardup, "op5_substring": op5_substring, "op6_segment": op6_segment, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media}
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.runs import find_runs, repeat_tail
+
+    got = find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), least=24, times=3, change=repeat_tail)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return got.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), sha(listed).alias("runs_sha256"), sha("text").alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_imatch": op3_imatch, "op4_neardup": op4_neardup, "op5_substring": op5_substring, "op6_segment": op6_segment, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media, "op13_runs": op13_runs}
 ORACLE_SQL: dict[str, str] = {
     "op5_substring": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
