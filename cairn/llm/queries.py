@@ -114,6 +114,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.runs import find_runs, repeat_tail
 
@@ -125,7 +131,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_imatch": op3_imatch, "op4_neardup": op4_neardup, "op5_substring": op5_substring, "op6_segment": op6_segment, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media, "op13_runs": op13_runs}
+QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_imatch": op3_imatch, "op4_neardup": op4_neardup, "op5_substring": op5_substring, "op6_segment": op6_segment, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media, "op12_search": op12_search, "op13_runs": op13_runs}
 ORACLE_SQL: dict[str, str] = {
     "op5_substring": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -134,6 +140,14 @@ ORACLE_SQL: dict[str, str] = {
         gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM t WHERE n > 1),
         x AS (SELECT w.doc_id, word, w2.p, gone.p IS NOT NULL AS out FROM w LEFT JOIN (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w) w2 USING (doc_id) LEFT JOIN gone ON gone.doc_id = w2.doc_id AND gone.p = w2.p)
         SELECT doc_id, count(word) AS n_words, count(*) FILTER (WHERE out) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT out), '')) AS kept_sha256 FROM x GROUP BY doc_id""",
+    "op12_search": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+        s AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM t WHERE len(ts) > 0),
+        tf AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, unnest(ts) AS term, len(ts) AS n FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, s GROUP BY term, docs),
+        x AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score FROM q JOIN tf USING (term) JOIN w USING (term), s GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0) WHERE rank <= 10""",
     "op8_lines": """
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
         k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
