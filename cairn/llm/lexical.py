@@ -2,7 +2,7 @@
 
 The index is dealt into segments of at most SEGMENT documents. In a segment each term's posting list is clustered by the
 documents' likeness: some of its documents stand for clusters, and each other one joins the one whose vector (sketched by
-random signs) is nearest. A cluster is a block. Its summary is the coordinatewise maximum of its documents' vectors; of terms
+random signs, lengths kept) is nearest. A cluster is a block. Its summary is the coordinatewise maximum of its documents' vectors; of terms
 that many documents of the segment have, whose maxima hardly differ from block to block, the segment's maximum serves.
 A query's inner product with a summary so is an exact bound for all documents of the block: a query takes its terms'
 lists from the one that can give most down, skips blocks whose bound is under its k-th best score, scores the documents of
@@ -27,9 +27,9 @@ from cairn.llm.common import column, cut, mix64, slices, texts_of
 #: Documents of a segment, and postings, whichever is reached first.
 SEGMENT, SEGMENT_POSTINGS = 4096, 2_000_000
 #: Documents of a block in the mean; a block of fewer than FEW documents has no summary and is scored whole.
-BLOCK, FEW = 64, 4
-#: Terms that a larger share of a segment's documents have are bounded by the segment's maximum.
-COMMON = 1 / 16
+BLOCK, FEW = 64, 8
+#: Terms that a larger share of a segment's documents have are bounded by the segment's maximum: most blocks reach it.
+COMMON = 1 / 128
 #: (query, term) pairs that are searched for at once; more queries go in blocks by hash.
 MOST_PAIRS = 400_000
 _WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -152,7 +152,7 @@ def segment(ids: np.ndarray, n: np.ndarray, sizes: np.ndarray, terms: np.ndarray
     owner = np.repeat(np.arange(len(ids)), sizes)
     impacts = (1_000_000_000 * tf.astype(np.int64)) // (1000 * tf + 8 * m[owner])
     row_ptr = _pointers(sizes)
-    # Unit sketches of the weighed vectors: 32 sums with random signs, which keep inner products about as they are.
+    # Sketches of the weighed vectors: 32 sums with random signs, which keep distances about as they are.
     names, place = np.unique(terms, return_inverse=True)
     signs = 1.0 - 2.0 * ((mix64(names.astype(np.uint64), 31)[:, None] >> np.arange(32, dtype=np.uint64)) & np.uint64(1)).astype(float)
     sketch = np.zeros((len(ids), 32))
@@ -160,8 +160,7 @@ def segment(ids: np.ndarray, n: np.ndarray, sizes: np.ndarray, terms: np.ndarray
     for lo in range(0, 32, 8):
         if some.any():
             sketch[some, lo : lo + 8] = np.add.reduceat((impacts * stats.weights[terms])[:, None] * signs[place, lo : lo + 8], row_ptr[:-1][some], axis=0)
-    length = np.linalg.norm(sketch, axis=1, keepdims=True)
-    sketch /= np.where(length > 0, length, 1)
+    half = (sketch**2).sum(1) / 2
     order = np.argsort(place, kind="stable")
     counts = np.bincount(place, minlength=len(names))
     list_at = _pointers(counts)
@@ -170,7 +169,7 @@ def segment(ids: np.ndarray, n: np.ndarray, sizes: np.ndarray, terms: np.ndarray
         own = owner[order[lo:hi]]
         if len(own) > BLOCK:
             leads = own[np.linspace(0, len(own) - 1, -(-len(own) // BLOCK)).astype(int)]
-            near = np.argmax(sketch[own] @ sketch[leads].T, axis=1)
+            near = np.argmax(sketch[own] @ sketch[leads].T - half[leads], axis=1)  # the least distance
             own = own[np.argsort(near, kind="stable")]
             parts = np.bincount(near, minlength=len(leads))
             parts = parts[parts > 0].tolist()
