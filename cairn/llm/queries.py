@@ -114,6 +114,17 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cairn.llm import toxicity
+
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.letters(docs)
+    judge = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held), model)
+    got = toxicity.score(docs, model, judge)
+    return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.llm.lexical import search
 
@@ -131,7 +142,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_imatch": op3_imatch, "op4_neardup": op4_neardup, "op5_substring": op5_substring, "op6_segment": op6_segment, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media, "op12_search": op12_search, "op13_runs": op13_runs}
+QUERIES = {"op1_pack": op1_pack, "op2_quality": op2_quality, "op3_imatch": op3_imatch, "op4_neardup": op4_neardup, "op5_substring": op5_substring, "op6_segment": op6_segment, "op7_chat": op7_chat, "op8_lines": op8_lines, "op9_pii": op9_pii, "op10_media": op10_media, "op11_toxicity": op11_toxicity, "op12_search": op12_search, "op13_runs": op13_runs}
 ORACLE_SQL: dict[str, str] = {
     "op5_substring": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
