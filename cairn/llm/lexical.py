@@ -141,6 +141,8 @@ def _maxima(block: np.ndarray, term: np.ndarray, value: np.ndarray, blocks: int)
     return key // len(names), names[key % len(names)], np.maximum.reduceat(value[order], first)
 
 
+#: A summary's maxima are rounded up to multiples of this, which keeps them bounds and halves their room.
+UNIT = 256
 #: A segment's arrays. Documents: ids; forward vectors by pointer: terms, impacts. Lists by term: its greatest impact, pointer to blocks. Blocks: pointer to
 #: places of documents, pointer to the summary's terms and maxima. Common terms and the segment's maxima.
 PARTS = ("ids", "row_ptr", "terms", "impacts", "list_terms", "list_max", "list_ptr", "block_ptr", "block_docs", "summary_ptr", "summary_terms", "summary_max", "common_terms", "common_max")
@@ -200,12 +202,27 @@ def segment(ids: np.ndarray, n: np.ndarray, sizes: np.ndarray, terms: np.ndarray
         parts.append((np.bincount(b, minlength=hi - lo), names[t], v))
         lo = hi
     joined = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3)]
-    found = (ids, row_ptr, terms, impacts, names, top, _pointers(np.array(blocks_of, np.int64)), block_ptr, block_docs, _pointers(joined[0]), joined[1], joined[2], names[common], top[common])
-    return dict(zip(PARTS, found))
+    found = (ids, row_ptr, terms, impacts, names, top, _pointers(np.array(blocks_of, np.int64)), block_ptr, block_docs, _pointers(joined[0]), joined[1], -(-joined[2] // UNIT), names[common], top[common])
+    return {p: x.astype(np.int64 if p == "ids" else np.uint16 if p == "summary_max" else np.int32) for p, x in zip(PARTS, found)}
+
+
+def pack(own: dict[str, np.ndarray]) -> bytes:
+    """A segment as compressed bytes, in Arrow's stream format: one column for each array, of one row."""
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own[p])], pa.int32()), pa.array(own[p])) for p in PARTS], list(PARTS))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    batch = pa.ipc.open_stream(data).read_next_batch()
+    return {p: batch.column(p).flatten().to_numpy() for p in PARTS}
 
 
 def build(rows: DataFrame, stats: Statistics) -> DataFrame:
-    """The index of vectors(): a row for each segment, with PARTS as arrays. Nothing is shuffled: a segment takes rows of one task."""
+    """The index of vectors(): docs, segment. A row for each segment, packed, so that a task that reads many holds no more than their
+    bytes in the JVM. Nothing is shuffled: a segment takes rows of one task."""
 
     def run(batches):
         held, count = [], [0, 0]
@@ -215,8 +232,7 @@ def build(rows: DataFrame, stats: Statistics) -> DataFrame:
             made = segment(*(take(k) for k in range(5)), stats)
             held.clear()
             count[:] = 0, 0
-            arrays = [pa.array([made[p].astype(np.int64 if p == "ids" else np.int32)], pa.list_(pa.int64() if p == "ids" else pa.int32())) for p in PARTS]
-            return pa.RecordBatch.from_arrays(arrays, list(PARTS))
+            return pa.RecordBatch.from_arrays([pa.array([len(made["ids"])], pa.int64()), pa.array([pack(made)], pa.binary())], ["docs", "segment"])
 
         for b in slices(batches, 256):
             flat = lambda c: column(b, c).flatten().to_numpy().astype(np.int64)
@@ -229,7 +245,7 @@ def build(rows: DataFrame, stats: Statistics) -> DataFrame:
         if held:
             yield done()
 
-    return rows.mapInArrow(run, ", ".join(f"{p} array<{'long' if p == 'ids' else 'int'}>" for p in PARTS))
+    return rows.mapInArrow(run, "docs long, segment binary")
 
 
 class Best:
@@ -271,7 +287,7 @@ def search_segment(own: dict[str, np.ndarray], terms: np.ndarray, weights: np.nd
         ptr = own["summary_ptr"][lo : hi + 1]
         a, z = int(ptr[0]), int(ptr[-1])
         total = np.concatenate([[0.0], np.cumsum(dense[own["summary_terms"][a:z]] * own["summary_max"][a:z])])
-        bound = base + total[ptr[1:] - a] - total[ptr[:-1] - a]
+        bound = base + UNIT * (total[ptr[1:] - a] - total[ptr[:-1] - a])
         bound[np.diff(own["block_ptr"][lo : hi + 1]) < FEW] = np.inf
         turn, step = np.argsort(-bound, kind="stable"), 1
         while len(turn) and bound[turn[0]] >= best.least:
@@ -330,7 +346,7 @@ def _found(index: DataFrame, own: pa.Table, vocabulary: list[bytes], stats: Stat
         best, dense = [Best(k) for _ in rows], np.zeros(size)
         for b in batches:
             for i in range(b.num_rows):
-                one = {p: column(b, p)[i].values.to_numpy() for p in PARTS}
+                one = unpack(column(b, "segment")[i].as_buffer())
                 for q, keep in enumerate(best):
                     search_segment(one, terms[ptr[q] : ptr[q + 1]], weights[ptr[q] : ptr[q + 1]], keep, dense)
         at = pa.array(np.repeat(np.arange(len(rows)), [len(x.ids) for x in best]))

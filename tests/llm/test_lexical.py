@@ -82,6 +82,8 @@ def test_bounds_hold():
     terms = np.concatenate([np.sort(rng.choice(40, n, replace=False)) for n in sizes])
     stats = lexical.Statistics(300, 9000, rng.integers(100, 9000, 40))
     own = lexical.segment(np.arange(300), sizes * 3, sizes, terms, rng.integers(1, 5, len(terms)), stats)
+    again = lexical.unpack(lexical.pack(own))
+    assert all((own[p] == again[p]).all() and own[p].dtype == again[p].dtype for p in lexical.PARTS)
     assert sorted(own["block_docs"][own["block_ptr"][own["list_ptr"][0]] : own["block_ptr"][own["list_ptr"][1]]]) == sorted(np.flatnonzero([0 in terms[a:b] for a, b in zip(own["row_ptr"], own["row_ptr"][1:])]))
     for _ in range(20):
         w = rng.integers(0, 3, 40) * stats.weights
@@ -90,7 +92,7 @@ def test_bounds_hold():
             docs = own["block_docs"][own["block_ptr"][b] : own["block_ptr"][b + 1]]
             if len(docs) >= lexical.FEW:
                 a, z = own["summary_ptr"][b], own["summary_ptr"][b + 1]
-                bound = base + (w[own["summary_terms"][a:z]] * own["summary_max"][a:z]).sum()
+                bound = base + lexical.UNIT * (w[own["summary_terms"][a:z]] * own["summary_max"][a:z].astype(int)).sum()
                 assert all((w[terms[x:y]] * own["impacts"][x:y]).sum() <= bound for x, y in zip(own["row_ptr"][docs], own["row_ptr"][docs + 1]))
 
 
