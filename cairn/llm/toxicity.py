@@ -3,9 +3,9 @@
 The channel writes a letter as itself, as a digit or sign that looks like it, several times, or with a sign, mark or gap after it.
 A spelling so is a lattice: each stretch of one character may stand for a few letters, for nothing, or for a gap between
 words. Viterbi's algorithm finds the likeliest letters under a character language model of the corpus: the counts of
-letters after up to four others, each word counted once for each document that has it, each order smoothed by the one
-below. Words of plain letters are left as they are unless a letter comes twice or more in a row; words of one letter each
-that stand in a row are read as one spelling.
+letters after up to four others, each spelling counted once for each document that has it, each order smoothed by the one
+below. Words of plain letters are left as they are unless a letter comes three times or more in a row, or twice where the
+model finds that odd; words of one letter each that stand in a row are read as one spelling.
 
 The restored words, and the words as they were, give the evidence: terms (words and the first letters of longer ones) have
 log-odds learned from labelled documents. Logistic regression on a text's strongest terms gives its score; it is fitted on
@@ -31,6 +31,8 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 # Signs that may hide one letter.
 HIDES, HIDDEN = "*#%&", "aeiou"
 ORDER = 5
+#: A second letter in a row is odd if its log-probability after the first is under this.
+ODD = -5.0
 _MARKS = ".,;:!?\"'`()[]{}<>«»„“”‚‘’…-–—_*#%&$|/\\=~^+"
 _REPEATED = re.compile(r"(.)\1")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ \t]{1,3}[^\s.,;:?]){2,}(?!\S)")
@@ -128,13 +130,21 @@ class Restorer:
     def __init__(self, model: Letters, most: int = 200_000):
         self.model, self.most, self.seen = model, most, {}
 
+    def usual(self, core: str) -> bool:
+        """Only letters, and doubles only where the model expects them."""
+        for m in _REPEATED.finditer(core):
+            at = m.end() - 1
+            if core[at : at + 2] == core[at] * 2 or self.model.log((" " * (ORDER - 1) + core[:at])[1 - ORDER :], core[at]) < ODD:
+                return False
+        return True
+
     def word(self, token: str) -> str:
         """The restored words of a token in lower case: the letters between its marks if there are only letters."""
         if (got := self.seen.get(token)) is None:
             if len(self.seen) >= self.most:
                 self.seen.clear()
             core = token.strip(_MARKS)
-            if core.isalpha() and not _REPEATED.search(core) and not (token[0] in LOOKS or token[-1] in "$@"):
+            if core.isalpha() and not (token[0] in LOOKS or token[-1] in "$@") and self.usual(core):
                 got = core
             elif not any(c.isalpha() for c in core):
                 got = ""
@@ -143,16 +153,10 @@ class Restorer:
             self.seen[token] = got
         return got
 
-    def words(self, text: str) -> tuple[set[str], set[str]]:
-        """The distinct words of a text as they are written, and as they are restored."""
+    def spellings(self, text: str) -> set[str]:
+        """The distinct tokens of a text in lower case, and its rows of single letters."""
         low = text.lower()
-        tokens = set(low.split())
-        restored = {self.word(t) for t in tokens}
-        for m in _SPACED.finditer(low):
-            restored.add(self.word(m[0]))
-        plain = {t.strip(_MARKS) for t in tokens}
-        whole = {w for r in restored for w in r.split()} if any(" " in r for r in restored) else restored
-        return plain - {""}, whole - {""}
+        return set(low.split()).union(m[0] for m in _SPACED.finditer(low))
 
     def text(self, text: str) -> str:
         """The text in lower case with every token, and every row of single letters, restored; one blank between tokens."""
@@ -168,7 +172,10 @@ def letters(docs: DataFrame, text_col: str = "text", grams: int = 300_000) -> Le
 
         def done():
             out: Counter = Counter()
-            for w, n in words.items():
+            for spelling, n in words.items():
+                w = spelling.strip(_MARKS)
+                if not w.isalpha() or len(w) >= 100:
+                    continue
                 padded = " " * (ORDER - 1) + w + " "
                 for i in range(len(w) + 1):
                     out[padded[i : i + ORDER]] += n
@@ -177,7 +184,7 @@ def letters(docs: DataFrame, text_col: str = "text", grams: int = 300_000) -> Le
 
         for b in slices(batches):
             for t in texts_of(b, "text"):
-                words.update({w for x in set(t.lower().split()) if (w := x.strip(_MARKS)).isalpha() and len(w) < 100})
+                words.update(set(t.lower().split()))
             if len(words) > 300_000:
                 yield done()
         yield done()
@@ -188,19 +195,34 @@ def letters(docs: DataFrame, text_col: str = "text", grams: int = 300_000) -> Le
 
 
 PREFIXES = (4, 5, 6)
-#: Evidence: a text's three strongest terms, how many are over 2, and its number of distinct words, in logarithms.
+#: Evidence: a text's three strongest terms, how many are over 2, and its number of distinct spellings, in logarithms.
 EVIDENCE = 5
 
 
-def terms(words: tuple[set[str], set[str]]) -> set[str]:
-    """A text's terms: its words, written and restored, and the first letters of longer ones, marked by a blank."""
-    both = words[0] | words[1]
-    return both | {w[:n] + " " for w in both for n in PREFIXES if len(w) > n}
+def terms(restorer: Restorer, spelling: str) -> set[str]:
+    """A spelling's terms: its word as it is written and those restored, and the first letters of longer ones, marked by a blank."""
+    words = {spelling.strip(_MARKS), *restorer.word(spelling).split(" ")} - {""}
+    return words | {w[:n] + " " for w in words for n in PREFIXES if len(w) > n}
+
+
+class Finder:
+    """The evidence of texts; a spelling's terms in the lexicon are looked up once as long as `most` spellings are held."""
 
+    def __init__(self, restorer: Restorer, lexicon: dict[str, float], most: int = 400_000):
+        self.restorer, self.lexicon, self.most, self.seen = restorer, lexicon, most, {}
 
-def evidence(words: tuple[set[str], set[str]], lexicon: dict[str, float]) -> list[float]:
-    found = sorted((x for t in terms(words) if (x := lexicon.get(t)) is not None), reverse=True)
-    return [*(found + [0.0, 0.0, 0.0])[:3], float(min(20, sum(x > 2 for x in found))), math.log1p(len(words[0]))]
+    def evidence(self, text: str) -> list[float]:
+        spellings = self.restorer.spellings(text)
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        found: dict[str, float] = {}
+        for s in spellings:
+            if (hits := self.seen.get(s)) is None:
+                hits = self.seen[s] = {t: self.lexicon[t] for t in terms(self.restorer, s) if t in self.lexicon} or ()
+            if hits:
+                found.update(hits)
+        weights = sorted(found.values(), reverse=True)
+        return [*(weights + [0.0, 0.0, 0.0])[:3], float(min(20, sum(x > 2 for x in weights))), math.log1p(len(spellings))]
 
 
 @dataclass
@@ -251,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: Letters, sample: int = 20_000
         restorer, counts, seen = Restorer(sent.value), [Counter() for _ in range(4)], [0] * 4
         for b in slices(batches):
             for text, toxic, half in zip(texts_of(b, "text"), column(b, "toxic").to_pylist(), column(b, "half").to_pylist()):
-                counts[2 * half + toxic].update(terms(restorer.words(text)))
+                counts[2 * half + toxic].update(set().union(*(terms(restorer, x) for x in restorer.spellings(text))))
                 seen[2 * half + toxic] += 1
         keys = list(set().union(*counts))
         cols = [pa.array([c[t] for t in keys] + [seen[i]], pa.int64()) for i, c in enumerate(counts)]
@@ -275,8 +297,9 @@ def fit(docs: DataFrame, labels: DataFrame, model: Letters, sample: int = 20_000
 
     def describe(batches):
         restorer = Restorer(sent.value)
+        finders = [Finder(restorer, lexicon) for lexicon in halves]
         for b in slices(batches):
-            x = [evidence(restorer.words(t), halves[h]) for t, h in zip(texts_of(b, "text"), column(b, "half").to_pylist())]
+            x = [finders[h].evidence(t) for t, h in zip(texts_of(b, "text"), column(b, "half").to_pylist())]
             yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "toxic"), pa.array(x, pa.list_(pa.float64()))], ["id", "toxic", "x"])
 
     kinds = dict(rows.dtypes)
@@ -299,9 +322,10 @@ def score(docs: DataFrame, model: Letters, judge: Judge, text_col: str = "text",
     def run(batches):
         model, judge = sent.value
         restorer = Restorer(model)
+        finder = Finder(restorer, judge.lexicon)
         for b in slices(batches):
             texts = texts_of(b, "__text")
-            x = np.array([evidence(restorer.words(t), judge.lexicon) for t in texts], float).reshape(len(texts), EVIDENCE)
+            x = np.array([finder.evidence(t) for t in texts], float).reshape(len(texts), EVIDENCE)
             cols = [column(b, "__row"), pa.array(judge.scores(x))]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array([restorer.text(t) for t in texts], pa.string())] if restored else []), ["__row", *made])
 
