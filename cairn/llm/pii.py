@@ -7,8 +7,11 @@ few small whole-number features of its format and context, and a weak label from
 known top-level domain, four numbers up to 255, Luhn's sum, a plus or a word such as "call" before a number, letters and
 digits mixed as at random. Boosted trees, a model for each kind, so learn which formats and contexts the checks confirm;
 a threshold for each kind is calibrated on held-out candidates, and what scores over it is selected, whether its own check
-passes or not. As the features are small numbers, the corpus is one grouped count (at most FEATURE_ROWS rows), from which
+passes or not. As the features are small numbers, the corpus is one grouped count (at most FEATURE_ROWS rows, some 30,000), from which
 the trees are fitted on the driver; they score as SQL expressions.
+
+A text may have very many matches, so nothing looks at all others for each: places come from running sums, overlaps from one sort and a
+running maximum, both made by doubling steps over an array, and texts are cut from chunks.
 """
 
 from __future__ import annotations
@@ -42,23 +45,41 @@ GENERATORS = (MAILLIKE, DOTTED, CARDLIKE, PHONELIKE, SECRETLIKE)
 DOMAINS = "com|org|net|edu|gov|info|biz|io|co|de|fr|es|it|uk|eu|ch|at|nl|us|ca|mx|br|ar|jp|cn|in|au"
 #: Words before a candidate that speak for each kind.
 WORDS = ("mail|contact|write|reach", r"\bip\b|host|server|addr", "card|visa|pay|credit", "phone|tel|call|mobil|fax", "token|key|secret|passw|pwd|auth|credential")
-FEATURES = {"kind": 5, "digits": 6, "seps": 4, "style": 5, "words": 6, "head": 4, "spelt": 2, "quoted": 3, "letters": 3, "size": 4}
-FEATURE_ROWS = math.prod(FEATURES.values()) * 4
-SPAN = "array<struct<start:int,stop:int,value:string>>"
+FEATURES = {"digits": 6, "seps": 4, "style": 5, "words": 6, "head": 4, "spelt": 2, "quoted": 3, "letters": 3, "size": 4}
+#: What a kind's model looks at; its other features are 0. A phone number's words are what its check looks at.
+USED = (("style", "words", "spelt", "quoted", "size"), ("digits", "words", "head", "quoted", "size"), ("digits", "seps", "style", "words", "head"), ("digits", "seps", "style", "head", "quoted"), ("seps", "words", "quoted", "letters", "size"))
+FEATURE_ROWS = sum(math.prod(FEATURES[f] for f in used) for used in USED) * 4
+SPAN = "array<struct<start:int,stop:int,value:string,before:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is made once, however often body, or a function within it, takes it up."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(values: Column, join) -> Column:
+    """Running results of `join`, an associative function of two numbers, over an array: element i joins the elements up to it. Steps
+    double their reach, so an array of n takes log n passes."""
+
+    def step(so_far: Column, k: Column) -> Column:
+        return _let(F.call_function("shiftleft", F.lit(1), k), lambda far: F.transform(so_far, lambda x, i: F.when(i < far, x).otherwise(join(x, F.get(so_far, i - far)))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 1, F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int") - 1), v, step)).otherwise(v))
 
 
 def _matches(text: Column, pattern: str, may: Column) -> Column:
-    """Spans of a pattern's leftmost non-overlapping matches, in code points; where `may` is false there are none."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    # The end of match i is the length of the first i+1 pieces between and of the first i+1 matches.
-    stops = F.aggregate(
-        F.zip_with(found, F.slice(between, 1, F.greatest(F.size(found), F.lit(0))), lambda m, p: F.length(m) + F.length(p)),
-        F.array().cast("array<int>"),
-        lambda acc, n: F.concat(acc, F.array(n + F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(0))),
-    )
-    spans = F.zip_with(found, stops, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("stop"), m.alias("value")))
-    return F.when(may, spans).otherwise(F.array().cast(SPAN))
+    """Spans of a pattern's leftmost non-overlapping matches, in code points, each with the 24 characters at most before it that the
+    match before it and the text between them have; where `may` is false there are none."""
+
+    def spans(v: Column) -> Column:
+        # The end of match i is the length of the first i+1 pieces between and of the first i+1 matches.
+        ends = _scan(F.zip_with(v["found"], F.slice(v["between"], F.lit(1), F.size(v["found"])), lambda m, p: F.length(m) + F.length(p)), lambda x, y: x + y)
+        before = lambda i: F.right(F.concat(F.coalesce(F.get(v["found"], i - 1), F.lit("")), F.get(v["between"], i)), F.lit(24))
+        return _let(ends, lambda e: F.transform(v["found"], lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("start"), F.get(e, i).alias("stop"), m.alias("value"), before(i).alias("before"))))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+    none = F.array().cast(SPAN)
+    return F.when(may, _let(both, lambda v: F.when(F.size(v["found"]) > 0, spans(v)).otherwise(none))).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
@@ -86,8 +107,8 @@ def _base(text: Column) -> Column:
     return F.array_sort(F.concat(*[F.transform(spans, as_kind(k)) for k, spans in enumerate(checked)]))
 
 
-def _proposals(text: Column, base: Column) -> Column:
-    """Candidates with features, the weak label, and `known`: a base span overlaps it."""
+def _proposals(text: Column) -> Column:
+    """Candidates with features and the weak label."""
     number = F.regexp_like(text, F.lit("[0-9]"))
     at = F.contains(text, F.lit("@")) | F.regexp_like(text, F.lit(r"[\(\[]at[\)\]]"))
     band = lambda x, *edges: reduce(lambda a, e: a + (x >= e).cast("int"), edges, F.lit(0))
@@ -110,17 +131,17 @@ def _proposals(text: Column, base: Column) -> Column:
     def features(s: Column, kind: int) -> Column:
         value = s["value"]
         seps = F.regexp_replace(value, r"[A-Za-z0-9+]", "")
-        before = F.lower(F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24))))
+        before = F.lower(s["before"])
         style = F.when(F.length(seps) == 0, 0).when(F.regexp_like(seps, F.lit("^-+$")), 1).when(F.regexp_like(seps, F.lit("^ +$")), 2).when(F.regexp_like(seps, F.lit(r"^\.+$")), 3).otherwise(4)
-        words = F.lit(0) if kind == 3 else reduce(lambda w, k: w.when(F.regexp_like(before, F.lit(WORDS[k])), k + 1), range(4), F.when(F.regexp_like(before, F.lit(WORDS[4])), 5)).otherwise(0)
+        words = reduce(lambda w, k: w.when(F.regexp_like(before, F.lit(WORDS[k])), k + 1), range(4), F.when(F.regexp_like(before, F.lit(WORDS[4])), 5)).otherwise(0)
         parts = {
-            "kind": F.lit(kind), "digits": band(F.length(_digits(value)), 7, 9, 12, 16, 20), "seps": band(F.length(seps), 1, 3, 6), "style": style, "words": words,
+            "digits": band(F.length(_digits(value)), 7, 9, 12, 16, 20), "seps": band(F.length(seps), 1, 3, 6), "style": style, "words": words,
             "head": band(F.length(F.regexp_extract(value, r"^(?:\+[0-9]{1,3}\x20?)?\(?([0-9]+)", 1)), 1, 3, 5), "spelt": fits(value, r"[\(\[](?:at|dot)[\)\]]"),
             "quoted": F.when(F.regexp_like(before, F.lit(r"[\"'`]$")), 1).when(F.regexp_like(before, F.lit(r"[=:]\s?$")), 2).otherwise(0),
             "letters": F.when(F.regexp_like(value, F.lit("[g-zG-Z]")), 2).when(F.regexp_like(value, F.lit("[a-fA-F]")), 1).otherwise(0), "size": band(F.length(value), 20, 32, 48),
         }
-        known = F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-        return F.struct(s["start"], s["stop"], *[parts[f].cast("int").alias(f) for f in FEATURES], label(value, before, kind).alias("label"), known.alias("known"))
+        own = [(parts[f] if f in USED[kind] else F.lit(0)).cast("int").alias(f) for f in FEATURES]
+        return F.struct(s["start"], s["stop"], F.lit(kind).alias("kind"), *own, label(value, before, kind).alias("label"))
 
     may = (at, number & F.contains(text, F.lit(".")), number, number, number)
     described = lambda kind: lambda s: features(s, kind)
@@ -135,7 +156,7 @@ def propose(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     docs = docs.drop("__base", "__candidates", "__good", "__spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("__base", _base(text)).withColumn("__candidates", _proposals(text, F.col("__base")))
+    return docs.withColumn("__base", _base(text)).withColumn("__candidates", _proposals(text))
 
 
 @dataclass
@@ -159,7 +180,7 @@ def fit(proposed: DataFrame, rounds: int = 30, rate: float = 0.3, precision: flo
     """
     counts = (
         proposed.select((F.pmod(row_hash(proposed), F.lit(2)) == 0).alias("held"), F.explode("__candidates").alias("c"))
-        .groupBy("held", *[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.label").alias("label")).count().collect()  # at most FEATURE_ROWS rows
+        .groupBy("held", "c.kind", *[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.label").alias("label")).count().collect()  # at most FEATURE_ROWS rows
     )
     return {
         name: boost([(r["held"], tuple(r[f] for f in FEATURES), r["label"], r["count"]) for r in counts if r["kind"] == kind], rounds, rate, precision)
@@ -218,18 +239,55 @@ def select(proposed: DataFrame, models: dict[str, Boosted]) -> DataFrame:
     that overlap each other, those of the largest score, and of equals the first and longest. Columns __base and __candidates are propose()'s."""
     usable = {kind: models[name] for kind, name in enumerate(ALL_KINDS) if name in models and math.isfinite(models[name].threshold)}
 
+    if not usable:
+        return proposed.withColumn("__spans", F.col("__base"))
+
     def scored(c: Column) -> Column:
         over = reduce(lambda w, k: w.when(c["kind"] == k, usable[k].score(c) - usable[k].threshold), usable, F.when(F.lit(False), 0.0))
         return F.struct(over.alias("over"), (-c["start"]).alias("first"), c["stop"].alias("stop"), (-c["kind"]).alias("rank"))
 
-    if not usable:
-        return proposed.withColumn("__spans", F.col("__base"))
-    good = F.filter(F.transform(F.filter("__candidates", lambda c: ~c["known"]), scored), lambda c: c["over"] >= 0)
-    better = lambda c, d: (d > c) & (-d["first"] < c["stop"]) & (-c["first"] < d["stop"])
+    good = F.filter(F.transform("__candidates", scored), lambda c: c["over"] >= 0)
     rows = proposed.withColumn("__good", good)
-    kept = F.filter("__good", lambda c: ~F.exists("__good", lambda d: better(c, d)))
-    extra = F.array_distinct(F.transform(kept, lambda c: F.struct((-c["first"]).alias("start"), (-c["rank"]).alias("kind"), c["stop"].alias("stop"))))
-    return rows.withColumn("__spans", F.array_sort(F.concat("__base", extra))).drop("__good")
+    rows = rows.withColumn("__good", F.when((F.size("__good") > 0) & (F.size("__base") > 0), _apart(F.col("__good"), F.col("__base"))).otherwise(F.col("__good")))
+    rows = rows.withColumn("__good", F.array_sort("__good", lambda c, d: F.when(c["first"] > d["first"], -1).when(c["first"] < d["first"], 1).when(c > d, -1).when(c < d, 1).otherwise(0)))
+    extra = F.when(F.size("__good") > 1, _unbeaten(F.col("__good"))).otherwise(F.transform("__good", _key))
+    spans = F.transform(extra, lambda k: F.struct(F.shiftright(k, 32).cast("int").alias("start"), F.pmod(k, F.lit(8)).cast("int").alias("kind"), (F.shiftright(k, 32) + F.shiftright(F.pmod(k, F.lit(2**32)), 3)).cast("int").alias("stop")))
+    return rows.withColumn("__spans", F.when(F.size("__good") > 0, F.array_sort(F.concat("__base", spans))).otherwise(F.col("__base"))).drop("__good")
+
+
+def _key(c: Column) -> Column:
+    """A good candidate's start, length (under 2**29) and kind as one number."""
+    return (-c["first"]).cast("long") * 2**32 + (c["stop"] + c["first"]).cast("long") * 8 - c["rank"]
+
+
+def _apart(good: Column, base: Column) -> Column:
+    """The good candidates that no base span overlaps: ordered by candidates' ends and base spans' starts, the greatest end of the base
+    spans so far is what reaches into a candidate. At one place candidates come first, as spans that only touch don't overlap."""
+    ours = F.transform(good, lambda c: F.struct(c["stop"].alias("at"), F.lit(0).alias("type"), F.lit(-1).alias("reach"), c.alias("c")))
+    theirs = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("type"), b["stop"].alias("reach"), F.get(good, F.lit(0)).alias("c")))
+
+    def free(order: Column) -> Column:
+        reach = _scan(F.transform(order, lambda e: e["reach"]), lambda x, y: F.greatest(x, y))
+        kept = F.filter(F.zip_with(order, reach, lambda e, r: F.struct(e.alias("e"), r.alias("r"))), lambda z: (z["e"]["type"] == 0) & (z["r"] <= -z["e"]["c"]["first"]))
+        return F.transform(kept, lambda z: z["e"]["c"])
+
+    return _let(F.array_sort(F.concat(ours, theirs)), free)
+
+
+def _unbeaten(good: Column) -> Column:
+    """Keys of the candidates, ordered by start, that overlap no better one. Spans of one kind are apart, so of each kind only the last
+    that starts no later can reach into a candidate: of every such pair the worse is beaten."""
+
+    def beaten(kind: int) -> Column:
+        last = _scan(F.transform(good, lambda c, i: F.when(c["rank"] == -kind, i).otherwise(-1)), lambda x, y: F.greatest(x, y))
+
+        def worse(c: Column, d: Column) -> Column:
+            meets = (d["rank"] != c["rank"]) & (d["stop"] > -c["first"])  # false or null where there is no d
+            return F.when(meets, F.when(c > d, _key(d)).otherwise(_key(c)))
+
+        return F.zip_with(good, last, lambda c, at: worse(c, F.get(good, at)))
+
+    return F.array_except(F.transform(good, _key), F.filter(F.concat(*map(beaten, range(len(ALL_KINDS)))), lambda k: k.isNotNull()))
 
 
 def spans_text(spans: Column) -> Column:
@@ -238,14 +296,29 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
 
 
+#: Characters of a chunk that texts are cut from.
+CHUNK = 1024
+
+
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with spans, merged where they overlap, replaced by the first one's kind in brackets."""
+    """The text with spans (ordered by start), merged where they overlap, replaced by the first one's kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
-    state = F.struct(F.lit("").alias("said"), F.lit(0).alias("at"))
-    out = F.aggregate(
-        spans, state,
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(F.concat(a["said"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"])).alias("said"), s["stop"].alias("at")))
-        .otherwise(F.struct(a["said"].alias("said"), F.greatest(a["at"], s["stop"]).alias("at"))),
-        lambda a: F.concat(a["said"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, out).otherwise(text)
+
+    def part(chunks: Column, start: Column, stop: Column) -> Column:
+        """Characters start to stop, without counting from the text's beginning."""
+        one, other = (start / CHUNK).cast("int"), (stop / CHUNK).cast("int")
+        first, last = F.coalesce(F.get(chunks, one), F.lit("")), F.coalesce(F.get(chunks, other), F.lit(""))
+        inside = F.substring(first, start % CHUNK + 1, stop - start)
+        across = F.concat(F.substring(first, start % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, one + 2, F.greatest(other - one - 1, F.lit(0))), ""), F.substring(last, F.lit(1), stop % CHUNK))
+        return F.when(one == other, inside).otherwise(across)
+
+    def said(v: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            return _let(F.coalesce(F.get(v["reach"], i - 1), F.lit(0)), lambda at: F.when(s["start"] >= at, F.concat(part(v["chunks"], at, s["start"]), F.get(names, s["kind"]))).otherwise(""))
+
+        return F.concat(F.array_join(F.transform(v["spans"], piece), ""), part(v["chunks"], F.element_at(v["reach"], -1), v["size"]))
+
+    reach = _scan(F.transform(spans, lambda s: s["stop"]), lambda x, y: F.greatest(x, y))
+    chunks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    made = F.struct(spans.alias("spans"), reach.alias("reach"), chunks.alias("chunks"), F.length(text).alias("size"))
+    return F.when(F.size(spans) > 0, _let(made, said)).otherwise(text)
