@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -43,28 +44,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_OPEN: list[list[str]] = []  # the tables of each open scratch
+#: The tables of each open scratch, innermost last; each thread of a driver has its own.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession):
     """Deletes the tables that cut() writes meanwhile when it ends; those of keep() stay."""
-    _OPEN.append([])
+    own: list[str] = []
+    outer = _OPEN.set((*_OPEN.get(), own))
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        _OPEN.reset(outer)
+        for path in own:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def cut(df: DataFrame, name: str = "cut", level: int = 1) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
+def cut(df: DataFrame, name: str = "cut", level: int = 1, file_rows: int = 0) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor costs nothing. file_rows:
+    rows of a file at most, for tables of very large rows, as a task reads many rows of a file at once; 0 sets no bound."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if len(_OPEN) >= level:
-        _OPEN[-level].append(path)
-    df.write.parquet(path)
+    open_now = _OPEN.get()
+    if len(open_now) >= level:
+        open_now[-level].append(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

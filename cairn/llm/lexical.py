@@ -26,6 +26,8 @@ from cairn.llm.common import column, cut, mix64, slices, texts_of
 
 #: Documents of a segment, and postings, whichever is reached first.
 SEGMENT, SEGMENT_POSTINGS = 4096, 2_000_000
+#: Segments of a file: a task of the search reads a file's at once.
+FILE_SEGMENTS = 2
 #: Documents of a block in the mean; a block of fewer than FEW documents has no summary and is scored whole.
 BLOCK, FEW = 64, 8
 #: Terms that a larger share of a segment's documents have are bounded by the segment's maximum: most blocks reach it.
@@ -129,7 +131,7 @@ def _maxima(block: np.ndarray, term: np.ndarray, value: np.ndarray, blocks: int)
     seen[term] = True
     names = np.flatnonzero(seen)
     place = np.cumsum(seen) - 1
-    if blocks * len(names) <= 8 * len(term) + 1_000_000:  # a dense table of about as much memory
+    if blocks * len(names) <= 8 * len(term) + 500_000:  # a dense table of about as much memory
         best = np.zeros(blocks * len(names), np.int32)
         np.maximum.at(best, block * len(names) + place[term], value)
         at = np.flatnonzero(best)
@@ -192,7 +194,7 @@ def segment(ids: np.ndarray, n: np.ndarray, sizes: np.ndarray, terms: np.ndarray
     work = _pointers(np.where(np.repeat(np.diff(block_ptr), np.diff(block_ptr)) >= FEW, took, 0))
     parts, lo, last = [], 0, len(block_sizes)
     while lo < last:
-        hi = max(lo + 1, int(np.searchsorted(work[block_ptr], work[block_ptr[lo]] + 4_000_000, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(work[block_ptr], work[block_ptr[lo]] + 500_000, "right")) - 1)
         inside = np.arange(block_ptr[lo], block_ptr[hi])
         block = np.repeat(np.arange(hi - lo), np.diff(block_ptr[lo : hi + 1]))
         large = np.diff(block_ptr[lo : hi + 1])[block] >= FEW
@@ -323,7 +325,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         vocabulary = sorted(set(own.column("term").to_pylist()))
         rows = cut(vectors(docs, vocabulary, id_col, text_col), "vectors")
         stats = Statistics.of(rows, len(vocabulary))
-        found = _found(cut(build(rows, stats), "segments"), own, vocabulary, stats, k)
+        found = _found(cut(build(rows, stats), "segments", file_rows=FILE_SEGMENTS), own, vocabulary, stats, k)
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("row").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     ranked = out.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k)
