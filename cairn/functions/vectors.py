@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -110,6 +110,118 @@ def _nearest(queries: pa.Table, batches, k: int, minimum: float | None):
     )
 
 
+#: Distinct vectors of a cell in the mean, and centres of all profiles at most: these are sent to every task.
+CELL, MOST_CENTRES = 2048, 4096
+#: Vectors that each centre is chosen from.
+SAMPLE = 4
+
+
+def _spread(m: np.ndarray) -> np.ndarray:
+    """One in SAMPLE of the rows, each the farthest from those before it."""
+    picked, near = [0], m @ m[0]
+    for _ in range(-(-len(m) // SAMPLE) - 1):
+        picked.append(int(np.argmin(near)))
+        near = np.maximum(near, m @ m[picked[-1]])
+    return m[picked]
+
+
+def similar(queries: DataFrame, mem: DataFrame, k: int, minimum: float, products=None) -> DataFrame:
+    """query_id, id, similarity: what topk() gives for a minimum, by an exact join that prunes in the metric.
+
+    Rows with the same vector meet as one, with the k smallest ids, however many there are. Of a profile with more than CELL distinct
+    vectors, a sample (by hash) is drawn, and of it those that are farthest apart are centres; each vector is in its nearest centre's cell, at its angle from it. Two vectors whose angles
+    from a centre differ by more than the angle of the minimum can't be that similar: a query goes only to cells whose range of angles it
+    can reach, and meets a cell's vectors, sorted by angle, in its own range only. Cells of many rows are split into blocks. Up to
+    BLOCK queries are broadcast as in topk(). products: an accumulator that counts the inner products of queries and vectors.
+    """
+    from cairn.operators.base import cut, top
+
+    q = queries.filter(F.col("embedding").isNotNull()).select("query_id", "profile", "embedding")
+    rows = mem.filter(F.col("embedding").isNotNull()).select("id", "profile", "embedding")
+    if q.limit(BLOCK + 1).count() <= BLOCK:
+        return topk(queries, mem, k, minimum)
+    same = ["profile", "embedding"]
+    rows = cut(top(rows, same, [F.asc("id")], k).groupBy(*same).agg(F.array_sort(F.collect_list("id")).alias("ids")))  # at most k ids each
+    members = cut(q.join(q.groupBy(*same).agg(F.min("query_id").alias("class")), same))
+    asked = members.filter(F.col("query_id") == F.col("class")).select("class", *same)
+    counts = rows.groupBy("profile").count()
+    cell = max(CELL, -(-rows.count() // MOST_CENTRES))
+    chosen = rows.join(counts.filter(F.col("count") > cell), "profile").withColumn("n", SAMPLE * F.ceil(F.col("count") / cell))
+    chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy("profile").orderBy(F.xxhash64("embedding"), F.element_at("ids", 1)))).filter(F.col("place") <= F.col("n"))
+    found = chosen.select("profile", "embedding").toArrow()  # at most 2 * SAMPLE * MOST_CENTRES rows: a profile of more than `cell` vectors has less than twice its share
+    owner = np.array(found.column("profile").to_pylist(), object)
+    centres = {p: _spread(matrix(found.filter(pa.array(owner == p)).column("embedding").combine_chunks())) for p in set(owner.tolist())}
+    sent, reach = q.sparkSession.sparkContext.broadcast(centres), float(np.arccos(np.clip(minimum, -1, 1))) + 1e-6
+    kinds = dict(rows.dtypes) | dict(asked.dtypes)
+
+    def places(b: pa.RecordBatch):
+        """For each profile of a batch with centres: its rows and their angles from each centre. Other rows are in cell -1."""
+        group = np.array(b.column("profile").to_pylist(), object)
+        for p in set(group.tolist()):
+            at = np.flatnonzero(group == p)
+            yield p, at, np.arccos(np.clip(matrix(b.column("embedding").take(pa.array(at))) @ sent.value[p].T, -1, 1)) if p in sent.value else None
+
+    def dealt(b: pa.RecordBatch, at, cells, angles) -> pa.RecordBatch:
+        part = b.take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, pa.int32()), pa.array(angles, pa.float64())], [*part.schema.names, "cell", "angle"])
+
+    def into_cells(batches):
+        for b in batches:
+            for _, at, angle in places(b):
+                near = np.full(len(at), -1) if angle is None else np.argmin(angle, axis=1)
+                yield dealt(b, at, near, np.zeros(len(at)) if angle is None else angle[np.arange(len(at)), near])
+
+    right = cut(rows.select("ids", *same).mapInArrow(into_cells, f"ids {kinds['ids']}, profile string, embedding {kinds['embedding']}, cell int, angle double"))
+    spans: dict = {}
+    for r in right.filter("cell >= 0").groupBy("profile", "cell").agg(F.min("angle").alias("least"), F.max("angle").alias("most")).collect():  # a row for each centre at most
+        spans.setdefault(r["profile"], {})[r["cell"]] = (r["least"], r["most"])
+
+    def to_cells(batches):
+        for b in batches:
+            for p, at, angle in places(b):
+                if angle is None:
+                    yield dealt(b, at, np.full(len(at), -1), np.zeros(len(at)))
+                    continue
+                least, most = (np.array([spans.get(p, {}).get(c, (np.inf, -np.inf))[i] for c in range(angle.shape[1])]) for i in (0, 1))
+                i, c = np.nonzero((angle - reach <= most) & (angle + reach >= least))
+                yield dealt(b, at[i], c, angle[i, c])
+
+    left = cut(asked.mapInArrow(to_cells, f"class {kinds['class']}, profile string, embedding {kinds['embedding']}, cell int, angle double"))
+    cells = ["profile", "cell"]
+    size = lambda df, name, most: df.groupBy(*cells).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    blocks = cut(size(left, "q_blocks", BLOCK).join(size(right, "m_blocks", ROWS), cells))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(blocks, cells).withColumn("i", own("class", "q_blocks")).withColumn("j", others("m_blocks")).select(*cells, "i", "j", "class", "embedding", "angle")
+    right = right.join(blocks, cells).withColumn("j", own("ids", "m_blocks")).withColumn("i", others("q_blocks")).select(*cells, "i", "j", "ids", "embedding", "angle")
+
+    def meet(asks: pa.Table, rows: pa.Table) -> pa.Table:
+        asks, rows = asks.sort_by("angle"), rows.sort_by("angle")
+        a, beta = asks.column("angle").to_numpy(), rows.column("angle").to_numpy()
+        x, y = matrix(asks.column("embedding").combine_chunks()), matrix(rows.column("embedding").combine_chunks())
+        ids = rows.column("ids").combine_chunks()
+        first = pa.compute.list_element(ids, 0).to_numpy(zero_copy_only=False) if len(ids) else np.zeros(0, np.int64)
+        kept = []
+        for lo in range(0, len(x), 256):
+            hi = min(lo + 256, len(x))
+            begin, end = np.searchsorted(beta, a[lo] - reach), np.searchsorted(beta, a[hi - 1] + reach, "right")
+            if products is not None:
+                products.add(int((hi - lo) * (end - begin)))
+            s = np.round(x[lo:hi] @ y[begin:end].T, 6)
+            at, col = np.nonzero(s > minimum)
+            best = _best(at, s[at, col], first[begin + col], k)
+            kept.append((lo + at[best], begin + col[best], s[at[best], col[best]]))
+        who, row, score = (np.concatenate([x[i] for x in kept]) if kept else np.zeros(0) for i in range(3))
+        return pa.table([asks.column("class").take(pa.array(who.astype(np.int64))), ids.take(pa.array(row.astype(np.int64))), pa.array(score.astype(float))], ["class", "ids", "similarity"])
+
+    import pyarrow.compute  # noqa: F401
+
+    keys = [*cells, "i", "j"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"class {kinds['class']}, ids {kinds['ids']}, similarity double")
+    best = top(met.select("class", "similarity", F.explode("ids").alias("id")), ["class"], [F.desc("similarity"), F.asc("id")], k)
+    return members.select("query_id", "class").join(best, "class").select("query_id", "id", "similarity")
+
+
 def register(spark: SparkSession) -> None:
     """cosine_similarity for SQL users, written with built-in functions; null for a null or zero vector."""
     sums = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> p * q), 0D, (a, b) -> a + b)"

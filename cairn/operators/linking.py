@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.vectors import topk
+from cairn.functions.vectors import similar
 from cairn.operators.base import active, top
 
 
 def auto_link(new: DataFrame, mem: DataFrame, as_of: Column, threshold: float = 0.85, max_links: int = 5) -> DataFrame:
-    """source_id, target_id, relationship, strength, created_by: up to max_links most similar active others of the profile."""
-    found = topk(new.select(F.col("id").alias("query_id"), "profile", "embedding"), mem.filter(active(as_of)), max_links + 1, threshold)
+    """source_id, target_id, relationship, strength, created_by: up to max_links most similar active others of the profile.
+    An exact join that prunes by angles (vectors.similar)."""
+    found = similar(new.select(F.col("id").alias("query_id"), "profile", "embedding"), mem.filter(active(as_of)), max_links + 1, threshold)
     best = top(found.filter(F.col("query_id") != F.col("id")), ["query_id"], [F.desc("similarity"), F.asc("id")], max_links)
     return _edges(best.select(F.col("query_id").alias("source_id"), F.col("id").alias("target_id"), F.col("similarity").alias("strength")))
 
@@ -34,7 +35,7 @@ def keep_known(edges: DataFrame, new: DataFrame) -> DataFrame:
 def near_duplicates(candidates: DataFrame, mem: DataFrame, as_of: Column, threshold: float = 0.8) -> DataFrame:
     """candidate_id, duplicate: does an active memory of the profile exceed the threshold? Candidates aren't compared with each other."""
     q = candidates.select(F.col("candidate_id").alias("query_id"), "profile", "embedding")
-    hit = topk(q, mem.filter(active(as_of)), 1, threshold).select(F.col("query_id").alias("candidate_id"), F.lit(1).alias("duplicate")).distinct()
+    hit = similar(q, mem.filter(active(as_of)), 1, threshold).select(F.col("query_id").alias("candidate_id"), F.lit(1).alias("duplicate")).distinct()
     return candidates.select("candidate_id").join(hit, "candidate_id", "left").na.fill({"duplicate": 0})
 
 
