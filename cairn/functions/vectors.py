@@ -36,21 +36,22 @@ def matrix(col: pa.Array) -> np.ndarray:
 BLOCK, ROWS = 4096, 16384
 
 
-def topk(queries: DataFrame, mem: DataFrame, k: int, minimum: float | None = None, weight: str | None = None) -> DataFrame:
+def topk(queries: DataFrame, mem: DataFrame, k: int | str, minimum: float | None = None, weight: str | None = None) -> DataFrame:
     """query_id, id, similarity (and score, similarity times mem's column `weight`, where that is given): for each query at least
-    its k best rows of its group (profile) with similarity over the minimum, before the final ranking.
+    its k best rows of its group (profile) with similarity over the minimum, before the final ranking. k is a number or the name of a
+    column of queries, so that one pass serves queries of many limits.
 
     Up to BLOCK queries go to every task as a broadcast. More never pass through the driver: both sides of a profile are dealt
     into blocks by hash, and each pair of blocks meets in one task. Either way a task keeps k rows a query, by score and id,
     and only those are shuffled. Null vectors match nothing.
     """
-    q = queries.filter(F.col("embedding").isNotNull()).select("query_id", "profile", "embedding")
+    q = queries.filter(F.col("embedding").isNotNull()).select("query_id", "profile", "embedding", (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int").alias("k"))
     rows = mem.filter(F.col("embedding").isNotNull()).select("id", "profile", "embedding", (F.col(weight) if weight else F.lit(1.0)).alias("weight"))
     out = f"query_id {dict(q.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, similarity double, score double"
     few = q.limit(BLOCK + 1).toArrow()  # at most BLOCK + 1 rows
     if few.num_rows <= BLOCK:
         sent = q.sparkSession.sparkContext.broadcast(few)
-        found = rows.mapInArrow(lambda batches: _nearest(sent.value, batches, k, minimum), out)
+        found = rows.mapInArrow(lambda batches: _nearest(sent.value, batches, minimum), out)
     else:
         count = lambda df, name, size: df.groupBy("profile").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
         blocks = count(q, "q_blocks", BLOCK).join(count(rows, "m_blocks", ROWS), "profile")
@@ -59,27 +60,28 @@ def topk(queries: DataFrame, mem: DataFrame, k: int, minimum: float | None = Non
         left = q.join(blocks, "profile").withColumn("i", own("query_id", "q_blocks")).withColumn("j", others("m_blocks"))
         right = rows.join(blocks, "profile").withColumn("j", own("id", "m_blocks")).withColumn("i", others("q_blocks"))
         keys = ["profile", "i", "j"]
-        left = left.select(*[F.col(c).alias(c) for c in (*keys, "query_id", "embedding")])  # columns of its own, also where both sides are one table
+        left = left.select(*[F.col(c).alias(c) for c in (*keys, "query_id", "embedding", "k")])  # columns of its own, also where both sides are one table
         right = right.select(*keys, "id", "embedding", "weight")
 
         def meet(own: pa.Table, others: pa.Table) -> pa.Table:
-            return pa.Table.from_batches(_nearest(own, others.to_batches(), k, minimum))
+            return pa.Table.from_batches(_nearest(own, others.to_batches(), minimum))
 
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, out)
     return found if weight else found.drop("score")
 
 
-def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The places of each query's k best rows, by score and then id."""
+def _best(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k) -> np.ndarray:
+    """The places of each query's k best rows, by score and then id. k: one number, or one for each query."""
     order = np.lexsort((ids, -score, query))
     sorted_query = query[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_query[1:] != sorted_query[:-1]])) if len(order) else np.zeros(0, np.int64)
     rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    return order[rank < k]
+    return order[rank < (k if np.isscalar(k) else k[sorted_query])]
 
 
-def _nearest(queries: pa.Table, batches, k: int, minimum: float | None):
-    """One batch: the k best rows of `batches` for each query of its profile."""
+def _nearest(queries: pa.Table, batches, minimum: float | None):
+    """One batch: the best rows of `batches` for each query of its profile, as many as its k."""
+    limits = queries.column("k").to_numpy()
     q, wanted = matrix(queries.column("embedding").combine_chunks()), np.array(queries.column("profile").to_pylist(), object)
     kind = pa.null()
     kept: list[np.ndarray] | None = None
@@ -94,13 +96,14 @@ def _nearest(queries: pa.Table, batches, k: int, minimum: float | None):
                 s = np.round(q[mine] @ m[part].T, 6)
                 score = s * weight[part]
                 over = np.ones(s.shape, bool) if minimum is None else s > minimum
-                if len(part) > k:
+                k = int(limits[mine].max())
+                if 0 < k < len(part):
                     ranked = np.where(over, score, -np.inf)
                     over &= score >= np.partition(ranked, len(part) - k, axis=1)[:, len(part) - k, None]
                 at, col = np.nonzero(over)
                 new = [mine[at], score[at, col], ids[part[col]], s[at, col]]
                 new = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
-                best = _best(new[0], new[1], new[2], k)
+                best = _best(new[0], new[1], new[2], limits)
                 kept = [x[best] for x in new]
     if kept is None:
         kept = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.operators import rerank as K
 from cairn.operators.base import cut, top
-from cairn.operators.search import graph_augmented_search, hybrid_search
+from cairn.operators.search import augment, hybrid_search
 
 #: Words of four letters or more that name nothing.
 NAMELESS = (
@@ -27,33 +27,53 @@ def _best(results: DataFrame, k: int) -> DataFrame:
     return top(results.select("query_id", "id", "relevance"), ["query_id"], [F.desc("relevance"), F.asc("id")], k)
 
 
-def bridge_search(queries: DataFrame, mem: DataFrame, edges: DataFrame, as_of: Column, limit: int = 10, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """query_id, id, relevance, rank for queries that compare two things: a search for each (its anchors), taken in turn,
-    with relevance r + 0.3 ln(1 + r), before the standard search; equal scores by time.
-
-    Queries without anchors have no rows. queries: query_id, profile, text, embedding. embed gives the anchors' table (key,
-    query_id, profile, text) its embeddings; without it an anchor is searched with its query's.
-    """
-    kind = dict(queries.dtypes)["query_id"]
+def _anchors(queries: DataFrame, embed: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """key, query_id, profile, text, embedding, place, n: the things that a query compares, each to be searched for."""
     asked = queries.select("query_id", "profile", "embedding", T.query_anchors(F.col("text")).alias("anchors")).filter(F.size("anchors") > 0)
     anchors = asked.select("query_id", "profile", "embedding", F.size("anchors").alias("n"), F.posexplode("anchors").alias("place", "text"))
     anchors = anchors.withColumn("key", F.concat_ws("#", F.col("query_id").cast("string"), F.col("place").cast("string")))
     if embed:
         anchors = anchors.drop("embedding").join(embed(anchors.select("key", "query_id", "profile", "text")).select("key", "embedding"), "key")
-    found = None
-    for n in (1, 2):  # a query has one or two anchors, and a search's result depends on its limit
-        own = _untagged(anchors.filter(F.col("n") == n).select(F.col("key").alias("query_id"), "profile", "text", "embedding"))
-        got = hybrid_search(own, mem, edges, as_of, max(limit, 10) // n * 2)
-        found = got if found is None else found.unionByName(got)
-    keys = anchors.select(F.col("key").alias("query_id"), F.col("query_id").alias("asked"), "place")
+    return anchors
+
+
+def _searches(queries: DataFrame, key: Column, k: Column, decay: float = 0.0) -> DataFrame:
+    """Queries of one kind for a search that many kinds share: __key tells kind and query, k is each one's limit."""
+    return queries.select(key.alias("query_id"), "profile", "text", "embedding", "tags", k.cast("int").alias("k"), F.lit(decay).alias("decay"))
+
+
+def _bridge_queries(queries: DataFrame, anchors: DataFrame, limit: int) -> DataFrame:
+    """A query's anchors, each with half of the room where there are two, and the query itself where it has anchors."""
+    each = F.when(F.col("n") == 1, 2 * max(limit, 10)).otherwise(max(limit, 10) // 2 * 2)
+    standard = queries.join(anchors.select("query_id").distinct(), "query_id", "left_semi")
+    return _searches(_untagged(anchors), F.concat(F.lit("anchor "), "key"), each).unionByName(_searches(_untagged(standard), F.concat(F.lit("query "), F.col("query_id").cast("string")), F.lit(2 * limit)))
+
+
+def _bridged(found: DataFrame, queries: DataFrame, anchors: DataFrame, mem: DataFrame, limit: int) -> DataFrame:
+    """The results of _bridge_queries' searches, joined for each query."""
+    kind = dict(queries.dtypes)["query_id"]
+    keys = anchors.select(F.concat(F.lit("anchor "), "key").alias("query_id"), F.col("query_id").alias("asked"), "place")
     bridged = found.join(keys, "query_id").select(F.col("asked").cast(kind).alias("query_id"), "id", (F.col("relevance") + 0.3 * F.log1p("relevance")).alias("relevance"), F.lit(0).alias("later"), "rank", "place")
-    standard = hybrid_search(_untagged(queries.join(asked.select("query_id"), "query_id", "left_semi")), mem, edges, as_of, 2 * limit)
-    rows = bridged.unionByName(standard.select("query_id", "id", "relevance", F.lit(1).alias("later"), "rank", F.lit(0).alias("place")))
-    once = top(rows, ["query_id", "id"], [F.asc("later"), F.asc("rank"), F.asc("place")], 1, "copy")
+    names = queries.select(F.concat(F.lit("query "), F.col("query_id").cast("string")).alias("named"), F.col("query_id").alias("asked"))
+    standard = found.withColumnRenamed("query_id", "named").join(names, "named").select(F.col("asked").alias("query_id"), "id", "relevance", F.lit(1).alias("later"), "rank", F.lit(0).alias("place"))
+    once = top(bridged.unionByName(standard), ["query_id", "id"], [F.asc("later"), F.asc("rank"), F.asc("place")], 1, "copy")
     timed = once.join(mem.select("id", "created_at"), "id").withColumn("relevance", F.round(F.col("relevance") + F.unix_seconds("created_at") * F.lit(1e-15), 9))
     return _best(timed, limit)
 
 
+def bridge_search(queries: DataFrame, mem: DataFrame, edges: DataFrame, as_of: Column, limit: int = 10, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """query_id, id, relevance, rank for queries that compare two things: a search for each (its anchors), taken in turn,
+    with relevance r + 0.3 ln(1 + r), before the standard search; equal scores by time.
+
+    Queries without anchors have no rows. queries: query_id, profile, text, embedding. embed gives the anchors' table (key,
+    query_id, profile, text) its embeddings; without it an anchor is searched with its query's. All searches share one pass, each
+    with its own limit.
+    """
+    anchors = _anchors(queries, embed)
+    found = hybrid_search(_bridge_queries(queries, anchors, limit), mem, edges, as_of, "k")
+    return _bridged(found, queries, anchors, mem, limit)
+
+
 def named_things(query: Column, contents: Column) -> Column:
     """The five most telling names in a question and its first results: capitalised phrases (3), technical terms (2), quoted
     terms (2), then the question's own longer words (3)."""
@@ -103,15 +123,25 @@ def route_search(
         rows = rows.select("query_id", "id", "relevance", "rank")
         return rows.filter(F.col("rank") <= most) if activation is None or weights is None else K.activation_merge(rows, activation, weights, most, fraction)
 
-    ordering = merged(K.strided_select(dated(hybrid_search(of("ordering"), mem, edges, as_of, 5 * wide)), 2 * wide), 2 * wide, 0.5)
+    # Every route's first search, in one pass; only threads need another, for the names in what has been found.
+    name = F.concat(F.lit("route "), F.col("query_id").cast("string"))
+    hops = of("multi_hop")
+    anchored = _anchors(hops, embed)
+    batch = _bridge_queries(hops, anchored, wide)
+    for routes, k, decay in ((("ordering", "summary"), 5 * wide, 0.0), (("cross_reference",), 3 * wide, 0.0), (("temporal", "plain"), 3 * limit, 0.0 if graph_depth else 0.01)):
+        batch = batch.unionByName(_searches(of(*routes), name, F.lit(k), decay))
+    everything = cut(hybrid_search(cut(batch), mem, edges, as_of, "k", recency_decay="decay"))
+    keys = asked.select(name.alias("named"), F.col("query_id").alias("asked"), "route")
+    searched = everything.withColumnRenamed("query_id", "named").join(keys, "named").withColumnRenamed("asked", "query_id").drop("named")
+    got = lambda *routes: searched.filter(F.col("route").isin(*routes)).drop("route")
+
+    ordering = merged(K.strided_select(dated(got("ordering")), 2 * wide), 2 * wide, 0.5)
     by_date = Window.partitionBy("query_id").orderBy(F.coalesce(F.col("day").cast("string"), F.lit("9999")), "place")
     ordering = dated(ordering).join(ordering.select("query_id", "id", F.col("rank").alias("place")), ["query_id", "id"]).withColumn("rank", F.row_number().over(by_date)).filter(F.col("rank") <= wide)
-    hops = of("multi_hop")
-    hops = entity_thread(cut(bridge_search(hops, mem, edges, as_of, wide, embed)), hops, mem, edges, as_of, wide)
-    crossed = merged(hybrid_search(of("cross_reference"), mem, edges, as_of, 3 * wide), wide, 0.15)
-    summary = merged(K.strided_select(dated(hybrid_search(of("summary"), mem, edges, as_of, 5 * wide)), wide), wide, 0.4)
-    rest = of("temporal", "plain")
-    found = graph_augmented_search(rest, mem, edges, as_of, 3 * limit, graph_depth) if graph_depth else hybrid_search(rest, mem, edges, as_of, 3 * limit, recency_decay=0.01)
+    hops = entity_thread(cut(_bridged(everything, hops, anchored, mem, wide)), hops, mem, edges, as_of, wide)
+    crossed = merged(got("cross_reference"), wide, 0.15)
+    summary = merged(K.strided_select(dated(got("summary")), wide), wide, 0.4)
+    found = augment(got("temporal", "plain"), mem, edges, as_of, 3 * limit, graph_depth) if graph_depth else got("temporal", "plain")
     found = K.temporal_diversity_rerank(dated(found), limit)
     if anchors is not None:
         temporal = of("temporal").select("query_id")

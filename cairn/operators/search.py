@@ -18,17 +18,25 @@ def explode_profiles(queries: DataFrame) -> DataFrame:
     return queries.withColumn("profile", F.explode(F.coalesce("profiles", F.array("profile")))).drop("profiles")
 
 
-def vector_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int = 10, minimum: float | None = None) -> DataFrame:
-    """query_id, id, similarity, rank over active memories of the query's profile(s)."""
+def _top(df: DataFrame, queries: DataFrame, order: list[Column], k: int | str) -> DataFrame:
+    """The first k rows of each query; k is a number or the name of a column of queries."""
+    if not isinstance(k, str):
+        return top(df, ["query_id"], order, k)
+    limits = queries.select("query_id", F.col(k).alias("__limit")).distinct()
+    return top(df.join(limits, "query_id"), ["query_id"], order, F.col("__limit")).drop("__limit")
+
+
+def vector_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int | str = 10, minimum: float | None = None) -> DataFrame:
+    """query_id, id, similarity, rank over active memories of the query's profile(s). k may name a column of queries."""
     found = topk(explode_profiles(queries), mem.filter(active(as_of)), k, minimum)
-    return top(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+    return _top(found, queries, [F.desc("similarity"), F.asc("id")], k)
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) > 0)
 
 
-def keyword_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int = 10, method: str = "frequency") -> DataFrame:
+def keyword_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int | str = 10, method: str = "frequency") -> DataFrame:
     """query_id, id, keyword_rank, rank: active memories that hold all terms of the query, by r / (r + 1).
 
     r is, for `frequency`, the terms' occurrences over the text's length; for `cover`, the cover density (Clarke,
@@ -48,7 +56,7 @@ def keyword_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int = 10,
     else:
         scored = found.agg(F.count("*").alias("hit"), F.collect_list("positions").alias("lists")).filter(F.col("hit") == F.col("n_terms")).withColumn("r", _cover_density()("lists") / F.col("n_words"))
     out = scored.select("query_id", "id", F.round(F.col("r") / (F.col("r") + 1), 6).alias("keyword_rank"))
-    return top(out, ["query_id"], [F.desc("keyword_rank"), F.asc("id")], k)
+    return _top(out, queries, [F.desc("keyword_rank"), F.asc("id")], k)
 
 
 def cover_density(lists: list[list[int]], weight: float = 0.1) -> float:
@@ -84,7 +92,7 @@ def stem(word: Column) -> Column:
     return F.regexp_replace(plural, r"(?<=\p{L}{3})(?:ing|ed)$", "")
 
 
-def web_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int = 10, stemmed: bool = False) -> DataFrame:
+def web_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int | str = 10, stemmed: bool = False) -> DataFrame:
     """query_id, id, keyword_rank, rank for web-style queries: words and "phrases" that must all be there, -words and
     -"phrases" that must not, `or` between alternatives.
 
@@ -110,7 +118,7 @@ def web_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int = 10, ste
 
     scored = met.withColumn("r", ranked("met") / F.col("n_words")).filter("r > 0")
     out = scored.select("query_id", "id", F.round(F.col("r") / (F.col("r") + 1), 6).alias("keyword_rank"))
-    return top(out, ["query_id"], [F.desc("keyword_rank"), F.asc("id")], k)
+    return _top(out, queries, [F.desc("keyword_rank"), F.asc("id")], k)
 
 
 def web_rank(met) -> float:
@@ -157,14 +165,24 @@ def entity_overlap(query_tags: Column, tags: Column) -> Column:
     return F.when(F.size(query_tags) > 0, shared / F.size(query_tags) * 0.4).otherwise(0.0)
 
 
-def hybrid_search(queries: DataFrame, mem: DataFrame, edges: DataFrame, as_of: Column, k: int = 10, w_text: float = 0.3, w_semantic: float = 0.7, rrf_k: int = 10, recency_decay: float = 0.0, method: str = "frequency") -> DataFrame:
-    """query_id, id, relevance, rank: both legs' best 3k, fused by reciprocal rank (a missing rank is 3k) and boosted."""
-    limit = 3 * k
-    semantic = vector_topk(queries, mem, as_of, limit).select("query_id", "id", "similarity", F.col("rank").alias("rank_s"))
-    keyword = keyword_topk(queries, mem, as_of, limit, method).select("query_id", "id", "keyword_rank", F.col("rank").alias("rank_k"))
+def hybrid_search(
+    queries: DataFrame, mem: DataFrame, edges: DataFrame, as_of: Column, k: int | str = 10, w_text: float = 0.3, w_semantic: float = 0.7, rrf_k: int = 10, recency_decay: float | str = 0.0, method: str = "frequency"
+) -> DataFrame:
+    """query_id, id, relevance, rank: both legs' best 3k, fused by reciprocal rank (a missing rank is 3k) and boosted.
+
+    k and recency_decay are numbers or names of columns of queries: searches of different limits then share one pass.
+    """
+    limit = "__three_k"
+    asked = queries.withColumn(limit, 3 * (F.col(k) if isinstance(k, str) else F.lit(k)).cast("int"))
+    wide = limit if isinstance(k, str) else 3 * k
+    semantic = vector_topk(asked, mem, as_of, wide).select("query_id", "id", "similarity", F.col("rank").alias("rank_s"))
+    keyword = keyword_topk(asked, mem, as_of, wide, method).select("query_id", "id", "keyword_rank", F.col("rank").alias("rank_k"))
     fused = semantic.join(keyword, ["query_id", "id"], "full_outer")
-    score = w_semantic / (rrf_k + F.coalesce("rank_s", F.lit(limit))) + w_text / (rrf_k + F.coalesce("rank_k", F.lit(limit)))
-    return _boosted(fused.withColumn("score", score), queries, mem, edges, as_of, k, recency_decay, True)
+    missing = F.lit(wide)
+    if isinstance(k, str):
+        fused, missing = fused.join(asked.select("query_id", limit), "query_id"), F.col(limit)
+    score = w_semantic / (rrf_k + F.coalesce("rank_s", missing)) + w_text / (rrf_k + F.coalesce("rank_k", missing))
+    return _boosted(fused.withColumn("score", score).drop(limit), queries, mem, edges, as_of, k, recency_decay, True)
 
 
 def linear_fusion_search(queries: DataFrame, mem: DataFrame, edges: DataFrame, as_of: Column, k: int = 10, w_text: float = 0.3, w_semantic: float = 0.7, method: str = "frequency") -> DataFrame:
@@ -177,21 +195,26 @@ def linear_fusion_search(queries: DataFrame, mem: DataFrame, edges: DataFrame, a
     return _boosted(fused.withColumn("score", score), queries, mem, edges, as_of, k, 0.0, False)
 
 
-def _boosted(fused: DataFrame, queries: DataFrame, mem: DataFrame, edges: DataFrame, as_of: Column, k: int, recency_decay: float, importance: bool) -> DataFrame:
+def _boosted(fused: DataFrame, queries: DataFrame, mem: DataFrame, edges: DataFrame, as_of: Column, k: int | str, recency_decay: float | str, importance: bool) -> DataFrame:
     facts = mem.select("id", "importance", "confidence", "access_count", "tags", "created_at")
-    joined = fused.join(facts, "id").join(graph_boost(edges), "id", "left").join(queries.select("query_id", F.col("tags").alias("query_tags")), "query_id")
+    decay = F.col(recency_decay) if isinstance(recency_decay, str) else F.lit(recency_decay)
+    joined = fused.join(facts, "id").join(graph_boost(edges), "id", "left").join(queries.select("query_id", F.col("tags").alias("query_tags"), decay.alias("decay")), "query_id")
     relevance = (
         F.col("score") * (F.col("importance") if importance else F.lit(1.0)) * (1 + 0.1 * F.log(F.col("access_count") + 1)) * F.col("confidence")
-        * (1 + 0.2 * F.coalesce("graph_boost", F.lit(0.0))) * (1 + entity_overlap(F.col("query_tags"), F.col("tags"))) * F.exp(-recency_decay * age_days(F.col("created_at"), as_of))
+        * (1 + 0.2 * F.coalesce("graph_boost", F.lit(0.0))) * (1 + entity_overlap(F.col("query_tags"), F.col("tags"))) * F.exp(-F.col("decay") * age_days(F.col("created_at"), as_of))
     )
     out = joined.select("query_id", "id", F.round(relevance, 9).alias("relevance"))
-    return top(out, ["query_id"], [F.desc("relevance"), F.asc("id")], k)
+    return _top(out, queries, [F.desc("relevance"), F.asc("id")], k)
 
 
 def graph_augmented_search(queries: DataFrame, mem: DataFrame, edges: DataFrame, as_of: Column, k: int = 10, depth: int = 1, **more) -> DataFrame:
     """The search's first k, and what the first five are related to, with relevance times the edge's strength; a memory
     found twice keeps the search row, else the first finder's. query_id, id, relevance, rank."""
-    base = hybrid_search(queries, mem, edges, as_of, k, **more)
+    return augment(hybrid_search(queries, mem, edges, as_of, k, **more), mem, edges, as_of, k, depth)
+
+
+def augment(base: DataFrame, mem: DataFrame, edges: DataFrame, as_of: Column, k: int, depth: int = 1) -> DataFrame:
+    """A search's results with what the first five are related to: query_id, id, relevance, rank."""
     five = base.filter(F.col("rank") <= 5)
     near = related_memories(five.select(F.col("id").alias("start")).distinct(), edges, mem, as_of, depth)
     added = five.select("query_id", F.col("id").alias("start"), "relevance", F.col("rank").alias("finder")).join(near.select("start", "id", "strength", F.col("rank").alias("place")), "start")
