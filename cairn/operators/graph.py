@@ -92,14 +92,29 @@ def out_of_result_contradictions(results: DataFrame, edges: DataFrame) -> DataFr
     return found.join(own.withColumnRenamed("id", "other"), ["query_id", "other"], "left_anti").select("query_id", "in_id", F.col("other").alias("other_id"), "strength")
 
 
+def rarest_first(memory_entities: DataFrame, min_shared: int) -> DataFrame:
+    """memory_id, entities (rarest first), entity: a row for each entity but the min_shared - 1 commonest of a memory with min_shared or
+    more. Two memories that share min_shared entities share one of these: the rarest that they share has the others after it in both."""
+    links = memory_entities.select("memory_id", "entity_id").distinct()
+    often = links.groupBy("entity_id").agg(F.count("*").alias("n"))
+    ordered = links.join(often, "entity_id").groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("n", "entity_id"))).alias("found"))
+    sets = ordered.select("memory_id", F.transform("found", lambda e: e["entity_id"]).alias("entities")).filter(F.size("entities") >= min_shared)
+    return sets.withColumn("entity", F.explode(F.slice("entities", F.lit(1), F.size("entities") - (min_shared - 1))))
+
+
 def suggest_connections(memory_entities: DataFrame, edges: DataFrame, mem: DataFrame, as_of: Column | None = None, starts: DataFrame | None = None, min_shared: int = 2, k: int = 10) -> DataFrame:
     """start, id, shared: active memories that share min_shared entities with the start and no edge; the first k by shared
-    count, then newest. A pair of an entity's memories is made only for starts; pairs are counted in part before they are shuffled."""
-    links = cut(memory_entities.select("memory_id", "entity_id").distinct())  # cut, so that the join can split an entity of very many memories
-    left = links.withColumnRenamed("memory_id", "start")
+    count, then newest.
+
+    A prefix filter: memories meet on their rarer entities only (rarest_first), so that one which very many memories have makes no
+    pairs unless it is among a memory's rarest; a pair is kept at the first entity that it shares, and counted on the full sets.
+    """
+    links = cut(rarest_first(memory_entities, min_shared))  # cut, so that the join can split an entity of very many memories
+    left = links.select(F.col("memory_id").alias("start"), F.col("entities").alias("own"), "entity")
     if starts is not None:
         left = left.join(starts.select("start"), "start", "left_semi")
-    pairs = left.join(links.withColumnRenamed("memory_id", "id"), "entity_id").filter(F.col("start") != F.col("id")).groupBy("start", "id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= min_shared)
+    met = left.join(links.withColumnRenamed("memory_id", "id"), "entity").filter(F.col("start") != F.col("id")).withColumn("both", F.array_intersect("own", "entities"))
+    pairs = met.filter((F.size("both") >= min_shared) & (F.get("both", F.lit(0)) == F.col("entity"))).select("start", "id", F.size("both").cast("long").alias("shared"))
     known = both_ways(edges.select("source_id", "target_id")).select(F.col("id").alias("start"), F.col("other").alias("id"))
     live = mem.filter(active(as_of)) if as_of is not None else mem
     fresh = pairs.join(known, ["start", "id"], "left_anti").join(live.select("id", "created_at"), "id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.base import active, age_days, folded
+from cairn.operators.base import active, age_days, cut, folded
 
 
 def hebbian_decay(mem: DataFrame, as_of: Column) -> DataFrame:
@@ -74,17 +74,43 @@ def record_access(mem: DataFrame, accesses: DataFrame) -> DataFrame:
     return joined.withColumn("access_count", F.col("access_count") + F.coalesce("calls", F.lit(0))).withColumn("last_accessed_at", F.greatest("last_accessed_at", "last_at")).drop("calls", "last_at")
 
 
-def update_confidence(mem: DataFrame, signals: DataFrame) -> DataFrame:
-    """Confidence folded over a memory's signals in order of time: Bayes' rule, then 0.95 of it plus 0.025. signals: id, at, seq, signal."""
-    kind = dict(mem.dtypes)["id"]
-    rows = signals.filter(F.col("signal").isNotNull()).select("id", "at", "seq", F.col("signal").cast("double").alias("signal")).join(mem.select("id", F.col("confidence").cast("double").alias("was")).filter("was IS NOT NULL"), "id")
+#: Signals in a row of one chunk.
+CHUNK_BITS = 12
 
-    def step(c, row):
-        s = row["signal"]
-        return 0.95 * (c * s / (c * s + (1 - c) * (1 - s))) + 0.025
 
-    new = folded(rows, ["id"], ["at", "seq"], f"id {kind}, now double", lambda row: row["was"], step, lambda c: (c,))
-    return mem.join(new, "id", "left").withColumn("confidence", F.coalesce("now", "confidence")).drop("now")
+def update_confidence(mem: DataFrame, signals: DataFrame) -> DataFrame:
+    """Confidence folded over a memory's signals in order of time: Bayes' rule, then 0.95 of it plus 0.025. signals: id, at, seq, signal.
+
+    Each step is a linear fraction of the confidence, so a run of signals is one matrix, the product of its steps' 2 x 2 matrices. Signals
+    are dealt by ranges of (id, at, seq), so that those of one memory may go to many tasks; chunks of some thousands become a matrix
+    each, and a memory's matrices are multiplied in order. Products are scaled, so that no run is too long. Null signals say nothing;
+    where certain signals contradict the confidence or each other (0 to be divided by 0) it stays.
+    """
+    rows = signals.filter(F.col("signal").isNotNull()).select("id", "at", "seq", F.col("signal").cast("double").alias("s"))
+    rows = cut(rows.repartitionByRange("id", "at", "seq").sortWithinPartitions("id", "at", "seq").select("id", "s", F.monotonically_increasing_id().alias("row")))
+    s = lambda x: x["s"]
+    step = lambda x: (0.95 * s(x) + 0.025 * (2 * s(x) - 1), 0.025 * (1 - s(x)), 2 * s(x) - 1, 1 - s(x))
+    made = lambda x: (x["a"], x["b"], x["c"], x["d"])
+    chunks = rows.groupBy("id", F.shiftright("row", CHUNK_BITS).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("row", "s"))).alias("found"))
+    chunks = chunks.select("id", F.struct("chunk", *[_product(F.col("found"), step)[x].alias(x) for x in "abcd"]).alias("matrix"))
+    whole = chunks.groupBy("id").agg(F.array_sort(F.collect_list("matrix")).alias("found")).select("id", _product(F.col("found"), made).alias("m"))
+    c = F.col("confidence").cast("double")
+    now = F.try_divide(F.col("m.a") * c + F.col("m.b"), F.col("m.c") * c + F.col("m.d"))
+    return mem.join(whole, "id", "left").withColumn("confidence", F.when(F.col("m").isNotNull() & now.isNotNull(), now).otherwise(F.col("confidence"))).drop("m")
+
+
+def _product(items: Column, matrix) -> Column:
+    """The product of the items' matrices (a b; c d), the first one applied first, scaled to a greatest number of 1."""
+    start = F.struct(*[F.lit(x).alias(n) for n, x in zip("abcd", (1.0, 0.0, 0.0, 1.0))])
+
+    def times(m: Column, x: Column) -> Column:
+        a, b, c, d = matrix(x)
+        new = (a * m["a"] + b * m["c"], a * m["b"] + b * m["d"], c * m["a"] + d * m["c"], c * m["b"] + d * m["d"])
+        most = F.greatest(*map(F.abs, new))
+        scale = F.when(most > 0, most).otherwise(1.0)
+        return F.struct(*[(v / scale).alias(n) for n, v in zip("abcd", new)])
+
+    return F.aggregate(items, start, times)
 
 
 def topic_sources(mem: DataFrame, as_of: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.vectors import topk
-from cairn.operators.base import active, age_days, both_ways, top
+from cairn.operators.base import active, age_days, both_ways, cut, top
 from cairn.operators.graph import related_memories
 
 
@@ -234,13 +234,48 @@ def topic_search(queries: DataFrame, summaries: DataFrame, k: int = 3, minimum:
     return found.join(fresh.select("id", F.coalesce(wanted, F.col("content")).alias("text"), F.when(wanted.isNull(), "body").otherwise(level).alias("served")), "id").select("query_id", "id", "similarity", "rank", "text", "served")
 
 
+#: Words that one automaton looks for; more are dealt to several, each of which reads the texts.
+MOST_WORDS = 100_000
+
+
 def content_contains(mem: DataFrame, anchors: DataFrame, as_of: Column, k: int = 10) -> DataFrame:
-    """anchor_id, id, relevance (0.5): active memories that hold the anchor's longest word of over two letters, newest first."""
+    """anchor_id, id, relevance (0.5): active memories that hold the anchor's longest word of over two letters, newest first.
+
+    An automaton of all anchors' words (Aho and Corasick) reads each text once, whatever the number of anchors; what it finds joins the
+    anchors by profile and word.
+    """
     words = F.filter(F.split(F.lower("anchor"), r"\s+"), lambda w: F.length(w) > 2)
     longest = F.reduce(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    a = anchors.select("anchor_id", "profile", longest.alias("word")).filter(F.length("word") > 0)
-    found = mem.filter(active(as_of)).select("id", "profile", "created_at", F.lower("content").alias("text")).join(F.broadcast(a) if a.count() <= 10_000 else a, "profile").filter(F.contains("text", "word"))
-    return top(found.select("anchor_id", "id", "created_at", F.lit(0.5).alias("relevance")), ["anchor_id"], [F.desc("created_at"), F.asc("id")], k)
+    a = cut(anchors.select("anchor_id", "profile", longest.alias("word")).filter(F.length("word") > 0))
+    wanted = a.select("word").distinct()
+    shards = max(1, -(-wanted.count() // MOST_WORDS))
+    texts = mem.filter(active(as_of)).select("id", "profile", "created_at", F.lower("content").alias("text"))
+    out = f"id {dict(texts.dtypes)['id']}, profile string, created_at timestamp, word string"
+    found = None
+    for shard in range(shards):
+        own = wanted.filter(F.pmod(F.xxhash64("word"), F.lit(shards)) == shard).toArrow().column("word").to_pylist()  # about MOST_WORDS rows
+        held = texts.mapInArrow(_holding(own), out)
+        found = held if found is None else found.unionByName(held)
+    return top(found.join(a, ["profile", "word"]).select("anchor_id", "id", "created_at", F.lit(0.5).alias("relevance")), ["anchor_id"], [F.desc("created_at"), F.asc("id")], k)
+
+
+def _holding(words: list[str]):
+    """For batches of id, profile, created_at, text: a row for each word that a text holds anywhere."""
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for b in batches:
+            had = [{w for _, w in automaton.iter(t)} if t and words else () for t in b.column("text").to_pylist()]
+            at = pa.array([i for i, ws in enumerate(had) for _ in ws], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("id", "profile", "created_at")), pa.array([w for ws in had for w in ws], pa.string())], ["id", "profile", "created_at", "word"])
+
+    return run
 
 
 def find_by_metadata_key(mem: DataFrame, keys: DataFrame) -> DataFrame:
