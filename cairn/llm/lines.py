@@ -6,8 +6,8 @@ each key and keeps the largest id; `filters` has one cuckoo filter for each shar
 new counts of their keys, deleting them the new counts of theirs (and looks for the largest id only of keys that lost
 it), and of the filters only the shards of keys whose count crossed the limit. Older rows are passed over when the tables
 are read; compact() writes the state anew. A filter answers most lines ("this key is in fewer documents") without the
-exact table; what passes is joined with it, so false positives cost work only, and a filter that overflows lets
-everything pass.
+exact table; what passes is joined with it, so false positives cost work only. A filter that overflows is built anew from its
+shard of the exact table with twice the room, and compact() deals the keys to as many shards as they need by then.
 """
 
 from __future__ import annotations
@@ -130,8 +130,8 @@ def _sharded(keys: DataFrame, shards: int) -> DataFrame:
     return keys.withColumn("shard", F.pmod("high", F.lit(shards)).cast("int"))
 
 
-def change_filters(filters: DataFrame | None, add: DataFrame, remove: DataFrame | None, shards: int) -> DataFrame:
-    """shard, filter: with the keys (high, low) of add inserted and those of remove deleted."""
+def change_filters(filters: DataFrame | None, add: DataFrame, remove: DataFrame | None, shards: int, room: int = 1) -> DataFrame:
+    """shard, filter: with the keys (high, low) of add inserted and those of remove deleted. A new filter is sized for `room` times its keys."""
     keys = _sharded(add.select("high", F.lit(1).alias("sign")), shards)
     if remove is not None:
         keys = keys.unionByName(_sharded(remove.select("high", F.lit(-1).alias("sign")), shards))
@@ -139,7 +139,7 @@ def change_filters(filters: DataFrame | None, add: DataFrame, remove: DataFrame
 
     def run(key, have: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
         new = change.loc[change["sign"] == 1, "high"].to_numpy(np.int64)
-        f = CuckooFilter.load(have["filter"].iloc[0]) if len(have) else CuckooFilter.sized(max(len(new), KEYS_PER_SHARD // 4))
+        f = CuckooFilter.load(have["filter"].iloc[0]) if len(have) else CuckooFilter.sized(max(room * len(new), KEYS_PER_SHARD // 4))
         f.delete(change.loc[change["sign"] == -1, "high"].to_numpy(np.int64))
         f.insert(new)
         return pd.DataFrame({"shard": pd.Series([key[0]], dtype="int32"), "filter": [f.dump()]})
@@ -179,9 +179,26 @@ def may_repeat(posted: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard", "group").cogroup(sent.groupBy("shard", "group")).applyInArrow(probe, posted.schema)
 
 
+def _part(parts: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")
+
+
+def _kept(posted: DataFrame, parts: int) -> DataFrame:
+    """Postings as a table, dealt to `parts` folders by a hash of doc_id unless that is 0."""
+    return cut(posted.withColumn("part", _part(parts)), "postings", by="part") if parts else cut(posted, "postings")
+
+
+def _fresh(refs: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
+    """Filters for the keys of the exact table that count, and the number of their shards."""
+    often = refs.filter(F.col("n_docs") >= min_docs)
+    shards = 1 + often.count() // KEYS_PER_SHARD
+    return cut(change_filters(None, often, None, shards), "filters"), shards
+
+
 @dataclass
 class LineIndex:
-    """The state; every change gives a new one."""
+    """The state; every change gives a new one. With parts, postings are dealt to that many folders by a hash of doc_id, so that deleting
+    documents reads theirs only: for a state that lives on."""
 
     postings: DataFrame
     refs: DataFrame
@@ -189,14 +206,14 @@ class LineIndex:
     shards: int
     min_docs: int = 3
     min_chars: int = 20
+    parts: int = 0
 
     @classmethod
-    def build(cls, docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> LineIndex:
-        posted = cut(postings(docs, min_chars), "postings")
+    def build(cls, docs: DataFrame, min_docs: int = 3, min_chars: int = 20, parts: int = 0) -> LineIndex:
+        posted = _kept(postings(docs, min_chars), parts)
         refs = cut(references(posted), "refs")
-        often = refs.filter(F.col("n_docs") >= min_docs)
-        shards = 1 + often.count() // KEYS_PER_SHARD
-        return cls(posted, refs, cut(change_filters(None, often, None, shards), "filters"), shards, min_docs, min_chars)
+        filters, shards = _fresh(refs, min_docs)
+        return cls(posted, refs, filters, shards, min_docs, min_chars, parts)
 
     def _changed(self, posted: DataFrame, touched: DataFrame) -> LineIndex:
         """touched: high, low, was, n_docs (0 for a key that no document holds any more), last_doc; a small written table."""
@@ -206,12 +223,17 @@ class LineIndex:
         add, remove = touched.filter(now & ~before), touched.filter(~now & before)
         shards = _sharded(add.select("high").unionByName(remove.select("high")), self.shards).select("shard").distinct()
         own = cut(change_filters(self.filters.join(shards, "shard", "left_semi"), add, remove, self.shards), "filters")
+        full = own.filter("substring(filter, 1, 2) <> X'0000'").select("shard")
+        if not full.isEmpty():  # the shards' keys again, with room for as many more
+            keys = _sharded(refs.filter(now), self.shards).join(F.broadcast(full), "shard", "left_semi")
+            own = cut(own.join(full, "shard", "left_anti").unionByName(change_filters(None, keys, None, self.shards, 2)), "filters")
         filters = self.filters.join(own.select("shard"), "shard", "left_anti").unionByName(own)
-        return LineIndex(posted, refs, filters, self.shards, self.min_docs, self.min_chars)
+        return LineIndex(posted, refs, filters, self.shards, self.min_docs, self.min_chars, self.parts)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """With more documents, whose ids aren't in it yet; documents that repeat a text or an id count each."""
-        new = cut(postings(docs, self.min_chars), "postings")
+        """With more documents. Rows that repeat a text or an id count each, also an id that is in it already: the state is that of
+        building from all rows, and deleting the id deletes all of them."""
+        new = _kept(postings(docs, self.min_chars), self.parts)
         more = references(new).withColumnsRenamed({"n_docs": "more", "last_doc": "latest"})
         touched = more.join(self.refs, ["high", "low"], "left").select(
             "high", "low", F.coalesce("n_docs", F.lit(0)).alias("was"), (F.coalesce("n_docs", F.lit(0)) + F.col("more")).alias("n_docs"), F.greatest("last_doc", "latest").alias("last_doc")
@@ -222,7 +244,10 @@ class LineIndex:
         """Without the documents whose doc_id is in doc_ids; a null id deletes nothing."""
         ids = cut(doc_ids.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct(), "deleted")
         left = self.postings.join(ids, "doc_id", "left_anti").select(*self.postings.columns)
-        less = references(self.postings.join(ids, "doc_id", "left_semi")).withColumnsRenamed({"n_docs": "less", "last_doc": "latest"})
+        posted = self.postings
+        if self.parts:
+            posted = posted.filter(F.col("part").isin([r["part"] for r in ids.select(_part(self.parts)).distinct().collect()]))  # at most `parts` numbers
+        less = references(posted.join(ids, "doc_id", "left_semi")).withColumnsRenamed({"n_docs": "less", "last_doc": "latest"})
         met = cut(less.join(self.refs, ["high", "low"]), "met")
         lost = met.filter((F.col("n_docs") > F.col("less")) & (F.col("latest") == F.col("last_doc"))).select("high", "low")
         found = left.join(lost, ["high", "low"], "left_semi").groupBy("high", "low").agg(F.max("doc_id").alias("found"), F.lit(1).alias("again"))
@@ -232,8 +257,10 @@ class LineIndex:
         return self._changed(left, cut(touched, "touched"))
 
     def compact(self) -> LineIndex:
-        """The same state, written anew, after many changes."""
-        return LineIndex(cut(self.postings, "postings"), cut(self.refs, "refs"), cut(self.filters, "filters"), self.shards, self.min_docs, self.min_chars)
+        """The same state, written anew after many changes, with as many shards as it needs now."""
+        refs = cut(self.refs, "refs")
+        filters, shards = _fresh(refs, self.min_docs)
+        return LineIndex(_kept(self.postings.drop("part"), self.parts), refs, filters, shards, self.min_docs, self.min_chars, self.parts)
 
     def drops(self) -> DataFrame:
         """doc_id, text_hash, keys: the hashes of the keys whose lines a document loses. The exact counts are a written table,

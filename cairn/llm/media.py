@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import column, slices
 
+#: Pixels of an image at most; a header that says more is taken as broken.
+MOST_PIXELS = 2**31
 _HEAD = re.compile(rb"(P[1-6])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:(?:\s|#[^\n]*\n)+(\d+))?\s")
 
 
@@ -39,6 +41,8 @@ def _netpbm(data: bytes) -> np.ndarray:
     if not m:
         raise ValueError("not a Netpbm header")
     w, h = int(m[2]), int(m[3])
+    if not (0 < w and 0 < h and w * h <= MOST_PIXELS):
+        raise ValueError(f"{w} x {h} pixels")
     if kind in (b"P1", b"P4"):  # no maximum; the third number, if the pattern took one, is pixels
         head = re.match(rb"P[14](?:\s|#[^\n]*\n)+\d+(?:\s|#[^\n]*\n)+\d+\s", data)
         body = data[head.end():]
@@ -47,10 +51,14 @@ def _netpbm(data: bytes) -> np.ndarray:
         else:
             bits = np.unpackbits(np.frombuffer(body, np.uint8, h * ((w + 7) // 8)).reshape(h, -1), axis=1)[:, :w]
         return ((1 - bits.reshape(h, w)) * 255).astype(np.uint8)
+    if m[4] is None or not 0 < int(m[4]) <= 65535:
+        raise ValueError("a maximum is between 1 and 65535")
     most, deep = int(m[4]), 3 if kind in (b"P3", b"P6") else 1
     body = data[m.end():]
     if kind in (b"P2", b"P3"):
         flat = np.array(re.sub(rb"#[^\n]*", b"", body).split()[: w * h * deep], np.int64)
+        if len(flat) and not 0 <= flat.min() <= flat.max() <= most:
+            raise ValueError("a sample is over the maximum")
     else:
         flat = np.frombuffer(body, ">u2" if most > 255 else np.uint8, w * h * deep)
     return flat.reshape((h, w, 3) if deep == 3 else (h, w)).astype(np.uint8 if most <= 255 else np.uint16)
@@ -59,6 +67,8 @@ def _netpbm(data: bytes) -> np.ndarray:
 def _bmp(data: bytes) -> np.ndarray:
     at, = struct.unpack_from("<I", data, 10)
     head, w, h, _, bits, packed = struct.unpack_from("<IiiHHI", data, 14)
+    if not (0 < w and 0 < abs(h) and w * abs(h) <= MOST_PIXELS):
+        raise ValueError(f"{w} x {h} pixels")
     if packed not in (0, 3) or bits not in (8, 24, 32):
         raise ValueError(f"BMP with {bits} bits, compression {packed}")
     line, tall = (w * bits // 8 + 3) // 4 * 4, abs(h)
@@ -120,14 +130,15 @@ def store_payload(df: DataFrame, payload_col: str = "payload", width: int = 64,
 def featurize(df: DataFrame, media_col: str = "media", tile: int = 16) -> DataFrame:
     """Adds height, width, payload (the decoded samples' bytes), tile (NPY of the area-resized image) and dhash.
 
-    A null or unreadable medium has nulls in all of them. Tiles have 8 bits: samples are scaled so that the medium's white is
+    A null or unreadable medium has nulls in all of them, as has one of no or over MOST_PIXELS pixels, of a maximum outside 1 to 65535, or
+    with samples over it. Tiles have 8 bits: samples are scaled so that the medium's white is
     255. Columns of those names are replaced.
     """
 
     def one(row):
         try:
             image = decode(row[media_col])
-        except (ValueError, TypeError, struct.error, IndexError, AttributeError):
+        except (ValueError, TypeError, struct.error, IndexError, AttributeError, ArithmeticError):
             return None, None, None, None, None
         small = np.round(np.round(resize(image, tile, tile) * (255 / peak(row[media_col])), 6)).astype(np.uint8)  # a half is a half, however it was summed
         return image.shape[0], image.shape[1], image.tobytes(), npy(small), difference_hash(image)

@@ -54,7 +54,7 @@ def test_changes_write_what_they_touch(spark, monkeypatch):
     state = LineIndex.build(frame(spark, docs))
     written = []
     cut = lines.cut
-    monkeypatch.setattr(lines, "cut", lambda df, name: written.append((name, (out := cut(df, name)).count())) or out)
+    monkeypatch.setattr(lines, "cut", lambda df, name, **more: written.append((name, (out := cut(df, name, **more)).count())) or out)
     state = state.insert(frame(spark, [(400, "line number 3 of some\na new line that is long"), (401, "line number 3 of some")]))
     state = state.delete(spark.createDataFrame([(12,), (401,), (399,), (None,)], "doc_id long"))
     assert sum(n for _, n in written) < 60
@@ -66,6 +66,40 @@ def test_changes_write_what_they_touch(spark, monkeypatch):
     assert result(dedup_lines(frame(spark, left), state)) == brute.lines(left)
 
 
+def test_growth(spark, monkeypatch):
+    """An index that grows tenfold still answers most lines from its filters, before and after compacting, and equals building anew."""
+    monkeypatch.setattr(lines, "KEYS_PER_SHARD", 400)
+    docs = lambda a, b: [(3 * i + j, f"a line that three documents have {i}\na line of one document only {3 * i + j}") for i in range(a, b) for j in range(3)]
+    state = LineIndex.build(frame(spark, docs(0, 200)), parts=4)
+    for lo in range(200, 2000, 600):
+        state = state.insert(frame(spark, docs(lo, lo + 600)))
+    small = state.compact()
+    assert state.shards == 1 and small.shards == 6
+    for one in (state, small):
+        loaded = [CuckooFilter.load(bytes(r["filter"])) for r in one.filters.collect()]
+        assert not any(f.full for f in loaded) and len(loaded) == one.shards
+        passed = lines.may_repeat(one.postings, one.filters, one.shards).count()
+        assert 6000 <= passed < 6000 + 60  # three postings for each of 2,000 lines, of 12,000 in all
+    rows = docs(0, 2000)
+    fresh = LineIndex.build(frame(spark, rows))
+    assert sorted(map(tuple, small.refs.collect())) == sorted(map(tuple, fresh.refs.collect()))
+    gone = state.delete(spark.createDataFrame([(0,), (5,)], "doc_id long"))
+    left = [r for r in rows if r[0] not in (0, 5)]
+    assert result(dedup_lines(frame(spark, left), gone)) == brute.lines(left)
+
+
+def test_parts_and_repeated_ids(spark):
+    """Deleting reads the folders of its ids only; an id that is inserted again counts again, and goes as a whole."""
+    first, again = [(i, "a line that all of them have") for i in range(40)], [(7, "a line that all of them have"), (7, "another line of number seven")]
+    state = LineIndex.build(frame(spark, first), parts=8).insert(frame(spark, again))
+    fresh = LineIndex.build(frame(spark, first + again))
+    assert sorted(map(tuple, state.refs.collect())) == sorted(map(tuple, fresh.refs.collect()))
+    read = state.postings.filter(F.col("part") == 3)
+    assert read._jdf.queryExecution().toString().count("PartitionFilters: [isnotnull(part") == 2  # what was built, and what was inserted
+    back = state.delete(spark.createDataFrame([(7,)], "doc_id long"))
+    assert sorted(map(tuple, back.refs.collect())) == sorted(map(tuple, LineIndex.build(frame(spark, [r for r in first if r[0] != 7])).refs.collect()))
+
+
 def test_cuckoo():
     keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 20_000)
     f = CuckooFilter.sized(len(keys))

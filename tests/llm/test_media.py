@@ -1,5 +1,6 @@
 import hashlib
 import io
+import struct
 import zlib
 
 import numpy as np
@@ -78,3 +79,15 @@ def test_edges(spark):
     low = b"P2 2 1 100\n 100 50"
     wide = {r["id"]: np.load(io.BytesIO(r["tile"])) for r in M.featurize(spark.createDataFrame([(1, deep), (2, low)], "id int, media binary"), tile=2).collect()}
     assert wide[1].tolist() == [[0, 255], [255, 1]] and wide[2].tolist() == [[255, 128]] * 2
+
+
+def test_broken_headers(spark):
+    """Sizes of 0 or far too large, maxima out of range and samples over them are unreadable, and no job fails."""
+    bad = [b"P5 1 1 0 x", b"P5 99999999999999999999 1 255\nx", b"P2 1 1 255\n999999999999999999999999", b"P5 0 0 255\n", b"P5 0 3 255\n", b"P2 1 1 70000\n5", b"P2 1 1 9\n10", b"P2 1 1 9\n-1", b"P4 0 0\n", b"P1 99999 99999999\n1", b"P5 3 3\nabcdefghi"]
+    bad.append(struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54, 0, 0, 54, 40, 0, 0, 1, 24, 0, 0, 0, 0, 0, 0))
+    bad.append(struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54, 0, 0, 54, 40, 2**31 - 1, 2**31 - 1, 1, 24, 0, 0, 0, 0, 0, 0))
+    good = [b"P2 1 1 65535\n65535", b"P5 1 1 1\n\x01"]
+    rows = list(enumerate([*bad, *good]))
+    got = {r["id"]: r for r in M.featurize(spark.createDataFrame(rows, "id int, media binary")).collect()}
+    assert all(got[i]["payload"] is None and got[i]["tile"] is None and got[i]["height"] is None for i in range(len(bad)))
+    assert all(got[len(bad) + i]["height"] == 1 for i in range(2))
