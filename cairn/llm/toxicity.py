@@ -18,13 +18,14 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, cut, slices, texts_of
+from cairn.llm.common import column, cut, mix64, slices, texts_of
 
 # What a digit or sign may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
@@ -81,6 +82,7 @@ class Letters:
         return p
 
 
+@lru_cache(4096)
 def _arcs(c: str, k: int) -> list[tuple[str, float]]:
     """What k times c may stand for, and the channel's log-probability of each."""
     if c.isspace():
@@ -131,7 +133,9 @@ class Restorer:
         self.model, self.most, self.seen = model, most, {}
 
     def usual(self, core: str) -> bool:
-        """Only letters, and doubles only where the model expects them."""
+        """Doubles only where the model expects them."""
+        if not _REPEATED.search(core):
+            return True
         for m in _REPEATED.finditer(core):
             at = m.end() - 1
             if core[at : at + 2] == core[at] * 2 or self.model.log((" " * (ORDER - 1) + core[:at])[1 - ORDER :], core[at]) < ODD:
@@ -156,7 +160,10 @@ class Restorer:
     def spellings(self, text: str) -> set[str]:
         """The distinct tokens of a text in lower case, and its rows of single letters."""
         low = text.lower()
-        return set(low.split()).union(m[0] for m in _SPACED.finditer(low))
+        tokens = low.split()
+        if b"\1\1\1" in bytes([len(t) == 1 for t in tokens]):
+            tokens += [m[0] for m in _SPACED.finditer(low)]
+        return set(tokens)
 
     def text(self, text: str) -> str:
         """The text in lower case with every token, and every row of single letters, restored; one blank between tokens."""
@@ -164,6 +171,22 @@ class Restorer:
         return " ".join(filter(None, map(self.word, low.split())))
 
 
+def _grams(words: list[str], counts: np.ndarray) -> pa.RecordBatch:
+    """gram, n: stretches of ORDER characters of the words, each between blanks, with the sums of the words' counts."""
+    text = "".join(" " * (ORDER - 1) + w + " " for w in words)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1  # stretches of a word: one ends at each letter, and one at the blank after
+    starts = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
+    at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    key = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(ORDER):
+            key = mix64(key ^ codes[at + i], i) if len(at) else key
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    total = np.bincount(which, np.repeat(counts, sizes), len(first)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array([text[i : i + ORDER] for i in at[first].tolist()], pa.string()), pa.array(total)], ["gram", "n"])
+
+
 def letters(docs: DataFrame, text_col: str = "text", grams: int = 300_000) -> Letters:
     """The character model of all documents. A task counts before the shuffle; the `grams` commonest stretches come to the driver."""
 
@@ -171,16 +194,9 @@ def letters(docs: DataFrame, text_col: str = "text", grams: int = 300_000) -> Le
         words: Counter = Counter()
 
         def done():
-            out: Counter = Counter()
-            for spelling, n in words.items():
-                w = spelling.strip(_MARKS)
-                if not w.isalpha() or len(w) >= 100:
-                    continue
-                padded = " " * (ORDER - 1) + w + " "
-                for i in range(len(w) + 1):
-                    out[padded[i : i + ORDER]] += n
+            plain = [(w, n) for s, n in words.items() if (w := s.strip(_MARKS)).isalpha() and len(w) < 100]
             words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["gram", "n"])
+            return _grams([w for w, _ in plain], np.array([n for _, n in plain], np.int64))
 
         for b in slices(batches):
             for t in texts_of(b, "text"):
@@ -211,6 +227,18 @@ class Finder:
     def __init__(self, restorer: Restorer, lexicon: dict[str, float], most: int = 400_000):
         self.restorer, self.lexicon, self.most, self.seen = restorer, lexicon, most, {}
 
+    def hits(self, spelling: str) -> dict[str, float] | tuple:
+        """Those of terms() that the lexicon has, with their weights; most spellings have none."""
+        known, found = self.lexicon, ()
+        plain, restored = spelling.strip(_MARKS), self.restorer.word(spelling)
+        for w in (plain,) if restored == plain else (plain, *restored.split(" ")):
+            if w in known:
+                found = {**dict(found), w: known[w]}
+            for n in PREFIXES:
+                if len(w) > n and (t := w[:n] + " ") in known:
+                    found = {**dict(found), t: known[t]}
+        return found
+
     def evidence(self, text: str) -> list[float]:
         spellings = self.restorer.spellings(text)
         if len(self.seen) > self.most:
@@ -218,7 +246,7 @@ class Finder:
         found: dict[str, float] = {}
         for s in spellings:
             if (hits := self.seen.get(s)) is None:
-                hits = self.seen[s] = {t: self.lexicon[t] for t in terms(self.restorer, s) if t in self.lexicon} or ()
+                hits = self.seen[s] = self.hits(s)
             if hits:
                 found.update(hits)
         weights = sorted(found.values(), reverse=True)

@@ -33,6 +33,21 @@ def test_counts_cover_all_documents(spark):
     assert T.letters(docs.limit(0)).counts == {}
 
 
+def test_grams_and_hits(model):
+    words, counts = ["abc", "é", "abcd", "ab"], np.array([3, 1, 2, 5])
+    want = {}
+    for w, n in zip(words, counts.tolist()):
+        padded = " " * (T.ORDER - 1) + w + " "
+        for i in range(len(w) + 1):
+            want[padded[i : i + T.ORDER]] = want.get(padded[i : i + T.ORDER], 0) + n
+    got = T._grams(words, counts)
+    assert dict(zip(got.column("gram").to_pylist(), got.column("n").to_pylist())) == want and T._grams([], np.zeros(0, np.int64)).num_rows == 0
+    r = T.Restorer(model)
+    for s in ("idiot", "1d10t!", "y o u i d i o t", "lose", "losers", "2009"):
+        lexicon = {t: 1.0 for t in T.terms(r, s)} | {"xyz": 2.0}
+        assert dict(T.Finder(r, lexicon).hits(s)) == {t: 1.0 for t in T.terms(r, s)}
+
+
 def brute(spelling, model):
     """Every path of the lattice, scored as decode() scores them."""
     best = (-math.inf, "")
