@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.words import ENGLISH, Words
+
 # English word lists. Other languages' lists are passed as parameters.
 DECISION_WORDS = ("decided", "chose", "choosing", "switched", "migrated", "selected", "picked", "opted", "replaced", "adopted")
 ERROR_WORDS = ("error", "exception", "failed", "failure", "bug", "crash", "broken", "traceback", "timeout", "denied")
@@ -17,17 +19,9 @@ NEGATION_MARKERS = (
     "changed to", "changed from", "moved to", "moved from", "superseded by", "instead of", "not going to", "canceled", "cancelled", "reverted", "rolled back", "undid", "undone",
 )
 DAY_NAMES = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
-EVERY_WORDS = ("every", "each", "weekly")
-GERMAN_ADVERBS = ("sonntags", "montags", "dienstags", "mittwochs", "donnerstags", "freitags", "samstags")
 AFTER_WORDS = ("after", "since", "following", "subsequent", "later")
 BEFORE_WORDS = ("before", "prior", "previous", "earlier", "preceding")
 TEMPORAL_WORDS = ("when", "date", "time", "ago", "last", "before", "after", "during", "since", "until", "yesterday", "tomorrow", "week", "month", "year")
-EVENT_WORDS = (
-    "wedding", "funeral", "concert", "conference", "meeting", "interview", "party", "birthday", "anniversary", "graduation", "ceremony", "reception", "reunion", "trip", "vacation",
-    "holiday", "flight", "appointment", "surgery", "exam", "presentation", "demo", "launch", "deployment", "sprint", "standup", "hackathon", "picnic", "marathon", "race", "match", "game",
-)
-EMOTION_WORDS = ("excited", "thrilled", "happy", "pleased", "satisfied", "grateful", "relieved", "calm", "frustrated", "angry", "anxious", "overwhelmed", "stressed", "sad", "disappointed", "bored", "tired", "worried", "nervous", "confused", "annoyed", "upset", "surprised", "curious")
-UNITS = ("tanks", "tank", "books", "book", "dollars", "dollar", "euros", "euro", "kilograms", "kg", "kilometers", "km", "miles", "mile", "cups", "cup", "pieces", "piece", "items", "item", "tickets", "ticket", "pages", "page", "sessions", "session")
 FILLER = (
     "i", "me", "my", "you", "your", "we", "our", "us", "he", "she", "it", "its", "they", "them", "a", "an", "the", "this", "that", "these", "those", "some", "any", "to", "of", "in", "on",
     "at", "by", "for", "with", "from", "into", "about", "up", "is", "was", "are", "were", "be", "been", "being", "do", "does", "did", "have", "has", "had", "can", "could", "will", "would",
@@ -131,12 +125,12 @@ def occurrence_day(text: Column) -> Column:
     return F.try_to_date(F.nullif(F.regexp_extract(text, r"\[Date: (\d{4}-\d{2}-\d{2})\]", 1), F.lit("")), "yyyy-MM-dd")
 
 
-def extract_recurrence(text: Column) -> Column:
-    """Sorted weekdays, 0 for Sunday, of a text with an every word; without one, those of German adverbs; else null."""
+def extract_recurrence(text: Column, words: Words = ENGLISH) -> Column:
+    """Sorted weekdays, 0 for Sunday, of a text with an every word; without one, those of weekday adverbs; else null."""
     low = F.lower(text)
-    named = lambda names: F.filter(F.array(*[F.when(like(low, rf"\b{n}\b"), F.lit(i)) for i, n in enumerate(names)]), lambda d: d.isNotNull())
-    adverbs = named(GERMAN_ADVERBS)
-    days = F.when(has_word(text, EVERY_WORDS), F.array_sort(F.array_distinct(F.concat(named(DAY_NAMES), adverbs)))).otherwise(adverbs)
+    named = lambda lists: F.filter(F.array(*[F.when(like(low, rf"\b{any_of(n)}\b"), F.lit(i)) if n else F.lit(None).cast("int") for i, n in enumerate(lists)]), lambda d: d.isNotNull())
+    adverbs = named(words.day_adverbs)
+    days = F.when(has_word(text, words.every), F.array_sort(F.array_distinct(F.concat(named(words.days), adverbs)))).otherwise(adverbs) if words.every else adverbs
     return F.when(F.size(days) > 0, days)
 
 
@@ -154,16 +148,61 @@ def negation_polarity(text: Column, markers=NEGATION_MARKERS) -> Column:
     return F.when(has_word(F.coalesce(text, F.lit("")), markers), -1).otherwise(1)
 
 
-def extract_entities(text: Column) -> Column:
-    """Sorted `type:name` tags, the first 20: names in camel case, the first five paths, error types, and, in sorted order,
-    at most two events and emotions and three quantities. Single words match whole white-space tokens."""
-    low = F.split(F.lower(text), r"\s+")
+def bound(value: Column, body) -> Column:
+    """body of a value that is made once, however often body, or a function within it, takes it up."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def matched(low: Column, tokens: Column, words, most: int) -> Column:
+    """The first `most`, in sorted order, of the words that a text in lower case has: whole tokens; phrases, and words of other scripts,
+    anywhere in it. Words of one letter never match."""
+    words = sorted({w.lower() for w in words if len(w) > 1})
+    inside = [w for w in words if " " in w or not w[0].isascii()]
+    whole = [w for w in words if w not in inside]
+    none = F.array().cast("array<string>")
+    found = F.array_intersect(tokens, F.array(*map(F.lit, whole))) if whole else none
+    parts = F.filter(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in inside]), lambda w: w.isNotNull()) if inside else none
+    return F.slice(F.array_sort(F.concat(found, parts)), 1, most)
+
+
+def related(text: Column, low: Column, tokens: Column, words: Words) -> Column:
+    """The first two relationship words in a social context: within three words of a preposition, or of a possessive if the text names an
+    event or activity. Words of other scripts count anywhere."""
+    any_word = lambda names: F.arrays_overlap(tokens, F.array(*map(F.lit, names))) if names else F.lit(False)
+    social = any_word(words.events) | any_word(words.activities)
+    clean = F.transform(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0), lambda w: F.lower(F.regexp_replace(w, "[.,!?:;\"'()]", "")))
+    latin = [w for w in words.relationships if w[0].isascii()]
+    others = sorted(w for w in words.relationships if not w[0].isascii() and len(w) > 1)
+
+    def near(v: Column) -> Column:
+        def after(w: Column, i: Column) -> Column:
+            asked = w.isin(*words.prepositions) | (w.isin(*words.possessives) & v["social"])
+            three = F.array(*[F.get(v["clean"], i + k) for k in (1, 2, 3)])
+            return F.when(asked, F.get(F.filter(three, lambda x: x.isin(*latin)), F.lit(0)))
+
+        return F.slice(F.filter(F.transform(v["clean"], after), lambda w: w.isNotNull()), 1, 2)
+
+    found = bound(F.struct(clean.alias("clean"), social.alias("social")), near) if latin else F.array().cast("array<string>")
+    if not others:
+        return found
+    extra = F.filter(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in others]), lambda w: w.isNotNull())
+    return F.slice(F.concat(found, extra), 1, 2)
+
+
+def extract_entities(text: Column, words: Words = ENGLISH) -> Column:
+    """Sorted `type:name` tags, the first 20: names in camel case, the first five paths, error types; at most two events, activities,
+    emotions and preferences in sorted order, two relationships in a social context and three quantities in order of the text, and of the
+    cities and countries that are given two cities, and three places in all."""
+    low, none = F.lower(text), F.array().cast("array<string>")
+    tokens = F.split(low, r"\s+")
     tag = lambda kind, names: F.transform(names, lambda n: F.concat(F.lit(kind + ":"), n))
-    listed = lambda words, n: F.slice(F.array_sort(F.array_intersect(low, F.array(*map(F.lit, words)))), 1, n)
-    amounts = F.transform(_found(text, rf"(?i)\b(?!(?:19|20)\d{{2}}\b)(\d+(?:\.\d+)?\s+{any_of(UNITS)})\b"), lambda x: F.regexp_replace(F.lower(x), r"\s+", " "))
+    amounts = F.transform(F.slice(_found(text, rf"(?i)\b(?!(?:19|20)\d{{2}}\b)(\d+(?:\.\d+)?\s+{any_of(words.units)})\b"), 1, 3), lambda x: F.regexp_replace(F.lower(x), r"\s+", " ")) if words.units else none
+    places = lambda names: F.array_distinct(_found(text, rf"\b({any_of(names)})\b")) if names else none
     every = F.concat(
         tag("entity", _found(text, CAMEL_CASE)), tag("file", F.slice(_found(text, FILE_PATH), 1, 5)), tag("error", _found(text, ERROR_TYPE)),
-        tag("event", listed(EVENT_WORDS, 2)), tag("emotion", listed(EMOTION_WORDS, 2)), tag("quantity", F.slice(F.array_sort(F.array_distinct(amounts)), 1, 3)),
+        tag("event", matched(low, tokens, words.events, 2)), tag("activity", matched(low, tokens, words.activities, 2)), tag("emotion", matched(low, tokens, words.emotions, 2)),
+        tag("preference", matched(low, tokens, words.preferences, 2)), tag("relationship", related(text, low, tokens, words)), tag("quantity", amounts),
+        tag("location", F.slice(F.concat(F.slice(places(words.cities), 1, 2), places(words.countries)), 1, 3)),
     )
     return F.slice(F.array_sort(F.array_distinct(every)), 1, 20)
 

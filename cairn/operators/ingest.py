@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.functions.words import ENGLISH, Words
 from cairn.operators.base import active
+from cairn.operators.entities import link_entities
 from cairn.operators.linking import auto_link
 
 #: Short courtesies that carry nothing.
@@ -74,8 +76,9 @@ def map_linear(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("identifier").alias("key"), content.alias("content"), tags.alias("tags"))
 
 
-def store_enriched(new: DataFrame, mem: DataFrame, settings: DataFrame, as_of: Column, threshold: float = 0.85) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Memories, contradiction edges and automatic edges for a batch, compared with the store as it was.
+def store_enriched(new: DataFrame, mem: DataFrame, settings: DataFrame, as_of: Column, threshold: float = 0.85, words: Words = ENGLISH) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Memories, contradiction edges, automatic edges and entity links (memory_id, profile, canonical_name, entity_type) for a batch,
+    compared with the store as it was; link_entities() takes the memories' tags on to the entities' counts and evidence.
 
     new: id, profile, content, tags, embedding. Secrets are masked; dates, entities, recurrence, importance, polarity,
     surprise (1 - the largest similarity, 0.5 without neighbours) and expiry are added; conflicts are neighbours of 0.75 or more.
@@ -83,8 +86,8 @@ def store_enriched(new: DataFrame, mem: DataFrame, settings: DataFrame, as_of: C
     from cairn.functions.vectors import topk
 
     masked = new.withColumn("content", T.mask_secrets(F.col("content")))
-    tags = F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), T.extract_entities(F.col("content"))))
-    rows = masked.withColumn("tags", tags).withColumn("dates", T.extract_dates(F.col("content"), as_of.cast("date"))).withColumn("recurrence_days", T.extract_recurrence(F.col("content")))
+    tags = F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), T.extract_entities(F.col("content"), words)))
+    rows = masked.withColumn("tags", tags).withColumn("dates", T.extract_dates(F.col("content"), as_of.cast("date"))).withColumn("recurrence_days", T.extract_recurrence(F.col("content"), words))
     rows = rows.withColumn("importance", T.compute_importance(F.col("content"), F.col("tags"))).withColumn("polarity", T.negation_polarity(F.col("content")))
     live = mem.filter(active(as_of))
     near = topk(rows.select(F.col("id").alias("query_id"), "profile", "embedding"), live, 5).select(F.col("query_id").alias("id"), F.col("id").alias("other_id"), "similarity")
@@ -93,4 +96,11 @@ def store_enriched(new: DataFrame, mem: DataFrame, settings: DataFrame, as_of: C
     rows = rows.join(settings.select("profile", "ttl_days"), "profile", "left").withColumn("expires_at", F.timestamp_seconds(F.unix_seconds(as_of) + F.col("ttl_days") * 86400)).drop("ttl_days").withColumn("created_at", as_of)
     against = near.filter(F.col("similarity") >= 0.75).join(live.select(F.col("id").alias("other_id"), T.negation_polarity(F.substring("content", 1, 200)).alias("other_polarity")), "other_id").join(rows.select("id", "polarity"), "id")
     contradicts = against.filter(F.col("polarity") != F.col("other_polarity")).select(F.col("id").alias("source_id"), F.col("other_id").alias("target_id"), F.lit("contradicts").alias("relationship"), F.lit(1.0).alias("strength"))
-    return rows, contradicts, auto_link(rows, mem, as_of, threshold)
+    mentions = link_entities(rows.select(F.col("id").alias("memory_id"), "profile", "tags"), *_no_entities(rows))[1]
+    return rows, contradicts, auto_link(rows, mem, as_of, threshold), mentions
+
+
+def _no_entities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Empty tables of entities and of links, for ids like those of rows."""
+    spark, kind = rows.sparkSession, dict(rows.dtypes)["id"]
+    return spark.createDataFrame([], "canonical_name string, entity_type string, mention_count long, evidence_class string"), spark.createDataFrame([], f"memory_id {kind}, profile string, canonical_name string, entity_type string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,17 +38,21 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) > 0)
 
 
-def keyword_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int | str = 10, method: str = "frequency") -> DataFrame:
+def keyword_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int | str = 10, method: str = "frequency", index: KeywordIndex | None = None) -> DataFrame:
     """query_id, id, keyword_rank, rank: active memories that hold all terms of the query, by r / (r + 1).
 
     r is, for `frequency`, the terms' occurrences over the text's length; for `cover`, the cover density (Clarke,
     Cormack and Tudhope) over the length. Only postings of the queries' terms leave a task; terms are matched before
     positions are looked at, so that common terms cost a count. `web` and `stemmed` take the text as a web query (web_topk).
+    With an index (of `frequency` and `cover`) no content is read: a query's rarest term gives its candidates, its other terms are
+    looked up for these, and positions for what then holds all terms.
     """
     if method in ("web", "stemmed"):
         return web_topk(queries, mem, as_of, k, method == "stemmed")
     q = explode_profiles(queries).select("query_id", "profile", F.array_distinct(tokens(F.col("text"))).alias("terms")).filter(F.size("terms") > 0)
     wanted = q.select("query_id", "profile", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    if index is not None:
+        return _top(index.ranked(wanted, mem.filter(active(as_of)).select("id"), method), queries, [F.desc("keyword_rank"), F.asc("id")], k)
     words = mem.filter(active(as_of)).select("id", "profile", tokens(F.col("content")).alias("words")).withColumn("n_words", F.size("words"))
     postings = words.select("id", "profile", "n_words", F.posexplode("words").alias("position", "term")).join(wanted.select("term").distinct(), "term", "left_semi")
     postings = postings.groupBy("profile", "term", "id", "n_words").agg(F.sort_array(F.collect_list("position")).alias("positions") if method == "cover" else F.count("*").alias("tf"))
@@ -59,6 +65,76 @@ def keyword_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int | str
     return _top(out, queries, [F.desc("keyword_rank"), F.asc("id")], k)
 
 
+@dataclass(frozen=True)
+class KeywordIndex:
+    """A stored positional index of memories: postings (bucket, batch, profile, term, id, tf, n_words) and, in a table of their own, places
+    (positions of the term in the text), both dealt to folders by a hash of the term. Every change gives a new index and writes what it
+    adds: inserted rows get the next batch, and `gone` (id, upto) says up to which batch an id's rows count no more."""
+
+    postings: DataFrame
+    places: DataFrame
+    gone: DataFrame
+    batch: int = 0
+    buckets: int = 32
+
+    @classmethod
+    def build(cls, mem: DataFrame, buckets: int = 32) -> KeywordIndex:
+        """mem: id, profile, content. Ids are unique."""
+        postings, places = cls._written(mem, 0, buckets)
+        return cls(postings, places, cut(mem.select("id", F.lit(0).alias("upto")).limit(0)), 0, buckets)
+
+    @staticmethod
+    def _written(mem: DataFrame, batch: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+        words = mem.select("id", "profile", tokens(F.col("content")).alias("words")).withColumn("n_words", F.size("words"))
+        each = words.select("id", "profile", "n_words", F.posexplode("words").alias("position", "term"))
+        rows = each.groupBy("profile", "term", "id", "n_words").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+        whole = cut(rows.select(F.lit(batch).alias("batch"), "profile", "term", "id", F.size("positions").cast("long").alias("tf"), "n_words", "positions", bucket), by="bucket")
+        return whole.drop("positions"), whole.select("batch", "profile", "term", "id", "positions", "bucket")
+
+    def _without(self, ids: DataFrame, upto: int) -> DataFrame:
+        return cut(self.gone.unionByName(ids.select("id", F.lit(upto).alias("upto"))).groupBy("id").agg(F.max("upto").alias("upto")))
+
+    def insert(self, mem: DataFrame) -> KeywordIndex:
+        """With more memories; one whose id is there takes its place."""
+        postings, places = self._written(mem, self.batch + 1, self.buckets)
+        return KeywordIndex(self.postings.unionByName(postings), self.places.unionByName(places), self._without(mem.select("id").distinct(), self.batch), self.batch + 1, self.buckets)
+
+    def delete(self, ids: DataFrame) -> KeywordIndex:
+        return KeywordIndex(self.postings, self.places, self._without(ids.select("id").distinct(), self.batch), self.batch, self.buckets)
+
+    def compact(self) -> KeywordIndex:
+        """The same, written anew after many changes."""
+        zero = lambda df: cut(self._live(df).withColumn("batch", F.lit(0)), by="bucket")
+        return KeywordIndex(zero(self.postings), zero(self.places), self.gone.limit(0), 0, self.buckets)
+
+    def _live(self, df: DataFrame) -> DataFrame:
+        return df.join(self.gone, "id", "left").filter(F.col("upto").isNull() | (F.col("batch") > F.col("upto"))).select(*df.columns)
+
+    def ranked(self, wanted: DataFrame, ids: DataFrame, method: str) -> DataFrame:
+        """query_id, id, keyword_rank of the given ids that hold all terms. wanted: query_id, profile, n_terms, term, once each."""
+        asked = cut(wanted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")))
+        own = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        terms = asked.select("profile", "term").distinct()
+        of = lambda df: self._live(df.filter(F.col("bucket").isin(own)).join(terms, ["profile", "term"], "left_semi"))
+        postings = cut(of(self.postings).join(ids, "id", "left_semi").select("profile", "term", "id", "tf", "n_words"))
+        often = postings.groupBy("profile", "term").agg(F.count("*").alias("df"))
+        by_df = Window.partitionBy("query_id", "profile").orderBy("df", "term")
+        placed = asked.join(often, ["profile", "term"]).withColumn("place", F.row_number().over(by_df)).withColumn("met", F.count("*").over(Window.partitionBy("query_id", "profile"))).filter(F.col("met") == F.col("n_terms"))
+        first = placed.filter("place = 1").join(postings, ["profile", "term"]).select("query_id", "profile", "n_terms", "id", "n_words", "tf")
+        rest = placed.filter("place > 1").select("query_id", "profile", "term")
+        looked = first.select("query_id", "profile", "id").join(rest, ["query_id", "profile"]).join(postings.select("profile", "term", "id", F.col("tf").alias("more")), ["profile", "term", "id"])
+        others = looked.groupBy("query_id", "id").agg(F.count("*").alias("hit"), F.sum("more").alias("more"))
+        both = first.join(others, ["query_id", "id"], "left").filter(F.coalesce("hit", F.lit(0)) + 1 == F.col("n_terms"))
+        if method == "frequency":
+            scored = both.select("query_id", "id", ((F.col("tf") + F.coalesce("more", F.lit(0))) / F.col("n_words")).alias("r"))
+        else:
+            left = cut(both.select("query_id", "profile", "id", "n_words"))
+            found = left.join(asked.select("query_id", "profile", "term"), ["query_id", "profile"]).join(of(self.places).select("profile", "term", "id", "positions"), ["profile", "term", "id"])
+            scored = found.groupBy("query_id", "id", "n_words").agg(F.collect_list("positions").alias("lists")).select("query_id", "id", (_cover_density()("lists") / F.col("n_words")).alias("r"))
+        return scored.select("query_id", "id", F.round(F.col("r") / (F.col("r") + 1), 6).alias("keyword_rank"))
+
+
 def cover_density(lists: list[list[int]], weight: float = 0.1) -> float:
     """Sum over minimal covers of weight / (1 + words in the cover that aren't terms)."""
     events = sorted((p, i) for i, one in enumerate(lists) for p in one)

@@ -147,10 +147,10 @@ def upsert_summaries(s, d):
     return M.upsert_summaries(summaries(s, d), new)
 
 
-@query("SELECT DISTINCT profile, topic_key FROM (SELECT id, profile, unnest(tags) AS topic_key FROM active) WHERE id % 97 = 0", "active")
+@query("SELECT DISTINCT profile, topic_key FROM (SELECT id, profile, unnest(tags) AS topic_key FROM active) WHERE id IN (SELECT source_id FROM rel WHERE relationship = 'contradicts')", "active rel")
 def affected_summaries(s, d):
     m = B.active_memories(mem(s, d), X.as_of())
-    return M.affected_summaries(m.filter("id % 97 = 0").select("id"), m.select("profile", F.explode("tags").alias("topic_key"), F.col("id").alias("memory_id")))
+    return M.affected_summaries(X.relationships(s, d).filter("relationship = 'contradicts'").select(F.col("source_id").alias("id")), m.select("profile", F.explode("tags").alias("topic_key"), F.col("id").alias("memory_id")))
 
 
 @query(f"WITH {SUMMARIES} SELECT profile, topic_key, CASE WHEN status = 'fresh' AND n > 3 THEN 'stale' ELSE status END AS status, CASE WHEN status = 'fresh' AND n > 3 THEN 'idle for 30 days' ELSE stale_reason END AS stale_reason FROM su", "active")
@@ -317,6 +317,13 @@ def keyword_topk(s, d):
     return S.keyword_topk(X.queries(s, d), mem(s, d), X.as_of(), 10)
 
 
+@query(f"WITH {keyword_sql(10)} SELECT query_id, id, keyword_rank, rank FROM ktop", "active q")
+def keyword_index(s, d):
+    """The same by a stored index; the search itself gets memories without their contents."""
+    m = mem(s, d)
+    return S.keyword_topk(X.queries(s, d), m.drop("content"), X.as_of(), 10, index=S.KeywordIndex.build(m)).select("query_id", "id", "keyword_rank", "rank")
+
+
 @query("SELECT id, round(graph_boost, 6) AS graph_boost FROM boost", "boost")
 def graph_boost(s, d):
     return S.graph_boost(X.relationships(s, d)).select("id", r6("graph_boost").alias("graph_boost"))
@@ -612,17 +619,24 @@ def link_unlinked(s, d):
     return L.link_unlinked(mem(s, d, True), X.relationships(s, d), X.as_of(), 0.3).select("source_id", "target_id", "strength")
 
 
-@query("SELECT c.vec_id AS candidate_id, CAST(max(round(list_cosine_similarity(c.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6)) > 0.3 AS INTEGER) AS duplicate FROM embeddings c JOIN active m ON m.profile = 'fr' GROUP BY c.vec_id", "active")
+CANDIDATES = "cand AS (SELECT vec_id, embedding, list_extract(['en', 'fr', 'de', 'es'], CAST(vec_id % 4 + 1 AS INTEGER)) AS profile FROM embeddings)"
+
+
+def candidates(s, d):
+    """Every given vector as a candidate, dealt over the profiles."""
+    profile = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("vec_id") % 4 + 1).cast("int"))
+    return X.read(s, d, "embeddings").select(F.col("vec_id").alias("candidate_id"), profile.alias("profile"), F.lit("text").alias("content"), "embedding")
+
+
+@query(f"WITH {CANDIDATES} SELECT c.vec_id AS candidate_id, CAST(max(round(list_cosine_similarity(c.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6)) > 0.3 AS INTEGER) AS duplicate FROM cand c JOIN active m USING (profile) GROUP BY c.vec_id", "active")
 def near_duplicates(s, d):
-    c = X.read(s, d, "embeddings").select(F.col("vec_id").alias("candidate_id"), F.lit("fr").alias("profile"), "embedding")
-    return L.near_duplicates(c, mem(s, d, True), X.as_of(), 0.3)
+    return L.near_duplicates(candidates(s, d), mem(s, d, True), X.as_of(), 0.3)
 
 
-@query(f"""WITH c AS (SELECT vec_id AS id, embedding FROM embeddings), k AS (SELECT c.id, max(round(list_cosine_similarity(c.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6)) AS top FROM c JOIN active m ON m.profile = 'fr' GROUP BY c.id)
-    SELECT id, 'fr' AS profile, CAST(epoch({NOW}) AS BIGINT) + 60 * 86400 AS expires_at FROM k WHERE top <= 0.3""", "active")
+@query(f"""WITH {CANDIDATES}, k AS (SELECT c.vec_id AS id, c.profile, max(round(list_cosine_similarity(c.embedding::DOUBLE[], m.embedding::DOUBLE[]), 6)) AS top FROM cand c JOIN active m USING (profile) GROUP BY c.vec_id, c.profile)
+    SELECT id, profile, CAST(epoch({NOW}) AS BIGINT) + ttl_days * 86400 AS expires_at FROM k LEFT JOIN settings USING (profile) WHERE top <= 0.3""", "active settings")
 def import_memories(s, d):
-    c = X.read(s, d, "embeddings").select(F.col("vec_id").alias("candidate_id"), F.lit("fr").alias("profile"), F.lit("text").alias("content"), "embedding")
-    return L.import_memories(c, mem(s, d, True), X.profile_settings(s), X.as_of(), 0.3).select("id", "profile", secs("expires_at").alias("expires_at"))
+    return L.import_memories(candidates(s, d), mem(s, d, True), X.profile_settings(s), X.as_of(), 0.3).select("id", "profile", secs("expires_at").alias("expires_at"))
 
 
 @query(f"""WITH n AS (SELECT doc_id + 7 AS id, lang AS profile, 'new ' || source AS source FROM documents WHERE doc_id % 4 = 0)

@@ -280,7 +280,7 @@ def refresh_embeddings(s, d):
 @query()
 def store_enriched(s, d):
     new = texts(s, d).join(mem(s, d, True).select("id", "profile", "tags", "embedding"), "id").withColumn("id", F.col("id") + 10_000_000)
-    rows, contradicts, links = I.store_enriched(new, mem(s, d, True), X.profile_settings(s), X.as_of())
+    rows, contradicts, links, _ = I.store_enriched(new, mem(s, d, True), X.profile_settings(s), X.as_of())
     n = lambda df, c: df.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias(c))
     out = rows.join(n(contradicts, "contradicts"), "id", "left").join(n(links, "links"), "id", "left").na.fill({"contradicts": 0, "links": 0})
     return out.select("id", "profile", F.sha2("content", 256).alias("sha"), F.size("dates").alias("dates"), r6("importance").alias("importance"), "polarity", r6("surprise").alias("surprise"), "contradicts", "links")
