@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import source_fingerprint
@@ -76,21 +76,37 @@ def read_dump(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
     return spark.read.schema(schema).json(path, multiLine=multi_line)
 
 
+def named_topics(summaries: DataFrame) -> DataFrame:
+    """profile, topic_key, others: the other topics of the profile that a summary's body names, by a join of the body's word n-grams, as long as
+    the keys are, with the keys. Case counts; a key's blanks may be any white space."""
+    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}:_-]+"), lambda w: F.length(w) > 0)
+    keys = summaries.select("profile", F.col("topic_key").alias("other"), words(F.col("topic_key")).alias("w")).select("profile", "other", F.size("w").alias("n"), F.array_join("w", " ").alias("gram")).filter("n > 0")
+    sizes = sorted(r["n"] for r in keys.select("n").distinct().collect())  # the lengths of keys, a few
+    if not sizes:
+        return summaries.select("profile", "topic_key", F.array("topic_key").alias("others")).limit(0)
+    body = summaries.select("profile", "topic_key", words(F.col("content")).alias("w"))
+    grams = F.flatten(F.array(*[
+        F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i, F.lit(n)), " ").alias("gram")))).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))  # noqa: B023
+        for n in sizes
+    ]))
+    said = body.select("profile", "topic_key", F.explode(F.array_distinct(grams)).alias("g")).select("profile", "topic_key", "g.n", "g.gram")
+    return said.join(keys, ["profile", "n", "gram"]).filter(F.col("other") != F.col("topic_key")).groupBy("profile", "topic_key").agg(F.sort_array(F.collect_set("other")).alias("others"))
+
+
 def write_topic_pages(summaries: DataFrame) -> DataFrame:
-    """profile, slug, text: a page for each summary, with other topic keys of the profile that its body names put in [[ ]]
-    outside code. Only keys that occur in the body are joined to it. summaries: profile, topic_key, content, source_count."""
-    keys = summaries.select("profile", F.col("topic_key").alias("other"))
-    words = summaries.select("profile", "topic_key", F.explode(F.array_distinct(F.split("content", r"[^\p{L}\p{N}:_-]+"))).alias("other"))
-    named = words.join(keys, ["profile", "other"]).filter(F.col("other") != F.col("topic_key")).groupBy("profile", "topic_key").agg(F.sort_array(F.collect_set("other")).alias("others"))
+    """profile, slug, text: a page for each summary, with other topic keys of the profile that its body names put in [[ ]] outside code and
+    links; where keys overlap the longest first. summaries: profile, topic_key, content, source_count."""
+    named = named_topics(summaries)
 
     @F.pandas_udf("string")
     def linked(bodies: pd.Series, others: pd.Series) -> pd.Series:
         import re
 
         def one(body, names):
-            if names is None or not len(names):
+            if body is None or names is None or not len(names):
                 return body
-            pattern = re.compile(r"(```.*?```|`[^`]*`)|(?<![\w:-])(" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?![\w:-])", re.S)
+            found = "|".join(r"\s+".join(map(re.escape, n.split())) for n in sorted(names, key=len, reverse=True))
+            pattern = re.compile(r"(```.*?```|`[^`]*`|\[\[.*?\]\])|(?<![\w:-])(" + found + r")(?![\w:-])", re.S)
             return pattern.sub(lambda m: m[1] or f"[[{m[2]}]]", body)
 
         return pd.Series([one(b, o) for b, o in zip(bodies, others)])
@@ -101,6 +117,18 @@ def write_topic_pages(summaries: DataFrame) -> DataFrame:
     return joined.select("profile", slug.alias("slug"), F.concat(head, linked("content", "others")).alias("text"))
 
 
+def topic_index(summaries: DataFrame, as_of: Column) -> DataFrame:
+    """profile, place, line: each profile's page of contents, a row for each line: a heading, the time and number of topics, then the topics by
+    key with a link to each page. summaries: profile, topic_key, status, source_count."""
+    slug = F.regexp_replace(F.lower("topic_key"), r"[^a-z0-9]+", "-")
+    w = Window.partitionBy("profile").orderBy("topic_key")
+    topics = summaries.select("profile", (F.row_number().over(w) + 2).cast("long").alias("place"), F.concat(F.lit("- [["), slug, F.lit("|"), F.col("topic_key"), F.lit("]]: "), "status", F.lit(", "), F.col("source_count").cast("string"), F.lit(" sources")).alias("line"))
+    count = summaries.groupBy("profile").agg(F.count("*").alias("n"))
+    at = F.date_format(as_of, "yyyy-MM-dd HH:mm:ss")
+    head = F.array(F.concat(F.lit("# Topics of "), "profile"), F.concat(F.lit("Written "), at, F.lit(", "), F.col("n").cast("string"), F.lit(" topics.")), F.lit("## Topics"))
+    return count.select("profile", F.posexplode(head).alias("place", "line")).select("profile", F.col("place").cast("long").alias("place"), "line").unionByName(topics)
+
+
 def list_profile_entities(memory_entities: DataFrame, edges: DataFrame) -> DataFrame:
     """profile, entity: entities of the profile's memories and both ends of its edges."""
     return memory_entities.select("profile", "entity").unionByName(edges.select("profile", F.col("subject").alias("entity"))).unionByName(edges.select("profile", F.col("object").alias("entity"))).distinct()
