@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
@@ -56,17 +56,54 @@ def ingest_stream(records: DataFrame, delay: str = "1 hour") -> DataFrame:
     return records.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["key"])
 
 
-def store_new(batch: DataFrame, store_path: str) -> None:
-    """For foreachBatch: appends the keys that the store, a Parquet folder, doesn't have; so a batch that is run again adds nothing."""
-    spark = batch.sparkSession
-    once = batch.dropDuplicates(["key"])
+#: Folders of a store by a hash of the key, and 64-bit words of each folder's Bloom filter.
+BUCKETS, BLOOM_WORDS = 64, 65_536
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with their key's bucket, and the word and three bits of it that the bucket's Bloom filter has."""
+    h = F.xxhash64("key")
+    bit = lambda i: f"shiftleft(1L, cast(pmod(shiftright(xxhash64(key, 7), {6 * i}), 64) as int))"
+    return rows.withColumn("bucket", F.pmod(h, F.lit(BUCKETS)).cast("int")).withColumn("word", F.pmod(F.shiftright(h, 16), F.lit(BLOOM_WORDS)).cast("int")).withColumn("bits", F.expr(f"{bit(0)} | {bit(1)} | {bit(2)}"))
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A table partitioned by bucket; none where there isn't one yet."""
     try:
-        known = spark.read.schema(batch.schema).parquet(store_path).select("key")
-    except Exception as e:  # no store yet
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        known = once.select("key").limit(0)
-    once.join(known, "key", "left_anti").select(*batch.columns).write.mode("append").parquet(store_path)
+        return None
+
+
+def store_new(batch: DataFrame, store_path: str) -> None:
+    """For foreachBatch: appends the keys that the store doesn't have; so a batch that is run again adds nothing. Null keys are one key.
+
+    The store is a Parquet folder dealt to BUCKETS folders by a hash of the key. Beside it (`-bloom`) lies a Bloom filter for each, as
+    rows of words that are joined by bit_or: a batch looks its keys up there, and reads the store's keys only in the folders of those
+    that may be there. The filter is written before the keys, so that after a break it never lacks one.
+    """
+    from cairn.operators.base import cut
+
+    spark, bloom_path = batch.sparkSession, store_path.rstrip("/") + "-bloom"
+    once = cut(_placed(batch.dropDuplicates(["key"])))
+    folders = lambda df: [r["bucket"] for r in df.select("bucket").distinct().collect()]  # noqa: E731  at most BUCKETS numbers
+    bloom = _stored(spark, bloom_path, "word int, bits long, bucket int")
+    new = once
+    if bloom is not None:
+        words = bloom.filter(F.col("bucket").isin(folders(once))).withColumnRenamed("bits", "have")
+        maybe = once.join(words, ["bucket", "word"]).groupBy("key", "bucket", "bits").agg(F.bit_or("have").alias("have")).filter((F.col("have").bitwiseAND(F.col("bits"))) == F.col("bits"))
+        maybe = cut(maybe.select("key", "bucket"))
+        store = _stored(spark, store_path, f"key {dict(batch.dtypes)['key']}, bucket int")
+        if store is not None:
+            there = store.filter(F.col("bucket").isin(folders(maybe))).select("key")
+            new = once.join(maybe.join(there, maybe["key"].eqNullSafe(there["key"]), "left_semi").select(F.col("key").alias("__key")), F.col("key").eqNullSafe(F.col("__key")), "left_anti")
+    new = cut(new)
+    if new.isEmpty():
+        return
+    new.groupBy("bucket", "word").agg(F.bit_or("bits").alias("bits")).select("word", "bits", "bucket").write.mode("append").partitionBy("bucket").parquet(bloom_path)
+    new.select(*batch.columns, "bucket").write.mode("append").partitionBy("bucket").parquet(store_path)
 
 
 def audit_windows(audit: DataFrame, length: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
