@@ -113,9 +113,27 @@ def _product(items: Column, matrix) -> Column:
     return F.aggregate(items, start, times)
 
 
+#: Ids of a topic that are gathered in one row to be hashed; a topic of more is hashed over sorted rows.
+MOST_GATHERED = 10_000
+
+
 def topic_sources(mem: DataFrame, as_of: Column) -> DataFrame:
-    """profile, topic_key, source_count, source_cursor, source_hash over each tag's active memories, ids in text order."""
-    tagged = mem.filter(active(as_of)).select("profile", F.explode(F.array_distinct("tags")).alias("topic_key"), F.col("id").cast("string").alias("id"))
+    """profile, topic_key, source_count, source_cursor, source_hash over each tag's active memories, ids in text order.
+
+    Topics of up to MOST_GATHERED memories are hashed by a native aggregate; larger ones one id after the other, in little memory."""
+    key = ["profile", "topic_key"]
+    tagged = cut(mem.filter(active(as_of)).select("profile", F.explode(F.array_distinct("tags")).alias("topic_key"), F.col("id").cast("string").alias("id")).distinct())
+    sizes = cut(tagged.groupBy(*key).agg(F.count("*").alias("n")))
+    large = sizes.filter(F.col("n") > MOST_GATHERED)
+    ids = F.array_sort(F.collect_list("id"))
+    out = "profile string, topic_key string, source_count long, source_cursor string, source_hash string"
+
+    def native(rows: DataFrame) -> DataFrame:
+        gathered = rows.groupBy(*key).agg(F.count("*").alias("source_count"), F.max("id").alias("source_cursor"), ids.alias("ids"))
+        return gathered.select(*key, "source_count", "source_cursor", F.sha2(F.array_join("ids", "\n"), 256).alias("source_hash"))
+
+    if large.isEmpty():
+        return native(tagged)
     import hashlib
 
     def step(state, row):
@@ -123,8 +141,10 @@ def topic_sources(mem: DataFrame, as_of: Column) -> DataFrame:
         digest.update((b"\n" if n else b"") + row["id"].encode())
         return n + 1, row["id"], digest
 
-    out = "profile string, topic_key string, source_count long, source_cursor string, source_hash string"
-    return folded(tagged.distinct(), ["profile", "topic_key"], ["id"], out, lambda row: (0, None, hashlib.sha256()), step, lambda state: (state[0], state[1], state[2].hexdigest()))
+    same = F.col("profile").eqNullSafe(F.col("__p")) & (F.col("topic_key") == F.col("__t"))
+    names = large.select(F.col("profile").alias("__p"), F.col("topic_key").alias("__t"))
+    folds = folded(tagged.join(names, same, "left_semi"), key, ["id"], out, lambda row: (0, None, hashlib.sha256()), step, lambda state: (state[0], state[1], state[2].hexdigest()))
+    return native(tagged.join(names, same, "left_anti")).unionByName(folds)
 
 
 def topics_to_recompute(sources: DataFrame, summaries: DataFrame, max_sources: int = 100, force: bool = False) -> DataFrame:

@@ -72,3 +72,19 @@ def test_automaton(spark, monkeypatch):
         monkeypatch.setattr(S, "MOST_WORDS", most)
         assert {(r["anchor_id"], r["id"]) for r in S.content_contains(mem, asked, F.current_timestamp(), 5).collect()} == want
     assert S.content_contains(mem, asked.limit(0), F.current_timestamp()).count() == 0
+
+
+def test_topic_hashes(spark, monkeypatch):
+    """Large topics are hashed row by row, small ones by an aggregate: the same hashes either way."""
+    import hashlib
+
+    mem = spark.createDataFrame([(i, "pq"[i % 2] if i % 9 else None, ["all", f"t{i % 7}", "all"], None) for i in range(200)] + [(999, "p", None, None)], "id long, profile string, tags array<string>, expires_at timestamp")
+    want = {}
+    for i in range(200):
+        for t in ("all", f"t{i % 7}"):
+            want.setdefault(("pq"[i % 2] if i % 9 else None, t), []).append(str(i))
+    want = {k: (len(v), max(v), hashlib.sha256("\n".join(sorted(v)).encode()).hexdigest()) for k, v in want.items()}
+    for most in (10_000, 12, 0):
+        monkeypatch.setattr(M, "MOST_GATHERED", most)
+        got = {(r[0], r[1]): tuple(r)[2:] for r in M.topic_sources(mem, F.current_timestamp()).collect()}
+        assert got == want
