@@ -127,14 +127,15 @@ def test_held_out_accuracy(spark, judged):
     assert judged[0].count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
-def test_held_out_labels_change_nothing(spark, judged, tmp_path):
+def test_held_out_labels_change_nothing(spark, tmp_path):
     """Labels of held-out rows, other columns and ids are no inputs: the same scores with them turned round."""
+    small = "/root/testdata/sf0.01"
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
     docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.read.parquet(f"{SF}/labels.parquet").withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic"))).write.parquet(f"{tmp_path}/labels.parquet")
-    got = {r["doc_id"]: r["score"] for r in op11_toxicity(spark, str(tmp_path)).collect()}
-    assert all(abs(got[r["doc_id"]] - r["score"]) < 1e-9 for r in judged[0].collect())
+    spark.read.parquet(f"{small}/labels.parquet").withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic"))).write.parquet(f"{tmp_path}/labels.parquet")
+    want, got = ({r["doc_id"]: r["score"] for r in op11_toxicity(spark, sf).collect()} for sf in (small, str(tmp_path)))
+    assert want.keys() == got.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
 def test_disguised_words(spark, model):
