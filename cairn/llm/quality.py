@@ -147,12 +147,12 @@ def classify(docs: DataFrame, heads: dict[str, Head], text_col: str = "text") ->
     """docs with p_low and p_toxic: the document classifier's probabilities; 0 for a head that isn't there or a text without words.
     Repeated rows get equal ones; ids don't matter; columns of those names are replaced."""
     names = [c for c in docs.columns if c not in ("p_low", "p_toxic")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(text_col).alias("__text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))  # the text travels once
     sent = docs.sparkSession.sparkContext.broadcast(heads)  # lexicon_size terms a head
 
     def run(batches):
         for b in slices(batches, 250):
-            words = [(t, _words(t)) for t in texts_of(b, "__text")]
+            words = [(t or "", _words(t or "")) for t in column(b, "__row").field(text_col).to_pylist()]
             shapes, out = [shape(t, w) for t, w in words], []
             for name in HEADS:
                 if head := sent.value.get(name):
