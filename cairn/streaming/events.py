@@ -126,53 +126,96 @@ def recompute_debounce_stream(changes: DataFrame, seconds: int = 60, delay: str
     return changes.withWatermark("ts", delay).groupBy("profile", "tag", w).agg(F.count("*").alias("n")).select("profile", "tag", F.col("session_window.end").alias("fire_at"), "n")
 
 
-def editing_windows(searches: DataFrame, minutes: int = 30) -> DataFrame:
-    """memory_id, opened_at, closes_at: a search opens a window; searches within it don't restart it. searches: memory_id, ts.
+def _successors(searches: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct searches as memory_id, t (microseconds) that surely open a window, as no search comes in the `length` before; and for each
+    search the one that opens the next window if it opens one, as memory_id, t, next, where that isn't sure by itself.
 
-    Batch form: each memory's searches in order of time, streamed through a task that remembers the open window only.
+    Time is cut into slots of `length`, so that a slot's last search lies within `length` of its first: what follows a search is looked up
+    in the next slot, or is the first of a later one. Windows are over one memory's slot, and over the slots of a memory, of which
+    there are no more than its time span has.
     """
-    length = minutes * 60_000_000
-    kind = dict(searches.dtypes)["memory_id"]
+    at = searches.filter(F.col("ts").isNotNull() & F.col("memory_id").isNotNull()).select("memory_id", F.unix_micros("ts").alias("t")).distinct()
+    at = at.withColumn("slot", F.expr(f"(t - pmod(t, {length}L)) div {length}L"))
+    by = Window.partitionBy("memory_id").orderBy("slot")
+    slots = at.groupBy("memory_id", "slot").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    slots = slots.withColumn("sure", F.coalesce(F.col("first") - F.lag("last").over(by) >= length, F.lit(True)))
+    ahead = lambda n: F.lead(F.struct("slot", "first", "sure"), n).over(by)
+    slots = slots.withColumn("one", ahead(1)).withColumn("two", ahead(2))
+    # Each search stands in its own slot as one to be found, and in the next slot, `length` later, as one that looks for its successor.
+    seen = at.select("memory_id", "slot", F.col("t").alias("place"), F.col("t").alias("found"), F.lit(None).cast("long").alias("t"))
+    looking = at.select("memory_id", F.col("slot") + 1, F.col("t") + length, F.lit(None).cast("long"), "t")
+    back = Window.partitionBy("memory_id", "slot").orderBy(F.desc("place"), F.col("found").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = seen.union(looking).withColumn("found", F.min("found").over(back)).filter(F.col("t").isNotNull()).select("memory_id", (F.col("slot") - 1).alias("slot"), "t", "found")
+    near = F.col("one.slot") == F.col("slot") + 1
+    to = F.when(~near, F.col("one")).when(F.col("found").isNull(), F.col("two")).otherwise(F.struct("one.slot", F.col("found").alias("first"), (F.col("one.sure") & (F.col("found") == F.col("one.first"))).alias("sure")))
+    nexts = found.join(slots.select("memory_id", "slot", "one", "two"), ["memory_id", "slot"]).select("memory_id", "t", to.alias("to"))
+    return slots.filter("sure").select("memory_id", F.col("first").alias("t")), nexts.filter(~F.col("to.sure")).select("memory_id", "t", F.col("to.first").alias("next"))
 
-    def run(batches):
-        import pyarrow as pa
 
-        now, start = None, 0
-        for b in batches:
-            keys, times, opened = b.column("memory_id").to_pylist(), b.column("t").to_pylist(), []
-            for i, (key, t) in enumerate(zip(keys, times)):
-                if i == 0 and now is None or key != now or t >= start + length:
-                    now, start = key, t
-                    opened.append(i)
-            yield b.take(pa.array(opened, pa.int64()))
+def editing_windows(searches: DataFrame, minutes: int = 30) -> DataFrame:
+    """memory_id, opened_at, closes_at: a search opens a window; searches within it don't restart it. searches: memory_id, ts; rows with a
+    null in either are left out, equal ones count once.
 
-    rows = searches.filter(F.col("ts").isNotNull() & F.col("memory_id").isNotNull()).select("memory_id", F.unix_micros("ts").alias("t"))
-    opened = rows.repartition("memory_id").sortWithinPartitions("memory_id", "t").mapInArrow(run, f"memory_id {kind}, t long")
-    return opened.select("memory_id", F.timestamp_micros("t").alias("opened_at"), F.timestamp_micros(F.col("t") + length).alias("closes_at"))
+    Batch form, by pointer doubling: each search knows the one that would open the next window, and in each round the known openers reach
+    those 1, 2, 4, ... windows on. Rounds end when none is reached, after the logarithm of the longest series of windows without a
+    pause between them. Joins are on memory and time, so a memory of any size is spread over tasks.
+    """
+    from cairn.operators.base import cut
+
+    length = minutes * 60_000_000
+    openers, jumps = _successors(searches, length)
+    openers, jumps, key = cut(openers), cut(jumps), ["memory_id", "t"]
+    while True:
+        reached = cut(openers.join(jumps, key).select("memory_id", F.col("next").alias("t")))
+        if reached.isEmpty():
+            break
+        openers = openers.unionByName(reached)
+        jumps = cut(jumps.join(jumps.select("memory_id", F.col("t").alias("next"), F.col("next").alias("then")), ["memory_id", "next"]).select("memory_id", "t", F.col("then").alias("next")))
+    return openers.select("memory_id", F.timestamp_micros("t").alias("opened_at"), F.timestamp_micros(F.col("t") + length).alias("closes_at"))
 
 
 def editing_window_stream(searches: DataFrame, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
-    """memory_id, opened_at, closes_at as a stream: state for each memory is its open window's start, kept until an event-time
-    timeout after its end."""
+    """memory_id, opened_at, closes_at, closed as a stream: a row with closed = false when a window opens, and one with true when the watermark
+    has passed its end. State for each memory is the last window's start and the windows that haven't closed; it goes with
+    the last close. A search before the open window that comes out of order opens none; one later than `delay` is dropped.
+    Needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`).
+    """
     import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    from pyspark.sql.streaming import StatefulProcessor
 
     length = minutes * 60_000_000
 
-    def run(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start = state.get[0] if state.exists else None
-        opened = []
-        for t in sorted(int(x.value // 1000) for b in batches for x in b["ts"]):
-            if start is None or t >= start + length:
-                start = t
-                opened.append(t)
-        state.update((start,))
-        state.setTimeoutTimestamp(max(start + length, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000 + 1)
-        if opened:
-            yield pd.DataFrame({"memory_id": [key[0]] * len(opened), "opened_at": pd.to_datetime(opened, unit="us"), "closes_at": pd.to_datetime([t + length for t in opened], unit="us")})
+    def windows(key, times, closed):
+        return pd.DataFrame({"memory_id": [key[0]] * len(times), "opened_at": pd.to_datetime(times, unit="us"), "closes_at": pd.to_datetime([t + length for t in times], unit="us"), "closed": [closed] * len(times)})
+
+    class Windows(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.start = handle.getValueState("start", "t long")
+            self.open = handle.getMapState("open", "at long", "t long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            start, opened = self.start.get()[0] if self.start.exists() else None, []
+            for t in sorted(int(x.value // 1000) for b in rows for x in b["ts"].astype("datetime64[ns]")):
+                if start is None or t >= start + length:
+                    start = t
+                    opened.append(t)
+            for t in opened:
+                due = (t + length + 999) // 1000
+                self.open.updateValue((due,), (t,))
+                self.handle.registerTimer(due)
+            if opened:
+                self.start.update((start,))
+                yield windows(key, opened, False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            due = (expiredTimerInfo.getExpiryTimeInMs(),)
+            t = self.open.getValue(due)[0]
+            self.open.removeKey(due)
+            if self.start.exists() and self.start.get()[0] == t:
+                self.start.clear()
+            yield windows(key, [t], True)
 
     kind = dict(searches.dtypes)["memory_id"]
-    return searches.withWatermark("ts", delay).groupBy("memory_id").applyInPandasWithState(run, f"memory_id {kind}, opened_at timestamp, closes_at timestamp", "start long", "append", GroupStateTimeout.EventTimeTimeout)
+    out = f"memory_id {kind}, opened_at timestamp, closes_at timestamp, closed boolean"
+    return searches.withWatermark("ts", delay).groupBy("memory_id").transformWithStateInPandas(Windows(), out, "append", "eventTime")

@@ -14,20 +14,26 @@ def at(s):
     return T0 + dt.timedelta(seconds=s)
 
 
-def drive(spark, tmp_path, schema, batches, job, mode="append"):
-    """Writes each batch as a file, runs the job after each, and returns the sink's rows."""
-    src, out, n = tmp_path / "src", [], 0
+def drive(spark, tmp_path, schema, batches, job, mode="append", restart=False):
+    """Writes each batch as a file, runs the job after each, and returns the sink's rows. restart: a new query after each batch."""
+    src, out, query = tmp_path / "src", [], None
     src.mkdir()
     def sink(df, _):
         out.extend(tuple(r) for r in df.collect())
-    stream = job(spark.readStream.schema(schema).parquet(str(src)))
-    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).start()
+    def start():
+        stream = job(spark.readStream.schema(schema).parquet(str(src)))
+        return stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
-        for n, rows in enumerate(batches):
+        for rows in batches:
+            query = query or start()
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
             query.processAllAvailable()
+            if restart:
+                query.stop()
+                query = None
     finally:
-        query.stop()
+        if query:
+            query.stop()
     return out
 
 
@@ -51,13 +57,44 @@ def test_debounce(spark, tmp_path):
     assert sorted((r[1], r[2], r[3]) for r in got if r[1] != "z") == want
 
 
+def opened(rows, length=1800):
+    """Openers by one pass over each memory's sorted seconds."""
+    out, start = [], {}
+    for m, t in sorted(r for r in rows if None not in r):
+        if m not in start or t >= start[m] + length:
+            start[m] = t
+            out.append((m, at(t)))
+    return sorted(out)
+
+
+def test_editing_batch(spark):
+    """Pauses, slots' borders, repeats, times before 1970, and a hot memory that always has a window open."""
+    import random
+
+    dice = random.Random(7)
+    rows = [(m, dice.randrange(-2_000_000_000, -1_999_000_000) if m == 3 else dice.choice((600, 1800, 3600)) * dice.randrange(40) + dice.choice((0, 0, 1, -1))) for m in range(6) for _ in range(60)]
+    rows += [(9, 97 * i) for i in range(2500)] + [(None, 5), (5, None)]
+    df = spark.createDataFrame([(m, None if t is None else at(t)) for m, t in rows], "memory_id long, ts timestamp")
+    got = V.editing_windows(df)
+    assert sorted((r[0], r[1]) for r in got.collect()) == opened(rows)
+    assert got.filter("closes_at <> opened_at + INTERVAL 30 MINUTES").isEmpty()
+    assert V.editing_windows(df.limit(0)).count() == 0
+
+
 def test_editing(spark, tmp_path):
+    """Windows open and close as in the batch form, over a restart and with a late row."""
     schema = "memory_id long, ts timestamp"
     rows = [(1, at(0)), (1, at(600)), (1, at(1799)), (1, at(1800)), (2, at(5))]
     want = sorted((r[0], r[1]) for r in V.editing_windows(spark.createDataFrame(rows, schema)).collect())
     assert want == [(1, at(0)), (1, at(1800)), (2, at(5))]
-    got = drive(spark, tmp_path, schema, [rows[:2], rows[2:], [(3, at(100_000))]], V.editing_window_stream)
-    assert sorted((r[0], r[1]) for r in got if r[0] != 3) == want
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = drive(spark, tmp_path, schema, [rows[:2], rows[2:], [(3, at(100_000))], [(1, at(700)), (3, at(100_001))]], V.editing_window_stream, restart=True)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    assert sorted((r[0], r[1]) for r in got if not r[3]) == [*want, (3, at(100_000))]
+    assert sorted((r[0], r[1], r[2]) for r in got if r[3]) == [(m, t, t + dt.timedelta(minutes=30)) for m, t in want]
 
 
 def test_ingest(spark, tmp_path):
