@@ -265,9 +265,9 @@ def query_route(query: Column) -> Column:
 
 
 def reformulate_query(query: Column) -> Column:
-    """Quoted strings, ISO dates and content words (capitalised, or four letters or more, and no filler), each once in order; the query itself if that leaves fewer than two."""
+    """Quoted strings, ISO dates and content words of any script (capitalised, or four letters or more, and no filler), each once in order; the query itself if that leaves fewer than two."""
     quoted = F.transform(_found(query, r"('[^']+'|\"[^\"]+\")"), lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
-    words = F.filter(_found(query, r"\b([\w'-]+)\b"), lambda w: ~F.lower(w).isin(*FILLER) & (like(w, r"^\p{Lu}") | (F.length(w) >= 4)))
+    words = F.filter(_found(query, r"(?U)\b([\w'-]+)\b"), lambda w: ~F.lower(w).isin(*FILLER) & (like(w, r"^\p{Lu}") | (F.length(w) >= 4)))
     terms = F.concat(quoted, _found(query, ISO_DATE), words)
     once = F.filter(terms, lambda t, i: F.array_position(F.transform(terms, F.lower), F.lower(t)) == i + 1)
     return F.when((F.length(query) < 5) | (F.size(terms) < 2), query).otherwise(F.array_join(once, " "))
