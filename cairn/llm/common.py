@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -30,6 +32,22 @@ def slices(batches, rows: int = SLICE):
             yield b.slice(lo, rows)
 
 
+def freeing(run):
+    """run, a generator function over a task's batches; when it ends and what it held is gone, the worker gives free memory back to
+    the system. Workers live on from task to task, and without this each keeps the most that any of its tasks took."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+                trim(0)
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets an own one; on
     a cluster that is an error, as executors don't see each other's local folders."""

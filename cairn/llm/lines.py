@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, cut, mix64, slices, texts_of
+from cairn.llm.common import column, cut, freeing, mix64, slices, texts_of
 
 SLOTS = 4
 #: Filters up to this size in all are sent to every task; larger ones meet their shard's postings in a shuffle.
@@ -117,7 +117,7 @@ def postings(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), column(b, "doc_id").take(at), column(b, "text_hash").take(at)], ["high", "low", "doc_id", "text_hash"])
 
     kind = dict(docs.dtypes)[id_col]
-    return _rows(docs, id_col, text_col).mapInArrow(run, f"high long, low long, doc_id {kind}, text_hash long")
+    return _rows(docs, id_col, text_col).mapInArrow(freeing(run), f"high long, low long, doc_id {kind}, text_hash long")
 
 
 def references(posted: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def may_repeat(posted: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
                     keep[at] = f.holds(high[at])
                 yield b.filter(pa.array(keep))
 
-        return posted.mapInArrow(run, posted.schema)
+        return posted.mapInArrow(freeing(run), posted.schema)
     dealt = _sharded(posted, shards)
     groups = cut(dealt.groupBy("shard").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")), "groups")
     dealt = dealt.join(groups, "shard").withColumn("group", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("groups")).cast("int")).drop("groups")
@@ -306,6 +306,6 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_docs: int =
             yield pa.RecordBatch.from_arrays([column(b, "__row"), pa.array(text, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["__row", "__text", "__lines", "__dropped"])
 
     schema = joined.select("__row", "__text", F.lit(0).cast("long").alias("__lines"), F.lit(0).cast("long").alias("__dropped")).schema
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(freeing(run), schema)
     kept = [F.col("__text").alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in names if c not in ("n_lines", "n_dropped")]
     return out.select(*kept, F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"))

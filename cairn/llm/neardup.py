@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WordHashes, bitmap, chunks, column, cut, in_bitmap, keep, mix64, scratch, slices, texts_of
+from cairn.llm.common import WordHashes, bitmap, chunks, column, cut, freeing, in_bitmap, keep, mix64, scratch, slices, texts_of
 from cairn.llm.components import components, rejoined
 
 HASHES, SIDE = 32, 8
@@ -81,7 +81,7 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
                 ["doc_id", "n", "d1", "d2", "marks"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, marks binary")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), "doc_id long, n long, d1 long, d2 long, marks binary")
 
 
 def _matrix(marks: pa.Array) -> np.ndarray:
@@ -112,7 +112,7 @@ def tensored(df: DataFrame, first: int = 0, keep_bits=None) -> DataFrame:
             at = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(own.astype(np.int32)), *(column(b, c).take(at) for c in names)], ["key", "table", *names])
 
-    return df.mapInArrow(run, df.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("table"), *names).schema)
+    return df.mapInArrow(freeing(run), df.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("table"), *names).schema)
 
 
 def _likely(pairs: DataFrame, sharing: DataFrame, percent: int) -> DataFrame:
@@ -127,7 +127,7 @@ def _likely(pairs: DataFrame, sharing: DataFrame, percent: int) -> DataFrame:
             yield b.select(["x", "dx", "y", "dy", *names]).filter(pa.array(same >= AGREE))
 
     near = near.select("x", "dx", "mx", "y", "dy", "my", *names)
-    return near.mapInArrow(plausible, near.drop("mx", "my").schema)
+    return near.mapInArrow(freeing(plausible), near.drop("mx", "my").schema)
 
 
 def verify(likely: DataFrame, docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -157,7 +157,7 @@ def verify(likely: DataFrame, docs: DataFrame, k: int = 5, percent: int = 75) ->
             )
 
     full = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    full = cut(full.mapInArrow(run, "id long, d long, as_x boolean, as_y boolean, shingles binary"), "sets")
+    full = cut(full.mapInArrow(freeing(run), "id long, d long, as_x boolean, as_y boolean, shingles binary"), "sets")
     of = lambda c: full.filter(f"as_{c}").select(F.col("id").alias(c), F.col("d").alias(f"d{c}"), F.col("shingles").alias(f"s{c}"))
     joined = likely.join(of("x"), ["x", "dx"]).join(of("y"), ["y", "dy"]).select("x", "y", "best", "sx", "sy")
 
@@ -172,7 +172,7 @@ def verify(likely: DataFrame, docs: DataFrame, k: int = 5, percent: int = 75) ->
                 apart.append(d.tobytes() if best else None)
             yield pa.RecordBatch.from_arrays([column(whole, "x"), column(whole, "y"), pa.array(ok, pa.bool_()), pa.array(size, pa.int64()), pa.array(apart, pa.binary())], ["x", "y", "ok", "ny", "difference"])
 
-    return joined.mapInArrow(confirm, "x long, y long, ok boolean, ny long, difference binary")
+    return joined.mapInArrow(freeing(confirm), "x long, y long, ok boolean, ny long, difference binary")
 
 
 def _groups(batches, keys: list[str]):
@@ -270,7 +270,7 @@ def around_centres(apart: DataFrame, labels: DataFrame, percent: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
     keys = ["centre", "one", "two"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x long, y long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(freeing(run), "x long, y long").distinct()
 
 
 ROW = ("key", "table", "id", "n", "label", "centre", "place", "marks")
@@ -323,7 +323,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             found = pairs(*rest)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["x", "y"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "x long, y long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(freeing(run), "x long, y long").distinct()
 
 
 def _mixed(rows: DataFrame) -> DataFrame:

@@ -18,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, cut, row_hash, slices
-from cairn.llm.tokens import encoder
+from cairn.llm.common import column, cut, freeing, row_hash, slices
+from cairn.llm.tokens import encoder, forget
 
 
-def tokenize(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", hold: bool = True) -> DataFrame:
     """Pieces of at most max_tokens ids: doc_id, piece, start, length, ids (little-endian 32-bit).
 
     A document's ids end with end_id; only documents longer than max_tokens are cut, into full pieces and a shorter
     last one. A null text is empty and gives one piece that holds only the end id. Repeated rows give repeated pieces.
+    hold: a worker keeps the tokenizer and its words (up to some 200 MB) for its next task; else they go when a task ends.
     """
 
     def pieces(batches):
@@ -45,8 +46,14 @@ def tokenize(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: in
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
 
+    def alone(batches):
+        try:
+            yield from pieces(batches)
+        finally:
+            forget()
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(pieces if hold else freeing(alone), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
@@ -214,10 +221,11 @@ def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 40, length_col:
     return out.select(*[F.col("__row")[c].alias(c) for c in names], F.col("__sequence").alias("sequence_id"), F.col("__offset").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, hold: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: documents tokenized, cut and packed.
 
     The ids themselves come from tokenize(); here their checksum is kept, so that the table that is ranked is narrow.
+    hold is tokenize()'s.
     """
-    pieces = tokenize(docs, tokenizer, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    pieces = tokenize(docs, tokenizer, capacity, hold=hold).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(cut(pieces, "pieces"), capacity)

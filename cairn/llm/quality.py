@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, cut, slices, texts_of
+from cairn.llm.common import column, cut, freeing, slices, texts_of
 
 HEADS = ("low", "toxic")
 SHAPE = ("log_words", "distinct", "top_share", "upper", "symbols", "digits", "mean_length", "marks", "repeat_line", "short_lines")
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon_size:
         cols = [pa.array([c[t] for t in keys] + [seen[i]], pa.int64()) for i, c in enumerate(counts)]
         yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in keys] + [-1], pa.int32()), pa.array([w for _, w in keys] + [""], pa.string()), *cols], ["n", "w", "c0", "c1", "c2", "c3"])
 
-    counted = rows.filter("first").mapInArrow(count, "n int, w string, c0 long, c1 long, c2 long, c3 long").groupBy("n", "w").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)])
+    counted = rows.filter("first").mapInArrow(freeing(count), "n int, w string, c0 long, c1 long, c2 long, c3 long").groupBy("n", "w").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(4)])
     counted = cut(counted, "terms")
     totals = counted.filter(F.col("n") == -1).first()
     heads: dict[str, Head] = {}
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon_size:
             yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "low"), column(b, "toxic"), pa.array(both, pa.list_(pa.float64()))], ["id", "low", "toxic", "x"])
 
     kinds = dict(rows.dtypes)
-    fitted = rows.filter(~F.col("first")).mapInArrow(describe, f"id {kinds['id']}, low {kinds['low']}, toxic {kinds['toxic']}, x array<double>").orderBy("id").toArrow()  # at most `sample` rows
+    fitted = rows.filter(~F.col("first")).mapInArrow(freeing(describe), f"id {kinds['id']}, low {kinds['low']}, toxic {kinds['toxic']}, x array<double>").orderBy("id").toArrow()  # at most `sample` rows
     x = np.array(fitted.column("x").to_pylist(), float).reshape(fitted.num_rows, len(SHAPE) + 3 * len(HEADS))
     for k, name in enumerate(HEADS):
         y = np.array([-1 if v is None else v for v in fitted.column(name).to_pylist()], float)
@@ -163,7 +163,7 @@ def classify(docs: DataFrame, heads: dict[str, Head], text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([column(b, "__row"), *out], ["__row", "p_low", "p_toxic"])
 
     schema = rows.select("__row", F.lit(0.0).alias("p_low"), F.lit(0.0).alias("p_toxic")).schema
-    return rows.mapInArrow(run, schema).select(*[F.col("__row")[c].alias(c) for c in names], "p_low", "p_toxic")
+    return rows.mapInArrow(freeing(run), schema).select(*[F.col("__row")[c].alias(c) for c in names], "p_low", "p_toxic")
 
 
 def _strength(mean: Column, n: Column, prior: Column) -> list[Column]:

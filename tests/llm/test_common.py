@@ -1,7 +1,9 @@
+import re
 import threading
 import time
+from pathlib import Path
 
-from cairn.llm.common import cut, keep, scratch
+from cairn.llm.common import cut, freeing, keep, scratch
 
 
 def test_scratches_of_two_threads(spark):
@@ -35,3 +37,19 @@ def test_scratches_of_two_threads(spark):
     for t in threads:
         t.join()
     assert (seen["kept"], seen["own"], seen["second"]) == (4, 5, 6) and "inner" in seen
+
+
+def test_freeing_gives_memory_back():
+    """Memory that a task took and let go leaves the process, although a small object that lives on lies above it."""
+    held = []
+
+    def run(batches):
+        for b in batches:
+            many = [bytes(600) for _ in range(200_000)]
+            held.append(bytes(600))
+            yield b + len(many)
+
+    own = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    before = own()
+    assert list(freeing(run)([1, 2])) == [200_001, 200_002]
+    assert own() - before < 40

@@ -1,3 +1,7 @@
+import shutil
+
+import pyarrow as pa
+
 import corpus_pipeline
 from cairn.llm.common import cut, table
 from tests.llm import brute
@@ -49,3 +53,20 @@ def test_near_repeated_and_null_ids(spark, tmp_path):
     assert got.schema == docs.schema
     kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
     assert kept == sorted([(1, a), (5, b), (0, c), (0, ""), (0, "")])
+
+
+def test_packing_leaves_no_words_behind(spark, tmp_path, monkeypatch):
+    """Workers live on for other stages: after packing, none holds the tokenizer and its words."""
+    own = shutil.copy(corpus_pipeline.TOKENIZER, tmp_path)
+    monkeypatch.setattr(corpus_pipeline, "TOKENIZER", own)
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 50), i -> sha2(string(id * 50 + i), 256))) as text").repartition(4)
+
+    def held(batches):
+        from cairn.llm import tokens
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(path == own for path, _ in tokens._ENCODERS)], pa.int64())})
+
+    assert corpus_pipeline.stage_pack(spark, docs, "").count() > 4000
+    found = [r["n"] for r in spark.range(4000).repartition(16).mapInArrow(held, "n long").collect()]
+    assert len(found) >= 16 and not any(found)
