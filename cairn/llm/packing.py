@@ -19,7 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import column, cut, freeing, row_hash, slices
-from cairn.llm.tokens import encoder, forget
+from cairn.llm.tokens import WordEncoder, encoder
+
+#: Words that a tokenizer remembers which lives for one task only.
+FEW = 100_000
 
 
 def tokenize(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", hold: bool = True) -> DataFrame:
@@ -27,11 +30,11 @@ def tokenize(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: in
 
     A document's ids end with end_id; only documents longer than max_tokens are cut, into full pieces and a shorter
     last one. A null text is empty and gives one piece that holds only the end id. Repeated rows give repeated pieces.
-    hold: a worker keeps the tokenizer and its words (up to some 200 MB) for its next task; else they go when a task ends.
+    hold: a worker keeps the tokenizer and up to 800,000 words for its next task; else they go when a task ends, and are about FEW at most.
     """
 
     def pieces(batches):
-        code = encoder(tokenizer, end_id)
+        code = encoder(tokenizer, end_id) if hold else WordEncoder(tokenizer, end_id, FEW // 2)
         for b in slices(batches):
             owner, piece, start, length, ids = [], [], [], [], []
             for i, got in enumerate(code.encode(column(b, "text"))):
@@ -46,14 +49,8 @@ def tokenize(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: in
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
 
-    def alone(batches):
-        try:
-            yield from pieces(batches)
-        finally:
-            forget()
-
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(pieces if hold else freeing(alone), "doc_id long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(pieces if hold else freeing(pieces), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:

@@ -124,8 +124,3 @@ def encoder(path: str, end_id: int | None = 0) -> WordEncoder:
     if (path, end_id) not in _ENCODERS:
         _ENCODERS[path, end_id] = WordEncoder(path, end_id)
     return _ENCODERS[path, end_id]
-
-
-def forget() -> None:
-    """The worker's encoders and their words go."""
-    _ENCODERS.clear()

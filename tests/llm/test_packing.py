@@ -116,3 +116,12 @@ def test_edges(spark):
     clash = spark.sql("SELECT 3 length, 'x' sequence_id, 'y' `offset`, map('k', 1) m UNION ALL SELECT 3, 'x', 'y', map('k', 2)")
     got = pack(clash, 10)
     assert got.columns == ["length", "m", "sequence_id", "offset"] and sorted(r["offset"] for r in got.collect()) == [0, 3]
+
+
+def test_few_words_held(spark, monkeypatch):
+    """A tokenizer that is let go with its task and remembers few words gives the same ids."""
+    monkeypatch.setattr("cairn.llm.packing.FEW", 10)
+    rows = [(i, " ".join(f"word{(i * j) % 97}x, {j}." for j in range(40))) for i in range(2500)] + [(9999, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    ids = lambda hold: sorted((r["doc_id"], r["piece"], bytes(r["ids"])) for r in tokenize(docs, PATH, 256, hold=hold).collect())
+    assert ids(False) == ids(True)
