@@ -67,8 +67,9 @@ def keyword_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int | str
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """A stored positional index of memories: postings (bucket, batch, profile, term, id, tf, n_words) and, in a table of their own, places
-    (positions of the term in the text), both dealt to folders by a hash of the term. Every change gives a new index and writes what it
+    """A stored positional index of memories: postings (bucket, batch, profile, term, id, tf, n_words) and, beside them, places
+    (positions of the term in the text), both dealt to folders by a hash of the term. A text's postings are made where it is read and
+    written there, so that building shuffles nothing. Every change gives a new index and writes what it
     adds: inserted rows get the next batch, and `gone` (id, upto) says up to which batch an id's rows count no more."""
 
     postings: DataFrame
@@ -85,11 +86,10 @@ class KeywordIndex:
 
     @staticmethod
     def _written(mem: DataFrame, batch: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-        words = mem.select("id", "profile", tokens(F.col("content")).alias("words")).withColumn("n_words", F.size("words"))
-        each = words.select("id", "profile", "n_words", F.posexplode("words").alias("position", "term"))
-        rows = each.groupBy("profile", "term", "id", "n_words").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+        words = mem.select("id", "profile", tokens(F.col("content")).alias("words"))
+        rows = words.mapInArrow(_postings, f"id {dict(words.dtypes)['id']}, profile string, term string, n_words int, positions array<int>")
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-        whole = cut(rows.select(F.lit(batch).alias("batch"), "profile", "term", "id", F.size("positions").cast("long").alias("tf"), "n_words", "positions", bucket), by="bucket")
+        whole = cut(rows.select(F.lit(batch).alias("batch"), "profile", "term", "id", F.size("positions").cast("long").alias("tf"), "n_words", "positions", bucket), by="bucket", dealt=False)
         return whole.drop("positions"), whole.select("batch", "profile", "term", "id", "positions", "bucket")
 
     def _without(self, ids: DataFrame, upto: int) -> DataFrame:
@@ -135,6 +135,55 @@ class KeywordIndex:
         return scored.select("query_id", "id", F.round(F.col("r") / (F.col("r") + 1), 6).alias("keyword_rank"))
 
 
+#: Words of texts whose postings are made at once.
+WORDS = 1_000_000
+
+
+def _postings(batches):
+    """For batches of id, profile, words: a row for each term of each text, with its ascending positions."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        words = part.column("words")
+        lengths, row, position = _places(words)
+        coded = words.flatten().dictionary_encode()
+        key = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        at = order[first]
+        text = pa.array(row[at])
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(position[order].astype(np.int32)))
+        return pa.RecordBatch.from_arrays(
+            [part.column("id").take(text), part.column("profile").take(text), coded.dictionary.take(coded.indices.take(pa.array(at))), pa.array(lengths[row[at]].astype(np.int32)), positions],
+            ["id", "profile", "term", "n_words", "positions"],
+        )
+
+    for part in _pieces(batches):
+        yield run(part)
+
+
+def _places(words):
+    """Of a list array: the lists' lengths, and each word's list and place there."""
+    import numpy as np
+
+    lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    return lengths, row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _pieces(batches):
+    """Batches of about WORDS words, or of one text."""
+    import numpy as np
+
+    for b in batches:
+        ends, lo = np.cumsum(b.column("words").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + WORDS, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def cover_density(lists: list[list[int]], weight: float = 0.1) -> float:
     """Sum over minimal covers of weight / (1 + words in the cover that aren't terms)."""
     events = sorted((p, i) for i, one in enumerate(lists) for p in one)
