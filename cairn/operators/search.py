@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -217,13 +218,29 @@ def stem(word: Column) -> Column:
     return F.regexp_replace(plural, r"(?<=\p{L}{3})(?:ing|ed)$", "")
 
 
+def spellings(term: Column) -> Column:
+    """All words whose stem() is the term, and some others."""
+    ends = F.array(*[F.concat(term, F.lit(e + s)) for e in ("", "ing", "ed") for s in ("", "s", "es")])
+    return F.when(F.endswith(term, F.lit("y")), F.array_append(ends, F.concat(F.substring(term, F.lit(1), F.length(term) - 1), F.lit("ies")))).otherwise(ends)
+
+
+#: Words of queries that are sent to every task, some 20 MB, more meet the texts' words in a shuffle; and as many as are sent with their queries.
+MOST_SENT, MOST_ASKED = 500_000, 50_000
+
+
+def _sent(words: DataFrame) -> DataFrame:
+    return F.broadcast(words) if words.limit(MOST_SENT + 1).count() <= MOST_SENT else words
+
+
 def web_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int | str = 10, stemmed: bool = False) -> DataFrame:
     """query_id, id, keyword_rank, rank for web-style queries: words and "phrases" that must all be there, -words and
     -"phrases" that must not, `or` between alternatives.
 
     r is the cover density of an alternative's words and phrases, summed over those that match, over the text's length; the
     rank is r / (r + 1). An alternative that only excludes matches nothing. Words that a mark joins are a phrase. Postings of the
-    queries' terms only leave a task; a query's terms and their places in one text meet in one row.
+    queries' terms only leave a task; a query's terms and their places in one text meet in one row. Stems of the queries' words are
+    spelled out, so that no text's words are stemmed. Up to MOST_ASKED words of queries are sent to the texts, which are ranked where they
+    are read; only ranks leave a task.
     """
     cut_up = (lambda c: F.transform(tokens(c), stem)) if stemmed else tokens
     parts = explode_profiles(queries).select("query_id", "profile", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r'-?"[^"]*"|\S+'), F.lit(0))).alias("atom", "part"))
@@ -231,9 +248,17 @@ def web_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int | str = 1
     group = F.sum((F.col("part") == "or").cast("int")).over(w.orderBy("atom").rowsBetween(Window.unboundedPreceding, 0))
     atoms = parts.withColumn("group", group).filter("part <> 'or'").select("query_id", "profile", "group", "atom", F.col("part").startswith("-").alias("no"), cut_up(F.col("part")).alias("words")).filter(F.size("words") > 0)
     need = F.count_if(~F.col("no")).over(Window.partitionBy("query_id", "profile", "group"))
-    wanted = atoms.withColumn("need", need).filter("need > 0").select("query_id", "profile", "group", "atom", "no", "need", F.size("words").alias("n"), F.posexplode("words").alias("place", "term"))
-    words = mem.filter(active(as_of)).select("id", "profile", cut_up(F.col("content")).alias("words")).withColumn("n_words", F.size("words"))
-    postings = words.select("id", "profile", "n_words", F.posexplode("words").alias("position", "term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    wanted = cut(atoms.withColumn("need", need).filter("need > 0").select("query_id", "profile", "group", "atom", "no", "need", F.size("words").alias("n"), F.posexplode("words").alias("place", "term")))
+    terms = wanted.select("term").distinct()
+    spelled = cut(terms.select("term", F.explode(spellings(F.col("term"))).alias("word")).filter(stem(F.col("word")) == F.col("term")) if stemmed else terms.withColumn("word", F.col("term")))
+    words = mem.filter(active(as_of)).select("id", "profile", tokens(F.col("content")).alias("words")).withColumn("n_words", F.size("words"))
+    if wanted.limit(MOST_ASKED + 1).count() <= MOST_ASKED:
+        sent = wanted.sparkSession.sparkContext.broadcast((wanted.orderBy("query_id", "group", "atom", "place").toArrow(), spelled.toArrow()))
+        kinds = dict(words.dtypes) | dict(wanted.dtypes)
+        scored = words.select("id", "profile", "words").mapInArrow(lambda batches: _web_scores(*sent.value, batches), f"query_id {kinds['query_id']}, id {kinds['id']}, r double")
+        out = scored.select("query_id", "id", F.round(F.col("r") / (F.col("r") + 1), 6).alias("keyword_rank"))
+        return _top(out, queries, [F.desc("keyword_rank"), F.asc("id")], k)
+    postings = words.select("id", "profile", "n_words", F.posexplode("words").alias("position", "word")).join(_sent(spelled), "word")
     postings = postings.groupBy("profile", "term", "id", "n_words").agg(F.sort_array(F.collect_list("position")).alias("positions"))
     met = wanted.join(postings, ["profile", "term"]).groupBy("query_id", "id", "n_words").agg(F.collect_list(F.struct("group", "atom", "no", "need", "n", "place", "positions")).alias("met"))
 
@@ -246,6 +271,70 @@ def web_topk(queries: DataFrame, mem: DataFrame, as_of: Column, k: int | str = 1
     return _top(out, queries, [F.desc("keyword_rank"), F.asc("id")], k)
 
 
+def _web_scores(wanted, spelled, batches):
+    """query_id, id, r for batches of id, profile, words: what web_rank() gives over a text's words, for all queries of its profile."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    code = {t: i for i, t in enumerate(dict.fromkeys(wanted.column("term").to_pylist()))}
+    words, of = spelled.column("word").combine_chunks(), np.array([code[t] for t in spelled.column("term").to_pylist()], np.int64)
+    asked: dict = {}  # by profile and query: its alternatives' need and atoms
+    for m in wanted.select(["query_id", "profile", "group", "atom", "no", "need", "term"]).to_pylist():
+        groups = asked.setdefault((m["profile"], m["query_id"]), {})
+        groups.setdefault(m["group"], (m["need"], {}))[1].setdefault(m["atom"], (m["no"], []))[1].append(code[m["term"]])
+    ids, plans, by_term = [], [], {}
+    for (profile, query), groups in asked.items():
+        for c in {c for _, atoms in groups.values() for no, codes in atoms.values() if not no for c in codes}:
+            by_term.setdefault((profile, c), []).append(len(ids))
+        ids.append(query)
+        plans.append([(need, list(atoms.values())) for need, atoms in groups.values()])
+    query_ids = pa.array(ids, wanted.schema.field("query_id").type)
+
+    def rank(plan, there: dict) -> float:
+        total = 0.0
+        for need, atoms in plan:
+            starts, excluded = [], False
+            for no, codes in atoms:
+                if any(c not in there for c in codes):
+                    continue
+                at = there[codes[0]]
+                if len(codes) > 1:
+                    at = sorted(set(at).intersection(*({p - i for p in there[c]} for i, c in enumerate(codes) if i)))
+                excluded |= bool(no and at)
+                if at and not no:
+                    starts.append(at)
+            if len(starts) == need and not excluded:
+                total += _alone(len(starts[0])) if need == 1 else cover_density(starts)
+        return total
+
+    for part in _pieces(batches):
+        lengths, row, position = _places(part.column("words"))
+        coded = part.column("words").flatten().dictionary_encode()
+        place = pa.compute.index_in(coded.dictionary, words).fill_null(-1).to_numpy(zero_copy_only=False)
+        terms = np.append(of, -1)[place][coded.indices.to_numpy(zero_copy_only=False)] if len(coded.dictionary) else np.zeros(0, np.int64)
+        mine = np.flatnonzero(terms >= 0)
+        mine = mine[np.lexsort((terms[mine], row[mine]))]
+        bounds = np.flatnonzero(np.diff(row[mine] * (len(code) + 1) + terms[mine], prepend=-1))
+        texts: dict = {}
+        for lo, hi in zip(bounds, np.append(bounds[1:], len(mine))):
+            texts.setdefault(int(row[mine[lo]]), {})[int(terms[mine[lo]])] = position[mine[lo:hi]].tolist()
+        found, profiles = ([], [], []), part.column("profile")
+        for i, there in texts.items():
+            profile = profiles[i].as_py()
+            for q in {q for c in there for q in by_term.get((profile, c), ())} if profile is not None else ():
+                if (total := rank(plans[q], there)) > 0:
+                    for column, x in zip(found, (q, i, total / lengths[i])):
+                        column.append(x)
+        yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(found[0], pa.int64())), part.column("id").take(pa.array(found[1], pa.int64())), pa.array(found[2], pa.float64())], ["query_id", "id", "r"])
+
+
+@lru_cache(maxsize=100_000)
+def _alone(n: int) -> float:
+    """cover_density() of n places of one word, which is a cover each."""
+    return cover_density([list(range(n))])
+
+
 def web_rank(met) -> float:
     """The summed cover density of the alternatives that a text matches. met: a term's places in the query and in the text."""
     groups: dict = {}

@@ -29,3 +29,28 @@ def test_index_is_written_where_texts_are_read(spark, monkeypatch):
         want = some(spark).select("id", "profile", F.posexplode(S.tokens(F.col("content"))).alias("position", "term")).groupBy("profile", "term", "id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
         rows = lambda df: sorted(map(repr, df.select("profile", "term", "id", "positions").collect()))
         assert rows(index.places) == rows(want) and index.postings.filter("tf < 1").isEmpty()
+
+
+def test_spellings(spark):
+    """Every word whose stem is a term is among the term's spellings."""
+    rng = random.Random(3)
+    starts = ["run", "cit", "box", "bus", "class", "ab", "a", "été", "church", "y", "ly", "sing", "ed", "need", "x9"]
+    words = {rng.choice(starts) + "".join(rng.choice(["", "s", "es", "ies", "y", "ing", "ed", "ss", "u"]) for _ in range(3)) for _ in range(4000)}
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", S.stem(F.col("w")).alias("t"))
+    assert df.filter(~F.array_contains(S.spellings(F.col("t")), F.col("w"))).isEmpty() and df.filter("w <> t").count() > 300
+
+
+def test_web_by_either_way(spark, monkeypatch):
+    """Web-style queries of few words are ranked where the texts are read, without a shuffle of words; of many, by a join: the same ranks."""
+    rng = random.Random(12)
+    parts = ["tea", "runs", "city", '"the tea"', '"city running box"', "-walked", '-"tea the"', "or", "box", "x9", "é", "nowhere", "teas-box"]
+    asked = [(i, rng.choice("pq"), " ".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))) for i in range(80)] + [(90, "p", None), (91, None, "tea")]
+    queries = spark.createDataFrame(asked, "query_id long, profile string, text string")
+    for method in ("web", "stemmed"):
+        found = S.keyword_topk(queries, some(spark), F.current_timestamp(), 5, method)
+        assert "SortMergeJoin" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "collect_list" not in plan
+        got = sorted(map(tuple, found.collect()))
+        monkeypatch.setattr(S, "MOST_ASKED", 0)
+        monkeypatch.setattr(S, "MOST_SENT", 0)
+        assert sorted(map(tuple, S.keyword_topk(queries, some(spark), F.current_timestamp(), 5, method).collect())) == got and len(got) > 100
+        monkeypatch.undo()
