@@ -57,3 +57,26 @@ def test_products_at_scale(spark):
     V.similar(mem.select(F.col("id").alias("query_id"), "profile", "embedding"), mem, 6, 0.85, made).count()
     print(made.value, n)
     assert made.value < n / 5
+
+
+def test_many_cells_take_bounded_room(spark, monkeypatch):
+    """Where angles prune nothing, as each query reaches every cell, no copies of queries are stored and a task gives them on in small pieces; the result is exact."""
+    from cairn.operators import base as B
+
+    rng = np.random.default_rng(5)
+    n = 700
+    mem = rows_of(spark, rng.normal(size=(n, 8)), rng.choice(["a", "b"], n), "id")
+    queries = mem.withColumnRenamed("id", "query_id")
+    want = {q: sorted((-r["similarity"], r["id"]) for r in rs)[:3] for q, rs in by(V.topk(queries, mem, 3, 0.3)).items()}
+    for name, value in (("BLOCK", 100), ("ASKS", 60), ("MEMBERS", 50), ("CELL", 9), ("ANGLES", 500), ("GIVEN", 40)):
+        monkeypatch.setattr(V, name, value, raising=False)
+    stored, cut = [], B.cut
+
+    def seen(df, *args):
+        out = cut(df, *args)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(B, "cut", seen)
+    got = {q: sorted((-r["similarity"], r["id"]) for r in rs)[:3] for q, rs in by(V.similar(queries, mem, 3, 0.3)).items()}
+    assert got == want and max(stored) <= n
