@@ -80,3 +80,17 @@ def test_many_cells_take_bounded_room(spark, monkeypatch):
     monkeypatch.setattr(B, "cut", seen)
     got = {q: sorted((-r["similarity"], r["id"]) for r in rs)[:3] for q, rs in by(V.similar(queries, mem, 3, 0.3)).items()}
     assert got == want and max(stored) <= n
+
+
+def test_auto_link_over_many_cells(spark, monkeypatch):
+    """Links of memories in many cells and blocks are those of all pairs; a vector's copies link to each other."""
+    from cairn.operators import linking as L
+
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(400, 6))
+    m[300:] = m[:100]
+    mem = rows_of(spark, m, rng.choice(["a", "b"], 400), "id").withColumn("expires_at", F.lit(None).cast("timestamp"))
+    want = sorted(map(tuple, L.auto_link(mem, mem, F.current_timestamp(), 0.3, 3).collect()))
+    for name, value in (("BLOCK", 50), ("ASKS", 40), ("MEMBERS", 30), ("CELL", 7), ("ANGLES", 300), ("GIVEN", 25)):
+        monkeypatch.setattr(V, name, value)
+    assert sorted(map(tuple, L.auto_link(mem, mem, F.current_timestamp(), 0.3, 3).collect())) == want and len(want) > 1000
